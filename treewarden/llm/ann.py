@@ -23,9 +23,10 @@ from .common import written
 class Tree:
     """Nodes: (centres, children); a child >= 0 is a node, another one the leaf -1 - child."""
 
-    def __init__(self, sample: np.ndarray, leaves: int, branch: int = 8, seed: int = 7):
+    def __init__(self, sample: np.ndarray, ids: np.ndarray, leaves: int, branch: int = 8, seed: int = 7):
         self.nodes: list[tuple[np.ndarray, list[int]]] = []
         self.leaves = 0
+        self.sample, self.ids = sample, ids
         self.least = max(1, len(sample) // max(1, leaves))
         self.root = self._grow(sample, branch, np.random.default_rng(seed))
 
@@ -61,6 +62,14 @@ class Tree:
             todo += [(child, rows[nearest == i]) for i, child in enumerate(children) if (nearest == i).any()]
         return out
 
+    def floors(self, q: np.ndarray, k: int) -> np.ndarray:
+        """Of each query the k-th best score in the sample: its k best rows of all score no less."""
+        if len(self.sample) < k:
+            return np.full(len(q), -np.inf)
+        out = [np.partition(q[i : i + 64] @ self.sample.T, len(self.sample) - k, axis=1)[:, len(self.sample) - k] for i in range(0, len(q), 64)]
+        found = np.concatenate([np.empty(0), *out])
+        return found - 1e-9 * (1 + np.abs(found))
+
     def visit(self, q: np.ndarray, most: int) -> list[int]:
         """The first ``most`` leaves, best bin first."""
         out, heap = [], [(0.0, self.root)]
@@ -122,8 +131,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 20_000, rows
     firsts = distinct.where("copy = 1")
     n = firsts.count()
     by_hash = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
-    fitted = firsts.where(by_hash < F.lit(min(1.0, sample / n) * (1 << 30))).select("embedding").toArrow()
-    tree = Tree(matrix(fitted["embedding"].combine_chunks()), min(math.ceil(n / rows_per_leaf), sample // 8)) if fitted.num_rows else Tree(np.zeros((1, lengths[0]["d"])), 1)
+    fitted = firsts.where(by_hash < F.lit(min(1.0, sample / n) * (1 << 30))).select("vec_id", "embedding").toArrow()
+    tree = Tree(matrix(fitted["embedding"].combine_chunks()), fitted["vec_id"].to_numpy(), min(math.ceil(n / rows_per_leaf), sample // 8)) if fitted.num_rows else Tree(np.zeros((0, lengths[0]["d"])), np.empty(0, np.int64), 1)
     held = spark.sparkContext.broadcast(tree)  # at most sample / 8 leaves
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,27 +149,38 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 20_000, rows
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaves = [held.value.visit(q, visits) for q in matrix(b.column("embedding"))]
+            q = matrix(b.column("embedding"))
+            leaves = [held.value.visit(x, visits) for x in q]
             at = np.repeat(np.arange(b.num_rows), [len(x) for x in leaves])
-            yield pa.record_batch({"query_id": b.column("query_id").take(pa.array(at)), "q": b.column("embedding").take(pa.array(at)), "leaf": pa.array(np.concatenate([np.empty(0, np.int64), *map(np.array, leaves)]).astype(np.int64))})
+            yield pa.record_batch({"query_id": b.column("query_id").take(pa.array(at)), "q": b.column("embedding").take(pa.array(at)), "floor": held.value.floors(q, k + 1)[at], "leaf": pa.array(np.concatenate([np.empty(0, np.int64), *map(np.array, leaves)]).astype(np.int64))})
 
     sizes = placed.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row a leaf
     part = F.pmod(F.xxhash64("query_id"), F.lit(halves)).cast("int")
-    probes = asked.mapInArrow(walk, "query_id long, q array<double>, leaf long").join(F.broadcast(sizes), "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("part", part).drop("blocks")
+    probes = asked.mapInArrow(walk, "query_id long, q array<double>, floor double, leaf long").join(F.broadcast(sizes), "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("part", part).drop("blocks")
     stored = placed.join(F.broadcast(sizes), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(halves - 1)))).drop("blocks", "copy")
 
     def scan(_, asked_here: pa.Table, here: pa.Table) -> pa.Table:
         out = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if asked_here.num_rows and here.num_rows:
             x, ids = matrix(here["embedding"].combine_chunks()), here["vec_id"].to_numpy()
-            for q, name in zip(matrix(asked_here["q"].combine_chunks()), asked_here["query_id"].to_pylist(), strict=True):
+            for q, name, floor in zip(matrix(asked_here["q"].combine_chunks()), asked_here["query_id"].to_pylist(), asked_here["floor"].to_pylist(), strict=True):
                 found, scores = best(x, ids, q, k + 1)
+                found, scores = found[scores >= floor], scores[scores >= floor]
                 for o, v in zip(out, (np.full(len(found), name), ids[found], scores), strict=True):
                     o.append(v)
         return pa.table({name: pa.array(np.concatenate(o), t) for name, o, t in zip(("query_id", "vec_id", "score"), out, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sample's best, so that every query has its k answers wherever it walks."""
+        for b in batches:
+            for name, q in zip(b.column("query_id").to_pylist(), matrix(b.column("embedding")), strict=True):
+                rows, scores = best(held.value.sample, held.value.ids, q, k + 1)
+                yield pa.record_batch({"query_id": pa.array([name] * len(rows), pa.int64()), "vec_id": held.value.ids[rows], "score": scores})
+
     keys = ["leaf", "block", "part"]
-    found = probes.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(scan, "query_id long, vec_id long, score double")
+    answer = "query_id long, vec_id long, score double"
+    found = probes.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(scan, answer)
+    found = found.unionAll(asked.mapInArrow(known, answer)).dropDuplicates(["query_id", "vec_id"])
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     nearest = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     # back to every query of that vector, without itself
@@ -175,13 +195,13 @@ def calibrated(placed: DataFrame, asked: DataFrame, tree: Tree, held, k: int, re
     some = asked.where(F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(1 << 30)) < F.lit(min(1.0, most / max(1, n)) * (1 << 30))).toArrow()
     if not some.num_rows:
         return tree.leaves
-    wanted = held_queries = matrix(some["embedding"].combine_chunks())
+    wanted = matrix(some["embedding"].combine_chunks())
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x, ids, leaf = matrix(b.column("embedding")), b.column("vec_id").to_numpy(), b.column("leaf").to_numpy()
-                for i, q in enumerate(held_queries):
+                for i, q in enumerate(wanted):
                     rows, scores = best(x, ids, q, k + 1)
                     yield pa.record_batch({"query": np.full(len(rows), i), "vec_id": ids[rows], "leaf": leaf[rows], "score": scores})
 

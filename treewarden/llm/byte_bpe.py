@@ -49,8 +49,8 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str):
     encoder = ranks_encoder(path, pattern)
-    for batch in slices(batches):
-        yield batch.column("doc_id"), encoder.encode(batch.column("text").fill_null("").to_pylist())
+    for batch in slices(batches, most_bytes=10 << 20):
+        yield batch.column("doc_id"), encoder.encode(batch.column("text"))
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Byte-level BPE by the tokenizers library, over Arrow batches.
 
 The splitting pattern of these vocabularies never lets a piece run over a single space between two other
-characters, so a text can be cut before such spaces and every cut is encoded alone. Cuts repeat: each distinct cut
+characters, so a text can be cut before such spaces (and on both sides of such newlines) and every cut is encoded alone. Cuts repeat: each distinct cut
 goes through the library once while it is remembered, and a document is the concatenation of its cuts' ids.
 """
 
@@ -15,21 +15,12 @@ from array import array
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
-_ODD = re.compile(r"\s\s|[^\S \n]")
-
-
-def cuts(text: str) -> list[str]:
-    """Concatenated they are the text. A cut lies before a single space, and on both sides of a single newline, between two characters that aren't white space."""
-    if _ODD.search(text) or text[:1].isspace() or text[-1:].isspace():
-        return _CUT.split(text)
-    out = []
-    for line in text.split("\n"):
-        out += line.replace(" ", "\n ").split("\n")
-        out.append("\n")
-    out.pop()
-    return out
+#: White space other than single spaces and newlines between other characters, or a NUL: such texts are cut by the expression above.
+_ODD = r"[ \n][ \n]|^[ \n]|[ \n]\z|[\x00\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class Encoder:
@@ -62,18 +53,45 @@ class Encoder:
             for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[c] = array("I", e.ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known.clear()
+    def _lookup(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct cuts; those that are new go through the library."""
+        if len(self.known) > self.most:  # what these texts have stays
+            self.known = {c: self.known[c] for c in words if c in self.known}
         known = self.known
-        split = [cuts(t) if t else [] for t in texts]
-        new = set(chain.from_iterable(split)).difference(known)
+        new = set(words).difference(known, ("",))
+        known[""] = b""
         # letters and one mark after them are pieces of their own
         marked = {c for c in new if c[-1] in ",.!?" and c[-2:-1].isalpha()}
         self._learn([c for c in (new - marked) | {x for c in marked for x in (c[:-1], c[-1])} if c not in known])
         for c in marked:
             known[c] = known[c[:-1]] + known[c[-1]]
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+        return list(map(known.__getitem__, words))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Null is encoded as empty. A batch's distinct cuts are looked up once; the texts' ids are gathered from them."""
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        odd = pc.match_substring_regex(column, _ODD).to_numpy(zero_copy_only=False)
+        plain = pc.split_pattern(pc.replace_substring(pc.replace_substring(column.filter(pa.array(~odd)), "\n", "\0\n\0"), " ", "\0 "), "\0")
+        pieces = [plain]
+        if odd.any():
+            pieces.append(pa.array([_CUT.split(t) for t in column.filter(pa.array(odd)).to_pylist()], pa.list_(pa.string())))
+        flat = pa.concat_arrays([p.flatten() for p in pieces]).dictionary_encode()
+        counts = np.concatenate([p.value_lengths().to_numpy() for p in pieces])
+        if not len(flat):
+            return [b""] * len(column)
+        found, which = self._lookup(flat.dictionary.to_pylist()), flat.indices.to_numpy()
+        sizes = np.array([len(x) for x in found], np.int64) // 4
+        begins = np.cumsum(sizes) - sizes
+        each = sizes[which]
+        ends = np.cumsum(each)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(begins[which] - ends + each, each) + np.arange(ends[-1])]
+        last = np.concatenate(([0], ends))[np.cumsum(counts)].tolist()
+        encoded = [ids[x:y].tobytes() for x, y in zip([0, *last[:-1]], last, strict=True)]
+        order = np.concatenate((np.flatnonzero(~odd), np.flatnonzero(odd)))
+        out: list[bytes] = [b""] * len(column)
+        for i, x in zip(order.tolist(), encoded, strict=True):
+            out[i] = x
+        return out
 
 
 def _quiet():
