@@ -17,16 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mixed, written
 
 
 class Tree:
     """Nodes: (centres, children); a child >= 0 is a node, another one the leaf -1 - child."""
 
-    def __init__(self, sample: np.ndarray, ids: np.ndarray, leaves: int, branch: int = 8, seed: int = 7):
+    def __init__(self, sample: np.ndarray, ids: np.ndarray, leaves: int, floor_rows: int, branch: int = 8, seed: int = 7):
         self.nodes: list[tuple[np.ndarray, list[int]]] = []
         self.leaves = 0
-        self.sample, self.ids = sample, ids
+        some = np.argsort(mixed(ids.view(np.uint64)))[:floor_rows]
+        self.sample, self.ids = sample[some], ids[some]
         self.least = max(1, len(sample) // max(1, leaves))
         self.root = self._grow(sample, branch, np.random.default_rng(seed))
 
@@ -132,7 +133,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 20_000, rows
     n = firsts.count()
     by_hash = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
     fitted = firsts.where(by_hash < F.lit(min(1.0, sample / n) * (1 << 30))).select("vec_id", "embedding").toArrow()
-    tree = Tree(matrix(fitted["embedding"].combine_chunks()), fitted["vec_id"].to_numpy(), min(math.ceil(n / rows_per_leaf), sample // 8)) if fitted.num_rows else Tree(np.zeros((0, lengths[0]["d"])), np.empty(0, np.int64), 1)
+    tree = Tree(matrix(fitted["embedding"].combine_chunks()), fitted["vec_id"].to_numpy(), min(math.ceil(n / rows_per_leaf), sample // 8), math.ceil(n / 10)) if fitted.num_rows else Tree(np.zeros((0, lengths[0]["d"])), np.empty(0, np.int64), 1, 1)
     held = spark.sparkContext.broadcast(tree)  # at most sample / 8 leaves
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
