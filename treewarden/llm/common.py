@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,13 +10,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK64 = (1 << 64) - 1
-
-
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir; where that is unset (tests), below a temporary one that is set then."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -60,17 +57,35 @@ def utf8(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).fill_null(b"").to_pylist()
 
 
-class WordHashes(dict):
-    """xxhash64 of words (bytes), remembered; start() forgets all when there are many."""
+#: An odd multiplier for prefix hashes, and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+@functools.lru_cache(4)
+def _powers(n: int, of: int) -> np.ndarray:
+    out = np.full(n, of, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+def powers(n: int, of: int = BASE) -> np.ndarray:
+    return _powers(1 << max(10, (n - 1).bit_length()), of)[:n]
 
-    def start(self, most: int = 400_000) -> WordHashes:
-        if len(self) > most:
-            self.clear()
-        return self
+
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """h[i]: the sum of (data[j] + 1) * BASE**j for j < i, modulo 2**64."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=out[1:])
+    return out
+
+
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """64-bit hashes of an array's strings, all at once."""
+    data, ends = np.frombuffer(b"".join(strings.cast(pa.binary()).to_pylist()), np.uint8), np.cumsum(pc.binary_length(strings).to_numpy())
+    begins = np.concatenate((np.zeros(1, np.int64), ends[:-1])).astype(np.int64)[: len(ends)]
+    h = prefix_hashes(data)
+    return mixed((h[ends] - h[begins]) * powers(len(data) + 1, INVERSE)[begins] ^ mixed((ends - begins).astype(np.uint64)))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -84,17 +99,68 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hashes of the n-word shingles of a sequence of word hashes; a shorter sequence counts as one shingle, an empty one has none."""
-    n = min(n, len(words))
-    if not n:
-        return np.empty(0, np.uint64)
-    out = np.full(len(words) - n + 1, n, np.uint64)
+def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its n-word shingles; A-Z count as a-z, null as empty.
+
+    A text of fewer words is one shingle, one without a word has none.
+    """
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat = words.flatten()
+    filled = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(filled)))[np.cumsum(words.value_lengths().to_numpy())]
+    coded = flat.filter(pa.array(filled)).dictionary_encode()
+    if not len(coded):
+        return [np.empty(0, np.uint64)] * len(texts)
+    h = string_hashes(coded.dictionary)[coded.indices.to_numpy()]
+    whole = np.full(max(0, len(h) - n + 1), n, np.uint64)
     for i in range(n):
-        out = mixed(out ^ words[i : len(words) - n + 1 + i]) + np.uint64(0x9E3779B97F4A7C15)
+        whole = mixed(whole ^ h[i : len(h) - n + 1 + i]) + np.uint64(0x9E3779B97F4A7C15)
+    out, at = [], 0
+    for end in ends.tolist():
+        if end - at >= n:
+            s = np.sort(whole[at : end - n + 1])
+            out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
+        elif end > at:
+            x = np.full(1, end - at, np.uint64)
+            for i in range(at, end):
+                x = mixed(x ^ h[i : i + 1]) + np.uint64(0x9E3779B97F4A7C15)
+            out.append(x)
+        else:
+            out.append(np.empty(0, np.uint64))
+        at = end
+    return out
+
+
+#: Bits of a set of marked ids; the broadcast never grows beyond it, a fuller set only lets more rows through.
+MARK_BITS = 1 << 26
+
+
+def marks(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of the hashes of an id column: of fixed size, built by an aggregation."""
+    place = F.pmod(F.xxhash64(column), F.lit(MARK_BITS))
+    rows = ids.groupBy(F.floor(place / 32768).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(32768))).alias("bits")).toArrow()
+    out = np.zeros(MARK_BITS // 8, np.uint8)
+    for k, bits in zip(rows["k"].to_pylist(), rows["bits"].to_pylist(), strict=True):
+        out[4096 * k : 4096 * k + len(bits)] = np.frombuffer(bits, np.uint8)
     return out
 
 
+def maybe_marked(docs: DataFrame, bitmap: np.ndarray, wanted: bool = True, column: str = "doc_id") -> DataFrame:
+    """The rows whose id may be marked (all that are, a few more), or, with ``wanted`` false, exactly the others; no shuffle. Null counts as not marked."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)  # MARK_BITS
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for b in batches:
+            place = b.column("_place").to_numpy()
+            hit = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            hit &= b.column("_known").to_numpy(zero_copy_only=False)
+            yield b.select(schema.names).filter(pa.array(hit == wanted))
+
+    return docs.withColumns({"_place": F.pmod(F.xxhash64(column), F.lit(MARK_BITS)), "_known": F.col(column).isNotNull()}).mapInArrow(run, schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): rows (id, component), component the smallest id reachable; ids without an edge are absent.
 

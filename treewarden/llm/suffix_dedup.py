@@ -12,7 +12,6 @@ Anchors that very many documents share are dealt by the strings around them and
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -23,32 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, mixed, slices, utf8, written
+from .common import INVERSE, id_and_text, marks, maybe_marked, mixed, powers, prefix_hashes, slices, utf8, written
 
-#: An odd multiplier for prefix hashes, and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
 GRAM = 24
 
 
-@functools.lru_cache(4)
-def _powers(n: int, of: int) -> np.ndarray:
-    out = np.full(n, of, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def powers(n: int, of: int = BASE) -> np.ndarray:
-    return _powers(1 << max(10, (n - 1).bit_length()), of)[:n]
-
-
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """h[i]: the sum of data[j] * BASE**j for j < i, modulo 2**64."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=out[1:])
-    return out
-
-
 def slide(x: np.ndarray, w: int, f) -> np.ndarray:
     """f (minimum or maximum) over every w neighbours, by doubling."""
     have, out = 1, x
@@ -170,26 +148,41 @@ def settle(doc: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray
     grams = np.ascontiguousarray(around[chosen, out : out + GRAM]).view(f"V{GRAM}").ravel()
     _, gram, many = np.unique(grams, return_inverse=True, return_counts=True)
     chosen, gram = chosen[many[gram] > 1], gram[many[gram] > 1]
-    if len(chosen):
+    by_gram = np.argsort(gram, kind="stable")
+    chosen, gram = chosen[by_gram], gram[by_gram]
+    kind = np.full(whole.max() + 1, -1)
+    kind[whole[chosen]] = np.arange(len(chosen))
+    flags = np.zeros((len(chosen), out + 1), bool)
+    ends = 1 + np.flatnonzero(np.concatenate((gram[1:] != gram[:-1], [True]))) if len(chosen) else []
+    at = 0
+    for end in ends:  # some thousand rows at a time, all of a gram together
+        if end - at < 4000 and end < len(chosen):
+            continue
+        flags[at:end] = _repeated(around[chosen[at:end]], doc[chosen[at:end]], left[chosen[at:end]], right[chosen[at:end]], gram[at:end], length)
+        at = end
+    # the same flags for all rows of the same doc with the same surroundings
+    rows = mine[kind[whole[mine]] >= 0]
+    r, a = np.nonzero(flags[kind[whole[rows]]])
+    spans.append((doc[rows][r], pos[rows][r] - a, pos[rows][r] - a + length))
+    return tuple(np.concatenate(x) for x in zip(*spans, strict=True))
+
+
+def _repeated(around: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, gram: np.ndarray, length: int) -> np.ndarray:
+    """Of each row and offset, whether the string that begins so many bytes before the anchor also occurs in a row of a smaller doc."""
+    out, width = length - GRAM, around.shape[1]
+    flags = np.zeros((len(doc), out + 1), bool)
+    if len(doc):
         offset = np.arange(out + 1)
-        valid = (offset <= left[chosen, None]) & (out - offset <= right[chosen, None])
+        valid = (offset <= left[:, None]) & (out - offset <= right[:, None])
         row, a = np.nonzero(valid)
-        data = np.ascontiguousarray(around[chosen]).ravel()
-        order, same = sort_suffixes(data, row * width + out - a, gram[row] * (out + 1) + a, length)
+        order, same = sort_suffixes(np.ascontiguousarray(around).ravel(), row * width + out - a, gram[row] * (out + 1) + a, length)
         run = np.cumsum(~same) - 1
-        owner = doc[chosen][row[order]]
-        least = np.full(run[-1] + 1, np.iinfo(np.int64).max)
+        owner = doc[row[order]]
+        least = np.full(run[-1] + 1 if len(run) else 0, np.iinfo(np.int64).max)
         np.minimum.at(least, run, owner)
         hit = order[owner > least[run]]
-        flags = np.zeros((len(chosen), out + 1), bool)
         flags[row[hit], a[hit]] = True
-        # the same flags for all rows of the same doc with the same surroundings
-        kind = np.full(whole.max() + 1, -1)
-        kind[whole[chosen]] = np.arange(len(chosen))
-        rows = mine[kind[whole[mine]] >= 0]
-        r, a = np.nonzero(flags[kind[whole[rows]]])
-        spans.append((doc[rows][r], pos[rows][r] - a, pos[rows][r] - a + length))
-    return tuple(np.concatenate(x) for x in zip(*spans, strict=True))
+    return flags
 
 
 def merged(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,7 +232,7 @@ def _joined(pdf: pd.DataFrame, column: str, dtype) -> np.ndarray:
 def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000) -> DataFrame:
     """(doc_id, spans: sorted disjoint array of begin, end) of the documents with bytes to remove."""
     src = id_and_text(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    buckets = 1 << max(4, math.ceil(math.log2(4 * src.rdd.getNumPartitions())))
+    buckets = 1 << max(4, math.ceil(math.log2(16 * src.rdd.getNumPartitions())))
     shift = np.uint64(64 - buckets.bit_length() + 1)
     out, width = length - GRAM, 2 * length - GRAM
 
@@ -276,7 +269,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000) -> Data
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Surroundings of shared anchors by anchor bucket, of hot ones string by string; what is settled among these rows rides along as spans."""
-        for b in slices(batches, most_bytes=8 << 20):
+        for b in slices(batches, most_bytes=2 << 20):
             docs_, poss, lefts, rights, rows, hots = [], [], [], [], [], []
             for doc, text, at in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), b.column("at").to_pylist(), strict=True):
                 code = np.unique(np.frombuffer(b"".join(at), "<u4"))
@@ -325,7 +318,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000) -> Data
 
 
     schema = "bucket int, doc binary, pos binary, left binary, right binary, around binary, span_doc binary, span_begin binary, span_end binary"
-    surrounded = src.join(at, "doc_id").select("doc_id", "text", "at").mapInArrow(surround, schema)
+    near = maybe_marked(src, marks(shared.select("doc_id").distinct(), "doc_id"))
+    surrounded = near.join(at, "doc_id").select("doc_id", "text", "at").mapInArrow(surround, schema)
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         doc, pos = _joined(pdf, "doc", np.int64), _joined(pdf, "pos", np.int64)
@@ -360,9 +354,13 @@ def removed(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]
     return b"".join(kept), n, runs
 
 
-def _with_spans(docs: DataFrame, length: int, columns: list[str]) -> DataFrame:
-    spans = repeated_spans(docs, length)
-    return docs.join(spans.withColumnRenamed("doc_id", "span_doc"), docs["doc_id"] == F.col("span_doc"), "left").select(*[docs[c] for c in columns], "spans")
+def _with_spans(docs: DataFrame, length: int) -> DataFrame:
+    """``docs`` with their spans; documents without any don't go through a shuffle."""
+    spans = written(repeated_spans(docs, length), "spans").withColumnRenamed("doc_id", "span_doc")
+    bitmap = marks(spans, "span_doc")
+    some, others = (maybe_marked(docs, bitmap, wanted) for wanted in (True, False))
+    joined = some.join(spans, some["doc_id"] == spans["span_doc"], "left").drop("span_doc")
+    return joined.unionByName(others.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
 
 
 def digests(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -381,7 +379,7 @@ def digests(docs: DataFrame, length: int = 50) -> DataFrame:
             columns = list(zip(*out, strict=True))
             yield pa.record_batch({"doc_id": b.column("doc_id"), **{k: pa.array(v) for k, v in zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), columns, strict=True)}})
 
-    return _with_spans(id_and_text(docs), length, ["doc_id", "text"]).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(id_and_text(docs), length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -399,4 +397,4 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
             yield pa.record_batch(columns)
 
-    return _with_spans(docs, length, docs.columns).mapInArrow(run, schema)
+    return _with_spans(docs, length).mapInArrow(run, schema)
