@@ -5,7 +5,7 @@
    their prefixes (the first size - ceil(t * size) + 1 tokens).
 3. Grouping: within each prefix token every class is compared with the token's smallest class only, which is linear however many share
    the token. Similar pairs join classes into groups.
-4. Matrix: (token, group) rows over prefixes, and of each group the union of its members' tokens as a bitmap of fixed size. A
+4. Matrix: (token, group) rows over prefixes, and of each group the union of its members' tokens, as a bitmap of fixed size. A
    class is a candidate for the other groups that share one of its prefix tokens and have members of fitting size. The union bounds the
    overlap with any member from above; only groups whose bound suffices are opened, and their members that share a
    prefix token are compared. Pairs inside a group are never made, so a large group of copies stays linear.
@@ -22,23 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, id_and_text, shingle_hashes, slices, utf8, written
+from .common import components, id_and_text, marks, maybe_marked, shingle_sets, slices, written
 
-#: Bits of a group's union; tokens that many texts of one batch hold are counted as common; so many common tokens at most are told apart.
-BITS, COMMON_IN_BATCH, MOST_COMMON = 32768, 4, 100_000
-
-
-def token_set(text: bytes, n: int, words: WordHashes) -> np.ndarray:
-    """Sorted distinct n-gram hashes of a UTF-8 text; A-Z count as a-z."""
-    found = text.lower().split()
-    return np.unique(shingle_hashes(np.fromiter(map(words.__getitem__, found), np.uint64, len(found)), n))
+#: Bits of a class's or group's tokens; tokens that many texts of one batch hold are counted as common; so many common tokens at most are told apart.
+BITS, COMMON_IN_BATCH, MOST_COMMON = 4096, 4, 100_000
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int):
-    words = WordHashes()
     for b in slices(batches):
-        words.start()
-        yield b, [token_set(t, n, words) for t in utf8(b.column("text"))]
+        yield b, shingle_sets(b.column("text"), n)
 
 
 def common_tokens(docs: DataFrame, n: int) -> np.ndarray:
@@ -60,11 +52,22 @@ def least_overlap(size, percent: int):
     return -(-size * percent // 100)
 
 
-PREFIXES = "doc_id long, n_shingles long, digest binary, prefix array<long>"
+def _arrays(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)))
+
+
+def sizes(docs: DataFrame, n: int) -> DataFrame:
+    """Size and digest of each row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, sets in _sets(batches, n):
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())})
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary")
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
-    """Size, digest and prefix of each row's set."""
+    """Size and prefix of each row's set; empty sets have no row."""
     held = docs.sparkSession.sparkContext.broadcast(common)  # MOST_COMMON tokens at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,28 +84,50 @@ def prefixes(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataF
                     out.append((rare if len(rare) >= k else np.concatenate((rare, s[is_common][np.argsort(order[at[is_common]])])))[:k])
                 else:
                     out.append(s[:k])
-            yield pa.record_batch(
-                {
-                    "doc_id": b.column("doc_id"),
-                    "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    "prefix": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *out]).view(np.int64))),
-                }
-            )
+            yield pa.record_batch({"id": b.column("doc_id"), "size": pa.array([len(s) for s in sets], pa.int64()), "prefix": _arrays(out)})
 
-    return docs.mapInArrow(run, PREFIXES)
+    return docs.mapInArrow(run, "id long, size long, prefix array<long>").where("size > 0")
 
 
-def tokens_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(id, tokens) for the wanted (id, doc_id, digest): of rows that share a doc_id those whose set has the digest."""
+def bitmaps(docs: DataFrame, n: int) -> DataFrame:
+    """(id, size, bits): which of BITS slots hold a token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sets in _sets(batches, n):
-            keep = [i for i, (s, d) in enumerate(zip(sets, b.column("digest").to_pylist(), strict=True)) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d]
-            chosen = [sets[i].view(np.int64) for i in keep]
-            yield pa.record_batch({"id": b.column("id").take(pa.array(keep, pa.int64())), "tokens": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, chosen)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *chosen])))})
+            bits = np.zeros((len(sets), BITS), np.uint8)
+            row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            bits[row, (np.concatenate(sets) % np.uint64(BITS)).astype(np.int64)] = 1
+            packed = np.packbits(bits, axis=1, bitorder="little")
+            yield pa.record_batch({"id": b.column("doc_id"), "size": pa.array([len(s) for s in sets], pa.int64()), "bits": pa.array([x.tobytes() for x in packed], pa.binary())})
+
+    return docs.mapInArrow(run, "id long, size long, bits binary").where("size > 0")
+
+
+def tokens_of(docs: DataFrame, n: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, sets in _sets(batches, n):
+            yield pa.record_batch({"id": b.column("doc_id"), "tokens": _arrays(sets)})
+
+    return docs.mapInArrow(run, "id long, tokens array<long>").where("size(tokens) > 0")
+
 
-    return docs.join(wanted, "doc_id").select("id", "text", "digest").mapInArrow(run, "id long, tokens array<long>")
+def _only(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows with one of the ids; texts that can't be wanted stay where they are."""
+    return maybe_marked(docs, marks(ids, column)).join(ids.select(F.col(column).alias("doc_id")).distinct(), "doc_id", "left_semi")
+
+
+def bounded(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may be similar enough: left (a, size, x) and right (b, y) have bitmaps, and of a's slots those that b lacks each hold a token of a that b lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for b in (big.slice(i, 2000) for i in range(0, big.num_rows, 2000)):
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("x", "y"))
+                size = b.column("size").to_numpy()
+                keep = size - np.bitwise_count(x & ~y).sum(1).astype(np.int64) >= least_overlap(size, percent)
+                yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "size", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -136,59 +161,50 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     No rows: no rows.
     """
     src = id_and_text(docs)
-    sets = written(prefixes(src, n, percent, common_tokens(src, n)), "prefixes")
-    own = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    classes = sets.where(own).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.count("*").alias("copies"))
-    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    copies = sets.where(own).select("doc_id", "digest").join(classes.where("copies > 1"), "digest").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-
-    # prefix tokens of the classes, and of each the first class
-    per_class = sets.where(own).join(classes, "digest").where("doc_id = rep").select("id", "size", F.explode("prefix").alias("token"))
+    sets = written(sizes(src, n), "sizes")
+    own = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
+    firsts = own.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    copies = written(own.join(firsts, "digest").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "copies")
+    # a doc_id is a copy if all its sets are; texts that can't be copies stay where they are
+    bitmap = marks(copies, "a")
+    held = own.join(firsts, "digest", "left").where("rep IS NULL OR rep = doc_id").select("doc_id").distinct()
+    src = src.where("doc_id IS NOT NULL")
+    reps = written(maybe_marked(src, bitmap).select("doc_id").distinct().join(held, "doc_id"), "reps")
+    texts = maybe_marked(src, bitmap, False).unionAll(maybe_marked(src, bitmap).join(reps, "doc_id", "left_semi"))
+
+    # prefix tokens, and of each the first class
     token = Window.partitionBy("token")
-    shared = per_class.select("*", F.min(F.struct("id", "size")).over(token).alias("least"), F.max("id").over(token).alias("last")).where("least.id != last").drop("last")
-    shared = written(shared, "shared")
-    stars = shared.where((F.col("id") != F.col("least.id")) & _fit(F.col("size"), F.col("least.size"), percent)).select(F.col("id").alias("a"), F.col("least.id").alias("b")).distinct()
+    prefix = prefixes(texts, n, percent, common_tokens(src, n)).select("id", "size", F.explode("prefix").alias("token"))
+    shared = prefix.select("*", F.min(F.struct("id", "size")).over(token).alias("least"), F.max("id").over(token).alias("last")).where("least.id != last")
+    shared = written(shared.select("id", "size", "token", F.col("least.id").alias("least"), F.col("least.size").alias("least_size")), "shared")
+    stars = shared.where((F.col("id") != F.col("least")) & _fit(F.col("size"), F.col("least_size"), percent)).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     stars = written(stars, "stars")
-
-    wanted = classes.join(shared.select("id").distinct(), "id").select("id", F.col("rep").alias("doc_id"), "digest")
-    tokens = written(tokens_of(src, wanted, n), "tokens")
-    first = written(linked(stars, tokens, percent), "first")
+    slots = written(bitmaps(_only(texts, shared.select("id").distinct(), "id"), n), "bitmaps")
+    left, right = slots.select(F.col("id").alias("a"), "size", F.col("bits").alias("x")), slots.select(F.col("id").alias("b"), F.col("bits").alias("y"))
+    stars = written(bounded(stars, left, right, percent).distinct(), "near")
+    first = written(_compared(stars, texts, n, percent), "first")
     groups = components(first)
 
+    # the matrix: only tokens that more than one group shares make candidates
     member = shared.select("id", "size", "token").join(groups, "id", "left").select("id", "size", "token", F.coalesce("component", "id").alias("grp"))
-    # only tokens that more than one group shares make candidates
     several = member.select("*", F.min("grp").over(token).alias("g0"), F.max("grp").over(token).alias("g1")).where("g0 != g1").drop("g0", "g1")
     several = written(several, "several")
     matrix = several.groupBy("token", "grp").agg(F.min("size").alias("least_size"), F.max("size").alias("most_size"))
     fitting = (100 * F.col("most_size") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("least_size"))
-    candidates = several.select("token", "id", "size", F.col("grp").alias("own")).join(matrix, "token").where((F.col("grp") != F.col("own")) & fitting).select("id", "grp").distinct()
+    candidates = several.select("token", "id", "size", F.col("grp").alias("own")).join(matrix, "token").where((F.col("grp") != F.col("own")) & fitting).select(F.col("id").alias("a"), F.col("grp").alias("b")).distinct()
     candidates = written(candidates, "candidates")
-    in_groups = wanted.select("id").join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("grp"))
-    slot = F.pmod(F.col("token"), F.lit(BITS)).cast("long")
-    unions = candidates.select("grp").distinct().join(in_groups, "grp").join(tokens, "id").select("grp", F.explode("tokens").alias("token")).groupBy("grp").agg(F.bitmap_construct_agg(slot).alias("union"))
-    opened = _bounded(candidates, tokens, unions, percent)
-    pairs = opened.join(several.drop("grp"), "id").join(several.select("token", F.col("grp").alias("open"), F.col("id").alias("other"), F.col("size").alias("other_size")), ["token", "open"])
-    pairs = pairs.where(_fit(F.col("size"), F.col("other_size"), percent)).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
-    second = linked(written(pairs, "pairs"), tokens, percent)
+    unions = slots.join(groups, "id", "left").groupBy(F.coalesce("component", "id").alias("b")).agg(F.substring(F.bitmap_or_agg("bits"), 1, BITS // 8).alias("y"))
+    opened = written(bounded(candidates, left, unions, percent).distinct(), "opened")
+    others = several.select("token", F.col("grp").alias("b"), F.col("id").alias("other"), F.col("size").alias("other_size"))
+    pairs = opened.join(several.select(F.col("id").alias("a"), "size", "token"), "a").join(others, ["token", "b"]).where(_fit(F.col("size"), F.col("other_size"), percent))
+    pairs = written(pairs.select(F.greatest("a", "other").alias("a"), F.least("a", "other").alias("b")).distinct(), "pairs")
+    second = _compared(written(bounded(pairs, left, right, percent).distinct(), "close"), texts, n, percent)
 
-    reps = classes.select("id", "rep")
-    links = first.unionAll(second).join(reps.select(F.col("id").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("id").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = components(links.unionAll(copies))
-    return sets.select("doc_id", "n_shingles").join(found, sets["doc_id"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    found = components(first.unionAll(second).unionAll(copies))
+    return sets.join(found, sets["doc_id"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _bounded(candidates: DataFrame, tokens: DataFrame, unions: DataFrame, percent: int) -> DataFrame:
-    """Candidates whose overlap with the group's union, counted from above by the bitmap, is at least what a link needs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for b in (big.slice(i, 200) for i in range(0, big.num_rows, 200)):
-                keep = []
-                for i in range(b.num_rows):
-                    slots = b.column("tokens")[i].values.to_numpy().view(np.uint64) % np.uint64(BITS)
-                    bits = np.frombuffer(b.column("union")[i].as_py(), np.uint8)
-                    hits = int(((bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1).sum())
-                    keep.append(hits >= least_overlap(len(slots), percent))
-                yield pa.record_batch({"id": b.column("id").filter(pa.array(keep)), "open": b.column("grp").filter(pa.array(keep))})
-
-    return candidates.join(tokens, "id").join(unions, "grp").select("id", "grp", "tokens", "union").mapInArrow(run, "id long, open long")
+def _compared(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs that are similar enough, by the tokens of the texts they name."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    return linked(pairs, written(tokens_of(_only(texts, ids, "id"), n), "tokens"), percent)
