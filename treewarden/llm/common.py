@@ -145,20 +145,25 @@ def marks(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def maybe_marked(docs: DataFrame, bitmap: np.ndarray, wanted: bool = True, column: str = "doc_id") -> DataFrame:
-    """The rows whose id may be marked (all that are, a few more), or, with ``wanted`` false, exactly the others; no shuffle. Null counts as not marked."""
+def map_marked(docs: DataFrame, run, schema, bitmap: np.ndarray, wanted: bool = True, column: str = "doc_id") -> DataFrame:
+    """mapInArrow with ``run`` over the rows whose id may be marked (all that are, a few more), or, with ``wanted`` false, exactly the others; no shuffle. Null counts as not marked."""
     held = docs.sparkSession.sparkContext.broadcast(bitmap)  # MARK_BITS
-    schema = docs.schema
+    names = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         for b in batches:
             place = b.column("_place").to_numpy()
             hit = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
             hit &= b.column("_known").to_numpy(zero_copy_only=False)
-            yield b.select(schema.names).filter(pa.array(hit == wanted))
+            yield b.select(names).filter(pa.array(hit == wanted))
 
-    return docs.withColumns({"_place": F.pmod(F.xxhash64(column), F.lit(MARK_BITS)), "_known": F.col(column).isNotNull()}).mapInArrow(run, schema)
+    return docs.withColumns({"_place": F.pmod(F.xxhash64(column), F.lit(MARK_BITS)), "_known": F.col(column).isNotNull()}).mapInArrow(lambda batches: run(filtered(batches)), schema)
+
+
+def maybe_marked(docs: DataFrame, bitmap: np.ndarray, column: str = "doc_id") -> DataFrame:
+    """The rows whose id may be marked, before a join that tells."""
+    return map_marked(docs, lambda batches: batches, docs.schema, bitmap, True, column)
 
 
 def components(edges: DataFrame) -> DataFrame:

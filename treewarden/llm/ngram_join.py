@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, id_and_text, marks, maybe_marked, shingle_sets, slices, written
+from .common import components, id_and_text, map_marked, marks, maybe_marked, shingle_sets, slices, written
 
 #: Bits of a class's or group's tokens; tokens that many texts of one batch hold are counted as common; so many common tokens at most are told apart.
 BITS, COMMON_IN_BATCH, MOST_COMMON = 4096, 4, 100_000
@@ -66,9 +66,19 @@ def sizes(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary")
 
 
-def prefixes(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
+class Texts:
+    """The texts to join: those that can't be copies, straight from the table, and of the others the ones that are none."""
+
+    def __init__(self, src: DataFrame, bitmap: np.ndarray, reps: DataFrame):
+        self.src, self.bitmap, self.rest = src, bitmap, maybe_marked(src, bitmap).join(reps, "doc_id", "left_semi")
+
+    def map(self, run, schema: str) -> DataFrame:
+        return map_marked(self.src, run, schema, self.bitmap, False).unionAll(self.rest.mapInArrow(run, schema))
+
+
+def prefixes(docs: Texts, n: int, percent: int, common: np.ndarray) -> DataFrame:
     """Size and prefix of each row's set; empty sets have no row."""
-    held = docs.sparkSession.sparkContext.broadcast(common)  # MOST_COMMON tokens at most
+    held = docs.src.sparkSession.sparkContext.broadcast(common)  # MOST_COMMON tokens at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(held.value)
@@ -86,7 +96,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataF
                     out.append(s[:k])
             yield pa.record_batch({"id": b.column("doc_id"), "size": pa.array([len(s) for s in sets], pa.int64()), "prefix": _arrays(out)})
 
-    return docs.mapInArrow(run, "id long, size long, prefix array<long>").where("size > 0")
+    return docs.map(run, "id long, size long, prefix array<long>").where("size > 0")
 
 
 def bitmaps(docs: DataFrame, n: int) -> DataFrame:
@@ -170,7 +180,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     held = own.join(firsts, "digest", "left").where("rep IS NULL OR rep = doc_id").select("doc_id").distinct()
     src = src.where("doc_id IS NOT NULL")
     reps = written(maybe_marked(src, bitmap).select("doc_id").distinct().join(held, "doc_id"), "reps")
-    texts = maybe_marked(src, bitmap, False).unionAll(maybe_marked(src, bitmap).join(reps, "doc_id", "left_semi"))
+    texts = Texts(src, bitmap, reps)
 
     # prefix tokens, and of each the first class
     token = Window.partitionBy("token")
@@ -179,10 +189,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     shared = written(shared.select("id", "size", "token", F.col("least.id").alias("least"), F.col("least.size").alias("least_size")), "shared")
     stars = shared.where((F.col("id") != F.col("least")) & _fit(F.col("size"), F.col("least_size"), percent)).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     stars = written(stars, "stars")
-    slots = written(bitmaps(_only(texts, shared.select("id").distinct(), "id"), n), "bitmaps")
+    slots = written(bitmaps(_only(src, shared.select("id").distinct(), "id"), n), "bitmaps")
     left, right = slots.select(F.col("id").alias("a"), "size", F.col("bits").alias("x")), slots.select(F.col("id").alias("b"), F.col("bits").alias("y"))
     stars = written(bounded(stars, left, right, percent).distinct(), "near")
-    first = written(_compared(stars, texts, n, percent), "first")
+    first = written(_compared(stars, src, n, percent), "first")
     groups = components(first)
 
     # the matrix: only tokens that more than one group shares make candidates
@@ -198,13 +208,13 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     others = several.select("token", F.col("grp").alias("b"), F.col("id").alias("other"), F.col("size").alias("other_size"))
     pairs = opened.join(several.select(F.col("id").alias("a"), "size", "token"), "a").join(others, ["token", "b"]).where(_fit(F.col("size"), F.col("other_size"), percent))
     pairs = written(pairs.select(F.greatest("a", "other").alias("a"), F.least("a", "other").alias("b")).distinct(), "pairs")
-    second = _compared(written(bounded(pairs, left, right, percent).distinct(), "close"), texts, n, percent)
+    second = _compared(written(bounded(pairs, left, right, percent).distinct(), "close"), src, n, percent)
 
     found = components(first.unionAll(second).unionAll(copies))
     return sets.join(found, sets["doc_id"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _compared(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs that are similar enough, by the tokens of the texts they name."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    return linked(pairs, written(tokens_of(_only(texts, ids, "id"), n), "tokens"), percent)
+    return linked(pairs, written(tokens_of(_only(docs, ids, "id"), n), "tokens"), percent)

@@ -17,12 +17,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import INVERSE, id_and_text, marks, maybe_marked, mixed, powers, prefix_hashes, slices, utf8, written
+from .common import INVERSE, id_and_text, map_marked, marks, maybe_marked, mixed, powers, prefix_hashes, slices, utf8, written
 
 GRAM = 24
 
@@ -221,12 +220,12 @@ def _steps(bucket: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _summed(pdf: pd.DataFrame, column: str, dtype) -> np.ndarray:
-    return np.concatenate([np.empty(0, dtype), *[np.cumsum(np.frombuffer(x, dtype), dtype=dtype) for x in pdf[column]]])
+def _summed(rows: pa.Table, column: str, dtype) -> np.ndarray:
+    return np.concatenate([np.empty(0, dtype), *[np.cumsum(np.frombuffer(x, dtype), dtype=dtype) for x in rows[column].to_pylist()]])
 
 
-def _joined(pdf: pd.DataFrame, column: str, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(pdf[column]), dtype)
+def _joined(rows: pa.Table, column: str, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(rows[column].to_pylist()), dtype)
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000) -> DataFrame:
@@ -249,40 +248,33 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000) -> Data
             bucket = (grams >> shift).astype(np.int64)
             yield _bucket_rows(bucket, {"gram": (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32), "doc": _steps(bucket, doc), "pos": _steps(bucket, pos)})
 
-    def share(pdf: pd.DataFrame) -> pd.DataFrame:
-        gram, doc, pos = _joined(pdf, "gram", np.uint32), _summed(pdf, "doc", np.int64), _summed(pdf, "pos", np.uint32)
+    def share(rows: pa.Table) -> pa.Table:
+        gram, doc, pos = _joined(rows, "gram", np.uint32), _summed(rows, "doc", np.int64), _summed(rows, "pos", np.uint32)
         order = np.argsort(gram, kind="stable")
         gram, doc, pos = gram[order], doc[order], pos[order]
         first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
         many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
         sizes = np.diff(np.concatenate((first, [len(gram)])))
         keep, is_hot = np.repeat(many, sizes), np.repeat(sizes > hot, sizes)
-        doc, at = doc[keep], pos[keep].astype(np.int64) * 2 + is_hot[keep]
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.empty(0, np.int64)
-        return pd.DataFrame({"doc_id": doc[first], "at": [x.astype("<u4").tobytes() for x in np.split(at, first[1:])] if len(doc) else []})
+        return pa.table({"doc_id": doc[keep], "at": pos[keep].astype(np.int64) * 2 + is_hot[keep]})
 
     sent = src.mapInArrow(send, "bucket int, gram binary, doc binary, pos binary")
-    shared = written(sent.groupBy("bucket").applyInPandas(share, "doc_id long, at binary"), "shared")
+    shared = written(sent.groupBy("bucket").applyInArrow(share, "doc_id long, at long"), "shared")
     at = shared.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Surroundings of shared anchors by anchor bucket, of hot ones string by string; what is settled among these rows rides along as spans."""
-        for b in slices(batches, most_bytes=2 << 20):
-            docs_, poss, lefts, rights, rows, hots = [], [], [], [], [], []
-            for doc, text, at in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), b.column("at").to_pylist(), strict=True):
-                code = np.unique(np.frombuffer(b"".join(at), "<u4"))
-                pos = (code >> 1).astype(np.int64)
-                pos = pos[pos + GRAM <= len(text)]  # another row with this doc_id can be shorter
-                data = np.frombuffer(bytes(out) + text + bytes(out), np.uint8)
-                rows.append(data[pos[:, None] + np.arange(width)])
-                docs_.append(np.full(len(pos), doc))
-                poss.append(pos)
-                lefts.append(np.minimum(pos, out))
-                rights.append(np.minimum(len(text) - pos - GRAM, out))
-                hots.append((code[: len(pos)] & 1).astype(bool))
-            doc, pos, left, right, around, is_hot = (np.concatenate(x) for x in (docs_, poss, lefts, rights, rows, hots))
+        for b in slices(batches, most_bytes=1 << 20):
+            texts, sizes = utf8(b.column("text")), b.column("at").value_lengths().to_numpy()
+            lengths = np.array([len(t) for t in texts])
+            gap = bytes(out)
+            data, begins = np.frombuffer(gap + gap.join(texts) + gap, np.uint8), out + np.cumsum(lengths + out) - lengths - out
+            code, row = b.column("at").flatten().to_numpy(), np.repeat(np.arange(len(texts)), sizes)
+            pos, is_hot, doc = code >> 1, (code & 1).astype(bool), b.column("doc_id").to_numpy()[row]
+            there = pos + GRAM <= lengths[row]  # another row with this doc_id can be shorter
+            pos, is_hot, doc, row = pos[there], is_hot[there], doc[there], row[there]
+            around = data[(begins[row] + pos - out)[:, None] + np.arange(width)]
+            left, right = np.minimum(pos, out), np.minimum(lengths[row] - pos - GRAM, out)
             fits = left + right >= out
             doc, pos, left, right, around, is_hot = (x[fits] for x in (doc, pos, left, right, around, is_hot))
             if not len(doc):
@@ -321,21 +313,21 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000) -> Data
     near = maybe_marked(src, marks(shared.select("doc_id").distinct(), "doc_id"))
     surrounded = near.join(at, "doc_id").select("doc_id", "text", "at").mapInArrow(surround, schema)
 
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, pos = _joined(pdf, "doc", np.int64), _joined(pdf, "pos", np.int64)
-        around = _joined(pdf, "around", np.uint8).reshape(-1, width)
-        if pdf["bucket"].iloc[0] >= buckets:
+    def reduce(rows: pa.Table) -> pa.Table:
+        doc, pos = _joined(rows, "doc", np.int64), _joined(rows, "pos", np.int64)
+        around = _joined(rows, "around", np.uint8).reshape(-1, width)
+        if rows["bucket"][0].as_py() >= buckets:
             _, kind = np.unique(np.ascontiguousarray(around).view(f"V{width}").ravel(), return_inverse=True)
-            least = np.full(kind.max() + 1, np.iinfo(np.int64).max)
+            least = np.full(kind.max() + 1 if len(kind) else 0, np.iinfo(np.int64).max)
             np.minimum.at(least, kind, doc)
             over = doc > least[kind]
             found = doc[over], pos[over], pos[over] + length
         else:
-            found = settle(doc, pos, _joined(pdf, "left", np.uint8).astype(np.int64), _joined(pdf, "right", np.uint8).astype(np.int64), around, length)
-        settled = (_joined(pdf, c, np.int64) for c in ("span_doc", "span_begin", "span_end"))
-        return pd.DataFrame(dict(zip(("doc_id", "begin", "end"), merged(*(np.concatenate(x) for x in zip(found, settled, strict=True))), strict=True)))
+            found = settle(doc, pos, _joined(rows, "left", np.uint8).astype(np.int64), _joined(rows, "right", np.uint8).astype(np.int64), around, length)
+        settled = (_joined(rows, c, np.int64) for c in ("span_doc", "span_begin", "span_end"))
+        return pa.table(dict(zip(("doc_id", "begin", "end"), merged(*(np.concatenate(x) for x in zip(found, settled, strict=True))), strict=True)))
 
-    spans = surrounded.groupBy("bucket").applyInPandas(reduce, "doc_id long, begin long, end long")
+    spans = surrounded.groupBy("bucket").applyInArrow(reduce, "doc_id long, begin long, end long")
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
@@ -354,13 +346,13 @@ def removed(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]
     return b"".join(kept), n, runs
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` with their spans; documents without any don't go through a shuffle."""
+def _with_spans(docs: DataFrame, length: int, run, schema) -> DataFrame:
+    """mapInArrow with ``run`` over ``docs`` with their spans; documents without any don't go through a shuffle."""
     spans = written(repeated_spans(docs, length), "spans").withColumnRenamed("doc_id", "span_doc")
-    bitmap = marks(spans, "span_doc")
-    some, others = (maybe_marked(docs, bitmap, wanted) for wanted in (True, False))
+    bitmap, none = marks(spans, "span_doc"), F.lit(None).cast(spans.schema["spans"].dataType)
+    some = maybe_marked(docs, bitmap)
     joined = some.join(spans, some["doc_id"] == spans["span_doc"], "left").drop("span_doc")
-    return joined.unionByName(others.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
+    return joined.mapInArrow(run, schema).unionAll(map_marked(docs.withColumn("spans", none), run, schema, bitmap, False))
 
 
 def digests(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -379,7 +371,7 @@ def digests(docs: DataFrame, length: int = 50) -> DataFrame:
             columns = list(zip(*out, strict=True))
             yield pa.record_batch({"doc_id": b.column("doc_id"), **{k: pa.array(v) for k, v in zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), columns, strict=True)}})
 
-    return _with_spans(id_and_text(docs), length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(id_and_text(docs), length, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -397,4 +389,4 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
             yield pa.record_batch(columns)
 
-    return _with_spans(docs, length).mapInArrow(run, schema)
+    return _with_spans(docs, length, run, schema)
