@@ -30,6 +30,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,6 +58,15 @@ def utf8(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).fill_null(b"").to_pylist()
 
 
+#: Freed buffers go back to the system, so that a worker's memory is what its present batch needs.
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of whole texts: fewer rows each than Spark's default, so that a batch of long texts stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 #: An odd multiplier for prefix hashes, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -82,8 +92,9 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
 
 def string_hashes(strings: pa.Array) -> np.ndarray:
     """64-bit hashes of an array's strings, all at once."""
-    data, ends = np.frombuffer(b"".join(strings.cast(pa.binary()).to_pylist()), np.uint8), np.cumsum(pc.binary_length(strings).to_numpy())
-    begins = np.concatenate((np.zeros(1, np.int64), ends[:-1])).astype(np.int64)[: len(ends)]
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    begins, ends = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
     h = prefix_hashes(data)
     return mixed((h[ends] - h[begins]) * powers(len(data) + 1, INVERSE)[begins] ^ mixed((ends - begins).astype(np.uint64)))
 
