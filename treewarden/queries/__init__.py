@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import history, source
+
+QUERIES: dict = source.QUERIES | history.QUERIES
+ORACLES: dict = source.ORACLES | history.ORACLES
