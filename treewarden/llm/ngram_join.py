@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import components, id_and_text, map_marked, marks, maybe_marked, shingle_sets, slices, written
 
-#: Bits of a class's or group's tokens; tokens that many texts of one batch hold are counted as common; so many common tokens at most are told apart.
+#: Bits of a group's tokens, and of a class's at least; tokens that many texts of one batch hold are counted as common; so many common tokens at most are told apart.
 BITS, COMMON_IN_BATCH, MOST_COMMON = 4096, 4, 100_000
 
 
@@ -100,19 +100,30 @@ def prefixes(docs: Texts, n: int, percent: int, common: np.ndarray) -> DataFrame
 
 
 def bitmaps(docs: DataFrame, n: int) -> DataFrame:
-    """(id, size, bits): which of BITS slots hold a token."""
+    """(id, size, bits): which slots hold a token. A set has BITS slots, a large one eight times its size or up to double that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sets in _sets(batches, n):
-            bits = np.zeros((len(sets), BITS), np.uint8)
-            row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            bits[row, (np.concatenate(sets) % np.uint64(BITS)).astype(np.int64)] = 1
-            packed = np.packbits(bits, axis=1, bitorder="little")
-            yield pa.record_batch({"id": b.column("doc_id"), "size": pa.array([len(s) for s in sets], pa.int64()), "bits": pa.array([x.tobytes() for x in packed], pa.binary())})
+            out = []
+            for s in sets:
+                bits = np.zeros(max(BITS, 1 << (8 * len(s) - 1).bit_length()) if len(s) else BITS, np.uint8)
+                bits[(s % np.uint64(len(bits))).astype(np.int64)] = 1
+                out.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.record_batch({"id": b.column("doc_id"), "size": pa.array([len(s) for s in sets], pa.int64()), "bits": pa.array(out, pa.binary())})
 
     return docs.mapInArrow(run, "id long, size long, bits binary").where("size > 0")
 
 
+def folded(bits: bytes, length: int) -> np.ndarray:
+    """A bitmap with so many bytes instead: slots a multiple of the new number apart become one."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, length // 8), axis=0)
+
+
+def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.record_batch({"id": b.column("id"), "bits": pa.array([folded(x, BITS // 8).tobytes() for x in b.column("bits").to_pylist()], pa.binary())})
+
+
 def tokens_of(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sets in _sets(batches, n):
@@ -132,9 +143,12 @@ def bounded(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in (big.slice(i, 2000) for i in range(0, big.num_rows, 2000)):
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("x", "y"))
+                lacking = []
+                for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                    k = min(len(x), len(y))
+                    lacking.append(int(np.bitwise_count(folded(x, k) & ~folded(y, k)).sum()))
                 size = b.column("size").to_numpy()
-                keep = size - np.bitwise_count(x & ~y).sum(1).astype(np.int64) >= least_overlap(size, percent)
+                keep = size - np.array(lacking, np.int64) >= least_overlap(size, percent)
                 yield b.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "size", "x", "y").mapInArrow(run, "a long, b long")
@@ -203,7 +217,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     fitting = (100 * F.col("most_size") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("least_size"))
     candidates = several.select("token", "id", "size", F.col("grp").alias("own")).join(matrix, "token").where((F.col("grp") != F.col("own")) & fitting).select(F.col("id").alias("a"), F.col("grp").alias("b")).distinct()
     candidates = written(candidates, "candidates")
-    unions = slots.join(groups, "id", "left").groupBy(F.coalesce("component", "id").alias("b")).agg(F.substring(F.bitmap_or_agg("bits"), 1, BITS // 8).alias("y"))
+    unions = slots.mapInArrow(_smallest, "id long, bits binary").join(groups, "id", "left").groupBy(F.coalesce("component", "id").alias("b")).agg(F.substring(F.bitmap_or_agg("bits"), 1, BITS // 8).alias("y"))
     opened = written(bounded(candidates, left, unions, percent).distinct(), "opened")
     others = several.select("token", F.col("grp").alias("b"), F.col("id").alias("other"), F.col("size").alias("other_size"))
     pairs = opened.join(several.select(F.col("id").alias("a"), "size", "token"), "a").join(others, ["token", "b"]).where(_fit(F.col("size"), F.col("other_size"), percent))
