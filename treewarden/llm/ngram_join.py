@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import components, id_and_text, map_marked, marks, maybe_marked, shingle_sets, slices, written
 
-#: Bits of a group's tokens, and of a class's at least; tokens that many texts of one batch hold are counted as common; so many common tokens at most are told apart.
-BITS, COMMON_IN_BATCH, MOST_COMMON = 4096, 4, 100_000
+#: Bits of a group's tokens, and of a class's at least; tokens that so many texts hold, of those counted at once, are counted as common; so many common tokens at most are told apart.
+BITS, COMMON_IN_BATCH, TOKENS_AT_ONCE, MOST_COMMON = 4096, 4, 3_000_000, 1_000_000
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int):
@@ -37,10 +37,21 @@ def common_tokens(docs: DataFrame, n: int) -> np.ndarray:
     """Tokens that many texts hold, most common last. They only set the order of tokens, which any choice keeps right; so counts below COMMON_IN_BATCH in a batch are left out and the number is bounded."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, n):
-            tokens, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
             often = counts >= COMMON_IN_BATCH
-            yield pa.record_batch({"token": tokens[often].view(np.int64), "n": counts[often].astype(np.int64)})
+            return pa.record_batch({"token": tokens[often].view(np.int64), "n": counts[often].astype(np.int64)})
+
+        size = 0
+        for _, sets in _sets(batches, n):
+            held += sets
+            size += sum(map(len, sets))
+            if size > TOKENS_AT_ONCE:
+                yield counted()
+                held, size = [], 0
+        yield counted()
 
     counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 16")
     top = counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow()
@@ -173,6 +184,11 @@ def linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _short(size, percent: int):
+    """Length of the prefix that a set needs towards sets no smaller than itself."""
+    return size - F.ceil(2 * percent * size / (100 + percent)) + 1
+
+
 def _fit(n, m, percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m))
 
@@ -198,9 +214,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
 
     # prefix tokens, and of each the first class
     token = Window.partitionBy("token")
-    prefix = prefixes(texts, n, percent, common_tokens(src, n)).select("id", "size", F.explode("prefix").alias("token"))
+    prefix = prefixes(texts, n, percent, common_tokens(src, n)).select("id", "size", F.posexplode("prefix").alias("place", "token")).withColumn("short", F.col("place") < _short(F.col("size"), percent)).drop("place")
     shared = prefix.select("*", F.min(F.struct("id", "size")).over(token).alias("least"), F.max("id").over(token).alias("last")).where("least.id != last")
-    shared = written(shared.select("id", "size", "token", F.col("least.id").alias("least"), F.col("least.size").alias("least_size")), "shared")
+    shared = written(shared.select("id", "size", "token", "short", F.col("least.id").alias("least"), F.col("least.size").alias("least_size")), "shared")
     stars = shared.where((F.col("id") != F.col("least")) & _fit(F.col("size"), F.col("least_size"), percent)).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     stars = written(stars, "stars")
     slots = written(bitmaps(_only(src, shared.select("id").distinct(), "id"), n), "bitmaps")
@@ -210,17 +226,20 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     groups = components(first)
 
     # the matrix: only tokens that more than one group shares make candidates
-    member = shared.select("id", "size", "token").join(groups, "id", "left").select("id", "size", "token", F.coalesce("component", "id").alias("grp"))
+    member = shared.select("id", "size", "token", "short").join(groups, "id", "left").select("id", "size", "token", "short", F.coalesce("component", "id").alias("grp"))
     several = member.select("*", F.min("grp").over(token).alias("g0"), F.max("grp").over(token).alias("g1")).where("g0 != g1").drop("g0", "g1")
     several = written(several, "several")
-    matrix = several.groupBy("token", "grp").agg(F.min("size").alias("least_size"), F.max("size").alias("most_size"))
+    matrix = several.groupBy("token", "grp").agg(F.min("size").alias("least_size"), F.max("size").alias("most_size"), F.min(F.when(F.col("short"), F.col("size"))).alias("least_short"))
     fitting = (100 * F.col("most_size") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("least_size"))
-    candidates = several.select("token", "id", "size", F.col("grp").alias("own")).join(matrix, "token").where((F.col("grp") != F.col("own")) & fitting).select(F.col("id").alias("a"), F.col("grp").alias("b")).distinct()
+    # of two similar sets the smaller one has the token in its short prefix
+    fitting = fitting & (F.col("short") & (F.col("most_size") >= F.col("size")) | F.coalesce(F.col("least_short") <= F.col("size"), F.lit(False)))
+    candidates = several.select("token", "id", "size", "short", F.col("grp").alias("own")).join(matrix, "token").where((F.col("grp") != F.col("own")) & fitting).select(F.col("id").alias("a"), F.col("grp").alias("b")).distinct()
     candidates = written(candidates, "candidates")
     unions = slots.mapInArrow(_smallest, "id long, bits binary").join(groups, "id", "left").groupBy(F.coalesce("component", "id").alias("b")).agg(F.substring(F.bitmap_or_agg("bits"), 1, BITS // 8).alias("y"))
     opened = written(bounded(candidates, left, unions, percent).distinct(), "opened")
-    others = several.select("token", F.col("grp").alias("b"), F.col("id").alias("other"), F.col("size").alias("other_size"))
-    pairs = opened.join(several.select(F.col("id").alias("a"), "size", "token"), "a").join(others, ["token", "b"]).where(_fit(F.col("size"), F.col("other_size"), percent))
+    others = several.select("token", F.col("grp").alias("b"), F.col("id").alias("other"), F.col("size").alias("other_size"), F.col("short").alias("other_short"))
+    pairs = opened.join(several.select(F.col("id").alias("a"), "size", "token", "short"), "a").join(others, ["token", "b"])
+    pairs = pairs.where(_fit(F.col("size"), F.col("other_size"), percent) & F.when(F.col("size") <= F.col("other_size"), F.col("short")).otherwise(F.col("other_short")))
     pairs = written(pairs.select(F.greatest("a", "other").alias("a"), F.least("a", "other").alias("b")).distinct(), "pairs")
     second = _compared(written(bounded(pairs, left, right, percent).distinct(), "close"), src, n, percent)
 
