@@ -143,7 +143,7 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
 
 
 #: Bits of a set of marked ids; the broadcast never grows beyond it, a fuller set only lets more rows through.
-MARK_BITS = 1 << 26
+MARK_BITS = 1 << 24
 
 
 def marks(ids: DataFrame, column: str) -> np.ndarray:

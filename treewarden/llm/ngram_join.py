@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import components, id_and_text, map_marked, marks, maybe_marked, shingle_sets, slices, written
 
 #: Bits of a group's tokens, and of a class's at least; tokens that so many texts hold, of those counted at once, are counted as common; so many common tokens at most are told apart.
-BITS, COMMON_IN_BATCH, TOKENS_AT_ONCE, MOST_COMMON = 4096, 4, 3_000_000, 1_000_000
+BITS, COMMON_IN_BATCH, TOKENS_AT_ONCE, MOST_COMMON = 4096, 4, 1_500_000, 1_000_000
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int):
@@ -40,9 +40,13 @@ def common_tokens(docs: DataFrame, n: int) -> np.ndarray:
         held: list[np.ndarray] = []
 
         def counted() -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
+            tokens = np.concatenate([np.empty(0, np.uint64), *held])
+            held.clear()
+            tokens.sort()
+            ends = np.flatnonzero(np.concatenate((tokens[1:] != tokens[:-1], [True]))) if len(tokens) else np.empty(0, np.int64)
+            counts = np.diff(ends, prepend=-1)
             often = counts >= COMMON_IN_BATCH
-            return pa.record_batch({"token": tokens[often].view(np.int64), "n": counts[often].astype(np.int64)})
+            return pa.record_batch({"token": tokens[ends[often]].view(np.int64), "n": counts[often].astype(np.int64)})
 
         size = 0
         for _, sets in _sets(batches, n):
@@ -50,7 +54,7 @@ def common_tokens(docs: DataFrame, n: int) -> np.ndarray:
             size += sum(map(len, sets))
             if size > TOKENS_AT_ONCE:
                 yield counted()
-                held, size = [], 0
+                size = 0
         yield counted()
 
     counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 16")
