@@ -3,8 +3,8 @@
 1. Each text becomes its set of n-gram hashes. Equal sets become one class, represented by its smallest doc_id.
 2. All sets are sorted by one order of tokens, rare before common ones. Two sets with the wanted similarity share a token in
    their prefixes (the first size - ceil(t * size) + 1 tokens).
-3. Grouping: within each prefix token every class is compared with the token's smallest class only, which is linear however many share
-   the token. Similar pairs join classes into groups.
+3. Grouping: within each prefix token every class is compared with the token's first class only, then groups with the next group's and
+   the last group's first class, which is linear however many share the token. Similar pairs join classes into groups.
 4. Matrix: (token, group) rows over prefixes, and of each group the union of its members' tokens, as a bitmap of fixed size. A
    class is a candidate for the other groups that share one of its prefix tokens and have members of fitting size. The union bounds the
    overlap with any member from above; only groups whose bound suffices are opened, and their members that share a
@@ -227,10 +227,20 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     left, right = slots.select(F.col("id").alias("a"), "size", F.col("bits").alias("x")), slots.select(F.col("id").alias("b"), F.col("bits").alias("y"))
     stars = written(bounded(stars, left, right, percent).distinct(), "near")
     first = written(_compared(stars, src, n, percent), "first")
+    # once more towards the first member of every other group that shares a token: still a row for each token and group
+    member = _members(shared, components(first))
+    leaders = member.groupBy("token", "grp").agg(F.min(F.struct("id", "size")).alias("lead")).select("token", F.col("grp").alias("other"), "lead.*").withColumnsRenamed({"id": "b", "size": "other_size"})
+    spread = Window.partitionBy("token").orderBy("other")
+    chain = leaders.withColumn("next", F.lead(F.struct("b", "other_size")).over(spread)).where("next IS NOT NULL")
+    links = chain.where(_fit(F.col("other_size"), F.col("next.other_size"), percent)).select(F.col("b").alias("a"), F.col("next.b").alias("b")).unionAll(
+        member.join(leaders.groupBy("token").agg(F.max(F.struct("other", "b", "other_size")).alias("l")), "token").where((F.col("grp") != F.col("l.other")) & _fit(F.col("size"), F.col("l.other_size"), percent)).select(F.col("id").alias("a"), F.col("l.b").alias("b"))
+    )
+    near = written(bounded(written(links.distinct(), "leaders"), left, right, percent).distinct(), "near2")
+    first = written(first.unionAll(_compared(near, src, n, percent)), "first2")
     groups = components(first)
 
     # the matrix: only tokens that more than one group shares make candidates
-    member = shared.select("id", "size", "token", "short").join(groups, "id", "left").select("id", "size", "token", "short", F.coalesce("component", "id").alias("grp"))
+    member = _members(shared, groups)
     several = member.select("*", F.min("grp").over(token).alias("g0"), F.max("grp").over(token).alias("g1")).where("g0 != g1").drop("g0", "g1")
     several = written(several, "several")
     matrix = several.groupBy("token", "grp").agg(F.min("size").alias("least_size"), F.max("size").alias("most_size"), F.min(F.when(F.col("short"), F.col("size"))).alias("least_short"))
@@ -251,6 +261,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     return sets.join(found, sets["doc_id"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _members(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    return shared.select("id", "size", "token", "short").join(groups, "id", "left").select("id", "size", "token", "short", F.coalesce("component", "id").alias("grp"))
+
+
 def _compared(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs that are similar enough, by the tokens of the texts they name."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
