@@ -22,7 +22,7 @@ TYPES = {
     "JoinedStr": "string", "Tuple": "tuple", "Expr": "expression_statement",
 }
 SCHEMA = "repo string, path string, id int, parent int, last int, rpre int, ordinal int, type string, role string, children int, start int, end int, start_byte long, end_byte long, text string, source string, lines array<string>, offsets array<long>"
-SOURCED = {"call", "except_clause", "raise_statement", "assert_statement", "string", "integer", "float", "true", "identifier", "attribute", "list", "dictionary", "set", "comparison_operator", "subscript", "unaryop"}
+SOURCED = {"call", "except_clause", "raise_statement", "assert_statement", "string", "integer", "float", "true", "false", "identifier", "attribute", "list", "dictionary", "set", "comparison_operator", "subscript", "unaryop"}
 
 
 def normalized_bytes(content: bytes) -> bytes:
