@@ -21,7 +21,7 @@ ORACLE_SQL = None
 def _only(docs: DataFrame, keep: DataFrame, key: str) -> DataFrame:
     """The rows of ``docs`` whose doc_id is in ``keep``; rows without a doc_id stay, as nothing speaks against them by name."""
     k = keep.select(F.col(key).alias("kept_doc")).distinct()
-    return docs.join(k, docs["doc_id"].eqNullSafe(F.col("kept_doc")), "left_semi")
+    return docs.join(k, docs["doc_id"].eqNullSafe(k["kept_doc"]), "left_semi")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

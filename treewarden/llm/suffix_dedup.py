@@ -347,12 +347,12 @@ def removed(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]
 
 
 def _with_spans(docs: DataFrame, length: int, run, schema) -> DataFrame:
-    """mapInArrow with ``run`` over ``docs`` with their spans; documents without any don't go through a shuffle."""
-    spans = written(repeated_spans(docs, length), "spans").withColumnRenamed("doc_id", "span_doc")
-    bitmap, none = marks(spans, "span_doc"), F.lit(None).cast(spans.schema["spans"].dataType)
+    """mapInArrow with ``run`` over ``docs`` with their spans as _spans; documents without any don't go through a shuffle."""
+    spans = written(repeated_spans(docs, length), "spans").withColumnsRenamed({"doc_id": "_span_doc", "spans": "_spans"})
+    bitmap, none = marks(spans, "_span_doc"), F.lit(None).cast(spans.schema["_spans"].dataType)
     some = maybe_marked(docs, bitmap)
-    joined = some.join(spans, some["doc_id"] == spans["span_doc"], "left").drop("span_doc")
-    return joined.mapInArrow(run, schema).unionAll(map_marked(docs.withColumn("spans", none), run, schema, bitmap, False))
+    joined = some.join(spans, some["doc_id"] == spans["_span_doc"], "left").drop("_span_doc")
+    return joined.mapInArrow(run, schema).unionAll(map_marked(docs.withColumn("_spans", none), run, schema, bitmap, False))
 
 
 def digests(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -365,7 +365,7 @@ def digests(docs: DataFrame, length: int = 50) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out = []
-            for text, spans in zip(utf8(b.column("text")), b.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(utf8(b.column("text")), b.column("_spans").to_pylist(), strict=True):
                 kept, n, runs = removed(text, [(s["begin"], min(s["end"], len(text))) for s in spans or [] if s["begin"] < len(text)])
                 out.append((len(text), n, runs, hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*out, strict=True))
@@ -381,7 +381,7 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), strict=True):
                 texts.append(text if text is None or not spans else removed(text.encode(), [(s["begin"], s["end"]) for s in spans])[0].decode("utf-8", "ignore"))
             columns = {f.name: b.column(f.name) for f in schema}
             columns["text"] = pa.array(texts, pa.string())
