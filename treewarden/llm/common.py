@@ -39,7 +39,7 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds about ``most_bytes`` of the named column (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
@@ -72,7 +72,7 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-@functools.lru_cache(4)
+@functools.lru_cache(2)
 def _powers(n: int, of: int) -> np.ndarray:
     out = np.full(n, of, np.uint64)
     out[0] = 1

@@ -26,7 +26,7 @@ _ODD = r"[ \n][ \n]|^[ \n]|[ \n]\z|[\x00\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers. At most about ``most`` cuts are remembered."""
 
-    def __init__(self, tokenizer, most: int = 500_000):
+    def __init__(self, tokenizer, most: int = 150_000):
         self.tokenizer, self.most, self.known = tokenizer, most, {}
         vocabulary = tokenizer.get_vocab()
         self.lengths = np.zeros(1 + max(vocabulary.values()), np.int64)  # bytes of each id
