@@ -34,7 +34,9 @@ WITH = f"WITH {CORPUS} "
 
 
 def all_findings(spark, sf_dir):
-    return fnd.analyze(*parsed(spark, sf_dir), ids=False).select(*PLAIN)
+    """Every analyzer over one node table, which is parsed once and kept for them."""
+    nodes, files = parsed(spark, sf_dir)
+    return fnd.analyze(nodes.persist(), files, ids=False).select(*PLAIN)
 
 
 def finding_ids(spark, sf_dir):
