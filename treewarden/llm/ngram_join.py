@@ -6,9 +6,9 @@
 3. Grouping: within each prefix token every class is compared with the token's smallest class only, which is linear however many share
    the token. Similar pairs join classes into groups.
 4. Matrix: (token, group) rows over prefixes, and of each group the union of its members' tokens, as a bitmap of fixed size. A
-   class is a candidate for the other groups that share one of its prefix tokens and have members of fitting size. The union bounds the
-   overlap with any member from above; only groups whose bound suffices are opened, and their members that share a
-   prefix token are compared. Pairs inside a group are never made, so a large group of copies stays linear.
+   class is a candidate for the larger groups that share one of its prefix tokens, with members of fitting size, and enough tokens from
+   there on in both. The union bounds the overlap with any member from above; only groups whose bound suffices are opened, and their
+   members that share a prefix token are compared. Pairs inside a group are never made, so a large group of copies stays linear.
 5. Comparisons count exact overlaps of sorted token arrays. Links of 3 and 4 give the components.
 """
 
@@ -136,7 +136,7 @@ def folded(bits: bytes, length: int) -> np.ndarray:
 
 def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.record_batch({"id": b.column("id"), "bits": pa.array([folded(x, BITS // 8).tobytes() for x in b.column("bits").to_pylist()], pa.binary())})
+        yield pa.record_batch({"id": b.column("id"), "size": b.column("size"), "bits": pa.array([folded(x, BITS // 8).tobytes() for x in b.column("bits").to_pylist()], pa.binary())})
 
 
 def tokens_of(docs: DataFrame, n: int) -> DataFrame:
@@ -153,7 +153,7 @@ def _only(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
 
 def bounded(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that may be similar enough: left (a, size, x) and right (b, y) have bitmaps, and of a's slots those that b lacks each hold a token of a that b lacks."""
+    """The pairs (a, b) that may be similar enough: left (a, size, x) and right (b, least, y) have bitmaps, and of a's slots those that b lacks each hold a token of a that b lacks. ``least`` is the size of b's set or, if b is a group, of its smallest one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -162,11 +162,12 @@ def bounded(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int) -
                 for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
                     k = min(len(x), len(y))
                     lacking.append(int(np.bitwise_count(folded(x, k) & ~folded(y, k)).sum()))
-                size = b.column("size").to_numpy()
-                keep = size - np.array(lacking, np.int64) >= least_overlap(size, percent)
+                size, least = b.column("size").to_numpy(), b.column("least").to_numpy()
+                other = np.maximum(least, least_overlap(size, percent))
+                keep = size - np.array(lacking, np.int64) >= -(-percent * (size + other) // (100 + percent))
                 yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "size", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "size", "least", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -188,9 +189,9 @@ def linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _short(size, percent: int):
-    """Length of the prefix that a set needs towards sets no smaller than itself."""
-    return size - F.ceil(2 * percent * size / (100 + percent)) + 1
+def _enough(n, m, rest, other_rest, percent: int):
+    """Whether sets of sizes n and m can be similar enough if they share nothing but what is left of each from a shared token on. That holds for the first shared token of every similar pair."""
+    return (100 + percent) * F.least(rest, other_rest) >= percent * (n + m)
 
 
 def _fit(n, m, percent: int):
@@ -218,32 +219,33 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
 
     # prefix tokens, and of each the first class
     token = Window.partitionBy("token")
-    prefix = prefixes(texts, n, percent, common_tokens(src, n)).select("id", "size", F.posexplode("prefix").alias("place", "token")).withColumn("short", F.col("place") < _short(F.col("size"), percent)).drop("place")
+    prefix = prefixes(texts, n, percent, common_tokens(src, n)).select("id", "size", F.posexplode("prefix").alias("place", "token")).select("id", "size", "token", (F.col("size") - F.col("place")).alias("rest"))
     shared = prefix.select("*", F.min(F.struct("id", "size")).over(token).alias("least"), F.max("id").over(token).alias("last")).where("least.id != last")
-    shared = written(shared.select("id", "size", "token", "short", F.col("least.id").alias("least"), F.col("least.size").alias("least_size")), "shared")
+    shared = written(shared.select("id", "size", "token", "rest", F.col("least.id").alias("least"), F.col("least.size").alias("least_size")), "shared")
     stars = shared.where((F.col("id") != F.col("least")) & _fit(F.col("size"), F.col("least_size"), percent)).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     stars = written(stars, "stars")
     slots = written(bitmaps(_only(src, shared.select("id").distinct(), "id"), n), "bitmaps")
-    left, right = slots.select(F.col("id").alias("a"), "size", F.col("bits").alias("x")), slots.select(F.col("id").alias("b"), F.col("bits").alias("y"))
+    left, right = slots.select(F.col("id").alias("a"), "size", F.col("bits").alias("x")), slots.select(F.col("id").alias("b"), F.col("size").alias("least"), F.col("bits").alias("y"))
     stars = written(bounded(stars, left, right, percent).distinct(), "near")
     first = written(_compared(stars, src, n, percent), "first")
     groups = components(first)
 
-    # the matrix: only tokens that more than one group shares make candidates
-    member = shared.select("id", "size", "token", "short").join(groups, "id", "left").select("id", "size", "token", "short", F.coalesce("component", "id").alias("grp"))
+    # the matrix: only tokens that more than one group shares make candidates; of two groups that with more members is the one to open
+    groups = groups.join(groups.groupBy("component").agg(F.count("*").alias("members")), "component")
+    member = shared.select("id", "size", "token", "rest").join(groups, "id", "left").select("id", "size", "token", "rest", F.coalesce("component", "id").alias("grp"), F.coalesce("members", F.lit(1)).alias("members"))
     several = member.select("*", F.min("grp").over(token).alias("g0"), F.max("grp").over(token).alias("g1")).where("g0 != g1").drop("g0", "g1")
     several = written(several, "several")
-    matrix = several.groupBy("token", "grp").agg(F.min("size").alias("least_size"), F.max("size").alias("most_size"), F.min(F.when(F.col("short"), F.col("size"))).alias("least_short"))
+    matrix = several.groupBy("token", "grp", F.col("members").alias("of")).agg(F.min("size").alias("least_size"), F.max("size").alias("most_size"), F.max("rest").alias("most_rest"))
     fitting = (100 * F.col("most_size") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("least_size"))
-    # of two similar sets the smaller one has the token in its short prefix
-    fitting = fitting & (F.col("short") & (F.col("most_size") >= F.col("size")) | F.coalesce(F.col("least_short") <= F.col("size"), F.lit(False)))
-    candidates = several.select("token", "id", "size", "short", F.col("grp").alias("own")).join(matrix, "token").where((F.col("grp") != F.col("own")) & fitting).select(F.col("id").alias("a"), F.col("grp").alias("b")).distinct()
+    fitting = fitting & _enough(F.col("size"), F.greatest("least_size", F.ceil(percent * F.col("size") / 100)), F.col("rest"), F.col("most_rest"), percent)
+    larger = F.struct("of", "grp") > F.struct("members", "own")
+    candidates = several.select("token", "id", "size", "rest", "members", F.col("grp").alias("own")).join(matrix, "token").where(larger & fitting).select(F.col("id").alias("a"), F.col("grp").alias("b")).distinct()
     candidates = written(candidates, "candidates")
-    unions = slots.mapInArrow(_smallest, "id long, bits binary").join(groups, "id", "left").groupBy(F.coalesce("component", "id").alias("b")).agg(F.substring(F.bitmap_or_agg("bits"), 1, BITS // 8).alias("y"))
+    unions = slots.mapInArrow(_smallest, "id long, size long, bits binary").join(groups, "id", "left").groupBy(F.coalesce("component", "id").alias("b")).agg(F.min("size").alias("least"), F.substring(F.bitmap_or_agg("bits"), 1, BITS // 8).alias("y"))
     opened = written(bounded(candidates, left, unions, percent).distinct(), "opened")
-    others = several.select("token", F.col("grp").alias("b"), F.col("id").alias("other"), F.col("size").alias("other_size"), F.col("short").alias("other_short"))
-    pairs = opened.join(several.select(F.col("id").alias("a"), "size", "token", "short"), "a").join(others, ["token", "b"])
-    pairs = pairs.where(_fit(F.col("size"), F.col("other_size"), percent) & F.when(F.col("size") <= F.col("other_size"), F.col("short")).otherwise(F.col("other_short")))
+    others = several.select("token", F.col("grp").alias("b"), F.col("id").alias("other"), F.col("size").alias("other_size"), F.col("rest").alias("other_rest"))
+    pairs = opened.join(several.select(F.col("id").alias("a"), "size", "token", "rest"), "a").join(others, ["token", "b"])
+    pairs = pairs.where(_fit(F.col("size"), F.col("other_size"), percent) & _enough(F.col("size"), F.col("other_size"), F.col("rest"), F.col("other_rest"), percent))
     pairs = written(pairs.select(F.greatest("a", "other").alias("a"), F.least("a", "other").alias("b")).distinct(), "pairs")
     second = _compared(written(bounded(pairs, left, right, percent).distinct(), "close"), src, n, percent)
 
