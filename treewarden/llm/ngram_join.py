@@ -230,16 +230,19 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     first = written(_compared(stars, src, n, percent), "first")
     groups = components(first)
 
-    # the matrix: only tokens that more than one group shares make candidates; of two groups that with more members is the one to open
+    # the matrix: only tokens that more than one group shares make candidates; of two groups that with more members is the one to open.
+    # A token's first class has met the others of it already, so two classes alone with a token, or without a group, need not meet there again
     groups = groups.join(groups.groupBy("component").agg(F.count("*").alias("members")), "component")
     member = shared.select("id", "size", "token", "rest").join(groups, "id", "left").select("id", "size", "token", "rest", F.coalesce("component", "id").alias("grp"), F.coalesce("members", F.lit(1)).alias("members"))
-    several = member.select("*", F.min("grp").over(token).alias("g0"), F.max("grp").over(token).alias("g1")).where("g0 != g1").drop("g0", "g1")
-    several = written(several, "several")
-    matrix = several.groupBy("token", "grp", F.col("members").alias("of")).agg(F.min("size").alias("least_size"), F.max("size").alias("most_size"), F.max("rest").alias("most_rest"))
+    several = member.select("*", F.min("grp").over(token).alias("g0"), F.max("grp").over(token).alias("g1"), F.count("*").over(token).alias("k"), F.min(F.struct("id", "size")).over(token).alias("least")).where("g0 != g1 AND k > 2")
+    is_first = F.col("id") == F.col("least.id")
+    several = written(several.select("id", "size", "token", "rest", "grp", "members", is_first.alias("first"), (~is_first & _fit(F.col("size"), F.col("least.size"), percent)).alias("met")), "several")
+    matrix = several.groupBy("token", "grp", F.col("members").alias("of")).agg(F.min("size").alias("least_size"), F.max("size").alias("most_size"), F.max("rest").alias("most_rest"), F.bool_or("first").alias("has_first"), F.bool_or("met").alias("has_met"))
     fitting = (100 * F.col("most_size") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("least_size"))
     fitting = fitting & _enough(F.col("size"), F.greatest("least_size", F.ceil(percent * F.col("size") / 100)), F.col("rest"), F.col("most_rest"), percent)
     larger = F.struct("of", "grp") > F.struct("members", "own")
-    candidates = several.select("token", "id", "size", "rest", "members", F.col("grp").alias("own")).join(matrix, "token").where(larger & fitting).select(F.col("id").alias("a"), F.col("grp").alias("b")).distinct()
+    anew = (F.col("of") > 1) | ~(F.col("has_first") & F.col("met") | F.col("first") & F.col("has_met"))
+    candidates = several.select("token", "id", "size", "rest", "members", "first", "met", F.col("grp").alias("own")).join(matrix, "token").where(larger & fitting & anew).select(F.col("id").alias("a"), F.col("grp").alias("b")).distinct()
     candidates = written(candidates, "candidates")
     unions = slots.mapInArrow(_smallest, "id long, size long, bits binary").join(groups, "id", "left").groupBy(F.coalesce("component", "id").alias("b")).agg(F.min("size").alias("least"), F.substring(F.bitmap_or_agg("bits"), 1, BITS // 8).alias("y"))
     opened = written(bounded(candidates, left, unions, percent).distinct(), "opened")
