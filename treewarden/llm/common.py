@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -51,6 +52,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes:
             to = max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    batch = None
+    _give_back()
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -60,6 +63,13 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 #: Freed buffers go back to the system, so that a worker's memory is what its present batch needs.
 pa.set_memory_pool(pa.system_memory_pool())
+_libc = ctypes.CDLL(None)
+
+
+def _give_back() -> None:
+    """What a task has freed goes back to the system; without it, glibc keeps it in workers that wait for another stage."""
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
