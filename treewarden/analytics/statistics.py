@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +76,14 @@ def _partial(xy: Column, xz: Column, yz: Column) -> Column:
     return (xy - xz * yz) / F.sqrt(F.greatest(under, F.lit(1e-12)))
 
 
+def _controlled(c, x, y, z=None, w=None) -> Column:
+    """Rho of x and y by the correlations ``c`` of pairs, with up to two controls."""
+    if z is None:
+        return c(x, y)
+    once = lambda a, b: _partial(c(a, b), c(a, z), c(b, z))
+    return once(x, y) if w is None else _partial(once(x, y), once(x, w), once(y, w))
+
+
 def spearman(df: DataFrame, x: str, y: str, group: list[str], controls: tuple[str, ...] = ()) -> DataFrame:
     """Spearman's rho per group, with up to two controls; zero where a side is constant."""
     names = [x, y, *controls]
@@ -79,14 +91,7 @@ def spearman(df: DataFrame, x: str, y: str, group: list[str], controls: tuple[st
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     g = ranked.groupBy(*group).agg(F.count("*").alias("n"), *[_corr(f"r_{a}", f"r_{b}").alias(f"c_{a}_{b}") for a, b in pairs])
     c = lambda a, b: F.col(f"c_{a}_{b}" if (a, b) in pairs else f"c_{b}_{a}")
-    rho = c(x, y)
-    if len(controls) == 1:
-        rho = _partial(rho, c(x, controls[0]), c(y, controls[0]))
-    elif len(controls) == 2:
-        z, w = controls
-        once = lambda a, b: _partial(c(a, b), c(a, z), c(b, z))
-        rho = _partial(once(x, y), once(x, w), once(y, w))
-    return g.select(*group, "n", rho.alias("rho"))
+    return g.select(*group, "n", _controlled(c, *names).alias("rho"))
 
 
 def fisher_mean(rhos: DataFrame, least: int = 30) -> DataFrame:
@@ -97,12 +102,131 @@ def fisher_mean(rhos: DataFrame, least: int = 30) -> DataFrame:
     return g.select("groups", F.tanh(mean).alias("rho"), F.tanh(mean - 1.96 * se).alias("low"), F.tanh(mean + 1.96 * se).alias("high"))
 
 
-def bootstrap(df: DataFrame, x: str, y: str, draws: int = 200, seed: int = 42) -> DataFrame:
-    """Percentile interval of Spearman's rho over Poisson bootstrap replicates: each row weighs a Poisson number in each, drawn from a hash, so rows stay where they are and only sums are shuffled."""
-    ranked = ranks(df, [x, y], []).select(F.col(f"r_{x}").alias("a"), F.col(f"r_{y}").alias("b"), F.xxhash64(*df.columns).alias("h"))
-    u = F.pmod(F.xxhash64("h", "draw", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
-    weight = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.996340, 4).otherwise(5)
-    drawn = ranked.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
-    s = drawn.groupBy("draw").agg(F.sum("w").alias("n"), *[F.sum(e).alias(k) for k, e in {"sa": F.col("w") * F.col("a"), "sb": F.col("w") * F.col("b"), "saa": F.col("w") * F.col("a") ** 2, "sbb": F.col("w") * F.col("b") ** 2, "sab": F.col("w") * F.col("a") * F.col("b")}.items()])
-    rho = F.expr("try_divide(n * sab - sa * sb, sqrt((n * saa - sa * sa) * (n * sbb - sb * sb)))")
-    return s.select(rho.alias("rho")).agg(F.percentile("rho", 0.025).alias("low"), F.percentile("rho", 0.975).alias("high"))
+#: 2^53 times the distribution function of the Poisson law of mean 1, up to where it can't be told from 2^53.
+_POISSON = np.array([int(2**53 * math.fsum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(18)], dtype=np.uint64)
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def poisson_weights(keys: np.ndarray, counts: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """How often each replicate takes the ``counts`` equal rows behind each key: sums of that many Poisson numbers of mean 1, the same wherever they are asked for."""
+    lanes = _mixed(np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    u = _mixed(keys.astype(np.int64).view(np.uint64)[:, None] ^ lanes[None, :]) >> np.uint64(11)
+    w = np.zeros(u.shape, dtype=np.int64)
+    for t in _POISSON[:6]:
+        w += u >= t
+    far = u >= _POISSON[5]
+    w[far] = np.searchsorted(_POISSON, u[far], side="right")
+    for i in np.flatnonzero(counts > 1):
+        w[i] = np.random.Generator(np.random.Philox(key=(int(keys[i]) % 2**64) | (seed % 2**64) << 64)).poisson(counts[i], draws)
+    return w
+
+
+def _buckets(v: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Odd numbers for the values that are bounds, even ones for those between."""
+    return np.searchsorted(bounds, v, "left") + np.searchsorted(bounds, v, "right")
+
+
+def _packed(r: np.ndarray) -> list[bytes]:
+    kind = next(k for k in ("u2", "u4", "u8") if int(r.max()) <= np.iinfo(k).max)
+    return [kind.encode() + row.tobytes() for row in r.astype(kind)]
+
+
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(b, b[:2].decode(), offset=2) for b in rows]).astype(np.int64)
+
+
+def bootstrap(df: DataFrame, x: str, y: str, controls: tuple[str, ...] = (), draws: int | None = None, seed: int = 42, most: int = 10000) -> DataFrame:
+    """Percentile interval of Spearman's rho with up to two controls, over 1000 (with controls 500) Poisson bootstrap replicates that are each ranked anew. Values are compared as doubles; rows with a null are left out.
+
+    Equal rows are one row with a count, whose weights are made from a hash of the values wherever they are needed. For each column rows are dealt to buckets between quantiles, about ``most`` in each; a value that is a quantile has a bucket of its own, whose ranks follow from its weight alone, so that a frequent value can be dealt to many tasks. Weights of buckets (buckets x draws numbers) go to the driver, summed up they are the buckets' offsets. A row takes its ranks along from column to column; the last one adds the products up.
+    """
+    names, draws = [x, y, *controls], draws or (500 if controls else 1000)
+    cols = [f"c{i}" for i in range(len(names))]
+    rows = df.select(*[F.col(n).cast("double").alias(c) for n, c in zip(names, cols)]).dropna().groupBy(*cols).agg(F.count("*").alias("n")).withColumn("k", F.xxhash64(F.lit(seed), *cols))
+    cut = max(64, -(-rows.count() // most))
+    steps = [i / cut for i in range(1, cut)]
+    quantiles = rows.agg(*[F.percentile_approx(c, steps, max(10000, 10 * cut)).alias(c) for c in cols]).first()
+    bounds = [np.unique(np.array(quantiles[c] or [], dtype=float)) for c in cols]
+
+    def totals(batches):
+        sums = {}
+        for pdf in batches:
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
+                w = poisson_weights(part["k"].to_numpy(), part["n"].to_numpy(), draws, seed)
+                for i, c in enumerate(cols):
+                    b = _buckets(part[c].to_numpy(), bounds[i])
+                    order = np.argsort(b, kind="stable")
+                    starts = np.flatnonzero(np.diff(b[order], prepend=-1))
+                    for j, (s, size) in enumerate(zip(np.add.reduceat(w[order], starts, axis=0), np.diff(starts, append=len(b)))):
+                        of = sums.setdefault((i, int(b[order][starts[j]])), [0, np.zeros(draws, dtype=np.int64)])
+                        of[0] += int(size)
+                        of[1] += s
+        yield pd.DataFrame([(i, b, n, s.tobytes()) for (i, b), (n, s) in sums.items()], columns=["col", "bucket", "size", "sums"])
+
+    def added(pdf):
+        return pd.DataFrame([(pdf["col"].iloc[0], pdf["bucket"].iloc[0], pdf["size"].sum(), sum(np.frombuffer(s, np.int64) for s in pdf["sums"]).tobytes())], columns=["col", "bucket", "size", "sums"])
+
+    schema = "col int, bucket int, size long, sums binary"
+    weight = [np.zeros((2 * len(b) + 1, draws), dtype=np.int64) for b in bounds]
+    parts = [np.ones(2 * len(b) + 1, dtype=np.int64) for b in bounds]
+    for r in rows.mapInPandas(totals, schema).groupBy("col", "bucket").applyInPandas(added, schema).toLocalIterator():
+        weight[r["col"]][r["bucket"]] = np.frombuffer(r["sums"], np.int64)
+        if r["bucket"] % 2:
+            parts[r["col"]][r["bucket"]] = -(-r["size"] // most)
+    total = weight[0].sum(axis=0)
+
+    def dealt(i):
+        @F.pandas_udf("struct<bucket int, part long>")
+        def place(v: pd.Series, k: pd.Series) -> pd.DataFrame:
+            b = _buckets(v.to_numpy(), bounds[i])
+            return pd.DataFrame({"bucket": b.astype("int32"), "part": k.to_numpy() % parts[i][b]})
+
+        return place(cols[i], "k")
+
+    def ranked(i, pdf):
+        """Weights, and twice the ranks, of one bucket's rows in the order of the column."""
+        pdf = pdf.sort_values(cols[i], kind="stable")
+        v, b = pdf[cols[i]].to_numpy(), int(pdf["at"].iloc[0]["bucket"])
+        w = np.concatenate([poisson_weights(pdf["k"].to_numpy()[at : at + 1000], pdf["n"].to_numpy()[at : at + 1000], draws, seed) for at in range(0, len(pdf), 1000)])
+        below = weight[i][:b].sum(axis=0)
+        if b % 2:
+            return pdf, w, np.broadcast_to(2 * below + weight[i][b] + 1, w.shape)
+        starts = np.flatnonzero(np.diff(v, prepend=np.nan) != 0)
+        own = np.add.reduceat(w, starts, axis=0)
+        r = 2 * (below + np.cumsum(own, axis=0) - own) + own + 1
+        return pdf, w, r[np.repeat(np.arange(len(starts)), np.diff(starts, append=len(v)))]
+
+    def carried(i):
+        def go(pdf):
+            pdf, _, r = ranked(i, pdf)
+            return pdf.drop(columns=["at", "bucket", "part"], errors="ignore").assign(**{f"r{i}": _packed(r)})
+
+        return go
+
+    last = len(cols) - 1
+    pairs = [(a, b) for a in range(last + 1) for b in range(a, last + 1)]
+
+    def products(pdf):
+        pdf, w, r = ranked(last, pdf)
+        sums = np.zeros((len(pairs), draws))
+        for at in range(0, len(pdf), 1000):
+            centred = [q - (total + 1.0) for q in [_unpacked(pdf[f"r{i}"].iloc[at : at + 1000].tolist()) for i in range(last)] + [r[at : at + 1000]]]
+            for j, (a, b) in enumerate(pairs):
+                sums[j] += (w[at : at + 1000] * centred[a] * centred[b]).sum(axis=0)
+        return pd.DataFrame({"draw": np.arange(draws)} | {f"s_{a}_{b}": sums[j] for j, (a, b) in enumerate(pairs)})
+
+    kept = ", ".join(f"{c} double" for c in cols) + ", n long, k long"
+    for i in range(last):
+        kept += f", r{i} binary"
+        rows = rows.withColumn("at", dealt(i)).groupBy("at.bucket", "at.part").applyInPandas(carried(i), kept)
+    sums = rows.withColumn("at", dealt(last)).groupBy("at.bucket", "at.part").applyInPandas(products, "draw int, " + ", ".join(f"s_{a}_{b} double" for a, b in pairs))
+    s = sums.groupBy("draw").agg(*[F.sum(f"s_{a}_{b}").alias(f"s_{a}_{b}") for a, b in pairs])
+    c = lambda a, b: F.coalesce(F.try_divide(F.col(f"s_{min(a, b)}_{max(a, b)}"), F.sqrt(f"s_{a}_{a}") * F.sqrt(f"s_{b}_{b}")), F.lit(0.0))
+    rhos = s.select(_controlled(c, *range(len(cols))).alias("rho")).agg(F.sort_array(F.collect_list("rho")).alias("rhos"))
+    return rhos.select(F.get("rhos", F.lit(int(draws * 0.025))).alias("low"), F.get("rhos", F.lit(int(draws * 0.975))).alias("high"))
