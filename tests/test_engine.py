@@ -52,6 +52,31 @@ def test_check_baseline_diff(spark, tmp_path, capsys):
     assert baseline.load(spark, tmp_path / "bad.json") is None
 
 
+def test_unreadable_files_are_named(spark, tmp_path, capsys, monkeypatch):
+    """A file that goes between listing and reading is named and counted, and the check fails."""
+    from treewarden.plans import check
+    from treewarden.sources.files import full_scan
+
+    (tmp_path / "a.py").write_text("def f(x=[]):\n    return x\n")
+    (tmp_path / "b.py").write_text("def g(y=[]):\n    return y\n")
+
+    def scan(spark, repos):
+        found = full_scan(spark, repos)
+        (tmp_path / "b.py").unlink(missing_ok=True)
+        return found
+
+    monkeypatch.setattr(check, "full_scan", scan)
+    assert main(["check", str(tmp_path), "--json"]) == 2
+    said = capsys.readouterr()
+    data = json.loads(said.out[said.out.index("{") :])
+    assert (data["summary"]["files_scanned"], data["summary"]["files_unreadable"], [f["symbol"] for f in data["findings"]]) == (1, 1, ["x"])
+    assert "error: b.py: FileNotFoundError" in said.err
+    monkeypatch.undo()
+    assert main(["check", str(tmp_path), "--json"]) == 0
+    with pytest.raises(FileNotFoundError):
+        listing(tmp_path / "absent")
+
+
 def test_incremental_equals_full(spark, tmp_path):
     def table(sources):
         return spark.createDataFrame([("r", p, t, bytearray(t.encode())) for p, t in sources.items()], "repo string, path string, text string, content binary")

@@ -17,14 +17,15 @@ from ..sources.files import full_scan, with_content
 
 
 def check(spark: SparkSession, repos: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Findings and files of the trees; each file is parsed once, into a cached node table."""
+    """Findings and files of the trees; each file is parsed once, into a cached node table. Files that can't be read have an error and no findings."""
     files = with_content(full_scan(spark, repos)).persist()
-    return analyze(nodes(files).persist(), files), files
+    readable = files.where("error IS NULL")
+    return analyze(nodes(readable).persist(), readable), files
 
 
-def report(findings: DataFrame, repo: str, n_files: int) -> dict:
+def report(findings: DataFrame, repo: str, n_files: int, n_lost: int = 0) -> dict:
     """The report of one repository as a dict: spans as pairs, evidence parsed."""
-    row = json.loads(envelope(findings, repo, n_files).toJSON().first())
+    row = json.loads(envelope(findings, repo, n_files, files_unreadable=n_lost).toJSON().first())
     for f in row["findings"]:
         f["span"] = [f.pop("start_line"), f.pop("end_line")]
         f["symbol"] = f.get("symbol")
@@ -68,9 +69,14 @@ def main(args: list[str] | None = None) -> int:
         return 0
     where = Path(a.repo).resolve() / ".treewarden" / "baseline.json"
     found, files = check(spark, [a.repo])
+    lost = 0
+    for r in files.where("error IS NOT NULL").select("path", "error").orderBy("path").toLocalIterator():
+        print(f"error: {r['path']}: {r['error']}", file=sys.stderr)
+        lost += 1
+    failed = 2 if lost else 0
     if a.command == "baseline":
         print(f"baseline: {bl.save(found, where)} ids -> {where}")
-        return 0
+        return failed
     if a.baseline:
         known = bl.load(spark, where)
         if known is None:
@@ -79,15 +85,15 @@ def main(args: list[str] | None = None) -> int:
     found = found.persist()
     if a.command == "report":
         out = Path(a.out or Path(a.repo) / "treewarden-report.html")
-        out.write_text(page(report(found, str(Path(a.repo).resolve()), files.count())), encoding="utf-8")
+        out.write_text(page(report(found, str(Path(a.repo).resolve()), files.count() - lost, lost)), encoding="utf-8")
         print(out)
     elif a.json:
-        json.dump(report(found, str(Path(a.repo).resolve()), files.count()), sys.stdout, ensure_ascii=True, indent=2)
+        json.dump(report(found, str(Path(a.repo).resolve()), files.count() - lost, lost), sys.stdout, ensure_ascii=True, indent=2)
         print()
     else:
         for r in found.orderBy(*ORDER).toLocalIterator():
             print(f"  {r['severity']:5}  {r['file']}:{r['start_line']}  [{r['analyzer_id']}] {r['message']}")
-    return exit_code(found, a.at).first()[0] if a.exit_code else 0
+    return failed or (exit_code(found, a.at).first()[0] if a.exit_code else 0)
 
 
 if __name__ == "__main__":
