@@ -56,6 +56,24 @@ def churn(commits: DataFrame, changes: DataFrame, days: int = 14) -> DataFrame:
     return commits.select("key", "file").join(sums, "key", "left").select("key", "file", F.coalesce("churn", F.lit(0)).cast("long").alias("churn"))
 
 
+def warns_per_file(findings: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Warnings of each file, duplicated blocks and masked errors counted; a file with other warnings only has zeros."""
+    n = {"warns_dup": "dup.block", "warns_em": "risk.error-masking"}
+    return findings.where("severity = 'warn'").groupBy(*keys, "file").agg(*[F.count_if(F.col("analyzer_id") == a).alias(c) for c, a in n.items()])
+
+
+def warns_and_churn(warns: DataFrame, churned: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Every file of either side, zero where the other has none."""
+    both = warns.join(churned, [*keys, "file"], "full_outer")
+    return both.select(*keys, "file", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("warns_dup", "warns_em", "churn")])
+
+
+def file_age(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """rows (repo, file, at) with age_days: whole days since the file's first commit (repo, file, first), never below zero, null without one."""
+    days = F.floor((F.unix_micros("at") - F.unix_micros("first")) / 86_400_000_000)
+    return rows.join(firsts, ["repo", "file"], "left").withColumn("age_days", F.when(F.col("first").isNotNull() & F.col("at").isNotNull(), F.greatest(days, F.lit(0)))).drop("first")
+
+
 def ranks(df: DataFrame, columns: list[str], group: list[str]) -> DataFrame:
     """Adds r_<column>: ranks within the group, ties averaged. Values are counted and the counts summed up in order, so a group's repeated values are one row each before any window."""
     for c in columns:

@@ -57,6 +57,11 @@ def marked(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     return findings.join(known, "id", "left").withColumn("baselined", F.coalesce("baselined", F.lit(False)))
 
 
+def with_rationale(findings: DataFrame, rationales: DataFrame) -> DataFrame:
+    """Findings with their analyzer's text of ``rationales`` (analyzer_id, rationale), a row an analyzer; empty without one."""
+    return findings.join(F.broadcast(rationales.select("analyzer_id", "rationale")), "analyzer_id", "left").withColumn("rationale", F.coalesce("rationale", F.lit("")))
+
+
 def last_per_id(findings: DataFrame) -> DataFrame:
     """Of rows that share an id the last in report order."""
     order = Window.partitionBy("id").orderBy(*[F.desc(c) for c in ORDER[:-1]], F.desc("end_line"))
