@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from treewarden.llm import ngram_join, packing, quality, suffix_dedup, toxicity
 from treewarden.llm.common import table, written
 
-#: No stage can be told in SQL as a whole; tests/llm holds it against a brute-force version.
+#: No stage can be told in SQL as a whole. tests/llm/test_pipeline_run.py holds run() against a brute-force version of the last three stages; the verdicts of toxicity and quality have none.
 ORACLE_SQL = None
 
 
