@@ -147,7 +147,7 @@ def test_toxicity(spark, docs, none):
         if bad := i % 4 == 0:
             parts[rng.randrange(5)] += " " + rng.choice(["nasty", "awful"])
         sample.append((". ".join(parts), int(bad)))
-    model = toxicity.fit([t for t, _ in sample[:300]], [y for _, y in sample[:300]])
+    model = toxicity.fit([toxicity.bag(t, toxicity.WordSlots()) for t, _ in sample[:300]], [y for _, y in sample[:300]])
     frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(sample)], "doc_id long, text string")
     got = by_id(toxicity.score(frame, model, locate=True))
     assert all(got[i]["predicted"] == sample[i][1] for i in range(300, 400))

@@ -53,7 +53,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes:
             yield batch.slice(at, to - at)
             at = to
     batch = None
-    _give_back()
+    give_back()
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -66,7 +66,7 @@ pa.set_memory_pool(pa.system_memory_pool())
 _libc = ctypes.CDLL(None)
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """What a task has freed goes back to the system; without it, glibc keeps it in workers that wait for another stage."""
     if hasattr(_libc, "malloc_trim"):
         _libc.malloc_trim(0)

@@ -7,10 +7,8 @@ label out to the sentences that can explain it, so the fitted sentence scores al
 
 from __future__ import annotations
 
-import functools
 import functools
 import re
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -20,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices
+from .common import give_back, id_and_text, slices, written
 
 SLOTS = 1 << 20
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -70,55 +68,97 @@ def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 150, rate: float = 0.2, l1: float = 1.5e-4, least_docs: int = 6) -> Model:
-    """Full-batch Adam on the bags' log loss with a penalty on absolute weights; slots of fewer than ``least_docs`` documents keep no weight."""
-    slots, bags, words, of = WordSlots(), [], array("q"), array("q")
-    y = np.array(labels, float)
-    n = 0
-    for doc, text in enumerate(texts):
-        for _, s in sentences(text):
-            own = set(chain.from_iterable(map(slots.__getitem__, s.split())))
-            words.extend(own)
-            of.extend([n] * len(own))
-            bags.append(doc)
-            n += 1
-    weights = np.zeros(SLOTS)
-    if not n or y.min() == y.max():
+def bag(text: str, slots: WordSlots) -> tuple[np.ndarray, np.ndarray]:
+    """A text as a bag: the slots of its sentences one after another, each once in a sentence, and how many each sentence has."""
+    found = [set(chain.from_iterable(map(slots.__getitem__, s.split()))) for _, s in sentences(text)]
+    sizes = np.array([len(x) for x in found], np.int32)
+    return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
+
+
+def _sums(values: np.ndarray, at: np.ndarray, starts: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Sums of values[at] over the runs that begin at ``starts``; only ``step`` or so of the values are gathered at a time."""
+    out, first = np.zeros(len(starts)), 0
+    ends = np.append(starts[1:], len(at))
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + step, side="right")))
+        out[first:last] = np.add.reduceat(values[at[starts[first] : ends[last - 1]]], starts[first:last] - starts[first])
+        first = last
+    return out
+
+
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rounds: int = 150, rate: float = 0.2, l1: float = 1.5e-4, least_docs: int = 6) -> Model:
+    """Full-batch Adam on the bags' log loss with a penalty on absolute weights; slots of fewer than ``least_docs`` documents keep no weight.
+
+    Words are held as two arrays of 32-bit numbers, by sentence and by slot, so what a round needs beside them is a few numbers a sentence and a slot.
+    """
+    y, weights = np.array(labels, float), np.zeros(SLOTS, np.float32)
+    sizes = np.concatenate([np.empty(0, np.int32), *(n for _, n in bags)])
+    if not len(sizes) or y.min() == y.max():
         return Model(-6.0 if not len(y) or y.max() == 0 else 0.0, weights)
-    words, of, bags = np.frombuffer(words, np.int64), np.frombuffer(of, np.int64), np.array(bags)
-    common = np.bincount(np.unique(words * len(y) + bags[of]) // len(y), minlength=SLOTS) >= least_docs
-    words, of = words[common[words]], of[common[words]]
-    kept, words = np.unique(words, return_inverse=True)
+    docs = np.zeros(SLOTS, np.int32)
+    for words, _ in bags:
+        docs[np.unique(words)] += 1
+    common = docs >= least_docs
+    kept = np.flatnonzero(common)
+    place = np.cumsum(common, dtype=np.int32) - 1
+    words = np.concatenate([np.empty(0, np.int32), *(place[w[common[w]]] for w, _ in bags)])
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), [len(n) for _, n in bags])
+    # how many common slots each sentence has; sentences without one have the bias alone
+    left = np.concatenate([np.empty(0, np.int32), *(np.bincount(np.repeat(np.arange(len(n)), n), common[w], len(n)).astype(np.int32) for w, n in bags)])
+    full = np.flatnonzero(left)
+    starts = np.cumsum(left[full], dtype=np.int64) - left[full]
+    order = np.argsort(words, kind="stable").astype(np.int32)
+    of = np.repeat(full.astype(np.int32), left[full])[order]
+    counts = np.bincount(words, minlength=len(kept))
+    del order
+    word_starts, doc_starts = np.cumsum(counts) - counts, np.flatnonzero(np.diff(doc, prepend=-1))
+    in_doc = doc[doc_starts]
     w, bias, m, v, mb, vb = np.zeros(len(kept)), -4.0, np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.bincount(of, w[words], n) + bias
+        z = np.full(len(left), bias)
+        z[full] += _sums(w, words, starts)
         p = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-9, 1 - 1e-9)
-        whole = np.clip(-np.expm1(np.bincount(bags, np.log1p(-p), len(y))), 1e-9, 1 - 1e-9)
-        g = np.where(y[bags] > 0, -(1 - whole[bags]) / whole[bags], 1.0) * p / len(y)
-        gw = np.bincount(words, g[of], len(kept)) + l1 * np.tanh(10 * w)
+        whole = np.zeros(len(y))
+        whole[in_doc] = np.add.reduceat(np.log1p(-p), doc_starts)
+        whole = np.clip(-np.expm1(whole), 1e-9, 1 - 1e-9)
+        g = np.where(y[doc] > 0, -(1 - whole[doc]) / whole[doc], 1.0) * p / len(y)
+        gw = (_sums(g, of, word_starts) if len(kept) else np.zeros(0)) + l1 * np.tanh(10 * w)
         gb = g.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         bias -= rate / 3 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
     weights[kept] = w
-    return Model(float(bias), weights.astype(np.float32))
+    return Model(float(bias), weights)
 
 
 def train(docs: DataFrame, labels: DataFrame, most_docs: int = 6_000, most_chars: int = 16_000_000) -> Model:
     """Fits on a bounded sample of the labelled rows: those with the smallest hashes of doc_id, ``most_docs`` at most and about ``most_chars`` characters together.
 
-    Rows with a null label, doc_id or text teach nothing; of a doc_id's several labels the largest counts, of its several texts each.
+    Texts become bags of slot numbers in tasks; the driver gets these, four bytes a slot, and no text. Rows with a null label,
+    doc_id or text teach nothing; of a doc_id's several labels the largest counts, of its several texts each.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
     if not n:
-        return Model(-6.0, np.zeros(SLOTS))
+        return Model(-6.0, np.zeros(SLOTS, np.float32))
     chosen = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).where(F.col("h") < F.lit(min(1.0, most_docs / n) * (1 << 30)))
     sample = id_and_text(docs).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "text", "toxic")  # at most about most_docs rows of numbers
     chars = sample.agg(F.sum(F.length("text"))).first()[0] or 0
     part = F.lit(min(1.0, most_docs / n) * min(1.0, most_chars / max(1, chars)) * (1 << 30))
-    rows = sorted(tuple(r) for r in sample.where(F.col("h") < part).collect())
-    return fit([r[2] for r in rows], [r[3] for r in rows])
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = _slots()
+        for b in slices(batches):
+            found = [bag(t, slots) for t in b.column("text").to_pylist()]
+            yield pa.record_batch({"h": b.column("h"), "doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "words": pa.array([w.tobytes() for w, _ in found], pa.binary()), "sizes": pa.array([n.tobytes() for _, n in found], pa.binary())})
+
+    bags = written(sample.where(F.col("h") < part).mapInArrow(featured, "h long, doc_id long, toxic int, words binary, sizes binary"), "bags")
+    rows = [(r["h"], r["doc_id"], r["words"], r["sizes"], r["toxic"]) for r in bags.toLocalIterator()]
+    rows.sort()
+    model = fit([(np.frombuffer(w, np.int32), np.frombuffer(s, np.int32)) for _, _, w, s, _ in rows], [r[4] for r in rows])
+    del rows
+    give_back()
+    return model
 
 
 @functools.lru_cache(1)
