@@ -2,12 +2,14 @@
 
 Two equal strings of ``length`` bytes choose the same anchors in themselves: the k-grams with the smallest hash among all k-grams of the
 string. So (1) only anchors, about 7 in 100 positions, are sent out, as 32-bit hashes in buckets, to learn which are in two or more
-documents; (2) those alone go back to their documents and bring along the bytes around them; (3) in each bucket of anchors, equal surroundings are settled by
-their smallest doc_id, and where surroundings differ the strings at every offset around the anchor are sorted: a
-mergesort whose comparisons find the common extension of two suffixes by binary search on prefix polynomial hashes, after which neighbours
-that seem equal are verified byte by byte; (4) spans go back to the documents.
-
-Anchors that very many documents share are dealt by the strings around them and not by the anchor, so they never meet in one task.
+documents; (2) those alone go back to their documents and bring along the bytes around them; (3) in each bucket of anchors the suffixes that begin
+with what is around an anchor are sorted, and then, where surroundings differ, those that begin at every offset around it: a
+mergesort whose comparisons find the common extension of two suffixes by binary search on prefix polynomial hashes, after which every pair of
+neighbours in the order is verified byte by byte; (4) spans go back to the documents.
+
+Hot anchors, told beforehand from a sample of documents, don't meet by anchor: they are dealt over buckets by document in (1), and in (3) every string around
+them is dealt by itself and by slice first, and only the smallest documents of each part meet in a second round. A hot anchor that the sample
+misses is handled like any other; results are the same.
 """
 
 from __future__ import annotations
@@ -109,21 +111,45 @@ def sort_suffixes(data: np.ndarray, starts: np.ndarray, keys: np.ndarray, length
     k = keys[order]
     same = np.zeros(n, bool)
     near = 1 + np.flatnonzero(k[1:] == k[:-1])
-    a, b = starts[order[near - 1]], starts[order[near]]
-    equal = lce(hashes, lift, a, b, length) >= length
+    rows = np.lib.stride_tricks.sliding_window_view(data, length)
     for at in range(0, len(near), 100_000):
-        some = slice(at, at + 100_000)
-        span = np.arange(length)
-        truly = (data[a[some, None] + span] == data[b[some, None] + span]).all(1)
-        if (truly != equal[some]).any():  # hashes of different strings met: sort by the bytes themselves
+        some = near[at : at + 100_000]
+        a, b = rows[starts[order[some - 1]]], rows[starts[order[some]]]
+        unlike = a != b
+        first, each = unlike.argmax(1), np.arange(len(some))
+        differ = unlike[each, first]
+        if (differ & (a[each, first] > b[each, first])).any():  # hashes of different strings met: sort by the bytes themselves
             text = [data[s : s + length].tobytes() for s in starts.tolist()]
             order = np.array(sorted(range(n), key=lambda i: (keys[i], text[i])))
             same[1:] = [keys[x] == keys[y] and text[x] == text[y] for x, y in zip(order[:-1], order[1:], strict=True)]
             return order, same
-    same[near] = equal
+        same[some] = ~differ
     return order, same
 
 
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    """64-bit hashes of a matrix of bytes, row by row."""
+    out, weights = np.zeros(len(rows), np.uint64), powers(rows.shape[1])
+    for j in range(rows.shape[1]):
+        out += (rows[:, j].astype(np.uint64) + np.uint64(1)) * weights[j]
+    return mixed(out)
+
+
+def classes(rows: np.ndarray, keys: np.ndarray, length: int) -> np.ndarray:
+    """Numbers of the rows of bytes, the same for those with the same first ``length`` bytes, by sorting them as suffixes. Equal rows must have equal keys."""
+    order, same = sort_suffixes(np.ascontiguousarray(rows).ravel(), np.arange(len(rows)) * rows.shape[1], keys, length)
+    out = np.empty(len(rows), np.int64)
+    out[order] = np.cumsum(~same) - 1
+    return out
+
+
+def least_of(kind: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of each row the smallest doc of its kind."""
+    least = np.full(kind.max() + 1 if len(kind) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, kind, doc)
+    return least[kind]
+
+
 def settle(doc: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, around: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (doc, begin, end) of strings that also start in a document of a smaller doc_id, among anchors with what is around them.
 
@@ -133,19 +159,15 @@ def settle(doc: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray
     width = 2 * length - GRAM
     if not len(doc):
         return doc, pos, pos
-    flat = np.ascontiguousarray(around).view(f"V{width}").ravel()
-    _, whole = np.unique(flat, return_inverse=True)
-    _, whole = np.unique(whole * (out + 1) ** 2 + left * (out + 1) + right, return_inverse=True)
-    least = np.full(whole.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, whole, doc)
-    covered = doc > least[whole]
+    grams = row_hashes(around[:, out : out + GRAM])
+    _, whole = np.unique(classes(around, grams, width) * (out + 1) ** 2 + left * (out + 1) + right, return_inverse=True)
+    covered = doc > least_of(whole, doc)
     longest, shortest = np.minimum(left, out), np.maximum(0, out - right)
     spans = [(doc[covered], (pos - longest)[covered], (pos - shortest + length)[covered])]
     # of each kind of surroundings one row of its smallest doc stands for all of them
     mine = np.flatnonzero(~covered)
     chosen = mine[np.unique(whole[mine], return_index=True)[1]]
-    grams = np.ascontiguousarray(around[chosen, out : out + GRAM]).view(f"V{GRAM}").ravel()
-    _, gram, many = np.unique(grams, return_inverse=True, return_counts=True)
+    _, gram, many = np.unique(grams[chosen], return_inverse=True, return_counts=True)
     chosen, gram = chosen[many[gram] > 1], gram[many[gram] > 1]
     by_gram = np.argsort(gram, kind="stable")
     chosen, gram = chosen[by_gram], gram[by_gram]
@@ -175,11 +197,8 @@ def _repeated(around: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.n
         valid = (offset <= left[:, None]) & (out - offset <= right[:, None])
         row, a = np.nonzero(valid)
         order, same = sort_suffixes(np.ascontiguousarray(around).ravel(), row * width + out - a, gram[row] * (out + 1) + a, length)
-        run = np.cumsum(~same) - 1
         owner = doc[row[order]]
-        least = np.full(run[-1] + 1 if len(run) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(least, run, owner)
-        hit = order[owner > least[run]]
+        hit = order[owner > least_of(np.cumsum(~same) - 1, owner)]
         flags[row[hit], a[hit]] = True
     return flags
 
@@ -228,35 +247,66 @@ def _joined(rows: pa.Table, column: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(rows[column].to_pylist()), dtype)
 
 
+def hot_anchors(src: DataFrame, length: int, hot: int) -> np.ndarray:
+    """Hashes, in order, of the anchors that about ``hot`` places or more have, as a sample of documents tells; a million at most.
+
+    They only decide where rows meet, never whether something is removed.
+    """
+    one_in = max(1, hot // 256)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, most_bytes=1 << 20):
+            texts = utf8(b.column("text"))
+            grams, n = np.unique(anchors(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]), length)[1], return_counts=True)
+            yield pa.record_batch({"gram": grams.view(np.int64), "n": n})
+
+    sample = src.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0)
+    counts = sample.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, hot // (2 * one_in)))
+    return np.sort(counts.orderBy(F.desc("n"), "gram").limit(1_000_000).toArrow()["gram"].to_numpy().view(np.uint64))
+
+
+def _is_in(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which of ``x`` the sorted array ``of`` holds."""
+    return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x if len(of) else np.zeros(len(x), bool)
+
+
 def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000) -> DataFrame:
     """(doc_id, spans: sorted disjoint array of begin, end) of the documents with bytes to remove."""
     src = id_and_text(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    buckets = 1 << max(4, math.ceil(math.log2(16 * src.rdd.getNumPartitions())))
-    shift = np.uint64(64 - buckets.bit_length() + 1)
+    parts = src.rdd.getNumPartitions()
+    buckets = 1 << max(4, math.ceil(math.log2(16 * parts)))
+    # a string of a hot anchor meets itself in so many parts first; about the root of the slices' number, so neither round has a large group
+    salts = max(2, math.isqrt(128 * parts))
     out, width = length - GRAM, 2 * length - GRAM
+    held = src.sparkSession.sparkContext.broadcast(hot_anchors(src, length, hot))  # a million at most
+
+    def bucket_of(hashes: np.ndarray) -> np.ndarray:
+        """Anchors have small hashes, so buckets are made from these mixed anew."""
+        return (mixed(hashes + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in slices(batches, most_bytes=16 << 20):
-            parts = []
+            found = []
             for b in slices([big], most_bytes=1 << 20):
                 texts = utf8(b.column("text"))
                 data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
                 at, grams = anchors(data, ends, length)
                 row = np.searchsorted(ends, at, side="right")
-                parts.append((grams, b.column("doc_id").to_numpy()[row], (at - np.concatenate(([0], ends))[row]).astype(np.uint32)))
-            grams, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-            bucket = (grams >> shift).astype(np.int64)
+                found.append((grams, b.column("doc_id").to_numpy()[row], (at - np.concatenate(([0], ends))[row]).astype(np.uint32)))
+            grams, doc, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+            bucket = np.where(_is_in(grams, held.value), buckets + bucket_of(doc.view(np.uint64)), bucket_of(grams))
             yield _bucket_rows(bucket, {"gram": (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32), "doc": _steps(bucket, doc), "pos": _steps(bucket, pos)})
 
     def share(rows: pa.Table) -> pa.Table:
         gram, doc, pos = _joined(rows, "gram", np.uint32), _summed(rows, "doc", np.int64), _summed(rows, "pos", np.uint32)
+        if rows["bucket"][0].as_py() >= buckets:
+            return pa.table({"doc_id": doc, "at": pos.astype(np.int64) * 2 + 1})
         order = np.argsort(gram, kind="stable")
         gram, doc, pos = gram[order], doc[order], pos[order]
         first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
         many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-        sizes = np.diff(np.concatenate((first, [len(gram)])))
-        keep, is_hot = np.repeat(many, sizes), np.repeat(sizes > hot, sizes)
-        return pa.table({"doc_id": doc[keep], "at": pos[keep].astype(np.int64) * 2 + is_hot[keep]})
+        keep = np.repeat(many, np.diff(np.concatenate((first, [len(gram)]))))
+        return pa.table({"doc_id": doc[keep], "at": pos[keep].astype(np.int64) * 2})
 
     sent = src.mapInArrow(send, "bucket int, gram binary, doc binary, pos binary")
     shared = written(sent.groupBy("bucket").applyInArrow(share, "doc_id long, at long"), "shared")
@@ -273,61 +323,68 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000) -> Data
             pos, is_hot, doc = code >> 1, (code & 1).astype(bool), b.column("doc_id").to_numpy()[row]
             there = pos + GRAM <= lengths[row]  # another row with this doc_id can be shorter
             pos, is_hot, doc, row = pos[there], is_hot[there], doc[there], row[there]
-            around = data[(begins[row] + pos - out)[:, None] + np.arange(width)]
+            around = np.lib.stride_tricks.sliding_window_view(data, width)[begins[row] + pos - out]
             left, right = np.minimum(pos, out), np.minimum(lengths[row] - pos - GRAM, out)
             fits = left + right >= out
             doc, pos, left, right, around, is_hot = (x[fits] for x in (doc, pos, left, right, around, is_hot))
             if not len(doc):
                 continue
             # equal surroundings here: only the smallest doc's go on, the others are settled
-            flat = np.ascontiguousarray(np.concatenate((around, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)), 1)).view(f"V{width + 2}").ravel()
-            _, kind = np.unique(flat, return_inverse=True)
-            least = np.full(kind.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, kind, doc)
-            over = doc > least[kind]
+            gram = row_hashes(around[:, out : out + GRAM])
+            _, kind = np.unique(classes(around, gram, width) * (out + 1) ** 2 + left * (out + 1) + right, return_inverse=True)
+            over = doc > least_of(kind, doc)
             spans = merged(doc[over], (pos - np.minimum(left, out))[over], (pos - np.maximum(0, out - right) + length)[over])
-            doc, pos, left, right, around, is_hot = (x[~over] for x in (doc, pos, left, right, around, is_hot))
-            gram = mixed(((around[:, out : out + GRAM].astype(np.uint64) + np.uint64(1)) * powers(GRAM)).sum(1, dtype=np.uint64))
-            # a hot anchor: each string of the wanted length around it is an anchor of its own bucket, with nothing but itself around
+            doc, pos, left, right, around, is_hot, gram = (x[~over] for x in (doc, pos, left, right, around, is_hot, gram))
+            # a hot anchor: each string of the wanted length around it is dealt by itself, with nothing around
             h, a = np.nonzero(is_hot[:, None] & (np.arange(out + 1) <= left[:, None]) & (out - np.arange(out + 1) <= right[:, None]))
             strings = np.zeros((len(h), width), np.uint8)
-            span = around[h[:, None], out - a[:, None] + np.arange(length)]
-            strings[:, :length] = span
-            key = mixed(((span.astype(np.uint64) + np.uint64(1)) * powers(length)).sum(1, dtype=np.uint64))
-            cold = ~is_hot
+            strings[:, :length] = np.lib.stride_tricks.sliding_window_view(around.ravel() if len(around) else np.zeros(length, np.uint8), length)[h * width + out - a] if len(h) else 0
+            cold, none = ~is_hot, np.zeros(len(h), np.uint8)
+            salt = np.uint64(int(mixed(doc[:1].view(np.uint64))[0]) % salts)
             rows = _bucket_rows(
-                np.concatenate(((gram[cold] >> shift).astype(np.int64), buckets + (key >> shift).astype(np.int64))),
+                np.concatenate((bucket_of(gram[cold]), buckets + bucket_of(row_hashes(strings[:, :length]) ^ mixed(np.full(1, salt))))),
                 {
                     "doc": np.concatenate((doc[cold], doc[h])),
                     "pos": np.concatenate((pos[cold], pos[h] - a)),
-                    "left": np.concatenate((left[cold], np.zeros(len(h), np.int64))).astype(np.uint8),
-                    "right": np.concatenate((right[cold], np.zeros(len(h), np.int64))).astype(np.uint8),
+                    "left": np.concatenate((left[cold].astype(np.uint8), none)),
+                    "right": np.concatenate((right[cold].astype(np.uint8), none)),
                     "around": np.concatenate((around[cold], strings)),
                 },
             )
-            empty = [b""] * rows.num_rows
-            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array([x.tobytes(), *empty[1:]] if empty else [], pa.binary()) for x in spans)], [*rows.schema.names, "span_doc", "span_begin", "span_end"])
-
+            riding = int(gram[0] % np.uint64(rows.num_rows)) if rows.num_rows else 0
+            ride = lambda x: [x.tobytes() if i == riding else b"" for i in range(rows.num_rows)]  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(ride(x), pa.binary()) for x in spans)], [*rows.schema.names, "span_doc", "span_begin", "span_end"])
 
     schema = "bucket int, doc binary, pos binary, left binary, right binary, around binary, span_doc binary, span_begin binary, span_end binary"
     near = maybe_marked(src, marks(shared.select("doc_id").distinct(), "doc_id"))
     surrounded = near.join(at, "doc_id").select("doc_id", "text", "at").mapInArrow(surround, schema)
 
     def reduce(rows: pa.Table) -> pa.Table:
+        """Spans of a bucket; of hot strings also the smallest doc's rows, which go on to the second round."""
         doc, pos = _joined(rows, "doc", np.int64), _joined(rows, "pos", np.int64)
         around = _joined(rows, "around", np.uint8).reshape(-1, width)
+        on = pa.table({"doc_id": pa.array([], pa.int64()), "begin": pa.array([], pa.int64()), "end": pa.array([], pa.int64()), "string": pa.array([], pa.binary()), "bucket": pa.array([], pa.int32())})
         if rows["bucket"][0].as_py() >= buckets:
-            _, kind = np.unique(np.ascontiguousarray(around).view(f"V{width}").ravel(), return_inverse=True)
-            least = np.full(kind.max() + 1 if len(kind) else 0, np.iinfo(np.int64).max)
-            np.minimum.at(least, kind, doc)
-            over = doc > least[kind]
+            keys = row_hashes(around[:, :length])
+            over = doc > least_of(classes(around, keys, length), doc)
             found = doc[over], pos[over], pos[over] + length
+            doc, pos, around, keys = doc[~over], pos[~over], around[~over], keys[~over]
+            on = pa.table({"doc_id": doc, "begin": pos, "end": pos + length, "string": pa.array([x.tobytes() for x in around[:, :length]], pa.binary()), "bucket": bucket_of(keys).astype(np.int32)})
         else:
             found = settle(doc, pos, _joined(rows, "left", np.uint8).astype(np.int64), _joined(rows, "right", np.uint8).astype(np.int64), around, length)
         settled = (_joined(rows, c, np.int64) for c in ("span_doc", "span_begin", "span_end"))
-        return pa.table(dict(zip(("doc_id", "begin", "end"), merged(*(np.concatenate(x) for x in zip(found, settled, strict=True))), strict=True)))
-
-    spans = surrounded.groupBy("bucket").applyInArrow(reduce, "doc_id long, begin long, end long")
+        doc, begin, end = merged(*(np.concatenate(x) for x in zip(found, settled, strict=True)))
+        return pa.concat_tables([pa.table({"doc_id": doc, "begin": begin, "end": end, "string": pa.nulls(len(doc), pa.binary()), "bucket": pa.nulls(len(doc), pa.int32())}), on])
+
+    def second(rows: pa.Table) -> pa.Table:
+        doc, begin = rows["doc_id"].to_numpy(), rows["begin"].to_numpy()
+        strings = np.frombuffer(b"".join(rows["string"].to_pylist()), np.uint8).reshape(-1, length)
+        over = doc > least_of(classes(strings, row_hashes(strings), length), doc)
+        return pa.table(dict(zip(("doc_id", "begin", "end"), merged(doc[over], begin[over], begin[over] + length), strict=True)))
+
+    first = written(surrounded.groupBy("bucket").applyInArrow(reduce, "doc_id long, begin long, end long, string binary, bucket int"), "first")
+    again = first.where("string IS NOT NULL").groupBy("bucket").applyInArrow(second, "doc_id long, begin long, end long")
+    spans = first.where("string IS NULL").select("doc_id", "begin", "end").unionAll(again)
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
