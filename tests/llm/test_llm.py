@@ -33,7 +33,7 @@ def texts(seed: int = 1, n: int = 60) -> list[tuple]:
         elif i % 5 == 3:
             text = f"{text} {passage} é\n{text[:30]}"
         out.append((i, text))
-    out += [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "ab " * 20_000), (None, out[0][1]), (0, out[0][1]), (n + 4, "日本語 text")]
+    out += [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "ab " * 20_000), (None, out[0][1]), (0, out[0][1]), (n + 4, "日本語 text"), (n + 5, "a<|endoftext|>b <|endoftext|> c")]
     return [(i, t, ("en", None)[(i or 0) % 2], "s", "clash", 1) for i, t in out]
 
 
@@ -99,7 +99,7 @@ def test_elias_fano():
     rng = np.random.default_rng(2)
     for values in (np.sort(rng.integers(0, 10**9, 2000)), np.zeros(5, int), np.arange(700), np.array([7]), np.array([], int)):
         ef = token_store.EliasFano.of(values)
-        assert ef.all().tolist() == values.tolist() and [ef.select(i) for i in range(len(values))] == values.tolist()
+        assert [x for b in ef.blocks() for x in b.tolist()] == values.tolist() == [ef.select(i) for i in range(len(values))]
 
 
 def test_token_store(docs, none, rows):
@@ -127,7 +127,8 @@ def test_byte_bpe(docs, none, rows):
     want = {i: own.encode_ordinary(t or "") for i, t, *_ in rows}
     for r in byte_bpe.digests(docs, path, P.PATTERN).collect():
         ids = want[r["doc_id"]]
-        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(own.decode_bytes(ids)).hexdigest())
+        begins = np.cumsum([0, *(len(own.decode_single_token_bytes(i)) for i in ids)])[:-1] if ids else []
+        assert tuple(r)[1:] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(own.decode_bytes(ids)).hexdigest(), hashlib.sha256(np.array(begins, "<u4").tobytes()).hexdigest())
     assert byte_bpe.digests(none, path, P.PATTERN).count() == 0
     rng, decoder = random.Random(7), byte_bpe.byte_table(path)
     for _ in range(400):
@@ -139,6 +140,22 @@ def test_byte_bpe(docs, none, rows):
         assert [e - b for _, b, e in byte_bpe.offsets(s, path, P.PATTERN)] == [len(own.decode_single_token_bytes(i)) for i in ids]
 
 
+def test_encoder_cuts_only_what_it_may():
+    from tokenizers import Tokenizer
+
+    texts = ["one two\n three  four", "a<|endoftext|>b", "", "x 1234567 <|endoftext|>", "It's a <|startoftext|> TEST"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        t = Tokenizer.from_file(P.path(name))
+        for as_text in (False, True):
+            t.encode_special_tokens = as_text
+            assert [np.frombuffer(x, "<u4").tolist() for x in encoding.json_encoder(P.path(name), as_text).encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    import tiktoken
+
+    path, digits = P.path("byte_bpe_multi_50k.tiktoken"), r"\p{N}{1,3}|[^\p{N}]+"
+    own = tiktoken.Encoding("own", pat_str=digits, mergeable_ranks=encoding.read_ranks(path), special_tokens={})
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoding.ranks_encoder(path, digits).encode(texts)] == [own.encode_ordinary(x) for x in texts]
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(9)
     sample = []

@@ -43,42 +43,57 @@ class Decoder:
         return self.state.decode(b"".join(map(self.table.__getitem__, ids)), last)
 
 
-SCHEMA = "doc_id long, ids array<int>, decoded binary"
-DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+SCHEMA = "doc_id long, ids array<int>, begins array<int>, decoded string"
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string"
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str):
+    """doc_ids of a slice, each text's ids, and each id's first byte in the text."""
     encoder = ranks_encoder(path, pattern)
     for batch in slices(batches, most_bytes=10 << 20):
-        yield batch.column("doc_id"), encoder.encode(batch.column("text"))
+        ids = [np.frombuffer(x, "<u4") for x in encoder.encode(batch.column("text"))]
+        yield batch.column("doc_id"), ids, ((np.cumsum(n) - n).astype(np.uint32) for n in (encoder.lengths[x] for x in ids))
+
+
+def decoded(ids: np.ndarray, table: list[bytes], at_once: int = 8192) -> Iterator[str]:
+    """The text of ids, part by part: a character that lies on both sides of a cut comes with the later part."""
+    decoder = Decoder(table)
+    for i in range(0, len(ids), at_once):
+        yield decoder.feed(ids[i : i + at_once].tolist())
+    yield decoder.feed([], last=True)
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Ids of each text and the bytes that they decode to. Text null or empty: no ids, no bytes; doc_id is carried as it is, null and repeated ones too; other columns are ignored. No shuffle."""
+    """Ids of each text, the first byte of each, and the text that they decode to. Text null or empty: no ids, an empty text; doc_id is carried as it is, null and repeated ones too; other columns are ignored. No shuffle."""
 
     def run(batches):
         table = byte_table(path)
-        for keys, encoded in _encoded(batches, path, pattern):
-            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in encoded]
-            yield pa.record_batch({"doc_id": keys, "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([b"".join(map(table.__getitem__, x.tolist())) for x in ids], pa.binary())})
+        for keys, encoded, begins in _encoded(batches, path, pattern):
+            yield pa.record_batch({"doc_id": keys, "ids": pa.array([x.astype(np.int32) for x in encoded], pa.list_(pa.int32())), "begins": pa.array([x.astype(np.int32) for x in begins], pa.list_(pa.int32())), "decoded": pa.array(["".join(decoded(x, table)) for x in encoded], pa.string())})
 
     return id_and_text(docs).mapInArrow(run, SCHEMA)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """As encode_decode, but only counts and SHA-256 digests leave the task."""
+    """As encode_decode, but only counts and SHA-256 digests leave the task; offsets as little-endian unsigned 32-bit integers, one an id."""
 
     def run(batches):
         table = byte_table(path)
         decimal = [str(i) for i in range(len(table))]
-        for keys, encoded in _encoded(batches, path, pattern):
-            ids = [np.frombuffer(x, "<u4").tolist() for x in encoded]
+        for keys, encoded, begins in _encoded(batches, path, pattern):
+            texts = []
+            for x in encoded:
+                digest = hashlib.sha256()
+                for part in decoded(x, table):
+                    digest.update(part.encode())
+                texts.append(digest.hexdigest())
             yield pa.record_batch(
                 {
                     "doc_id": keys,
-                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                    "ids_sha256": [hashlib.sha256(",".join(map(decimal.__getitem__, x)).encode()).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256(b"".join(map(table.__getitem__, x))).hexdigest() for x in ids],
+                    "n_tokens": pa.array([len(x) for x in encoded], pa.int64()),
+                    "ids_sha256": [hashlib.sha256(",".join(map(decimal.__getitem__, x.tolist())).encode()).hexdigest() for x in encoded],
+                    "decoded_sha256": texts,
+                    "offsets_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in begins],
                 }
             )
 

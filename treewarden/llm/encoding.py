@@ -2,13 +2,15 @@
 
 The splitting pattern of these vocabularies never lets a piece run over a single space between two other
 characters, so a text can be cut before such spaces (and on both sides of such newlines) and every cut is encoded alone. Cuts repeat: each distinct cut
-goes through the library once while it is remembered, and a document is the concatenation of its cuts' ids.
+goes through the library once while it is remembered, and a document is the concatenation of its cuts' ids. That holds for the pattern below only: with any
+other one, and where a text has the string of an added token, the whole text goes through the library as it is.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 import re
 from array import array
@@ -18,16 +20,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Fixed value: the splitting pattern that cuts are right for; tokenizers files name it as ByteLevel with use_regex.
+CUTTABLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
 #: White space other than single spaces and newlines between other characters, or a NUL: such texts are cut by the expression above.
 _ODD = r"[ \n][ \n]|^[ \n]|[ \n]\z|[\x00\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class Encoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers. At most about ``most`` cuts are remembered."""
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers. At most about ``most`` cuts are remembered.
 
-    def __init__(self, tokenizer, most: int = 150_000):
+    ``cuttable``: whether texts may be cut; ``added``: strings of tokens that ``whole`` (the tokenizer itself, if not given) finds in a text before it is split.
+    """
+
+    def __init__(self, tokenizer, most: int = 150_000, cuttable: bool = True, added: tuple[str, ...] = (), whole=None):
         self.tokenizer, self.most, self.known = tokenizer, most, {}
+        self.cuttable, self.added, self.whole = cuttable, added, whole or tokenizer
         vocabulary = tokenizer.get_vocab()
         self.lengths = np.zeros(1 + max(vocabulary.values()), np.int64)  # bytes of each id
         for token, i in vocabulary.items():
@@ -67,9 +75,27 @@ class Encoder:
             known[c] = known[c[:-1]] + known[c[-1]]
         return list(map(known.__getitem__, words))
 
+    def _encode_whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for at in range(0, len(texts), 100) for e in self.whole.encode_batch_fast(texts[at : at + 100], add_special_tokens=False)]
+
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
-        """Null is encoded as empty. A batch's distinct cuts are looked up once; the texts' ids are gathered from them."""
+        """Null is encoded as empty. Texts that can't be cut go through the library whole."""
         column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        if not self.cuttable:
+            return self._encode_whole(column.to_pylist())
+        holds = np.zeros(len(column), bool)
+        for token in self.added:
+            holds |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        if not holds.any():
+            return self._encode_cuts(column)
+        out: list[bytes] = [b""] * len(column)
+        for mask, encoded in ((holds, self._encode_whole(column.filter(pa.array(holds)).to_pylist())), (~holds, self._encode_cuts(column.filter(pa.array(~holds))))):
+            for i, x in zip(np.flatnonzero(mask).tolist(), encoded, strict=True):
+                out[i] = x
+        return out
+
+    def _encode_cuts(self, column: pa.Array) -> list[bytes]:
+        """A batch's distinct cuts are looked up once; the texts' ids are gathered from them."""
         odd = pc.match_substring_regex(column, _ODD).to_numpy(zero_copy_only=False)
         plain = pc.split_pattern(pc.replace_substring(pc.replace_substring(column.filter(pa.array(~odd)), "\n", "\0\n\0"), " ", "\0 "), "\0")
         pieces = [plain]
@@ -100,14 +126,20 @@ def _quiet():
 
 
 @functools.lru_cache(2)
-def json_encoder(path: str) -> Encoder:
-    """The encoder of a tokenizers file; strings of special tokens in a text are ordinary text."""
+def json_encoder(path: str, special_as_text: bool = False) -> Encoder:
+    """The encoder of a tokenizers file. Strings of added tokens in a text become those tokens, as the library has it; with ``special_as_text`` those of special ones are ordinary text."""
     _quiet()
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return Encoder(tokenizer)
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    split = told.get("pre_tokenizer") or {}
+    cuttable = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not told.get("normalizer") and told["model"].get("dropout") is None and not told.get("truncation")
+    added = tuple(t["content"] for t in told.get("added_tokens", []) if not (special_as_text and t["special"]))
+    del told
+    whole, parts = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    whole.encode_special_tokens, parts.encode_special_tokens = special_as_text, True
+    return Encoder(parts, cuttable=bool(cuttable), added=added, whole=whole)
 
 
 def byte_characters() -> dict[int, str]:
@@ -145,4 +177,4 @@ def ranks_tokenizer(path: str, pattern: str):
 
 @functools.lru_cache(2)
 def ranks_encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(ranks_tokenizer(path, pattern))
+    return Encoder(ranks_tokenizer(path, pattern), cuttable=pattern == CUTTABLE)

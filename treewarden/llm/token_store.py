@@ -71,13 +71,20 @@ class EliasFano:
             value |= (int(self.low[b >> 3]) >> (b & 7) & 1) << k
         return value
 
-    def all(self) -> np.ndarray:
-        """Every value, for a sequential read."""
-        if not self.count:
-            return np.empty(0, np.int64)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count]
-        bits = np.unpackbits(self.low, bitorder="little")[: self.count * self.low_bits].reshape(self.count, self.low_bits).astype(np.int64)
-        return ((ones - np.arange(self.count)) << self.low_bits) + bits @ (1 << np.arange(self.low_bits, dtype=np.int64))
+    def block(self, k: int) -> np.ndarray:
+        """Values number SAMPLE * k and on, SAMPLE of them or up to the end: a select of the first by its sample and of the others from there."""
+        i = np.arange(SAMPLE * k, min(self.count, SAMPLE * (k + 1)))
+        begin = int(self.samples[k])
+        stop = int(self.samples[k + 1]) if k + 1 < len(self.samples) else 8 * len(self.high)
+        ones = 8 * (begin // 8) + np.flatnonzero(np.unpackbits(self.high[begin // 8 : -(-stop // 8)], bitorder="little"))
+        ones = ones[ones >= begin][: len(i)]
+        at = i[:1] * self.low_bits if len(i) else i
+        first, size = int(at[0]) if len(at) else 0, len(i) * self.low_bits
+        bits = np.unpackbits(self.low[first // 8 : -(-(first + size) // 8)], bitorder="little")[first % 8 :][:size].reshape(len(i), self.low_bits).astype(np.int64)
+        return ((ones - i) << self.low_bits) + bits @ (1 << np.arange(self.low_bits, dtype=np.int64))
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        return map(self.block, range(len(self.samples)))
 
     def arrays(self) -> list[np.ndarray]:
         return [self.low, self.high, self.samples]
@@ -190,7 +197,7 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def read_store(manifest: DataFrame) -> DataFrame:
-    """One row per stored document, from the shards' files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """One row per stored document, from the shards' files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32. Places come from the select structures, some documents at a time."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,12 +205,15 @@ def read_store(manifest: DataFrame) -> DataFrame:
                 store, _ = pafs.FileSystem.from_uri(row["store"])
                 with store.open_input_file(row["path"]) as f:
                     shard = Shard(f.read())
-                ends = shard.ends.all()
-                starts = np.concatenate(([0], ends[:-1]))
-                crcs = [zlib.crc32(shard.array[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.record_batch(
-                    {"doc_id": pa.array([None] * shard.nulls + (shard.base + shard.keys.all()).tolist(), pa.int64()), "start": pa.array(row["first"] + starts, pa.int64()), "n_tokens": pa.array(ends - starts, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())}
-                )
+                before, keys, held = 0, shard.keys.blocks(), [None] * shard.nulls
+                for ends in shard.ends.blocks():  # SAMPLE documents at a time, no table of all ends
+                    starts = np.concatenate(([before], ends[:-1]))
+                    before = int(ends[-1])
+                    while len(held) < len(ends):
+                        held += (shard.base + next(keys)).tolist()
+                    crcs = [zlib.crc32(shard.array[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    yield pa.record_batch({"doc_id": pa.array(held[: len(ends)], pa.int64()), "start": pa.array(row["first"] + starts, pa.int64()), "n_tokens": pa.array(ends - starts, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
+                    held = held[len(ends) :]
 
     n = max(1, min(10_000, manifest.count()))
     return manifest.repartition(n, "path").mapInArrow(read, READ)
