@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyarrow import fs as pafs
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_dir
@@ -25,8 +25,8 @@ MAGIC = b"TWRULES1"
 
 
 def rule_file(rules: list[tuple[str, str, str]]) -> bytes:
-    """The file's bytes for (verdict, host, path) rules; equal strings: the last one holds."""
-    verdicts = {f"{host}{path}": verdict for verdict, host, path in rules}
+    """The file's bytes for (verdict, host, path) rules; of equal strings one that blocks holds."""
+    verdicts = {f"{host}{path}": verdict for verdict, host, path in sorted(rules)}
     lengths = {f"{host}{path}": len(path) for _, host, path in rules}
     keyed = sorted((xxhash.xxh64_intdigest(s), s) for s in verdicts)
     heap = [f"{verdicts[s][0]}{s}".encode() for _, s in keyed]
@@ -128,18 +128,25 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str
 
 
 def judge_urls_by_join(pages: DataFrame, rules: DataFrame, default: str = "allow", path_lengths: list[int] | None = None) -> DataFrame:
-    """The same verdicts for a table of rules (verdict, host, path) of any size: each row's possible rule strings meet the rules in a hash join.
+    """The same verdicts for a table of rules (verdict, host, path) of any size: each place's possible rule strings meet the rules in a hash join.
 
-    Rows are numbered by a hash of page_id and url, so equal rows have equal verdicts; the result has one row per distinct (page_id, url).
+    One row a row; equal places (host and path) are judged once. Of equal rule strings one that blocks holds.
     """
-    spark: SparkSession = pages.sparkSession
     lengths = path_lengths or [r[0] for r in rules.select(F.length("path")).distinct().collect()]  # a few dozen distinct lengths
-    split = F.udf(split_url, "host string, path string")
-    tries = F.udf(lambda h, p: candidates(h, p, lengths), "array<string>")
-    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url")).distinct().withColumn("u", split("url")).select("page_id", "url", "u.host", "u.path")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places = [split_url(u) for u in b.column("url").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), *(pa.array([x[k] for x in places], pa.string()) for k in (0, 1))], ["page_id", "host", "path"])
+
+    def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [candidates(h, p, lengths) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("path"), pa.array(found, pa.list_(pa.string()))], ["host", "path", "tries"])
+
+    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url")).mapInArrow(split, "page_id long, host string, path string")
     strings = rules.select(F.concat("host", "path").alias("rule"), "verdict").groupBy("rule").agg(F.max("verdict").alias("rule_verdict"))
-    hits = rows.select("page_id", "url", F.explode(tries("host", "path")).alias("rule")).join(strings, "rule")
-    best = hits.groupBy("page_id", "url").agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), "rule")).alias("best"))
-    best = best.select(F.col("page_id").alias("p"), F.col("url").alias("l"), "best")
-    joined = rows.join(best, rows["page_id"].eqNullSafe(best["p"]) & rows["url"].eqNullSafe(best["l"]), "left")
-    return joined.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
+    places = rows.select("host", "path").distinct().mapInArrow(tries, "host string, path string, tries array<string>")
+    hits = places.select("host", "path", F.explode("tries").alias("rule")).join(strings, "rule")
+    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), "rule")).alias("best"))
+    return rows.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
