@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from treewarden.llm import ann, byte_bpe, encoding, ngram_join, packing, quality, suffix_dedup, token_store, toxicity, url_filter, warc
 
 WORDS = [f"w{i}" for i in range(40)]
-DOCS = "doc_id long, text string, lang string, source string, spans string, size int"
+DOCS = "doc_id long, text string, lang string, source string, spans string, _place0 int"
 
 
 def texts(seed: int = 1, n: int = 60) -> list[tuple]:
@@ -88,10 +88,14 @@ def test_url_rules(spark):
         fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         return (host, path, *max(fits)[1:]) if fits else (host, path, None, "allow")
 
-    want = {(i, *brute(u)) for i, u in enumerate(urls)}
-    assert {tuple(r) for r in url_filter.judge_urls(pages, rules).collect()} == want
+    pages, want = pages.unionAll(pages.where("page_id < 3")), sorted(map(str, [(i, *brute(u)) for i, u in enumerate(urls)] + [(i, *brute(u)) for i, u in enumerate(urls[:3])]))
+    assert sorted(str(tuple(r)) for r in url_filter.judge_urls(pages, rules).collect()) == want
     table = spark.createDataFrame(rules, "verdict string, host string, path string")
-    assert {tuple(r) for r in url_filter.judge_urls_by_join(pages, table).collect()} == want
+    assert sorted(str(tuple(r)) for r in url_filter.judge_urls_by_join(pages, table).collect()) == want
+    both = [("block", "a.net", "/"), ("allow", "a.net", "/")]
+    for one in (both, both[::-1]):
+        got = {r["page_id"]: r["verdict"] for judge in (url_filter.judge_urls(pages, one), url_filter.judge_urls_by_join(pages, spark.createDataFrame(one, table.schema))) for r in judge.where("page_id = 0").collect()}
+        assert got == {0: "block"}
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
 
 
@@ -285,7 +289,7 @@ def test_suffix_order():
     assert [text[i] for i in order] == sorted(text) and same.tolist() == [False] + [a == b for a, b in zip(sorted(text), sorted(text)[1:], strict=False)]
 
 
-def test_warc(spark):
+def test_warc(spark, tmp_path):
     html = ["x" * 100, "x" * 100, "x" * 99, "x" * 99, None, "", "é" * 60, "a" * 3_000_000, "x" * 100, "x" * 100]
     ids = [5, 3, 1, 2, 7, 8, 9, 10, 3, None]
     pages = spark.createDataFrame([(i, f"http://a/\n{i}", h, "c") for i, h in zip(ids, html, strict=True)], "page_id long, url string, html string, first string")
@@ -295,6 +299,12 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
     data = warc.page_record(1, None, b"payload", "response", None)
     assert next(warc.read_records(io.BytesIO(data)))[1] == 7
+    folder = tmp_path / "w"
+    lying = warc.page_record(1, None, b"a" * 200, "response", None) + warc.page_record(2, None, b"b" * 200, "revisit", 1)
+    folder.mkdir()
+    (folder / "x.warc.gz").write_bytes(lying)
+    with pytest.raises(ValueError, match="page 1"):
+        warc.read_archives(spark.createDataFrame([(str(folder / "x.warc.gz"), "file:///", 2)], warc.MANIFEST))
     for bad in (data[:-9], warc.record([("WARC-Type", "response"), ("WARC-Block-Digest", "sha256:00")], b"x")):
         with pytest.raises(ValueError):
             list(warc.read_records(io.BytesIO(bad)))

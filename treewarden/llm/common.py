@@ -15,9 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a temporary one that is set then."""
+    """A new folder below spark.checkpoint.dir; where that is unset and Spark runs in this process (tests), below a temporary one that is set then."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -152,15 +155,16 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-#: Bits of a set of marked ids; the broadcast never grows beyond it, a fuller set only lets more rows through.
-MARK_BITS = 1 << 24
+#: Bits of a set of marked ids: eight an id within these bounds. The broadcast never grows beyond 32 MB; a fuller set only lets more rows through.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
 def marks(ids: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of the hashes of an id column: of fixed size, built by an aggregation."""
-    place = F.pmod(F.xxhash64(column), F.lit(MARK_BITS))
+    """A bitmap of the hashes of an id column, which may repeat ids; built by an aggregation that is partial in each task."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64(column), F.lit(size))
     rows = ids.groupBy(F.floor(place / 32768).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(32768))).alias("bits")).toArrow()
-    out = np.zeros(MARK_BITS // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     for k, bits in zip(rows["k"].to_pylist(), rows["bits"].to_pylist(), strict=True):
         out[4096 * k : 4096 * k + len(bits)] = np.frombuffer(bits, np.uint8)
     return out
@@ -168,18 +172,19 @@ def marks(ids: DataFrame, column: str) -> np.ndarray:
 
 def map_marked(docs: DataFrame, run, schema, bitmap: np.ndarray, wanted: bool = True, column: str = "doc_id") -> DataFrame:
     """mapInArrow with ``run`` over the rows whose id may be marked (all that are, a few more), or, with ``wanted`` false, exactly the others; no shuffle. Null counts as not marked."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap)  # MARK_BITS
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)  # MOST_BITS at most
     names = docs.columns
+    place, known = (next(c for c in (f"_{what}{i}" for i in range(len(names) + 1)) if c not in names) for what in ("place", "known"))
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         for b in batches:
-            place = b.column("_place").to_numpy()
-            hit = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-            hit &= b.column("_known").to_numpy(zero_copy_only=False)
+            at = b.column(place).to_numpy()
+            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            hit &= b.column(known).to_numpy(zero_copy_only=False)
             yield b.select(names).filter(pa.array(hit == wanted))
 
-    return docs.withColumns({"_place": F.pmod(F.xxhash64(column), F.lit(MARK_BITS)), "_known": F.col(column).isNotNull()}).mapInArrow(lambda batches: run(filtered(batches)), schema)
+    return docs.withColumns({place: F.pmod(F.xxhash64(column), F.lit(8 * len(bitmap))), known: F.col(column).isNotNull()}).mapInArrow(lambda batches: run(filtered(batches)), schema)
 
 
 def maybe_marked(docs: DataFrame, bitmap: np.ndarray, column: str = "doc_id") -> DataFrame:

@@ -17,9 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, written
+from .common import map_marked, marks, maybe_marked, shared_dir, slices, written
 
 LEAST_REVISIT = 100
+#: Parts that the pages of one payload are dealt over.
+SALTS = 16
+MANIFEST = "path string, store string, n_records long"
 #: Fixed values of the format.
 VERSION, PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -109,15 +112,20 @@ def write_archives(pages: DataFrame, bytes_per_file: int = 256 << 20, path: str
     Of rows with equal payloads of at least 100 bytes the one with the smallest page_id is the response, the others revisit it; a
     repeated page_id and payload makes a revisit of its own id only if another row is the response, so of equal rows all with the smallest
     id are responses. html null: an empty payload; page_id null: never referred to, and a revisit if another row has its payload.
-    Other columns are ignored. Digests meet in an aggregation that is partial in each task, and only digests with copies, not pages, are joined.
+    Other columns are ignored. Digests meet in an aggregation that is partial in each task. Pages without a copy are written where they are read; those that may have one
+    go through a join with the digests that have, dealt over ``SALTS`` parts each.
     """
     spark = pages.sparkSession
     folder = path or shared_dir(spark, "warc")
     src = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
     digest, long_enough = F.sha2(F.col("html").cast("binary"), 256), F.octet_length("html") >= LEAST_REVISIT
     first = src.where(long_enough).select(digest.alias("digest"), "page_id").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
-    marked = src.withColumn("digest", F.when(long_enough, digest)).join(first, "digest", "left").drop("digest")
-    marked = marked.withColumn("refers_to", F.expr("CASE WHEN first IS NULL OR page_id <=> first THEN NULL ELSE first END")).drop("first")
+    first = written(first, "copied")
+    bitmap, told = marks(first, "digest"), src.withColumn("digest", F.when(long_enough, digest))
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copied = maybe_marked(told, bitmap, "digest").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
+    refers = F.expr("CASE WHEN first IS NULL OR page_id <=> first THEN NULL ELSE first END")
+    copied = copied.select("page_id", "url", "html", refers.alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(folder)
@@ -142,14 +150,17 @@ def write_archives(pages: DataFrame, bytes_per_file: int = 256 << 20, path: str
         if out is not None:
             yield closed()
 
-    return written(marked.mapInArrow(write, "path string, store string, n_records long"), "warc-manifest")
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return write(pa.RecordBatch.from_arrays([*b.columns[:3], pa.nulls(b.num_rows, pa.int64())], ["page_id", "url", "html", "refers_to"]) for b in batches)
+
+    return written(copied.mapInArrow(write, MANIFEST).unionAll(map_marked(told, alone, MANIFEST, bitmap, False, "digest")), "warc-manifest")
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """One row per record, read from the archives in order; every digest and length is checked on the way."""
+    """One row per record, read from the archives in order; every digest and length is checked on the way, and every revisit against its response: ValueError where there is none of that id, length and digest."""
 
     def page(name: str | None) -> int | None:
         number = name.removeprefix("<urn:page:").removesuffix(">") if name else "None"
@@ -168,4 +179,9 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     raise ValueError(f"{row['path']} has {len(rows)} of {row['n_records']} records")
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return manifest.repartition(max(1, min(10_000, manifest.count())), "path").mapInArrow(read, READ)
+    records = written(manifest.repartition(max(1, min(10_000, manifest.count())), "path").mapInArrow(read, READ), "records")
+    claims = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest", "payload_bytes").distinct()
+    responses = records.where("record_type = 'response'").select("page_id", "payload_digest", "payload_bytes").distinct()
+    if wrong := claims.join(responses, claims.columns, "left_anti").head(1):
+        raise ValueError(f"a revisit of page {wrong[0]['page_id']} has no response of its length and digest")
+    return records
