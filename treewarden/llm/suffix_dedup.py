@@ -356,7 +356,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000) -> Data
             yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(ride(x), pa.binary()) for x in spans)], [*rows.schema.names, "span_doc", "span_begin", "span_end"])
 
     schema = "bucket int, doc binary, pos binary, left binary, right binary, around binary, span_doc binary, span_begin binary, span_end binary"
-    near = maybe_marked(src, marks(shared.select("doc_id").distinct(), "doc_id"))
+    near = maybe_marked(src, marks(shared.select("doc_id"), "doc_id"))
     surrounded = near.join(at, "doc_id").select("doc_id", "text", "at").mapInArrow(surround, schema)
 
     def reduce(rows: pa.Table) -> pa.Table:
@@ -404,12 +404,24 @@ def removed(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]
 
 
 def _with_spans(docs: DataFrame, length: int, run, schema) -> DataFrame:
-    """mapInArrow with ``run`` over ``docs`` with their spans as _spans; documents without any don't go through a shuffle."""
-    spans = written(repeated_spans(docs, length), "spans").withColumnsRenamed({"doc_id": "_span_doc", "spans": "_spans"})
-    bitmap, none = marks(spans, "_span_doc"), F.lit(None).cast(spans.schema["_spans"].dataType)
-    some = maybe_marked(docs, bitmap)
-    joined = some.join(spans, some["doc_id"] == spans["_span_doc"], "left").drop("_span_doc")
-    return joined.mapInArrow(run, schema).unionAll(map_marked(docs.withColumn("_spans", none), run, schema, bitmap, False))
+    """mapInArrow with ``run`` over slices of ``docs`` with their spans; documents without any don't go through a shuffle."""
+    spans = written(repeated_spans(docs, length), "spans")
+    bitmap, none = marks(spans, "doc_id"), F.lit(None).cast(spans.schema["spans"].dataType)
+    # the columns ride as one struct, so that none of their names can clash
+    whole = docs.select("doc_id", F.struct("*").alias("row"))
+    joined = maybe_marked(whole, bitmap).join(spans, "doc_id", "left").select("row", "spans")
+    split = lambda batches: run(_unpacked(batches))
+    return joined.mapInArrow(split, schema).unionAll(map_marked(whole.withColumn("spans", none), split, schema, bitmap, False))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """A slice of the rows that were packed, and their spans."""
+    for big in batches:
+        rows = pa.RecordBatch.from_struct_array(big.column("row"))
+        at = 0
+        for b in slices([rows]):
+            yield b, big.column("spans").slice(at, b.num_rows).to_pylist()
+            at += b.num_rows
 
 
 def digests(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -419,10 +431,10 @@ def digests(docs: DataFrame, length: int = 50) -> DataFrame:
     them goes in all of them that reach so far. No rows: no rows. Other columns are ignored.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+    def run(batches: Iterator[tuple[pa.RecordBatch, list]]) -> Iterator[pa.RecordBatch]:
+        for b, found in batches:
             out = []
-            for text, spans in zip(utf8(b.column("text")), b.column("_spans").to_pylist(), strict=True):
+            for text, spans in zip(utf8(b.column("text")), found, strict=True):
                 kept, n, runs = removed(text, [(s["begin"], min(s["end"], len(text))) for s in spans or [] if s["begin"] < len(text)])
                 out.append((len(text), n, runs, hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*out, strict=True))
@@ -435,10 +447,10 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """``docs`` with its own columns, ``text`` less the repeated bytes (a character that loses some of its bytes goes whole), ``n_chars``, if there, counted anew. Null stays null."""
     schema = docs.schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+    def run(batches: Iterator[tuple[pa.RecordBatch, list]]) -> Iterator[pa.RecordBatch]:
+        for b, found in batches:
             texts = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), strict=True):
+            for text, spans in zip(b.column("text").to_pylist(), found, strict=True):
                 texts.append(text if text is None or not spans else removed(text.encode(), [(s["begin"], s["end"]) for s in spans])[0].decode("utf-8", "ignore"))
             columns = {f.name: b.column(f.name) for f in schema}
             columns["text"] = pa.array(texts, pa.string())
