@@ -203,25 +203,45 @@ def test_jaccard_components(docs, none, rows):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
+def brute_nearest(data, is_query, k):
+    """By (id, vector) of the queries: [(id, score)], ties to smaller ids; a query's own id never."""
+    rows = [(i, np.array(v, float)) for i, v, *_ in data if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    out = {}
+    for i, q in rows:
+        if is_query(i):
+            scored = sorted(((-float((x * q).sum()), j) for j, x in rows if j != i))[:k]
+            out[(i, tuple(q))] = [(j, -s) for s, j in scored]
+    return out
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(600, 8)).round(3)
     x[100:160] = x[5]
-    data = [(i, v.tolist(), "c") for i, v in enumerate(x)] + [(900, None, "c"), (901, [0.0] * 8, "c"), (902, [float("nan")] * 8, "c"), (903, [None] * 8, "c")]
-    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>, leaf string")
+    odd = [(900, None, "c"), (901, [0.0] * 8, "c"), (902, [float("nan")] * 8, "c"), (903, [None] * 8, "c"), (904, [1.0] * 3, "c")]
+    frame = spark.createDataFrame([(i, v.tolist(), "c") for i, v in enumerate(x)] + odd, "vec_id long, embedding array<double>, leaf string")
+    want = brute_nearest([(i, v.tolist()) for i, v in enumerate(x)], lambda i: i % 20 == 0, 10)
     got = defaultdict(list)
-    for r in ann.search(frame, F.col("vec_id") % 20 == 0, k=10, sample=300, rows_per_leaf=40).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for r in ann.search(frame, F.col("vec_id") % 20 == 0, k=10, sample=300, rows_per_leaf=10, block=90, at_once=7).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     hits = 0
-    for q in range(0, 600, 20):
-        scores = (x * x[q]).sum(1)
-        want = sorted((i for i in range(600) if i != q), key=lambda i: (-scores[i], i))[:10]
-        assert len(got[q]) == 10 and all(s == pytest.approx(scores[i], abs=1e-12) for i, s in got[q])
-        hits += len({i for i, _ in got[q]} & set(want))
-    assert hits >= 0.9 * 300 and set(got) == set(range(0, 600, 20))
+    for (q, v), answers in want.items():
+        assert [r for r, _, _ in got[q]] == list(range(1, 11)) and got[q] == sorted(got[q], key=lambda a: (-a[2], a[1]))
+        assert all(s == pytest.approx(float((x[i] * v).sum()), abs=1e-12) for _, i, s in got[q])
+        hits += len({i for _, i, _ in got[q]} & {i for i, _ in answers})
+    assert hits >= 0.9 * 10 * len(want) and set(got) == {q for q, _ in want}
     assert ann.search(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_repeated_ids_and_ties(spark):
+    """All leaves visited: exactly the brute-force answers, ties at the last rank and rows that repeat an id included."""
+    data = [(7, [100.0, 100.0]), (7, [90.0, 90.0]), (7, [90.0, 90.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0]), (20, [1.0, 1.0]), (40, [2.0, 0.0]), (40, [0.0, 2.0]), (60, [1.0, 1.0]), (9, [-1.0, 0.5])]
+    for k in (2, 3, 5, 30):
+        want = brute_nearest(data, lambda i: i % 20 == 0, k)
+        got = ann.search(spark.createDataFrame(data, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=k, recall=1.0).collect()
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted((i, n, j, s) for (i, _), answers in want.items() for n, (j, s) in enumerate(answers, 1))
+
+
 def test_packing(docs, none, rows):
     from tokenizers import Tokenizer
 
