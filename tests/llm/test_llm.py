@@ -78,6 +78,79 @@ def test_quality_rejects_outliers(spark):
     assert not any(got[r[0]]["kept"] for r in junk) and sum(got[r[0]]["kept"] or got[r[0]]["base_failed"] for r in clean) == len(clean)
 
 
+def plain_mcd(rows, least_rows=60):
+    """Verdicts of (lang, source, counts) rows by plain loops: concentration steps on arrays of one group after the other."""
+    q = quality
+    failed = [n[0] < 10 or 100 * n[4] > 20 * n[0] for _, _, n in rows]
+    x = []
+    for _, _, (words, chars, symbols, dup, repeated, lines) in rows:
+        n = words + 30
+        v = (np.log1p(words), np.log((chars + 150) / n), np.log1p(4 * symbols / n), np.sqrt(dup / max(lines, 1)) * lines / (lines + 5), np.sqrt(repeated / n))
+        x.append([float(np.floor(abs(c * q.SCALE) + 0.5)) * (1 if c >= 0 else -1) for c in v])
+    x, floors = np.array(x), np.array(q.FLOORS) * q.SCALE
+    groups = defaultdict(list)
+    for i, (lang, source, _) in enumerate(rows):
+        if not failed[i]:
+            groups[(lang or "", source or "")].append(i)
+    pooled = defaultdict(list)
+    for (lang, source), at in groups.items():
+        pooled[(lang, source if len(at) >= least_rows else None)] += at
+    kept = [False] * len(rows)
+    rounded = lambda d: np.floor(np.log(d + 1e-6) * 64 + 0.5)
+    for at in pooled.values():
+        y = x[at]
+        far = lambda m, p: ((y - m) @ p * (y - m)).sum(1)  # noqa: E731, B023
+        centre = np.median(y, 0)
+        mad = np.maximum(1.4826 * np.median(np.abs(np.trunc(y - centre + 0.5 * np.sign(y - centre))), 0), floors / 4)
+        squash = np.round(q.SCALE * np.tanh((y - centre) / mad))
+        c = np.cov(squash.T, bias=True).reshape(5, 5)
+        sd = np.sqrt(np.maximum(np.diag(c), 1e-9))
+        corr = 0.9 * c / np.outer(sd, sd)
+        np.fill_diagonal(corr, 1)
+
+        def step(m, p, floor, grown=False):
+            d = rounded(far(m, p))
+            most = np.sort(d)[(len(y) + 5) // 2 if len(y) > 5 else len(y) - 1]
+            near = y[d <= most]
+            cov = near.T @ near / len(near) - np.outer(near.mean(0), near.mean(0))
+            cov = cov * (np.exp(most / 64) / q.CHI_MEDIAN if grown else 1) + np.diag(floor**2)
+            return near.mean(0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+        ends = []
+        for scatter in (np.diag(mad**2), corr * np.outer(mad, mad)):
+            now = step(centre, np.linalg.inv(scatter), floors / 4)
+            while (after := step(*now[:2], floors / 4))[2] < now[2] - 1e-9:
+                now = after
+            ends.append(now)
+        m, p, _ = step(*min(ends, key=lambda e: e[2])[:2], floors, grown=True)
+        for i, d in zip(at, far(m, p), strict=True):
+            kept[i] = d <= q.CHI_CUTOFF
+    return failed, kept
+
+
+def test_quality_against_plain_mcd(spark):
+    """Every row's verdict and distance side: groups of many rows, of a few that share an estimate, of one row, without variance, with null names, odd texts."""
+    rng = random.Random(11)
+    data = []
+    for i in range(700):
+        lang, source = ("en", None)[i % 2], ("a", "b", None, f"rare{i % 40}")[rng.randrange(4)]
+        words = ["x" * rng.randint(1, 9) for _ in range(rng.randint(1, 400))]
+        if i % 9 == 0:
+            words += ["#$%"] * rng.randint(1, 60)
+        if i % 11 == 0:
+            words += ["same", "line", "of", "words", "here", "\n"] * rng.randint(2, 30)
+        data.append((i if i % 50 else None, " ".join(words), lang, source, "clash", 1))
+    data += [(1000 + i, "one two three four five six seven eight nine ten eleven", "flat", "s", "", 1) for i in range(70)] + [(2000, "word " * 11, "lone", "s", "", 1), (2001, "a b c d e f g h i j k l", "lone", "s", "", 1), (2002, None, "en", "a", "", 1), (2003, "", "en", "a", "", 1), (2004, "long " + " ".join(str(j) for j in range(30_000)), "en", "a", "", 1)]
+    failed, kept = plain_mcd([(lang, source, quality.text_counts((t or "").encode(), len(t or ""))) for _, t, lang, source, *_ in data])
+    frame = spark.createDataFrame(data, DOCS)
+    got = sorted((str(r["doc_id"]), r["n_words"], r["word_chars"], r["n_symbols"], r["base_failed"], r["kept"]) for r in quality.judge_quality(frame).collect())
+    counts = [quality.text_counts((t or "").encode(), len(t or "")) for _, t, *_ in data]
+    assert got == sorted((str(i), *n[:3], f, k) for (i, *_), n, f, k in zip(data, counts, failed, kept, strict=True))
+    assert 20 < sum(kept) < len(kept) - sum(failed)
+    typical = quality.keep_typical(frame)
+    assert typical.columns == frame.columns and sorted(map(str, map(tuple, typical.collect()))) == sorted(str(d) for d, k in zip(data, kept, strict=True) if k)
+
+
 def test_url_rules(spark):
     rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
     urls = ["http://a.net/x", "http://a.net", "http://www.EXAMPLE.net/en/1?q", "http://badexample.com/de/x", "https://x.example.com/de/", "http://a.org/fr/#t", "nothing", "", None, "http://q?://net/", "://net/", "http://a.net/x"]
