@@ -66,3 +66,25 @@ def test_run(spark):
             assert begin == at and n > 0
             at += n
         assert at == whole if whole is not None else at <= 2048
+
+
+def test_stages_with_odd_rows(spark):
+    """Null and repeated doc_ids, null texts, columns with names of the stages' own, empty tables: rows are judged one by one and keep all their columns."""
+    import corpus_pipeline as cp
+
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    docs = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], "x", 1, 2) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    plain = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, spans string, row int, n_words int")
+    stay = {r["doc_id"] for r in cp.drop_toxic(spark, plain, SF).collect()}
+    toxic = next(d for d in docs if d[0] not in stay and labels.get(d[0], 1) == 1)
+    clean = next(d for d in docs if d[0] not in labels and d[0] in stay and len(d[1] or "") > 300)  # teaches nothing
+    odd = [(None, toxic[1], *toxic[2:]), (None, clean[1], *clean[2:]), (clean[0], toxic[1], *toxic[2:]), (99_999, None, None, None, None, None, None, None), (99_998, "", "en", "s", 0, "x", 1, 2)]
+    frame = plain.unionAll(spark.createDataFrame(odd, plain.schema))
+    kept = cp.written(cp.drop_toxic(spark, frame, SF), "t")
+    texts = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert kept.columns == frame.columns and (None, toxic[1]) not in texts and (clean[0], toxic[1]) not in texts and {(None, clean[1]), (clean[0], clean[1]), (99_999, None)} <= set(texts)
+    for _, stage in cp.STAGES[1:4]:
+        after = cp.written(stage(spark, kept, SF), "t")
+        assert after.columns == frame.columns and after.count() <= kept.count() and stage(spark, frame.limit(0), SF).count() == 0
+        kept = after
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in cp.pack(spark, kept, SF).select("doc_id").collect()}

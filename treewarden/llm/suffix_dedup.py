@@ -273,7 +273,7 @@ def _is_in(x: np.ndarray, of: np.ndarray) -> np.ndarray:
 def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000) -> DataFrame:
     """(doc_id, spans: sorted disjoint array of begin, end) of the documents with bytes to remove."""
     src = id_and_text(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    parts = src.rdd.getNumPartitions()
+    parts = max(1, src.rdd.getNumPartitions())
     buckets = 1 << max(4, math.ceil(math.log2(16 * parts)))
     # a string of a hot anchor meets itself in so many parts first; about the root of the slices' number, so neither round has a large group
     salts = max(2, math.isqrt(128 * parts))
