@@ -12,18 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treewarden.llm import ngram_join, packing, quality, suffix_dedup, toxicity
-from treewarden.llm.common import table, written
+from treewarden.llm.common import map_marked, marks, maybe_marked, table, written
 
-#: No stage can be told in SQL as a whole. tests/llm/test_pipeline_run.py holds run() against a brute-force version of the last three stages; the verdicts of toxicity and quality have none.
+#: No stage can be told in SQL as a whole. tests/llm holds run() against a brute-force version of the last three stages, the verdicts of quality against a plain determinant search, and scores of toxicity against plain loops.
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, keep: DataFrame, key: str) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``keep``; rows without a doc_id stay, as nothing speaks against them by name."""
-    k = keep.select(F.col(key).alias("kept_doc")).distinct()
-    return docs.join(k, docs["doc_id"].eqNullSafe(k["kept_doc"]), "left_semi")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of a score of 0.5 or more; trained on the labelled rows that aren't held out."""
     labels = table(spark, sf_dir, "labels")
@@ -32,14 +26,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_outliers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the base rule or the distance rejects."""
-    return _only(docs, written(quality.judge_quality(docs).where("kept"), "kept"), "doc_id")
+    """Drops documents that the base rule or the distance rejects, row by row."""
+    return quality.keep_typical(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of similarity 0.8 on five-word shingles; rows without a doc_id stay."""
+    """Keeps the smallest doc_id of each component of similarity 0.8 on five-word shingles. Rows that repeat a doc_id are one document, which stays or goes as a whole; rows without a doc_id stay. Only texts that may go are joined."""
     found = ngram_join.jaccard_components(docs, n=5, percent=80)
-    return _only(docs, written(found.where("component_id <=> doc_id").select("doc_id"), "firsts"), "doc_id")
+    going = written(found.where("component_id != doc_id").select(F.col("doc_id").alias("going")).distinct(), "going")
+    bitmap = marks(going, "going")
+    near = maybe_marked(docs, bitmap)
+    return map_marked(docs, lambda batches: batches, docs.schema, bitmap, False).unionAll(near.join(going, near["doc_id"] == going["going"], "left_anti"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
