@@ -195,11 +195,9 @@ def maybe_marked(docs: DataFrame, bitmap: np.ndarray, column: str = "doc_id") ->
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): rows (id, component), component the smallest id reachable; ids without an edge are absent.
 
-    Alternates large-star and small-star steps. Each is one grouping of the edge table, which is written to the shared
-    folder after every round. A vertex with very many neighbours is held as a window partition that can spill, never as one array.
+    Alternates large-star and small-star steps. Each takes the smallest neighbour of every vertex by an aggregation that is partial in each task and joins it back,
+    which adaptive execution splits where a vertex has very many neighbours. The edge table is written to the shared folder after every round.
     """
-    from pyspark.sql import Window
-
     spark = edges.sparkSession
     a, b = F.col("a"), F.col("b")
     now = written(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
@@ -207,11 +205,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: each neighbour greater than v goes to the smallest of v and its neighbours
         both = now.select(a.alias("v"), b.alias("n")).unionAll(now.select(b.alias("v"), a.alias("n")))
-        least = F.least(F.min("n").over(Window.partitionBy("v")), F.col("v"))
-        large = both.withColumn("m", least).where("n > v").select(F.col("n").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("v").agg(F.least(F.min("n"), F.col("v")).alias("m"))
+        large = both.where("n > v").join(least, "v").select(F.col("n").alias("a"), F.col("m").alias("b")).distinct()
         # small star: v and its smaller neighbours all go to the smallest one
-        m = F.min("b").over(Window.partitionBy("a"))
-        with_m = large.withColumn("m", m)
+        with_m = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = with_m.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         now = written(small, "edges")
         stats = now.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")).alias("g")).first()

@@ -167,6 +167,7 @@ def bounded(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int) -
                 keep = size - np.array(lacking, np.int64) >= -(-percent * (size + other) // (100 + percent))
                 yield b.select(["a", "b"]).filter(pa.array(keep))
 
+    left, right = (maybe_marked(side, marks(pairs, key), key) for side, key in ((left, "a"), (right, "b")))  # bitmaps of no pair stay where they are
     return pairs.join(left, "a").join(right, "b").select("a", "b", "size", "least", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -224,7 +225,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     shared = written(shared.select("id", "size", "token", "rest", F.col("least.id").alias("least"), F.col("least.size").alias("least_size")), "shared")
     stars = shared.where((F.col("id") != F.col("least")) & _fit(F.col("size"), F.col("least_size"), percent)).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     stars = written(stars, "stars")
-    slots = written(bitmaps(_only(src, shared.select("id").distinct(), "id"), n), "bitmaps")
+    slots = written(bitmaps(maybe_marked(src, marks(shared, "id")), n).dropDuplicates(["id", "size", "bits"]), "bitmaps")
     left, right = slots.select(F.col("id").alias("a"), "size", F.col("bits").alias("x")), slots.select(F.col("id").alias("b"), F.col("size").alias("least"), F.col("bits").alias("y"))
     stars = written(bounded(stars, left, right, percent).distinct(), "near")
     first = written(_compared(stars, src, n, percent), "first")
