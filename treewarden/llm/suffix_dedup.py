@@ -217,14 +217,19 @@ def merged(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[at], begin[at], np.concatenate((reach[at[1:] - 1], reach[-1:]))
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """A column's bytes with the first bytes of all its numbers first, and so on: the high bytes of small numbers compress to nothing."""
+    return x.tobytes() if x.itemsize == 1 else np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
 def _bucket_rows(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """One row per bucket that occurs; each column's values of a bucket as bytes."""
+    """One row per bucket that occurs; each column's values of a bucket as bytes, numbers as _planes."""
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
     first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.empty(0, np.int64)
     last = np.concatenate((first[1:], [len(b)])) if len(b) else first
     sorted_columns = {k: v[order] for k, v in columns.items()}
-    return pa.record_batch({"bucket": pa.array(b[first], pa.int32()), **{k: pa.array([v[x:y].tobytes() for x, y in zip(first.tolist(), last.tolist(), strict=True)], pa.binary()) for k, v in sorted_columns.items()}})
+    return pa.record_batch({"bucket": pa.array(b[first], pa.int32()), **{k: pa.array([_planes(v[x:y]) for x, y in zip(first.tolist(), last.tolist(), strict=True)], pa.binary()) for k, v in sorted_columns.items()}})
 
 
 def _steps(bucket: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -239,12 +244,18 @@ def _steps(bucket: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
+def _numbers(planes: bytes, dtype) -> np.ndarray:
+    """What _planes packed."""
+    size = np.dtype(dtype).itemsize
+    return np.frombuffer(planes, np.uint8).reshape(size, len(planes) // size).T.copy().view(dtype).ravel() if size > 1 else np.frombuffer(planes, dtype)
+
+
 def _summed(rows: pa.Table, column: str, dtype) -> np.ndarray:
-    return np.concatenate([np.empty(0, dtype), *[np.cumsum(np.frombuffer(x, dtype), dtype=dtype) for x in rows[column].to_pylist()]])
+    return np.concatenate([np.empty(0, dtype), *[np.cumsum(_numbers(x, dtype), dtype=dtype) for x in rows[column].to_pylist()]])
 
 
 def _joined(rows: pa.Table, column: str, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(rows[column].to_pylist()), dtype)
+    return np.concatenate([np.empty(0, dtype), *[_numbers(x, dtype) for x in rows[column].to_pylist()]])
 
 
 def hot_anchors(src: DataFrame, length: int, hot: int) -> np.ndarray:
@@ -352,7 +363,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000) -> Data
                 },
             )
             riding = int(gram[0] % np.uint64(rows.num_rows)) if rows.num_rows else 0
-            ride = lambda x: [x.tobytes() if i == riding else b"" for i in range(rows.num_rows)]  # noqa: E731, B023
+            ride = lambda x: [_planes(x) if i == riding else b"" for i in range(rows.num_rows)]  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(ride(x), pa.binary()) for x in spans)], [*rows.schema.names, "span_doc", "span_begin", "span_end"])
 
     schema = "bucket int, doc binary, pos binary, left binary, right binary, around binary, span_doc binary, span_begin binary, span_end binary"
@@ -382,9 +393,11 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000) -> Data
         over = doc > least_of(classes(strings, row_hashes(strings), length), doc)
         return pa.table(dict(zip(("doc_id", "begin", "end"), merged(doc[over], begin[over], begin[over] + length), strict=True)))
 
-    first = written(surrounded.groupBy("bucket").applyInArrow(reduce, "doc_id long, begin long, end long, string binary, bucket int"), "first")
+    first = surrounded.groupBy("bucket").applyInArrow(reduce, "doc_id long, begin long, end long, string binary, bucket int")
+    first = written(first, "first") if len(held.value) else first  # without a hot anchor there is no second round
     again = first.where("string IS NOT NULL").groupBy("bucket").applyInArrow(second, "doc_id long, begin long, end long")
-    spans = first.where("string IS NULL").select("doc_id", "begin", "end").unionAll(again)
+    spans = first.where("string IS NULL").select("doc_id", "begin", "end")
+    spans = spans.unionAll(again) if len(held.value) else spans
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
