@@ -365,7 +365,7 @@ def test_suffix_dedup(spark, docs, none, rows):
 
 def test_suffix_dedup_hot_anchors(docs, rows):
     spans = defaultdict(list)
-    for r in suffix_dedup.repeated_spans(docs, 50, hot=2).collect():
+    for r in suffix_dedup.repeated_spans(docs, 50, hot=2, slices_at_once=100).collect():  # two rounds
         spans[r["doc_id"]] = [(s["begin"], s["end"]) for s in r["spans"]]
     want = brute_removed(rows, 50)
     for i, text, *_ in rows:

@@ -75,9 +75,10 @@ def give_back() -> None:
         _libc.malloc_trim(0)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of whole texts: fewer rows each than Spark's default, so that a batch of long texts stays small."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Arrow batches of whole texts: fewer rows and bytes each than Spark's default, so that a batch of long texts stays small in the JVM and in the worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 #: An odd multiplier for prefix hashes, and its inverse modulo 2**64.

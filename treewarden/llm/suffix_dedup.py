@@ -150,6 +150,23 @@ def least_of(kind: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return least[kind]
 
 
+def led(around: np.ndarray, length: int) -> np.ndarray:
+    """Of each anchor's surroundings and each offset, whether the string of ``length`` bytes that begins so many bytes before the anchor has no gram of a smaller hash.
+
+    Every string is so dealt by its own anchor only, the same one wherever it stands.
+    """
+    out, n = length - GRAM, around.shape[1]
+    flags = np.empty((len(around), out + 1), bool)
+    for at in range(0, len(around), 4096):
+        some = around[at : at + 4096]
+        p = np.zeros((len(some), n + 1), np.uint64)
+        np.cumsum((some.astype(np.uint64) + np.uint64(1)) * powers(n), axis=1, out=p[:, 1:])
+        order = (mixed((p[:, GRAM:] - p[:, :-GRAM]) * powers(n - GRAM + 1, INVERSE)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        least = np.lib.stride_tricks.sliding_window_view(order, out + 1, axis=1).min(2)
+        flags[at : at + 4096] = (least == order[:, out : out + 1])[:, ::-1]
+    return flags
+
+
 def settle(doc: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, around: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (doc, begin, end) of strings that also start in a document of a smaller doc_id, among anchors with what is around them.
 
@@ -194,7 +211,7 @@ def _repeated(around: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.n
     flags = np.zeros((len(doc), out + 1), bool)
     if len(doc):
         offset = np.arange(out + 1)
-        valid = (offset <= left[:, None]) & (out - offset <= right[:, None])
+        valid = (offset <= left[:, None]) & (out - offset <= right[:, None]) & led(around, length)
         row, a = np.nonzero(valid)
         order, same = sort_suffixes(np.ascontiguousarray(around).ravel(), row * width + out - a, gram[row] * (out + 1) + a, length)
         owner = doc[row[order]]
@@ -281,13 +298,13 @@ def _is_in(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x if len(of) else np.zeros(len(x), bool)
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000, slices_at_once: int = 16_384) -> DataFrame:
     """(doc_id, spans: sorted disjoint array of begin, end) of the documents with bytes to remove."""
     src = id_and_text(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
     parts = max(1, src.rdd.getNumPartitions())
     buckets = 1 << max(4, math.ceil(math.log2(16 * parts)))
-    # a string of a hot anchor meets itself in so many parts first; about the root of the slices' number, so neither round has a large group
-    salts = max(2, math.isqrt(128 * parts))
+    # a slice of about 1 MB sends a string of a hot anchor once; so many slices meet in one part, and the parts in a second round
+    salts = max(1, math.ceil(128 * parts / slices_at_once))
     out, width = length - GRAM, 2 * length - GRAM
     held = src.sparkSession.sparkContext.broadcast(hot_anchors(src, length, hot))  # a million at most
 
@@ -347,7 +364,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000) -> Data
             spans = merged(doc[over], (pos - np.minimum(left, out))[over], (pos - np.maximum(0, out - right) + length)[over])
             doc, pos, left, right, around, is_hot, gram = (x[~over] for x in (doc, pos, left, right, around, is_hot, gram))
             # a hot anchor: each string of the wanted length around it is dealt by itself, with nothing around
-            h, a = np.nonzero(is_hot[:, None] & (np.arange(out + 1) <= left[:, None]) & (out - np.arange(out + 1) <= right[:, None]))
+            h, a = np.nonzero((np.arange(out + 1) <= left[is_hot, None]) & (out - np.arange(out + 1) <= right[is_hot, None]) & led(around[is_hot], length))
+            h = np.flatnonzero(is_hot)[h]
             strings = np.zeros((len(h), width), np.uint8)
             strings[:, :length] = np.lib.stride_tricks.sliding_window_view(around.ravel() if len(around) else np.zeros(length, np.uint8), length)[h * width + out - a] if len(h) else 0
             cold, none = ~is_hot, np.zeros(len(h), np.uint8)
@@ -379,7 +397,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000) -> Data
             keys = row_hashes(around[:, :length])
             over = doc > least_of(classes(around, keys, length), doc)
             found = doc[over], pos[over], pos[over] + length
-            doc, pos, around, keys = doc[~over], pos[~over], around[~over], keys[~over]
+            doc, pos, around, keys = (x[~over] if salts > 1 else x[:0] for x in (doc, pos, around, keys))
             on = pa.table({"doc_id": doc, "begin": pos, "end": pos + length, "string": pa.array([x.tobytes() for x in around[:, :length]], pa.binary()), "bucket": bucket_of(keys).astype(np.int32)})
         else:
             found = settle(doc, pos, _joined(rows, "left", np.uint8).astype(np.int64), _joined(rows, "right", np.uint8).astype(np.int64), around, length)
@@ -394,10 +412,11 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000) -> Data
         return pa.table(dict(zip(("doc_id", "begin", "end"), merged(doc[over], begin[over], begin[over] + length), strict=True)))
 
     first = surrounded.groupBy("bucket").applyInArrow(reduce, "doc_id long, begin long, end long, string binary, bucket int")
-    first = written(first, "first") if len(held.value) else first  # without a hot anchor there is no second round
+    twice = len(held.value) > 0 and salts > 1
+    first = written(first, "first") if twice else first
     again = first.where("string IS NOT NULL").groupBy("bucket").applyInArrow(second, "doc_id long, begin long, end long")
     spans = first.where("string IS NULL").select("doc_id", "begin", "end")
-    spans = spans.unionAll(again) if len(held.value) else spans
+    spans = spans.unionAll(again) if twice else spans
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 

@@ -26,13 +26,13 @@ _EDGES = "\"'()[]{}<>,;:-–—¡¿!?.*#$%&|"
 
 
 class WordSlots(dict):
-    """Slots of a word, in lower case and without marks at its ends: itself and its first four and five letters, as inflected words share stems. Up to 100,000 words are remembered."""
+    """Slots of a word, in lower case and without marks at its ends: itself and its first four and five letters, as inflected words share stems. Up to 50,000 words are remembered."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         plain = word.lower().strip(_EDGES)
         parts = ([plain, *(f"{plain[:n]}-" for n in (4, 5) if len(plain) >= n)]) if plain else []
         slots = tuple(xxhash.xxh64_intdigest(p.encode("utf-8", "replace")) % SLOTS for p in parts)
-        if len(self) < 100_000:
+        if len(self) < 50_000:
             self[word] = slots
         return slots
 
