@@ -21,10 +21,10 @@ def spark():
 def run(spark):
     """Findings of one analyzer over {path: source}, sorted."""
     from treewarden.operators.analyzers import REGISTRY
-    from treewarden.operators.nodes import nodes
+    from treewarden.operators.nodes import node_table
 
     def go(analyzer: str, sources: dict[str, str]):
         files = spark.createDataFrame([("r", p, t, bytearray(t.encode())) for p, t in sources.items()], "repo string, path string, text string, content binary")
-        return sorted(REGISTRY[analyzer].run(nodes(files), files).collect(), key=lambda r: (r["file"], r["start_line"]))
+        return sorted(REGISTRY[analyzer].run(node_table(files), files).collect(), key=lambda r: (r["file"], r["start_line"]))
 
     return go

@@ -52,3 +52,25 @@ def test_joins(spark):
     at = spark.createDataFrame([("r", f, t) for f in ("old.py", "late.py", "none.py")], "repo string, file string, at timestamp")
     first = spark.createDataFrame([("r", "old.py", t - datetime.timedelta(days=3, seconds=-1)), ("r", "late.py", t + datetime.timedelta(days=1)), ("q", "none.py", t)], "repo string, file string, first timestamp")
     assert rows(st.file_age(at, first).select("file", "age_days")) == [("late.py", 0), ("none.py", None), ("old.py", 2)]
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "l.csv").write_text('repo,file,label,note\nr,a.py,tp,"x, ""y"""\nr,b.py, ,\n')
+    assert rows(history.labelled(spark, str(tmp_path / "l.csv")).select("file", "label", "note")) == [("a.py", "tp", 'x, "y"'), ("b.py", None, None)]
+    (tmp_path / "hits.json").write_text('[{"filename": "a.py", "code": "S110", "location": {"row": 3, "column": 1}}, {"code": "E", "location": null}]')
+    assert rows(history.linter_hits(spark, str(tmp_path / "hits.json"))) == [("a.py", 3, "S110")]
+    log = ["@2024-01-03T00:00:00+00:00", "a.py", "b.md", "@bad", "x.py", "@2024-01-02T00:00:00+00:00", "a.py"]
+    lines = spark.createDataFrame([("r", i, v) for i, v in enumerate(log)], "repo string, n int, value string")
+    assert [(r["file"], str(r["t"])) for r in history.first_commits(lines).where("file = 'a.py'").selectExpr("file", "cast(first AS date) AS t").collect()] == [("a.py", "2024-01-02")]
+
+
+def test_reports(spark):
+    found = spark.createDataFrame([("a.py", 3), ("a.py", 9), ("b.py", 1)], "file string, line int")
+    hits = spark.createDataFrame([("a.py", 5), ("a.py", 6)], "path string, row int")
+    assert rows(st.overlap_totals(st.band_overlap(found, hits))) == [(3, 2, 1, 66.7, 33.3)]
+    assert rows(st.overlap_totals(st.band_overlap(found.limit(0), hits))) == [(0, 0, 0, 0.0, 0.0)]
+    labels = [("r", "k", x) for x in ["tp"] * 2 + ["fp"] * 3] + [("q", "k", x) for x in ["tp"] + ["fp"] * 3] + [("p", "k", "boilerplate")]
+    gates = {(r["repo"], r["kind"]): r["gate"] for r in st.label_scores(spark.createDataFrame(labels, "repo string, kind string, label string")).collect()}
+    assert (gates[("r", None)], gates[("q", None)], gates[("p", None)]) == ("pass", "threshold", "redesign")
+    obs = spark.createDataFrame([(1, 2, 0, 0), (3, 0, 1, 5)], "loc int, warns_dup int, warns_em int, churn_14d int")
+    assert [round(r["log_churn_14d"], 6) for r in st.touched(obs).collect()] == [1.791759]

@@ -30,19 +30,47 @@ def quotas(groups: DataFrame, n: int, least: int = 3) -> DataFrame:
     return g.select("name", "available", (F.col("first") + F.greatest(extra, F.lit(0))).cast("long").alias("quota"))
 
 
+def _drawn(seed: int, key: str) -> Column:
+    """The order of a sample: digests of the seed and the key, the same on every engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
 def stratified(rows: DataFrame, name: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """A deterministic sample of ``rows`` by the quotas of its groups, in the order of a seeded hash of the key."""
+    """A deterministic sample of ``rows`` by the quotas of its groups, in the order of a seeded digest of the key. At most n rows of a group leave a task."""
     groups = rows.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("available"))
-    order = Window.partitionBy(name).orderBy(F.xxhash64(F.lit(seed), key), key)
-    return rows.join(quotas(groups, n), rows[name] == F.col("name")).withColumn("_n", F.row_number().over(order)).where("_n <= quota").select(rows.columns)
+    order = Window.partitionBy(name).orderBy(_drawn(seed, key), key)
+    first = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
+    return first.join(quotas(groups, n), first[name] == F.col("name")).where("_n <= quota").select(rows.columns)
+
+
+def sampled_commits(commits: DataFrame, n: int, until, days: int = 14, seed: int = 42) -> DataFrame:
+    """``n`` of the commits (sha, at) that are at least ``days`` older than ``until``, oldest first."""
+    old = commits.where(F.col("at") <= until - F.expr(f"INTERVAL '{days}' DAY"))
+    return old.orderBy(_drawn(seed, "sha"), "sha").limit(n).orderBy("at", "sha")
+
+
+def overlap_totals(marked: DataFrame) -> DataFrame:
+    """Of band_overlap's rows: how many findings, how many covered and how many not, and the shares in per cent (zero without any)."""
+    share = lambda c: F.coalesce(F.round(100 * F.try_divide(F.col(c), F.col("findings")), 1), F.lit(0.0)).alias(f"{c}_pct")
+    return marked.agg(F.count("*").alias("findings"), F.count_if("covered").alias("covered"), F.count_if(~F.col("covered")).alias("unique")).select("*", share("covered"), share("unique"))
+
+
+def repo_ranges(rows: DataFrame) -> DataFrame:
+    """rows (repo, sha, at, file): per repository the first and last time, and how many rows, commits and files."""
+    return rows.groupBy("repo").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n_rows"), F.countDistinct("sha").alias("commits"), F.countDistinct("file").alias("files"))
+
+
+def touched(rows: DataFrame) -> DataFrame:
+    """The observations with any churn, and the logarithm of one plus each count."""
+    return rows.where("churn_14d > 0").withColumns({f"log_{c}": F.log1p(c) for c in ("loc", "warns_dup", "warns_em", "churn_14d")})
 
 
 def label_scores(labels: DataFrame) -> DataFrame:
-    """labels (repo, kind, label): counts in total, per repo and per kind; precision without unclear and boilerplate, actionable share of all."""
+    """labels (repo, kind, label): counts in total, per repo and per kind; precision without unclear and boilerplate, actionable share of all, and what that share calls for: pass, threshold or redesign."""
     n = {x: F.count_if(F.col("label") == x) for x in ("tp", "fp", "boilerplate", "style", "unclear")}
     g = labels.where("label IS NOT NULL").groupingSets([[], ["repo"], ["kind"]], "repo", "kind").agg(*[v.alias(k) for k, v in n.items()], F.count("*").alias("labeled"))
     judged = F.col("labeled") - F.col("unclear") - F.col("boilerplate")
-    return g.withColumn("precision", F.when(judged > 0, F.round(F.col("tp") / judged, 6))).withColumn("actionable", F.round(F.col("tp") / F.col("labeled"), 6)).withColumn("passes", (F.col("precision") >= 0.4) & (F.col("actionable") >= 0.2))
+    return g.withColumn("precision", F.when(judged > 0, F.round(F.col("tp") / judged, 6))).withColumn("actionable", F.round(F.col("tp") / F.col("labeled"), 6)).withColumn("gate", F.when(F.col("tp") >= 0.4 * F.col("labeled"), "pass").when(F.col("tp") >= 0.2 * F.col("labeled"), "threshold").otherwise("redesign"))
 
 
 def churn(commits: DataFrame, changes: DataFrame, days: int = 14) -> DataFrame:
@@ -70,7 +98,7 @@ def warns_and_churn(warns: DataFrame, churned: DataFrame, keys: tuple[str, ...]
 
 def file_age(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     """rows (repo, file, at) with age_days: whole days since the file's first commit (repo, file, first), never below zero, null without one."""
-    days = F.floor((F.unix_micros("at") - F.unix_micros("first")) / 86_400_000_000)
+    days = F.floor((F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("first").cast("timestamp"))) / 86_400_000_000)
     return rows.join(firsts, ["repo", "file"], "left").withColumn("age_days", F.when(F.col("first").isNotNull() & F.col("at").isNotNull(), F.greatest(days, F.lit(0)))).drop("first")
 
 

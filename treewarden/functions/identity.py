@@ -10,10 +10,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def payload(analyzer: str, version: str, subject: str, evidence: dict) -> str:
+    """Fixed format, as ids must stay the same: the JSON of what a finding is about, not where it stands, by sorted keys."""
+    return json.dumps({"a": analyzer, "v": version, "s": subject, "e": evidence}, sort_keys=True, ensure_ascii=False)
+
+
 def finding_id(analyzer: str, version: str, subject: str, evidence: dict) -> str:
-    """96 bits of blake2b over the canonical JSON of what a finding is about, not where it stands."""
-    payload = json.dumps({"a": analyzer, "v": version, "s": subject, "e": evidence}, sort_keys=True, ensure_ascii=False)
-    return hashlib.blake2b(payload.encode(), digest_size=12).hexdigest()
+    """96 bits of blake2b over the payload."""
+    return hashlib.blake2b(payload(analyzer, version, subject, evidence).encode(), digest_size=12).hexdigest()
+
+
+def _payloads(analyzer: pd.Series, version: pd.Series, symbol: pd.Series, file: pd.Series, evidence: pd.Series) -> pd.Series:
+    return pd.Series([payload(a, v, s or f, json.loads(e)) for a, v, s, f, e in zip(analyzer, version, symbol, file, evidence, strict=True)], dtype=object)
 
 
 def _finding_ids(analyzer: pd.Series, version: pd.Series, symbol: pd.Series, file: pd.Series, evidence: pd.Series) -> pd.Series:
@@ -35,6 +43,11 @@ def finding_ids(*columns: str) -> Column:
     return F.pandas_udf(_finding_ids, "string")(*columns)
 
 
+def finding_payloads(*columns: str) -> Column:
+    """What finding_ids digests, as text."""
+    return F.pandas_udf(_payloads, "string")(*columns)
+
+
 def short_hash(text) -> Column:
     """32 bits of blake2b, for window hashes."""
     return F.pandas_udf(_short_hash, "string")(text)

@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.identity import short_hash
+from ..functions.identity import content_hash, short_hash
 from ..functions.paths import basename, is_named_test, is_non_source, is_test
+from ..functions.text import line_count
 
 FILE = ["repo", "path"]
 COLUMNS = ["repo", "analyzer_id", "analyzer_version", "severity", "file", "start_line", "end_line", "symbol", "message", "evidence"]
@@ -114,19 +115,20 @@ def assertion_free(nodes: DataFrame, files: DataFrame) -> DataFrame:
 
 def _always_true(nodes: DataFrame) -> DataFrame:
     """(repo, path, id, kind) of expressions that are true whatever the code does."""
-    lower = F.lower("source")
     literal = (
-        F.when(F.col("type") == "true", "constant-true")
-        .when((F.col("type") == "integer") & ~lower.isin("0", "0x0", "0o0", "0b0"), "constant-true")
+        F.when(F.lower("source").isin("true", "1", "-1"), "constant-true")
+        .when((F.col("type") == "integer") & ~F.col("source").isin("0", "0x0", "0o0", "0b0"), "constant-true")
         .when((F.col("type") == "float") & (F.regexp_replace("source", "_", "").try_cast("double") != 0), "constant-true")
-        .when((F.col("type") == "unaryop") & (F.col("source") == "-1"), "constant-true")
         .when((F.col("type") == "string") & F.col("source").rlike(r"(?s)^[A-Za-z]*(\"\"\".+\"\"\"|'''.+'''|\"[^\"].*\"|'[^'].*')$"), "constant-true")
     )
-    simple = nodes.where("type IN ('true', 'integer', 'float', 'unaryop', 'string')").select(*FILE, "id", literal.alias("kind")).where("kind IS NOT NULL")
-    names = nodes.where("type = 'identifier'").select(*FILE, F.col("parent").alias("id"), "text", "ordinal")
-    compared = nodes.where("type = 'comparison_operator' AND children = 3").select(*FILE, "id")  # two names and the operator
+    simple = nodes.where("source IS NOT NULL").select(*FILE, "id", literal.alias("kind")).where("kind IS NOT NULL")
+    names = nodes.where("type = 'identifier'").select(*FILE, F.col("parent").alias("id"), "text")
+    compared = nodes.where("type = 'comparison_operator' AND children = 2").select(*FILE, "id")
     same = names.join(compared, [*FILE, "id"], "left_semi").groupBy(*FILE, "id").agg(F.count("*").alias("n"), F.min("text").alias("a"), F.max("text").alias("b")).where("n = 2 AND a = b").select(*FILE, "id", F.lit("self-comparison").alias("kind"))
-    calls = nodes.where(r"type = 'call' AND text = 'isinstance' AND source RLIKE '^isinstance\\([^,]*,\\s*object\\s*\\)$'").select(*FILE, "id", F.lit("isinstance-object").alias("kind"))
+    # isinstance with two arguments, object the second
+    given = nodes.where("role IN ('args', 'keywords')").select(*FILE, F.col("parent").alias("id"), "role", "ordinal", "source")
+    calls = nodes.where("type = 'call' AND text = 'isinstance'").select(*FILE, "id").join(given, [*FILE, "id"]).groupBy(*FILE, "id").agg(F.count("*").alias("n"), F.max_by("source", "ordinal").alias("second"))
+    calls = calls.where("n = 2 AND second = 'object'").select(*FILE, "id", F.lit("isinstance-object").alias("kind"))
     return simple.unionByName(same).unionByName(calls)
 
 
@@ -166,11 +168,11 @@ def reinvented(nodes: DataFrame, files: DataFrame) -> DataFrame:
     statements = nodes.where("role IN ('body', 'orelse', 'finalbody')").withColumn("seed", F.lag(F.struct("id", "type", "start")).over(block))
     loops = statements.where("type = 'for_statement' AND seed.type = 'assignment'").select(*FILE, F.col("id").alias("loop"), F.col("seed.id").alias("seed"), F.col("seed.start").alias("start"), "end")
     part = lambda role, parent, name: nodes.where(f"role = '{role}'").select(*FILE, F.col("parent").alias(parent), F.col("id").alias(f"{name}_id"), F.col("type").alias(f"{name}_type"), F.col("text").alias(f"{name}"), F.col("source").alias(f"{name}_source"))
-    single = nodes.where("role = 'body'").groupBy(*FILE, F.col("parent").alias("loop")).agg(F.count("*").alias("n"), F.first("id").alias("stmt"), F.first("type").alias("stmt_type"), F.first("text").alias("stmt_text")).where("n = 1")
+    single = nodes.where("role = 'body'").groupBy(*FILE, F.col("parent").alias("loop")).agg(F.count("*").alias("n"), F.min_by(F.struct("id", "type", "text"), "ordinal").alias("s")).where("n = 1").select(*FILE, "loop", F.col("s.id").alias("stmt"), F.col("s.type").alias("stmt_type"), F.col("s.text").alias("stmt_text"))
     head = loops.join(part("targets", "seed", "acc"), [*FILE, "seed"]).join(part("value", "seed", "init"), [*FILE, "seed"]).join(part("target", "loop", "var"), [*FILE, "loop"]).join(part("iter", "loop", "iter"), [*FILE, "loop"]).join(single, [*FILE, "loop"]).where("acc_type = 'identifier' AND var_type = 'identifier'")
     sums = head.where("init_source = '0' AND stmt_type = 'augmented_assignment' AND stmt_text = 'Add'").join(part("target", "stmt", "left"), [*FILE, "stmt"]).join(part("value", "stmt", "right"), [*FILE, "stmt"]).where("left_type = 'identifier' AND right_type = 'identifier' AND left = acc AND right = var").withColumn("kind", F.lit("sum"))
     tests = head.where("init_source = concat(iter_source, '[0]') AND stmt_type = 'if_statement'").join(part("test", "stmt", "cond"), [*FILE, "stmt"]).where("cond = 'Gt'")
-    inner = nodes.where("role = 'body'").groupBy(*FILE, F.col("parent").alias("stmt")).agg(F.count("*").alias("k"), F.first("id").alias("inner"), F.first("type").alias("inner_type")).where("k = 1 AND inner_type = 'assignment'")
+    inner = nodes.where("role = 'body'").groupBy(*FILE, F.col("parent").alias("stmt")).agg(F.count("*").alias("k"), F.min_by(F.struct("id", "type"), "ordinal").alias("i")).where("k = 1 AND i.type = 'assignment'").select(*FILE, "stmt", F.col("i.id").alias("inner"))
     above = part("left", "cond_id", "l").join(part("comparators", "cond_id", "r"), [*FILE, "cond_id"])
     maxes = tests.join(above, [*FILE, "cond_id"]).where("l = var AND r = acc").join(inner, [*FILE, "stmt"]).join(part("targets", "inner", "left"), [*FILE, "inner"]).join(part("value", "inner", "right"), [*FILE, "inner"]).where("left = acc AND right = var").withColumn("kind", F.lit("max"))
     columns = [*FILE, "start", "end", "acc", "iter_source", "kind"]
@@ -179,12 +181,17 @@ def reinvented(nodes: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def symbols(nodes: DataFrame) -> DataFrame:
-    """Functions, classes and methods; a function below a class, at any depth, is a method."""
-    defs = nodes.where("type IN ('function_definition', 'class_definition')").select(*FILE, "id", F.col("text").alias("name"), "type", "start", "end")
-    classes = nodes.where("type = 'class_definition'").select(*FILE, F.col("id").alias("cls"), F.col("last").alias("cls_last"))
-    methods = _inside(classes, defs.where("type = 'function_definition'").select(*FILE, "id"), "cls").select(*FILE, "id").distinct().withColumn("method", F.lit(True))
+    """Functions, classes and methods; a function below a class, at any depth, is a method, which the parser tells."""
     kind = F.when(F.col("type") == "class_definition", "class").when(F.col("method"), "method").otherwise("function")
-    return defs.join(methods, [*FILE, "id"], "left").select(*FILE, "name", kind.alias("kind"), F.col("start").alias("start_line"), F.col("end").alias("end_line"))
+    return nodes.where("type IN ('function_definition', 'class_definition')").select(*FILE, F.col("text").alias("name"), kind.alias("kind"), F.col("start").alias("start_line"), F.col("end").alias("end_line"))
+
+
+def file_index(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """A row a file that parses: content hash, lines, and its symbols by first line and name."""
+    listed = symbols(nodes).groupBy(*FILE).agg(F.sort_array(F.collect_list(F.struct("start_line", "name", "kind", "end_line"))).alias("symbols"))  # one file's
+    parsed = files.join(nodes.where("type = 'parse_error'").select(*FILE), FILE, "left_anti")
+    rows = parsed.select(*FILE, content_hash("content").alias("content_hash"), line_count(F.col("text")).cast("int").alias("lines"))
+    return rows.join(listed, FILE, "left").withColumn("symbols", F.coalesce("symbols", F.array().cast(listed.schema["symbols"].dataType)))
 
 
 @register("test.no-test-for-public-symbol", "1", cross_file=True)
@@ -216,7 +223,7 @@ def mocks_target(nodes: DataFrame, files: DataFrame) -> DataFrame:
     bare = F.regexp_replace("source", r"^[A-Za-z]*(\"\"\"|'''|\"|')|(\"\"\"|'''|\"|')$", "")
     patched = calls.join(strings, [*FILE, "id"]).select(*FILE, "id", F.element_at(F.split(bare, r"\."), -1).alias("patched"))
     within = _inside(_tests(nodes.where(is_named_test(path))), patched, "fn").select(*FILE, "fn", "name", "fn_start", "fn_end", "patched")
-    own = symbols(nodes).select("repo", F.col("path").alias("target"), F.col("name").alias("patched")).distinct()
+    own = symbols(nodes).where("kind IN ('function', 'class')").select("repo", F.col("path").alias("target"), F.col("name").alias("patched")).distinct()
     hits = within.join(nearest, FILE).join(own, ["repo", "target", "patched"])
     tail, sut = F.substring("name", 6, 1 << 20), F.lower("patched")
     hits = hits.where((F.lower(tail) == sut) | F.lower(tail).startswith(F.concat(sut, F.lit("_"))))
@@ -230,7 +237,7 @@ WINDOW, MOST_PLACES, STRING_SHARE = 5, 5, 0.6
 def windows(nodes: DataFrame) -> DataFrame:
     """Five-line windows of function bodies that say enough: three lines with text, three different ones, and not mostly string literals."""
     fn = nodes.where("type = 'function_definition'").select(*FILE, "id", "lines", "offsets")
-    strings = nodes.where("type IN ('string', 'concatenated_string')").groupBy(*FILE).agg(F.collect_list(F.struct(F.col("start_byte").alias("b"), F.col("end_byte").alias("e"))).alias("strings"))  # one file's
+    strings = nodes.where("type = 'string'").groupBy(*FILE).agg(F.collect_list(F.struct(F.col("start_byte").alias("b"), F.col("end_byte").alias("e"))).alias("strings"))  # one file's
     at = fn.where(F.size("lines") >= WINDOW).select("*", F.explode(F.sequence(F.lit(1), F.size("lines") - WINDOW + 1)).alias("i"))
     at = at.select(*FILE, (F.col("offsets")[0] + F.col("i") - 1).cast("int").alias("start_line"), F.slice("lines", F.col("i"), WINDOW).alias("w"), F.col("offsets")[F.col("i")].alias("from"), F.col("offsets")[F.col("i") + WINDOW].alias("to"))
     full = F.filter(F.transform("w", lambda x: F.trim(F.regexp_replace(x, r"^\s+", ""))), lambda x: x != "")
@@ -240,11 +247,13 @@ def windows(nodes: DataFrame) -> DataFrame:
 
 
 def clusters(found: DataFrame) -> DataFrame:
-    """Windows (repo, path, start_line, win_text) with the number and the first places of their text: counted for all, listed up to MOST_PLACES + 1."""
-    text = Window.partitionBy("repo", "win_text")
-    ranked = found.withColumn("n", F.count("*").over(text)).where("n > 1").withColumn("rank", F.row_number().over(text.orderBy("path", "start_line")))
-    first = ranked.where(F.col("rank") <= MOST_PLACES + 1).groupBy("repo", "win_text").agg(F.sort_array(F.collect_list(F.struct("path", "start_line"))).alias("places"))
-    return ranked.join(first, ["repo", "win_text"])
+    """Windows (repo, path, start_line, win_text) whose text occurs twice or more, with their number, rank 1 for the first place, and the first MOST_PLACES + 1 places. Numbers and places are taken in each task first."""
+    text = ["repo", "win_text"]
+    counted = found.groupBy(*text).agg(F.count("*").alias("n"), F.min(F.struct("path", "start_line")).alias("first")).where("n > 1")
+    several = found.join(counted, text).withColumn("rank", F.when(F.struct("path", "start_line") == F.col("first"), 1).otherwise(2)).drop("first")
+    order = Window.partitionBy(*text).orderBy("path", "start_line")
+    first = several.select(*text, "path", "start_line").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= MOST_PLACES + 1)
+    return several.join(first.groupBy(*text).agg(F.sort_array(F.collect_list(F.struct("path", "start_line"))).alias("places")), text)
 
 
 def collapse(raw: DataFrame) -> DataFrame:

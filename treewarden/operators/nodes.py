@@ -1,43 +1,94 @@
 """The node table: one parse of each file into rows, over which all analyzers are relational.
 
 Numbers are preorder; a node's descendants are those with id in (id, last]. rpre is the rank in the order that takes a node
-before its children and its children from right to left. Comments are nodes of the block whose lines hold them.
+before its children and its children from right to left. Comments are nodes of the block whose lines hold them, redundant
+parentheses are nodes around what they enclose, and a definition's decorators stand beside it below a node of their own, so they are no part of it.
+A function row knows whether a class is above it (method). Files that don't parse have one row of type parse_error.
 """
 
 from __future__ import annotations
 
 import ast
+import bisect
 import io
+import keyword
 import tokenize
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.scratch import spread, written
+
 #: Names of node types.
 TYPES = {
     "FunctionDef": "function_definition", "AsyncFunctionDef": "function_definition", "ClassDef": "class_definition", "ExceptHandler": "except_clause", "Pass": "pass_statement",
     "Assert": "assert_statement", "Call": "call", "Raise": "raise_statement", "For": "for_statement", "AsyncFor": "for_statement", "Name": "identifier", "Attribute": "attribute",
     "Assign": "assignment", "AugAssign": "augmented_assignment", "Compare": "comparison_operator", "List": "list", "Dict": "dictionary", "Set": "set", "If": "if_statement",
     "JoinedStr": "string", "Tuple": "tuple", "Expr": "expression_statement",
+    "Try": "try_statement", "TryStar": "try_statement",
 }
-SCHEMA = "repo string, path string, id int, parent int, last int, rpre int, ordinal int, type string, role string, children int, start int, end int, start_byte long, end_byte long, text string, source string, lines array<string>, offsets array<long>"
-SOURCED = {"call", "except_clause", "raise_statement", "assert_statement", "string", "integer", "float", "true", "false", "identifier", "attribute", "list", "dictionary", "set", "comparison_operator", "subscript", "unaryop"}
+SCHEMA = "repo string, path string, id int, parent int, last int, rpre int, ordinal int, type string, role string, children int, method boolean, start int, end int, start_byte long, end_byte long, text string, source string, lines array<string>, offsets array<long>"
+SOURCED = {"call", "except_clause", "raise_statement", "assert_statement", "string", "integer", "float", "true", "false", "identifier", "attribute", "list", "dictionary", "set", "comparison_operator", "subscript", "unaryop", "parenthesized_expression", "concatenated_string"}
+#: Parts of the tree that stand for no text of their own.
+_SILENT = (ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop)
+_LAYOUT = {tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER}
 
 
 def normalized_bytes(content: bytes) -> bytes:
     return content.removeprefix(b"\xef\xbb\xbf").replace(b"\r\n", b"\n").replace(b"\r", b"\n")
 
 
-def _constant(node: ast.Constant, source: str) -> str:
-    if node.value is Ellipsis:
-        return "ellipsis"
-    if isinstance(node.value, bool):
-        return "true" if node.value else "false"
-    if isinstance(node.value, (str, bytes)):
-        quotes = sum(t.type == tokenize.STRING for t in tokenize.generate_tokens(io.StringIO(f"({source})").readline))
-        return "string" if quotes == 1 else "concatenated_string"
-    return {int: "integer", float: "float"}.get(type(node.value), "none")
+class _Tokens:
+    """What the tree doesn't tell: comments, redundant parentheses, and the single literals of a string."""
+
+    def __init__(self, src: bytes, starts: list[int]):
+        self.comments: list[tuple[int, int, str]] = []  # line, first byte, text
+        self.literals: list[tuple[int, int, int]] = []  # first byte, end, depth of f-strings around
+        self.first: dict[int, int] = {}  # byte to the token that begins there
+        self.last: dict[int, int] = {}  # byte to the token that ends there
+        self.pairs: dict[int, int] = {}  # token of a grouping parenthesis to that of its end
+        self.begins: list[int] = []
+        opened, formats, before, n = [], [], None, 0
+        for t in tokenize.generate_tokens(io.StringIO(src.decode("utf-8", "replace")).readline):
+            line = starts[t.start[0] - 1]
+            begin = line + (t.start[1] if t.line.isascii() else len(src[line : starts[t.start[0]]].decode("utf-8", "replace")[: t.start[1]].encode()))
+            if t.type == tokenize.COMMENT:
+                self.comments.append((t.start[0], begin, t.string))
+            if t.type == tokenize.COMMENT or t.type in _LAYOUT:
+                continue
+            end = begin + len(t.string.encode())
+            self.first[begin], self.last[end] = n, n
+            self.begins.append(begin)
+            if t.type == tokenize.STRING:
+                self.literals.append((begin, end, len(formats)))
+            elif t.type == tokenize.FSTRING_START:
+                formats.append(begin)
+            elif t.type == tokenize.FSTRING_END:
+                self.literals.append((formats.pop(), end, len(formats)))
+            elif t.type == tokenize.OP and t.string in "([{":
+                called = before is not None and (before.type in (tokenize.STRING, tokenize.NUMBER, tokenize.FSTRING_END) or before.string in (")", "]", "}") or before.type == tokenize.NAME and (not keyword.iskeyword(before.string) or before.string in ("None", "True", "False")))
+                opened.append((n, t.string == "(" and not called))
+            elif t.type == tokenize.OP and t.string in ")]}" and opened:
+                at, groups = opened.pop()
+                if groups:
+                    self.pairs[at] = n
+            before, n = t, n + 1
+        self.literals.sort()
+
+    def around(self, begin: int, end: int) -> list[tuple[int, int]]:
+        """Spans of the parentheses directly around an expression, outermost first."""
+        i, j, out = self.first.get(begin), self.last.get(end), []
+        while i is not None and j is not None and i > 0 and self.pairs.get(i - 1) == j + 1:
+            i, j = i - 1, j + 1
+            out.append((self.begins[i], self.begins[j] + 1))
+        return out[::-1]
+
+    def pieces(self, begin: int, end: int) -> list[tuple[int, int]]:
+        """Spans of the literals that make up a string."""
+        i = bisect.bisect_left(self.literals, (begin, 0, 0))
+        found = self.literals[i : bisect.bisect_left(self.literals, (end, 0, 0))]
+        return [x[:2] for x in found if x[2] == found[0][2]]
 
 
 class _File:
@@ -49,78 +100,155 @@ class _File:
         self.starts = [0]
         for line in self.src.split(b"\n"):
             self.starts.append(self.starts[-1] + len(line) + 1)
+        self.tokens = _Tokens(self.src, self.starts)
         self.rows: list[dict] = []
-        self.comments = [(t.start[0], self.starts[t.start[0] - 1] + len(t.line[: t.start[1]].encode()), t.string) for t in tokenize.generate_tokens(io.StringIO(self.src.decode("utf-8", "replace")).readline) if t.type == tokenize.COMMENT]
-        self._visit(tree, None, "module", 0, (1, len(self.starts) - 1))
+        self.of_block = self._comments(tree)
+        self._visit(tree)
         self._reverse()
 
     def _bytes(self, node) -> tuple[int, int]:
         return self.starts[node.lineno - 1] + node.col_offset, self.starts[node.end_lineno - 1] + node.end_col_offset
 
+    def _line(self, byte: int) -> int:
+        return bisect.bisect_right(self.starts, byte)
+
+    def _comments(self, tree) -> dict[int, list]:
+        """Comments by the innermost block that holds them, with the role of the list of statements that they stand in."""
+        if not self.tokens.comments:
+            return {}
+        blocks = [(1, len(self.starts), tree)]
+        blocks += sorted(((n.lineno, n.end_lineno, n) for n in ast.walk(tree) if isinstance(getattr(n, "body", None), list) and hasattr(n, "lineno")), key=lambda b: (b[0], -b[1]))
+        out: dict[int, list] = {}
+        stack, at = [], 0
+        for line, byte, text in self.tokens.comments:
+            while at < len(blocks) and blocks[at][0] <= line:
+                stack.append(blocks[at])
+                at += 1
+            while stack[-1][1] < line and len(stack) > 1:
+                stack.pop()
+            block = next(b for b in reversed(stack) if b[1] >= line)[2]
+            lists = [(x[0].lineno, role) for role in ("body", "handlers", "orelse", "finalbody") if (x := getattr(block, role, None))]
+            role = max((r for r in lists if r[0] <= line), default=(0, "body" if isinstance(block, ast.Module) else "type"))[1]
+            out.setdefault(id(block), []).append((role, ("comment", line, byte, text)))
+        return out
+
     def _children(self, node) -> list[tuple[str, object]]:
-        out = [(role, x) for role, value in ast.iter_fields(node) for x in (value if isinstance(value, list) else [value]) if isinstance(x, ast.AST)]
+        out = [(role, x) for role, value in ast.iter_fields(node) for x in (value if isinstance(value, list) else [value]) if isinstance(x, ast.AST) and not isinstance(x, _SILENT) and role != "decorator_list"]
         if isinstance(node, ast.arguments):
             plain = [*node.posonlyargs, *node.args]
             pairs = [*zip(plain[len(plain) - len(node.defaults) :], node.defaults, strict=True), *((a, d) for a, d in zip(node.kwonlyargs, node.kw_defaults, strict=True) if d is not None)]
-            out = [("parameter", p) for p in pairs]
+            out = [("parameter", ("default", *p)) for p in pairs]
+        out += self.of_block.get(id(node), [])
         return sorted(out, key=lambda x: self._at(x[1]))
 
     def _at(self, x) -> tuple[int, int]:
-        x = x[0] if isinstance(x, tuple) else x
+        if isinstance(x, tuple):
+            return (x[1], x[2] - self.starts[x[1] - 1]) if x[0] == "comment" else self._at(x[1])
         if isinstance(x, ast.arguments):
             return min((self._at(a) for a in [*x.posonlyargs, *x.args, *x.kwonlyargs]), default=(0, 0))
+        if decorators := getattr(x, "decorator_list", None):
+            return self._at(decorators[0])
         return (x.lineno, x.col_offset) if hasattr(x, "lineno") else (0, 0)
 
-    def _visit(self, node, parent: int | None, role: str, ordinal: int, lines: tuple[int, int]) -> None:
-        me = len(self.rows)
-        if isinstance(node, tuple) and isinstance(node[1], ast.AST):  # a parameter with its default
-            row = {"type": "default_parameter" if node[0].annotation is None else "typed_default_parameter", "text": node[0].arg, "start": node[0].lineno, "end": node[1].end_lineno}
-            children = [("value", node[1])]
-        elif isinstance(node, tuple):  # a comment
-            row, children = {"type": "comment", "text": node[2], "start": node[0], "end": node[0], "start_byte": node[1]}, []
-        else:
-            row, children = self._row(node), self._children(node)
-            if isinstance(getattr(node, "body", None), list):
-                first = min((c.lineno for c in node.body), default=1)
-                inner = [c for c in self.comments if lines[0] <= c[0] <= lines[1]]
-                for child in ast.walk(node):  # comments of an inner block are its own
-                    if child is not node and isinstance(getattr(child, "body", None), list) and hasattr(child, "lineno"):
-                        inner = [c for c in inner if not child.lineno <= c[0] <= child.end_lineno]
-                own = [("body" if c[0] >= first or isinstance(node, ast.Module) else "type", c) for c in inner]
-                children = sorted([*children, *own], key=lambda x: (x[1][0], x[1][1] - self.starts[x[1][0] - 1]) if isinstance(x[1], tuple) and not isinstance(x[1][0], ast.AST) else self._at(x[1]))
-        self.rows.append(row | {"id": me, "parent": parent, "role": role, "ordinal": ordinal, "children": len(children)})
-        if isinstance(node, ast.ExceptHandler) and node.name:
-            self.rows.append({"type": "identifier", "text": node.name, "start": node.lineno, "end": node.lineno, "id": me + 1, "parent": me, "role": "alias", "ordinal": -1, "children": 0, "last": me + 1})
-        for i, (r, child) in enumerate(children):
-            span = (child.lineno, child.end_lineno) if hasattr(child, "lineno") else lines
-            self._visit(child, me, r, i, span)
-        self.rows[me]["last"] = len(self.rows) - 1
-
-    def _row(self, node) -> dict:
+    def _visit(self, tree) -> None:
+        """Rows in preorder, from a stack of what is still to come. A number on it closes that row's subtree."""
+        stack: list = [(tree, None, "module", 0, False)]
+        while stack:
+            entry = stack.pop()
+            if isinstance(entry, int):
+                self.rows[entry]["last"] = len(self.rows) - 1
+                continue
+            node, parent, role, ordinal, within = entry
+            opened = []
+
+            def add(row: dict, children: int, role=role, ordinal=ordinal) -> int:
+                me = len(self.rows)
+                self.rows.append(row | {"id": me, "parent": opened[-1] if opened else parent, "role": role, "ordinal": ordinal, "children": children})  # noqa: B023
+                opened.append(me)  # noqa: B023
+                return me
+
+            if isinstance(node, tuple):
+                if node[0] == "comment":
+                    add({"type": "comment", "text": node[3], "start": node[1], "end": node[1], "start_byte": node[2]}, 0)
+                    children = []
+                else:  # a parameter with its default
+                    _, arg, value = node
+                    add({"type": "default_parameter" if arg.annotation is None else "typed_default_parameter", "text": arg.arg, "start": arg.lineno, "end": value.end_lineno}, 1)
+                    children = [("value", value)]
+            else:
+                if isinstance(node, ast.expr):
+                    for begin, end in self.tokens.around(*self._bytes(node)):
+                        add({"type": "parenthesized_expression", "source": self._text(begin, end), "start": self._line(begin), "end": self._line(end - 1), "start_byte": begin, "end_byte": end}, 1)
+                        role, ordinal = "inner", 0
+                row = self._row(node, role == "format_spec" or parent is not None and self.rows[parent]["type"] in ("string", "concatenated_string", "string_content"))
+                if decorators := getattr(node, "decorator_list", None):
+                    at = add({"type": "decorated_definition", "start": decorators[0].lineno, "end": node.end_lineno}, len(decorators) + 1, role, ordinal)
+                    role, ordinal = "definition", len(decorators)
+                    todo = [(d, at, "decorator", i, within) for i, d in enumerate(decorators)]
+                    # decorators first, then the definition without them
+                    stack += [at, (_Bare(node, row), at, role, ordinal, within), *todo[::-1]]
+                    continue
+                if isinstance(node, _Bare):
+                    node, row = node.node, node.row
+                children = self._children(node)
+                if row["type"] == "function_definition":
+                    row["method"] = within
+                me = add(row, len(children), role, ordinal)
+                if isinstance(node, ast.ExceptHandler) and node.name:
+                    self.rows.append({"type": "identifier", "text": node.name, "start": node.lineno, "end": node.lineno, "id": me + 1, "parent": me, "role": "alias", "ordinal": -1, "children": 0, "last": me + 1})
+                if row["type"] == "concatenated_string":
+                    for i, (begin, end) in enumerate(self.tokens.pieces(row["start_byte"], row["end_byte"])):
+                        at = len(self.rows)
+                        self.rows.append({"type": "string", "source": self._text(begin, end), "text": self._text(begin, end), "start": self._line(begin), "end": self._line(end - 1), "start_byte": begin, "end_byte": end, "id": at, "parent": me, "role": "piece", "ordinal": i, "children": 0, "last": at})
+                within = within or isinstance(node, ast.ClassDef)
+            stack += opened
+            stack += [(child, opened[-1], r, i, within) for i, (r, child) in reversed(list(enumerate(children)))]
+
+    def _text(self, begin: int, end: int) -> str:
+        return self.src[begin:end].decode("utf-8", "replace")
+
+    def _string(self, begin: int, end: int) -> str:
+        return "string" if len(self.tokens.pieces(begin, end)) < 2 else "concatenated_string"
+
+    def _row(self, node, in_string: bool) -> dict:
+        """``in_string``: the node is a piece of an f-string's text and no literal of its own."""
+        if isinstance(node, _Bare):
+            return node.row
         name = type(node).__name__
         kind = TYPES.get(name, name.lower())
         if not hasattr(node, "lineno"):
             return {"type": kind, "start": 1, "end": len(self.starts) - 1}
         begin, end = self._bytes(node)
-        source = self.src[begin:end].decode("utf-8", "replace")
-        if isinstance(node, ast.Constant):
-            kind = _constant(node, source)
+        if isinstance(node, ast.JoinedStr):
+            kind = "string_content" if in_string else self._string(begin, end)
+        elif isinstance(node, ast.Constant):
+            if isinstance(node.value, (str, bytes)):
+                kind = "string_content" if in_string else self._string(begin, end)
+            elif node.value is Ellipsis:
+                kind = "ellipsis"
+            else:
+                kind = {True: "true", False: "false"}[node.value] if isinstance(node.value, bool) else {int: "integer", float: "float"}.get(type(node.value), "none")
+        elif isinstance(node, ast.ExceptHandler) and self.src[begin + 6 : end].lstrip(b" \t\f\\\n").startswith(b"*"):
+            kind = "except_group_clause"
         text = None
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             text = node.name
         elif isinstance(node, ast.Call):
-            text = self.src[slice(*self._bytes(node.func))].decode("utf-8", "replace")
+            text = self._text(*(self.tokens.around(*self._bytes(node.func)) or [self._bytes(node.func)])[0])
         elif isinstance(node, ast.AugAssign):
             text = type(node.op).__name__
         elif isinstance(node, ast.Compare):
             text = type(node.ops[0]).__name__ if len(node.ops) == 1 else "chain"
         elif kind in SOURCED:
-            text = source
-        row = {"type": kind, "text": text, "source": source if kind in SOURCED else None, "start": node.lineno, "end": node.end_lineno, "start_byte": begin, "end_byte": end}
+            text = self._text(begin, end)
+        row = {"type": kind, "text": text, "source": self._text(begin, end) if kind in SOURCED else None, "start": node.lineno, "end": node.end_lineno, "start_byte": begin, "end_byte": end}
         if kind == "function_definition":
-            block, stop = self._bytes(node.body[0])[0], end
-            first = node.body[0].lineno
-            row["lines"] = [x.decode("utf-8", "replace").rstrip() for x in self.src[block:stop].split(b"\n")]
+            head = node.body[0]
+            block, first = self._bytes(head)[0], head.lineno
+            if decorators := getattr(head, "decorator_list", None):
+                first = decorators[0].lineno
+                block = self.src.rindex(b"@", 0, self._bytes(decorators[0])[0])
+            row["lines"] = [x.decode("utf-8", "replace").rstrip() for x in self.src[block:end].split(b"\n")]
             row["offsets"] = [first, *self.starts[first - 1 : first + len(row["lines"])]]
         return row
 
@@ -136,18 +264,28 @@ class _File:
             stack += below.get(at, [])
 
 
+class _Bare:
+    """A definition whose decorators have been taken off."""
+
+    def __init__(self, node, row: dict):
+        self.node, self.row = node, row
+
+
 def file_nodes(content: bytes) -> list[dict]:
     """Rows of one file; of a file that doesn't parse, one row of type parse_error."""
     try:
         return _File(content).rows
-    except (SyntaxError, ValueError, RecursionError, tokenize.TokenError) as e:
+    except (SyntaxError, ValueError, RecursionError, MemoryError, tokenize.TokenError) as e:
         return [{"id": 0, "last": 0, "rpre": 0, "ordinal": 0, "children": 0, "type": "parse_error", "role": "module", "start": getattr(e, "lineno", None) or 1, "end": getattr(e, "lineno", None) or 1, "text": str(e)[:200]}]
 
 
 def nodes(files: DataFrame) -> DataFrame:
-    """The node table of files (repo, path, content binary). Rows of deleted files should be filtered out before."""
+    """The node table of files (repo, path, content binary). Rows of deleted files should be filtered out before.
+
+    Lazy: every branch of a plan parses again. ``node_table`` parses once. Few large partitions are dealt out over all cores first.
+    """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    types = [pa.string(), pa.string(), *[pa.int32()] * 5, pa.string(), pa.string(), *[pa.int32()] * 3, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
+    types = [pa.string(), pa.string(), *[pa.int32()] * 5, pa.string(), pa.string(), pa.int32(), pa.bool_(), *[pa.int32()] * 2, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,4 +297,14 @@ def nodes(files: DataFrame) -> DataFrame:
                     rows = []
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types, strict=True)], names)
 
-    return files.select("repo", "path", files["content"].cast("binary").alias("content")).mapInArrow(run, SCHEMA)
+    return spread(files.select("repo", "path", files["content"].cast("binary").alias("content"))).mapInArrow(run, SCHEMA)
+
+
+def node_table(files: DataFrame) -> DataFrame:
+    """The node table, parsed once and written to the shared folder: analyzers read only the columns and types that they need."""
+    return written(nodes(files), "nodes")
+
+
+def parse_errors(nodes: DataFrame) -> DataFrame:
+    """(repo, path, line, message) of the files that didn't parse."""
+    return nodes.where("type = 'parse_error'").select("repo", "path", nodes["start"].alias("line"), nodes["text"].alias("message"))

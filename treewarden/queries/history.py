@@ -94,6 +94,54 @@ def overlap_band_all(spark, sf_dir):
     return st.band_overlap(found, hits).groupBy("file").agg(F.count("*").alias("findings"), F.count_if("covered").alias("covered"))
 
 
+def overlap_totals(spark, sf_dir):
+    """Totals over all rows of what overlap_band_all counts by file."""
+    li = _table(spark, sf_dir, "lineitem")
+    line = F.col("l_quantity").cast("int")
+    found = li.where("NOT coalesce(l_discount > 0.07, false)").select(F.concat(F.lit("f"), F.col("l_partkey")).alias("file"), line.alias("line"))
+    hits = li.where("l_discount > 0.07").select(F.concat(F.lit("f"), F.col("l_partkey")).alias("path"), line.alias("row"))
+    return st.overlap_totals(st.band_overlap(found, hits))
+
+
+def _warnings(spark, sf_dir):
+    """Orders as findings of three analyzers in fifty files."""
+    k = F.col("o_orderkey")
+    name = F.when(k % 4 == 0, "dup.block").when(k % 4 == 1, "risk.error-masking").otherwise("other")
+    return _table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), k % 50).alias("file"), F.when(F.col("o_orderstatus") == "O", "warn").otherwise("info").alias("severity"), name.alias("analyzer_id"))
+
+
+def warns_by_file(spark, sf_dir):
+    return st.warns_per_file(_warnings(spark, sf_dir))
+
+
+def warns_and_churn(spark, sf_dir):
+    """Every file with warnings or changes; lineitem rows are changes of sixty files."""
+    churned = _table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("f"), F.col("l_orderkey") % 60 + 10).alias("file")).agg(F.sum(F.col("l_quantity").cast("long")).alias("churn"))
+    return st.warns_and_churn(st.warns_per_file(_warnings(spark, sf_dir)), churned)
+
+
+def repo_ranges(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("repo"), F.col("o_custkey").alias("sha"), F.col("o_orderdate").alias("at"), F.concat(F.lit("f"), F.col("o_orderkey") % 50).alias("file"))
+    return st.repo_ranges(o)
+
+
+def commit_sample(spark, sf_dir):
+    """A sampling operator: 100 orders as commits, at least 14 days before 1998."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_orderdate").alias("at"))
+    return st.sampled_commits(o, 100, F.lit("1998-01-01 00:00:00").cast("timestamp"))
+
+
+def phase_times(spark, sf_dir):
+    """Events of a user as phases: milliseconds since the one before."""
+    e = _table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("repo"), F.col("ts").alias("at")).agg(F.min("event_type").alias("phase"))
+    return ch.elapsed(e)
+
+
+def changed_paths(spark, sf_dir):
+    """The first twenty changed paths of two snapshots, a top-k report."""
+    return ch.first_changed(ch.snapshot_diff(*_snapshots(spark, sf_dir)))
+
+
 def sample_quota(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("available"))
     return st.quotas(d, 100)
@@ -162,7 +210,7 @@ def bootstrap_interval(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (baseline_new, baseline_mark, diff_changes, diff_summary, snapshot_diff, incremental_merge, version_delta, debounce_sessions, overlap_band, overlap_band_all, sample_quota, stratified_sample, label_score, churn_14d, churn_14d_all, file_age, file_age_all, fisher_z, bootstrap_interval)
+    for f in (baseline_new, baseline_mark, diff_changes, diff_summary, snapshot_diff, incremental_merge, version_delta, debounce_sessions, overlap_band, overlap_band_all, overlap_totals, warns_by_file, warns_and_churn, repo_ranges, commit_sample, phase_times, changed_paths, sample_quota, stratified_sample, label_score, churn_14d, churn_14d_all, file_age, file_age_all, fisher_z, bootstrap_interval)
 } | {"spearman": _rho(), "partial_spearman": _rho("z"), "partial_spearman_2": _rho("z", "w")}
 
 _RANKS = """WITH o AS (SELECT l_returnflag, l_linestatus, l_quantity AS x, round(l_extendedprice / 100) AS y, l_discount AS z, l_tax AS w FROM lineitem),
@@ -170,6 +218,8 @@ r AS (SELECT l_returnflag, l_linestatus, """ + ", ".join(f"rank() OVER (PARTITIO
 g AS (SELECT l_returnflag, l_linestatus, count(*) AS n, corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz, corr(x, w) AS xw, corr(y, w) AS yw, corr(z, w) AS zw FROM r GROUP BY ALL)"""
 _ONCE = "(({0} - {1} * {2}) / sqrt((1 - {1} * {1}) * (1 - {2} * {2})))"
 
+_WARNS = "w AS (SELECT 'f' || (o_orderkey % 50) AS file, count(*) FILTER (WHERE o_orderkey % 4 = 0) AS warns_dup, count(*) FILTER (WHERE o_orderkey % 4 = 1) AS warns_em FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)"
+
 ORACLES = {
     "baseline_new": f"WITH {_R} SELECT id, severity FROM d WHERE kind = 'added'",
     "baseline_mark": f"WITH {_R} SELECT severity, count(*) FILTER (WHERE kind IN ('moved', 'stable')) AS baselined, count(*) FILTER (WHERE kind = 'added') AS new FROM d WHERE kind IS NOT NULL AND kind <> 'resolved' GROUP BY severity",
@@ -185,11 +235,23 @@ ORACLES = {
  SELECT file, count(*) AS findings, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM h WHERE path = file AND abs(h.row - line) <= 3)) AS covered FROM f GROUP BY file""",
     "overlap_band_all": """WITH f AS (SELECT 'f' || l_partkey AS file, trunc(l_quantity) AS line FROM lineitem WHERE NOT coalesce(l_discount > 0.07, false)), h AS (SELECT DISTINCT 'f' || l_partkey AS path, trunc(l_quantity) AS row FROM lineitem WHERE l_discount > 0.07)
  SELECT file, count(*) AS findings, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM h WHERE path = file AND abs(h.row - line) <= 3)) AS covered FROM f GROUP BY file""",
+    "overlap_totals": """WITH f AS (SELECT 'f' || l_partkey AS file, trunc(l_quantity) AS line FROM lineitem WHERE NOT coalesce(l_discount > 0.07, false)), h AS (SELECT DISTINCT 'f' || l_partkey AS path, trunc(l_quantity) AS row FROM lineitem WHERE l_discount > 0.07),
+ m AS (SELECT EXISTS (SELECT 1 FROM h WHERE path = file AND abs(h.row - line) <= 3) AS covered FROM f), t AS (SELECT count(*) AS findings, count(*) FILTER (WHERE covered) AS covered, count(*) FILTER (WHERE NOT covered) AS unique FROM m)
+ SELECT *, round(100.0 * covered / findings, 1) AS covered_pct, round(100.0 * "unique" / findings, 1) AS unique_pct FROM t""",
+    "warns_by_file": f"WITH {_WARNS} SELECT * FROM w",
+    "warns_and_churn": f"WITH {_WARNS}, c AS (SELECT 'f' || (l_orderkey % 60 + 10) AS file, sum(CAST(trunc(l_quantity) AS BIGINT)) AS churn FROM lineitem GROUP BY 1) SELECT file, coalesce(warns_dup, 0) AS warns_dup, coalesce(warns_em, 0) AS warns_em, CAST(coalesce(churn, 0) AS BIGINT) AS churn FROM w FULL JOIN c USING (file)",
+    "repo_ranges": "SELECT o_orderpriority AS repo, min(o_orderdate) AS first, max(o_orderdate) AS last, count(*) AS n_rows, count(DISTINCT o_custkey) AS commits, count(DISTINCT o_orderkey % 50) AS files FROM orders GROUP BY 1",
+    "commit_sample": "SELECT o_orderkey AS sha, o_orderdate AS at FROM orders WHERE o_orderdate <= TIMESTAMP '1997-12-18' ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 100",
+    "phase_times": "WITH e AS (SELECT user_id AS repo, ts AS at, min(event_type) AS phase FROM events GROUP BY 1, 2) SELECT *, (epoch_us(at) - epoch_us(lag(at) OVER (PARTITION BY repo ORDER BY at))) // 1000 AS prev_ms FROM e",
+    "changed_paths": f"WITH {_S} SELECT path FROM p WHERE NOT (k % 6 = 0 AND k % 4 = 0) AND (k % 6 = 0 OR k % 4 = 0 OR k % 5 = 0) ORDER BY path LIMIT 20",
+    "stratified_sample": """WITH g AS (SELECT source AS name, count(*) AS available, least(3, count(*)) AS first FROM documents GROUP BY source), t AS (SELECT *, available - first AS weight, 100 - sum(first) OVER () AS remaining, greatest(sum(available - first) OVER (), 1) AS total FROM g),
+ q AS (SELECT name, first + greatest(0, CASE WHEN remaining > 0 THEN least(round_even(remaining * weight / total, 0), weight) ELSE 0 END) AS quota FROM t),
+ n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS n FROM documents) SELECT doc_id, source FROM n JOIN q ON name = source WHERE n <= quota""",
     "sample_quota": """WITH g AS (SELECT source AS name, count(*) AS available, least(3, count(*)) AS first FROM documents GROUP BY source), t AS (SELECT *, available - first AS weight, 100 - sum(first) OVER () AS remaining, greatest(sum(available - first) OVER (), 1) AS total FROM g)
  SELECT name, available, CAST(first + greatest(0, CASE WHEN remaining > 0 THEN least(round_even(remaining * weight / total, 0), weight) ELSE 0 END) AS BIGINT) AS quota FROM t""",
     "label_score": """WITH l AS (SELECT source AS repo, lang AS kind, CASE WHEN quality = 1 AND toxic = 0 THEN 'tp' WHEN quality = 0 AND toxic = 0 THEN 'fp' WHEN quality = 1 THEN 'style' WHEN doc_id % 2 = 0 THEN 'boilerplate' ELSE 'unclear' END AS label FROM documents JOIN labels USING (doc_id)),
  g AS (SELECT repo, kind, count(*) FILTER (WHERE label = 'tp') AS tp, count(*) FILTER (WHERE label = 'fp') AS fp, count(*) FILTER (WHERE label = 'boilerplate') AS boilerplate, count(*) FILTER (WHERE label = 'style') AS style, count(*) FILTER (WHERE label = 'unclear') AS unclear, count(*) AS labeled FROM l GROUP BY GROUPING SETS ((), (repo), (kind))),
- p AS (SELECT *, CASE WHEN labeled - unclear - boilerplate > 0 THEN round(tp / (labeled - unclear - boilerplate), 6) END AS precision, round(tp / labeled, 6) AS actionable FROM g) SELECT *, precision >= 0.4 AND actionable >= 0.2 AS passes FROM p""",
+ p AS (SELECT *, CASE WHEN labeled - unclear - boilerplate > 0 THEN round(tp / (labeled - unclear - boilerplate), 6) END AS precision, round(tp / labeled, 6) AS actionable FROM g) SELECT *, CASE WHEN tp >= 0.4 * labeled THEN 'pass' WHEN tp >= 0.2 * labeled THEN 'threshold' ELSE 'redesign' END AS gate FROM p""",
     "churn_14d": """WITH o AS (SELECT o_orderkey AS key, 'f' || (o_custkey % 100) AS file, o_orderdate AS since FROM orders WHERE o_orderkey % 3 = 0), c AS (SELECT 'f' || (l_orderkey % 100) AS file, l_shipdate AS changed_at, CAST(trunc(l_quantity) AS BIGINT) AS lines FROM lineitem WHERE l_linenumber = 1)
  SELECT key, o.file, CAST(coalesce(sum(lines), 0) AS BIGINT) AS churn FROM o LEFT JOIN c ON c.file = o.file AND changed_at BETWEEN since AND since + INTERVAL 14 DAY GROUP BY key, o.file""",
     "churn_14d_all": """WITH o AS (SELECT o_orderkey AS key, 'f' || (o_custkey % 100) AS file, o_orderdate AS since FROM orders), c AS (SELECT 'f' || (l_orderkey % 100) AS file, l_shipdate AS changed_at, CAST(trunc(l_quantity) AS BIGINT) AS lines FROM lineitem)

@@ -5,15 +5,15 @@ from __future__ import annotations
 import subprocess
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .files import SUFFIX, safe_ref
+from .files import SUFFIX, commit_of
 
 
 def git_lines(spark: SparkSession, repo: str | Path, *args: str, head: str = "HEAD") -> DataFrame:
     """(repo, value): the lines of a git log; git's own failure is an error."""
-    out = subprocess.run(["git", "-C", str(repo), "log", *args, safe_ref(head), "--"], capture_output=True, timeout=900, check=True).stdout
+    out = subprocess.run(["git", "-C", str(repo), "log", *args, commit_of(repo, head), "--"], capture_output=True, timeout=900, check=True).stdout
     return spark.createDataFrame([(str(repo), x) for x in out.decode("utf-8", "replace").split("\n") if x], "repo string, value string")
 
 
@@ -44,3 +44,23 @@ def observed(rows: DataFrame) -> DataFrame:
     """Without files that were not there, renames and tests."""
     file = F.col("file")
     return rows.where((F.col("loc") > 0) & ~file.contains("=>") & ~file.startswith("tests/") & ~file.contains("/tests/"))
+
+
+def labelled(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of labelled CSV files as text columns, an empty label as null."""
+    rows = spark.read.csv(path, header=True, escape='"', multiLine=True, enforceSchema=False)
+    return rows.withColumn("label", F.nullif(F.trim("label"), F.lit("")))
+
+
+def linter_hits(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row, code) of another linter's JSON report, an array of hits with filename, location.row and code."""
+    rows = spark.read.json(path, multiLine=True, schema="filename string, code string, location struct<row: int>")
+    return rows.where("filename IS NOT NULL").select(F.col("filename").alias("path"), F.col("location.row").alias("row"), "code")
+
+
+def first_commits(lines: DataFrame) -> DataFrame:
+    """(repo, file, first) of lines "@<ISO date>" each followed by the names of files added then, numbered by ``n`` within repo: the earliest date of each file."""
+    at = F.try_to_timestamp(F.substring("value", 2, 64), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
+    order = Window.partitionBy("repo").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)  # a log of one repository
+    dated = lines.withColumn("first", F.last(F.when(F.col("value").startswith("@"), at), ignorenulls=True).over(order))
+    return dated.where(~F.col("value").startswith("@") & F.col("value").endswith(SUFFIX)).groupBy("repo", F.col("value").alias("file")).agg(F.min("first").alias("first"))
