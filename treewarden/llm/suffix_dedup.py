@@ -2,8 +2,8 @@
 
 Two equal strings of ``length`` bytes choose the same anchors in themselves: the k-grams with the smallest hash among all k-grams of the
 string. So (1) only anchors, about 7 in 100 positions, are sent out, as 32-bit hashes in buckets, to learn which are in two or more
-documents; (2) those alone go back to their documents and bring along the bytes around them; (3) in each bucket of anchors the suffixes that begin
-with what is around an anchor are sorted, and then, where surroundings differ, those that begin at every offset around it: a
+documents; (2) those alone go back to their documents and bring along the bytes around them; (3) in each bucket of anchors rows with the same bytes around them
+become one, by hashes that are verified, and the suffixes that begin at the offsets around the others are sorted, each string by its own anchor: a
 mergesort whose comparisons find the common extension of two suffixes by binary search on prefix polynomial hashes, after which every pair of
 neighbours in the order is verified byte by byte; (4) spans go back to the documents.
 
@@ -135,6 +135,15 @@ def row_hashes(rows: np.ndarray) -> np.ndarray:
     return mixed(out)
 
 
+def alike(rows: np.ndarray) -> np.ndarray:
+    """Numbers of the rows of bytes, the same for equal rows: rows of one hash are held against the first of them byte by byte."""
+    _, first, out = np.unique(row_hashes(rows), return_index=True, return_inverse=True)
+    for at in range(0, len(rows), 50_000):
+        if (rows[at : at + 50_000] != rows[first[out[at : at + 50_000]]]).any():  # different rows with one hash
+            return classes(rows, np.zeros(len(rows), np.int64), rows.shape[1])
+    return out
+
+
 def classes(rows: np.ndarray, keys: np.ndarray, length: int) -> np.ndarray:
     """Numbers of the rows of bytes, the same for those with the same first ``length`` bytes, by sorting them as suffixes. Equal rows must have equal keys."""
     order, same = sort_suffixes(np.ascontiguousarray(rows).ravel(), np.arange(len(rows)) * rows.shape[1], keys, length)
@@ -177,7 +186,7 @@ def settle(doc: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray
     if not len(doc):
         return doc, pos, pos
     grams = row_hashes(around[:, out : out + GRAM])
-    _, whole = np.unique(classes(around, grams, width) * (out + 1) ** 2 + left * (out + 1) + right, return_inverse=True)
+    _, whole = np.unique(alike(around) * (out + 1) ** 2 + left * (out + 1) + right, return_inverse=True)
     covered = doc > least_of(whole, doc)
     longest, shortest = np.minimum(left, out), np.maximum(0, out - right)
     spans = [(doc[covered], (pos - longest)[covered], (pos - shortest + length)[covered])]
@@ -359,7 +368,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000, slices_
                 continue
             # equal surroundings here: only the smallest doc's go on, the others are settled
             gram = row_hashes(around[:, out : out + GRAM])
-            _, kind = np.unique(classes(around, gram, width) * (out + 1) ** 2 + left * (out + 1) + right, return_inverse=True)
+            _, kind = np.unique(alike(around) * (out + 1) ** 2 + left * (out + 1) + right, return_inverse=True)
             over = doc > least_of(kind, doc)
             spans = merged(doc[over], (pos - np.minimum(left, out))[over], (pos - np.maximum(0, out - right) + length)[over])
             doc, pos, left, right, around, is_hot, gram = (x[~over] for x in (doc, pos, left, right, around, is_hot, gram))
