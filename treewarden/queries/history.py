@@ -242,7 +242,8 @@ ORACLES = {
     "warns_and_churn": f"WITH {_WARNS}, c AS (SELECT 'f' || (l_orderkey % 60 + 10) AS file, sum(CAST(trunc(l_quantity) AS BIGINT)) AS churn FROM lineitem GROUP BY 1) SELECT file, coalesce(warns_dup, 0) AS warns_dup, coalesce(warns_em, 0) AS warns_em, CAST(coalesce(churn, 0) AS BIGINT) AS churn FROM w FULL JOIN c USING (file)",
     "repo_ranges": "SELECT o_orderpriority AS repo, min(o_orderdate) AS first, max(o_orderdate) AS last, count(*) AS n_rows, count(DISTINCT o_custkey) AS commits, count(DISTINCT o_orderkey % 50) AS files FROM orders GROUP BY 1",
     "commit_sample": "SELECT o_orderkey AS sha, o_orderdate AS at FROM orders WHERE o_orderdate <= TIMESTAMP '1997-12-18' ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 100",
-    "phase_times": "WITH e AS (SELECT user_id AS repo, ts AS at, min(event_type) AS phase FROM events GROUP BY 1, 2) SELECT *, (epoch_us(at) - epoch_us(lag(at) OVER (PARTITION BY repo ORDER BY at))) // 1000 AS prev_ms FROM e",
+    "phase_times": """WITH e AS (SELECT user_id AS repo, ts AS "at", min(event_type) AS phase FROM events GROUP BY 1, 2), b AS (SELECT *, lag("at") OVER (PARTITION BY repo ORDER BY "at") AS before FROM e)
+ SELECT repo, "at", phase, (epoch_us("at") - epoch_us(before)) // 1000 AS prev_ms FROM b""",
     "changed_paths": f"WITH {_S} SELECT path FROM p WHERE NOT (k % 6 = 0 AND k % 4 = 0) AND (k % 6 = 0 OR k % 4 = 0 OR k % 5 = 0) ORDER BY path LIMIT 20",
     "stratified_sample": """WITH g AS (SELECT source AS name, count(*) AS available, least(3, count(*)) AS first FROM documents GROUP BY source), t AS (SELECT *, available - first AS weight, 100 - sum(first) OVER () AS remaining, greatest(sum(available - first) OVER (), 1) AS total FROM g),
  q AS (SELECT name, first + greatest(0, CASE WHEN remaining > 0 THEN least(round_even(remaining * weight / total, 0), weight) ELSE 0 END) AS quota FROM t),
