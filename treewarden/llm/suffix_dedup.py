@@ -322,17 +322,27 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000, slices_
         return (mixed(hashes + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in slices(batches, most_bytes=16 << 20):
-            found = []
-            for b in slices([big], most_bytes=1 << 20):
-                texts = utf8(b.column("text"))
-                data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
-                at, grams = anchors(data, ends, length)
-                row = np.searchsorted(ends, at, side="right")
-                found.append((grams, b.column("doc_id").to_numpy()[row], (at - np.concatenate(([0], ends))[row]).astype(np.uint32)))
+        """Anchors of about a megabyte at a time, one row a bucket for every 16 MB or so."""
+        found, size = [], 0
+
+        def dealt() -> pa.RecordBatch:
             grams, doc, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
             bucket = np.where(_is_in(grams, held.value), buckets + bucket_of(doc.view(np.uint64)), bucket_of(grams))
-            yield _bucket_rows(bucket, {"gram": (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32), "doc": _steps(bucket, doc), "pos": _steps(bucket, pos)})
+            return _bucket_rows(bucket, {"gram": (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32), "doc": _steps(bucket, doc), "pos": _steps(bucket, pos)})
+
+        for b in slices(batches, most_bytes=1 << 20):
+            texts = utf8(b.column("text"))
+            data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+            at, grams = anchors(data, ends, length)
+            row = np.searchsorted(ends, at, side="right")
+            found.append((grams, b.column("doc_id").to_numpy()[row], (at - np.concatenate(([0], ends))[row]).astype(np.uint32)))
+            size += len(data)
+            if size > 16 << 20:
+                yield dealt()
+                size = 0
+        if found:
+            yield dealt()
 
     def share(rows: pa.Table) -> pa.Table:
         gram, doc, pos = _joined(rows, "gram", np.uint32), _summed(rows, "doc", np.int64), _summed(rows, "pos", np.uint32)
