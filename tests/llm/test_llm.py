@@ -250,6 +250,38 @@ def test_toxicity(spark, docs, none):
     assert toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int")).weights.sum() == 0
 
 
+def test_toxicity_scores_by_hand(spark, docs, rows):
+    """Every score and offending sentence by plain loops from the weights; the split by crc32; what teaches and what doesn't."""
+    import re
+
+    import xxhash
+
+    weights = np.random.default_rng(3).normal(0, 0.4, toxicity.SLOTS).astype(np.float32)
+    model = toxicity.Model(-3.0, weights)
+
+    def plain(text):
+        out = []
+        for part in re.split(r"[.!?\n]+", text or ""):
+            slots = set()
+            for w in part.split():
+                w = w.lower().strip(toxicity._EDGES)
+                slots |= {xxhash.xxh64_intdigest(x) % toxicity.SLOTS for x in ([w] if w else []) + [f"{w[:n]}-" for n in (4, 5) if len(w) >= n]}
+            if part.strip():
+                out.append(1 / (1 + np.exp(-np.clip(-3.0 + sum(float(weights[i]) for i in slots), -30, 30))))
+        return 1 - np.prod([1 - p for p in out]) if out else 0.0, sum(p >= 0.5 for p in out)
+
+    want = sorted((str(i), round(plain(t)[0], 6), int(plain(t)[0] >= 0.5), int(plain(t)[1])) for i, t, *_ in rows)
+    got = sorted((str(r["doc_id"]), round(r["score"], 6), r["predicted"], len(r["offending"])) for r in toxicity.score(docs, model, locate=True).collect())
+    assert [g[0] for g in got] == [w[0] for w in want] and all(g[1] == pytest.approx(w[1], abs=2e-6) and g[2:] == w[2:] for g, w in zip(got, want, strict=True))
+    ids = spark.createDataFrame([(i,) for i in range(300)] + [(None,)], "doc_id long")
+    assert {r["doc_id"]: r["h"] for r in ids.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect() if r["doc_id"] is not None} == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(300)}
+    sample = spark.createDataFrame([(i, ("nasty " if i % 2 else "fine ") + "words here") for i in range(60)] + [(None, "nasty"), (5, None)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(60)]
+    clean = toxicity.train(sample, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    odd = toxicity.train(sample, spark.createDataFrame(labels + [(None, 0), (3, None), (3, 0), (777, 1)], "doc_id long, toxic int"))
+    assert (clean.weights == odd.weights).all() and clean.bias == odd.bias and by_id(toxicity.score(sample, clean))[1]["predicted"] == 1
+
+
 def test_jaccard_components(docs, none, rows):
     for n, percent in ((4, 85), (5, 80), (2, 60)):
         sets = {}
@@ -333,6 +365,11 @@ def test_packing(docs, none, rows):
             at += length
         assert at == whole if whole is not None else at <= 2048, name
     assert set(pieces) == set(ids) and packing.harmonic_pack(none, P.path("byte_bpe_50k.json")).count() == 0
+    # repeated rows, each packed by itself, and little padding
+    every = packing.harmonic_pack(docs.unionAll(docs), P.path("byte_bpe_50k.json")).collect()
+    whole = 2 * sum(len(t.encode(text or "", add_special_tokens=False).ids) + 1 for _, text, *_ in rows)
+    bins = {r["sequence_id"] for r in every}
+    assert sum(r["length"] for r in every) == whole and sum(r["doc_tokens"] for r in every if r["start"] == 0) == whole and len(bins) * 2048 <= 1.1 * whole + 3 * 2048
 
 
 def brute_removed(rows, length):
