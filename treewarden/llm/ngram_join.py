@@ -114,8 +114,8 @@ def prefixes(docs: Texts, n: int, percent: int, common: np.ndarray) -> DataFrame
     return docs.map(run, "id long, size long, prefix array<long>").where("size > 0")
 
 
-def bitmaps(docs: DataFrame, n: int) -> DataFrame:
-    """(id, size, bits): which slots hold a token. A set has BITS slots, a large one eight times its size or up to double that."""
+def bitmaps(docs: DataFrame, n: int, marked: np.ndarray) -> DataFrame:
+    """(id, size, bits) of the rows that may be marked, in one pass: which slots hold a token. A set has BITS slots, a large one eight times its size or up to double that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sets in _sets(batches, n):
@@ -126,7 +126,7 @@ def bitmaps(docs: DataFrame, n: int) -> DataFrame:
                 out.append(np.packbits(bits, bitorder="little").tobytes())
             yield pa.record_batch({"id": b.column("doc_id"), "size": pa.array([len(s) for s in sets], pa.int64()), "bits": pa.array(out, pa.binary())})
 
-    return docs.mapInArrow(run, "id long, size long, bits binary").where("size > 0")
+    return map_marked(docs, run, "id long, size long, bits binary", marked).where("size > 0")
 
 
 def folded(bits: bytes, length: int) -> np.ndarray:
@@ -225,7 +225,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     shared = written(shared.select("id", "size", "token", "rest", F.col("least.id").alias("least"), F.col("least.size").alias("least_size")), "shared")
     stars = shared.where((F.col("id") != F.col("least")) & _fit(F.col("size"), F.col("least_size"), percent)).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     stars = written(stars, "stars")
-    slots = written(bitmaps(maybe_marked(src, marks(shared, "id")), n).dropDuplicates(["id", "size", "bits"]), "bitmaps")
+    slots = written(bitmaps(src, n, marks(shared, "id")), "bitmaps")
     left, right = slots.select(F.col("id").alias("a"), "size", F.col("bits").alias("x")), slots.select(F.col("id").alias("b"), F.col("size").alias("least"), F.col("bits").alias("y"))
     stars = written(bounded(stars, left, right, percent).distinct(), "near")
     first = written(_compared(stars, src, n, percent), "first")
