@@ -361,6 +361,16 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000, slices_
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Surroundings of shared anchors by anchor bucket, of hot ones string by string; what is settled among these rows rides along as spans."""
+        held_rows, size = [], 0
+
+        def dealt() -> pa.RecordBatch:
+            bucket, doc, pos, left, right, around, *spans = (np.concatenate(x) for x in zip(*held_rows, strict=True))
+            held_rows.clear()
+            rows = _bucket_rows(bucket, {"doc": doc, "pos": pos, "left": left, "right": right, "around": around})
+            riding = int(mixed(doc[:1].view(np.uint64))[0] % np.uint64(rows.num_rows))
+            ride = lambda x: [_planes(x) if i == riding else b"" for i in range(rows.num_rows)]
+            return pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(ride(x), pa.binary()) for x in spans)], [*rows.schema.names, "span_doc", "span_begin", "span_end"])
+
         for b in slices(batches, most_bytes=1 << 20):
             texts, sizes = utf8(b.column("text")), b.column("at").value_lengths().to_numpy()
             lengths = np.array([len(t) for t in texts])
@@ -389,19 +399,17 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000, slices_
             strings[:, :length] = np.lib.stride_tricks.sliding_window_view(around.ravel() if len(around) else np.zeros(length, np.uint8), length)[h * width + out - a] if len(h) else 0
             cold, none = ~is_hot, np.zeros(len(h), np.uint8)
             salt = np.uint64(int(mixed(doc[:1].view(np.uint64))[0]) % salts)
-            rows = _bucket_rows(
-                np.concatenate((bucket_of(gram[cold]), buckets + bucket_of(row_hashes(strings[:, :length]) ^ mixed(np.full(1, salt))))),
-                {
-                    "doc": np.concatenate((doc[cold], doc[h])),
-                    "pos": np.concatenate((pos[cold], pos[h] - a)),
-                    "left": np.concatenate((left[cold].astype(np.uint8), none)),
-                    "right": np.concatenate((right[cold].astype(np.uint8), none)),
-                    "around": np.concatenate((around[cold], strings)),
-                },
-            )
-            riding = int(gram[0] % np.uint64(rows.num_rows)) if rows.num_rows else 0
-            ride = lambda x: [_planes(x) if i == riding else b"" for i in range(rows.num_rows)]  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(ride(x), pa.binary()) for x in spans)], [*rows.schema.names, "span_doc", "span_begin", "span_end"])
+            bucket = np.concatenate((bucket_of(gram[cold]), buckets + bucket_of(row_hashes(strings[:, :length]) ^ mixed(np.full(1, salt)))))
+            if len(bucket):
+                held_rows.append((bucket, np.concatenate((doc[cold], doc[h])), np.concatenate((pos[cold], pos[h] - a)), np.concatenate((left[cold].astype(np.uint8), none)), np.concatenate((right[cold].astype(np.uint8), none)), np.concatenate((around[cold], strings)), *spans))
+            elif len(spans[0]):
+                held_rows.append((np.zeros(1, np.int64), spans[0][:1], spans[1][:1], np.zeros(1, np.uint8), np.zeros(1, np.uint8), np.zeros((1, width), np.uint8), *spans))
+            size += int(lengths.sum())
+            if held_rows and size > 8 << 20:
+                yield dealt()
+                size = 0
+        if held_rows:
+            yield dealt()
 
     schema = "bucket int, doc binary, pos binary, left binary, right binary, around binary, span_doc binary, span_begin binary, span_end binary"
     near = maybe_marked(src, marks(shared.select("doc_id"), "doc_id"))
