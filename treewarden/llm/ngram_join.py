@@ -139,17 +139,14 @@ def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"id": b.column("id"), "size": b.column("size"), "bits": pa.array([folded(x, BITS // 8).tobytes() for x in b.column("bits").to_pylist()], pa.binary())})
 
 
-def tokens_of(docs: DataFrame, n: int) -> DataFrame:
+def tokens_of(docs: DataFrame, n: int, marked: np.ndarray) -> DataFrame:
+    """(id, tokens) of the rows that may be marked, in one pass and without a join; a row that isn't wanted meets no pair later."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sets in _sets(batches, n):
             yield pa.record_batch({"id": b.column("doc_id"), "tokens": _arrays(sets)})
 
-    return docs.mapInArrow(run, "id long, tokens array<long>").where("size(tokens) > 0")
-
-
-def _only(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """The rows with one of the ids; texts that can't be wanted stay where they are."""
-    return maybe_marked(docs, marks(ids, column)).join(ids.select(F.col(column).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return map_marked(docs, run, "id long, tokens array<long>", marked).where("size(tokens) > 0")
 
 
 def bounded(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
@@ -260,4 +257,4 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
 def _compared(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs that are similar enough, by the tokens of the texts they name."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    return linked(pairs, written(tokens_of(_only(docs, ids, "id"), n), "tokens"), percent)
+    return linked(pairs, written(tokens_of(docs, n, marks(ids, "id")), "tokens"), percent)
