@@ -50,7 +50,7 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string,
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str):
     """doc_ids of a slice, each text's ids, and each id's first byte in the text."""
     encoder = ranks_encoder(path, pattern)
-    for batch in slices(batches, most_bytes=10 << 20):
+    for batch in slices(batches, most_bytes=10 << 20, holds="encoder"):
         ids = [np.frombuffer(x, "<u4") for x in encoder.encode(batch.column("text"))]
         yield batch.column("doc_id"), ids, ((np.cumsum(n) - n).astype(np.uint32) for n in (encoder.lengths[x] for x in ids))
 

@@ -43,8 +43,16 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each holds about ``most_bytes`` of the named column (one row at least)."""
+#: What a worker remembers from task to task, by name: functions that forget it.
+REMEMBERED: dict[str, list] = {}
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 2 << 20, holds: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each holds about ``most_bytes`` of the named column (one row at least). What the worker remembers of operators other than ``holds`` is forgotten first."""
+    for name, forget in REMEMBERED.items():
+        if name != holds:
+            for f in forget:
+                f()
     for batch in batches:
         if not batch.num_rows:
             continue

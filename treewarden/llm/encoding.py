@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import REMEMBERED
+
 #: Fixed value: the splitting pattern that cuts are right for; tokenizers files name it as ByteLevel with use_regex.
 CUTTABLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
@@ -30,12 +32,12 @@ _ODD = r"[ \n][ \n]|^[ \n]|[ \n]\z|[\x00\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers. At most about ``most`` cuts are remembered.
 
-    ``cuttable``: whether texts may be cut; ``added``: strings of tokens that ``whole`` (the tokenizer itself, if not given) finds in a text before it is split.
+    ``cuttable``: whether texts may be cut; ``added``: strings of tokens that the tokenizer finds in a text before it is split; ``special_as_text``: special ones are ordinary text.
     """
 
-    def __init__(self, tokenizer, most: int = 150_000, cuttable: bool = True, added: tuple[str, ...] = (), whole=None):
+    def __init__(self, tokenizer, most: int = 150_000, cuttable: bool = True, added: tuple[str, ...] = (), special_as_text: bool = True):
         self.tokenizer, self.most, self.known = tokenizer, most, {}
-        self.cuttable, self.added, self.whole = cuttable, added, whole or tokenizer
+        self.cuttable, self.added, self.special_as_text = cuttable, added, special_as_text
         vocabulary = tokenizer.get_vocab()
         self.lengths = np.zeros(1 + max(vocabulary.values()), np.int64)  # bytes of each id
         for token, i in vocabulary.items():
@@ -76,7 +78,10 @@ class Encoder:
         return list(map(known.__getitem__, words))
 
     def _encode_whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for at in range(0, len(texts), 100) for e in self.whole.encode_batch_fast(texts[at : at + 100], add_special_tokens=False)]
+        self.tokenizer.encode_special_tokens = self.special_as_text
+        out = [array("I", e.ids).tobytes() for at in range(0, len(texts), 100) for e in self.tokenizer.encode_batch_fast(texts[at : at + 100], add_special_tokens=False)]
+        self.tokenizer.encode_special_tokens = True  # cuts never hold a token's string
+        return out
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Null is encoded as empty. Texts that can't be cut go through the library whole."""
@@ -137,9 +142,9 @@ def json_encoder(path: str, special_as_text: bool = False) -> Encoder:
     cuttable = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not told.get("normalizer") and told["model"].get("dropout") is None and not told.get("truncation")
     added = tuple(t["content"] for t in told.get("added_tokens", []) if not (special_as_text and t["special"]))
     del told
-    whole, parts = Tokenizer.from_file(path), Tokenizer.from_file(path)
-    whole.encode_special_tokens, parts.encode_special_tokens = special_as_text, True
-    return Encoder(parts, cuttable=bool(cuttable), added=added, whole=whole)
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return Encoder(tokenizer, cuttable=bool(cuttable), added=added, special_as_text=special_as_text)
 
 
 def byte_characters() -> dict[int, str]:
@@ -178,3 +183,6 @@ def ranks_tokenizer(path: str, pattern: str):
 @functools.lru_cache(2)
 def ranks_encoder(path: str, pattern: str) -> Encoder:
     return Encoder(ranks_tokenizer(path, pattern), cuttable=pattern == CUTTABLE)
+
+
+REMEMBERED["encoder"] = [f.cache_clear for f in (json_encoder, read_ranks, ranks_tokenizer, ranks_encoder)]

@@ -78,7 +78,7 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, en
             columns = list(zip(*rows, strict=True)) or [[]] * 8
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*(x.split()[0] for x in SCHEMA.split(", ")), "part"])
 
-        for batch in slices(batches, most_bytes=10 << 20):
+        for batch in slices(batches, most_bytes=10 << 20, holds="encoder"):
             out: list[tuple] = []
             for key, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
                 ids, at = memoryview(ids + end), 0

@@ -175,7 +175,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 0, ids_per_s
             keys, held, size, shard = [], [], 0, shard + 1
             return row
 
-        for batch in slices(batches, most_bytes=10 << 20):
+        for batch in slices(batches, most_bytes=10 << 20, holds="encoder"):
             for key, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
                 if held and size + len(ids) // 4 + 1 > ids_per_shard:
                     yield flush()

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, id_and_text, slices, written
+from .common import REMEMBERED, give_back, id_and_text, slices, written
 
 SLOTS = 1 << 20
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = 6_000, most_chars
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _slots()
-        for b in slices(batches):
+        for b in slices(batches, holds="slots"):
             found = [bag(t, slots) for t in b.column("text").to_pylist()]
             yield pa.record_batch({"h": b.column("h"), "doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "words": pa.array([w.tobytes() for w, _ in found], pa.binary()), "sizes": pa.array([n.tobytes() for _, n in found], pa.binary())})
 
@@ -166,6 +166,9 @@ def _slots() -> WordSlots:
     return WordSlots()
 
 
+REMEMBERED["slots"] = [_slots.cache_clear]
+
+
 def score(docs: DataFrame, model: Model, locate: bool = False) -> DataFrame:
     """Score and prediction of every row's whole text; with ``locate`` also the offending sentences (begin, text, score of at least 0.5).
 
@@ -176,7 +179,7 @@ def score(docs: DataFrame, model: Model, locate: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, model = _slots(), held.value
-        for b in slices(batches):
+        for b in slices(batches, holds="slots"):
             scores, offending = [], []
             for text in b.column("text").fill_null("").to_pylist():
                 parts = sentences(text)
@@ -203,7 +206,7 @@ def keep_below(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, model = _slots(), held.value
-        for b in slices(batches):
+        for b in slices(batches, holds="slots"):
             keep = []
             for text in b.column("text").fill_null("").to_pylist():
                 parts = sentences(text)
