@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, ngram_join, packing, quality, suffix_dedup, token_store, toxicity, url_filter, warc
+from . import ann, byte_bpe, collocations, line_dedup, ngram_join, packing, quality, spelling, suffix_dedup, token_store, toxicity, url_filter, warc
 from .common import table
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -54,13 +54,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"), least_docs=10)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"), most_words=4, least=30, accounted=80, best=2000)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.word_counts(table(spark, sf_dir, "documents"), least_chars=7, least=2, delete_every=31), times=10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mcd_quality, op2_url_rules, op3_token_store, op4_byte_bpe, op5_toxicity, op6_ngram_join, op7_neighbours, op8_packing, op9_suffix_dedup, op10_warc, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mcd_quality, op2_url_rules, op3_token_store, op4_byte_bpe, op5_toxicity, op6_ngram_join, op7_neighbours, op8_packing, op9_suffix_dedup, op10_warc, op11_line_dedup, op12_collocations, op13_spelling, pipeline)}
 
 ORACLES = {
     "op2_url_rules": r"""
@@ -99,4 +111,41 @@ k AS (SELECT doc_id, string_agg(c, '' ORDER BY i) AS h FROM a GROUP BY doc_id)
 SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n.n_removed, 0) AS n_removed, coalesce(n.n_spans, 0) AS n_spans,
        sha256(unhex(CASE WHEN n.doc_id IS NULL THEN d.h ELSE coalesce(k.h, '') END)) AS kept_sha256
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
+    "op11_line_dedup": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, lines[i] AS line, i, translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+g AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(g.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE g.key IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN g USING (key) GROUP BY doc_id""",
+    "op12_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM s, range(1, 5) t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 30),
+x AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:k], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+y AS (SELECT x.lang, x.phrase, x.a, x.j, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * x.a // (l.f + r.f) AS BIGINT) AS score
+      FROM x JOIN g l ON l.lang = x.lang AND l.phrase = x.head JOIN g r ON r.lang = x.lang AND r.phrase = x.tail),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM y),
+b AS (SELECT * FROM z WHERE o = 1 AND NOT EXISTS (SELECT 1 FROM c WHERE c.lang = z.lang AND c.phrase <> z.phrase AND contains(' ' || c.phrase || ' ', ' ' || z.phrase || ' ') AND 100 * c.a >= 80 * z.a)),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT q.lang, q.rank, q.phrase, q.a, q.l, q.r, n.n, q.score FROM q JOIN n ON n.lang = q.lang WHERE q.rank <= 2000""",
+    "op13_spelling": r"""
+WITH RECURSIVE t(i, k, v) AS (SELECT i, 0, i FROM range(0, 256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM t WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS c FROM t WHERE k = 8),
+o AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+u AS (SELECT doc_id, w, count(*) AS n FROM o WHERE length(w) >= 7 GROUP BY ALL),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x) // 2 + 1), lambda i: CAST('0x' || substr(x, 2 * i - 1, 2) AS BIGINT))),
+        lambda a, b: xor(a >> 8, c[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM (SELECT w, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM u), crc),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM d a JOIN d b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+         UNION SELECT d.word, w.word, w.n FROM d JOIN words w ON d.less = w.word UNION SELECT w.word, d.word, d.n FROM d JOIN words w ON d.less = w.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * w.n THEN other END AS form, CASE WHEN m >= 10 * w.n THEN m END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+r(word, its, form) AS (SELECT word, word, form FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.form)
+SELECT f.word, f.form, r.its AS root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word AND r.form IS NULL""",
 }
