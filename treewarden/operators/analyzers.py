@@ -1,14 +1,15 @@
 """The ten analyzers, each a function of fact tables to findings without ids.
 
-``nodes`` is the node table, ``files`` has repo, path and normalised text. Everything is joined within (repo, path); ancestor joins
-are equi-joins on the file with a range on preorder numbers.
+``nodes`` is the node table, ``files`` has repo, path and normalised text. Everything is joined within (repo, path); joins with what
+lies in a subtree are equi-joins on the file and the numbers of the owners that the parser found open.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +21,30 @@ FILE = ["repo", "path"]
 COLUMNS = ["repo", "analyzer_id", "analyzer_version", "severity", "file", "start_line", "end_line", "symbol", "message", "evidence"]
 
 
+@dataclass(frozen=True)
+class Keyed:
+    """A cross-file analyzer in three steps, so that a change is judged by the keys it touches.
+
+    ``facts`` (nodes, files) has rows of each file by itself, with repo, path and key. ``judge`` makes rows with repo, path and key of facts; those of a key
+    follow from the facts of that key alone. ``settle`` makes findings of them, each file's from that file's rows alone.
+    """
+
+    facts: Callable[[DataFrame, DataFrame], DataFrame]
+    judge: Callable[[DataFrame], DataFrame]
+    settle: Callable[[DataFrame], DataFrame]
+
+
 @dataclass(frozen=True)
 class Analyzer:
     id: str
     version: str
     cross_file: bool
     run: Callable[[DataFrame, DataFrame], DataFrame]
+    keyed: Keyed | None = None
+
+    def finish(self, found: DataFrame) -> DataFrame:
+        """Rows of severity, start, end, symbol, message and evidence as findings without ids."""
+        return found.select("repo", F.lit(self.id).alias("analyzer_id"), F.lit(self.version).alias("analyzer_version"), "severity", F.col("path").alias("file"), F.col("start").alias("start_line"), F.col("end").alias("end_line"), F.col("symbol").cast("string").alias("symbol"), "message", F.to_json("evidence").alias("evidence"))
 
 
 REGISTRY: dict[str, Analyzer] = {}
@@ -35,15 +54,17 @@ def register(id: str, version: str, cross_file: bool = False):
     """Adds a function (nodes, files) -> rows of severity, file, start_line, end_line, symbol, message and evidence (a struct) with repo."""
 
     def add(f):
-        def run(nodes: DataFrame, files: DataFrame) -> DataFrame:
-            return f(nodes, files).select("repo", F.lit(id).alias("analyzer_id"), F.lit(version).alias("analyzer_version"), "severity", F.col("path").alias("file"), F.col("start").alias("start_line"), F.col("end").alias("end_line"), F.col("symbol").cast("string").alias("symbol"), "message", F.to_json("evidence").alias("evidence"))
-
-        REGISTRY[id] = Analyzer(id, version, cross_file, run)
+        REGISTRY[id] = Analyzer(id, version, cross_file, lambda nodes, files: REGISTRY[id].finish(f(nodes, files)))
         return f
 
     return add
 
 
+def register_keyed(id: str, version: str, keyed: Keyed) -> None:
+    """Adds a cross-file analyzer that can be kept up by the keys that a change touches."""
+    REGISTRY[id] = Analyzer(id, version, True, lambda nodes, files: REGISTRY[id].finish(keyed.settle(keyed.judge(keyed.facts(nodes, files)))), keyed)
+
+
 def _text(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
@@ -55,9 +76,9 @@ def _tests(nodes: DataFrame) -> DataFrame:
 
 
 def _inside(owners: DataFrame, found: DataFrame, owner: str, how: str = "inner") -> DataFrame:
-    """Joins each owner with what lies in its subtree."""
-    f = found.withColumnsRenamed({c: f"_{c}" for c in FILE})
-    return owners.join(f, (F.col("repo") == F.col("_repo")) & (F.col("path") == F.col("_path")) & (F.col("id") > F.col(owner)) & (F.col("id") <= F.col(f"{owner}_last")), how)
+    """Joins each owner with what lies in its subtree. The parser has kept a stack of open owners, so each row of ``found`` names those around it (owners) and meets them by their number."""
+    f = found.select("*", F.explode("owners").alias(owner)).drop("owners")
+    return owners.join(f, [*FILE, owner], how)
 
 
 def _tail(callee: Column) -> Column:
@@ -99,7 +120,7 @@ def reraise(nodes: DataFrame, files: DataFrame) -> DataFrame:
     clause = nodes.where("type = 'except_clause'").select(*FILE, F.col("id").alias("clause"), F.col("last").alias("clause_last"))
     alias = nodes.where("role = 'alias'").select(*FILE, F.col("parent").alias("clause"), F.col("text").alias("alias"))
     only = nodes.where("type = 'identifier' AND role = 'exc'").select(*FILE, F.col("parent").alias("id"), F.col("text").alias("raised"))
-    raises = nodes.where("type = 'raise_statement' AND children = 1").select(*FILE, "id", "start", "end", "source").join(only, [*FILE, "id"])
+    raises = nodes.where("type = 'raise_statement' AND children = 1").select(*FILE, "id", "start", "end", "source", "owners").join(only, [*FILE, "id"])
     found = _inside(clause.join(alias, [*FILE, "clause"]), raises, "clause").where("raised = alias")
     last = found.groupBy(*FILE, "clause").agg(F.max_by(F.struct("start", "end", "alias", F.col("source").alias("snippet")), "id").alias("r"))
     return last.select("repo", "path", "r.start", "r.end", F.lit(None).alias("symbol"), F.lit("warn").alias("severity"), _text("`raise ", F.col("r.alias"), "` truncates traceback; use bare `raise`").alias("message"), F.struct("r.alias", "r.snippet").alias("evidence"))
@@ -108,7 +129,7 @@ def reraise(nodes: DataFrame, files: DataFrame) -> DataFrame:
 @register("test.assertion-free", "2")
 def assertion_free(nodes: DataFrame, files: DataFrame) -> DataFrame:
     call, tail = F.col("type") == "call", _tail(F.col("text"))
-    asserts = nodes.where((F.col("type") == "assert_statement") | call & (tail.startswith("assert") | (tail == "fail") | F.col("text").endswith("pytest.raises") | F.col("text").endswith("pytest.warns"))).select(*FILE, "id")
+    asserts = nodes.where((F.col("type") == "assert_statement") | call & (tail.startswith("assert") | (tail == "fail") | F.col("text").endswith("pytest.raises") | F.col("text").endswith("pytest.warns"))).select(*FILE, "owners")
     found = _inside(_tests(nodes.where(is_test(F.col("path")))), asserts, "fn", "left_anti")
     return found.select("repo", "path", F.col("fn_start").alias("start"), F.col("fn_end").alias("end"), F.col("name").alias("symbol"), F.lit("info").alias("severity"), _text("test `", F.col("name"), "` has no assertion").alias("message"), F.struct(F.col("name").alias("function")).alias("evidence"))
 
@@ -136,11 +157,11 @@ def _always_true(nodes: DataFrame) -> DataFrame:
 def always_true(nodes: DataFrame, files: DataFrame) -> DataFrame:
     nodes = nodes.where(is_test(F.col("path")))
     true = _always_true(nodes)
-    tested = nodes.where("type = 'assert_statement'").select(*FILE, "id", "start", "end", "rpre", "source").join(nodes.where("role = 'test'").select(*FILE, F.col("parent").alias("id"), F.col("id").alias("arg")), [*FILE, "id"])
+    tested = nodes.where("type = 'assert_statement'").select(*FILE, "id", "start", "end", "rpre", "source", "owners").join(nodes.where("role = 'test'").select(*FILE, F.col("parent").alias("id"), F.col("id").alias("arg")), [*FILE, "id"])
     calls = nodes.where("type = 'call'").withColumn("tail", _tail(F.col("text")))
     args = nodes.where("role = 'args'").select(*FILE, F.col("parent").alias("id"), F.col("id").alias("arg"), "type", F.col("source").alias("arg_source"), "ordinal")
     first = args.groupBy(*FILE, "id").agg(F.min_by(F.struct("arg", "arg_source"), "ordinal").alias("a0"), F.sort_array(F.collect_list(F.struct("ordinal", "type", "arg_source"))).alias("all"))
-    calls = calls.select(*FILE, "id", "start", "end", "rpre", "source", "tail").join(first, [*FILE, "id"])
+    calls = calls.select(*FILE, "id", "start", "end", "rpre", "source", "owners", "tail").join(first, [*FILE, "id"])
     by_arg = tested.unionByName(calls.where("tail IN ('assertTrue', 'assert_')").select(*tested.columns[:-1], F.col("a0.arg").alias("arg")))
     found = by_arg.join(true.withColumnRenamed("id", "arg"), [*FILE, "arg"]).drop("arg")
     false = calls.where("tail = 'assertFalse' AND lower(a0.arg_source) IN ('false', '0', '0.0', '\"\"', \"''\")").withColumn("kind", F.lit("constant-false"))
@@ -157,7 +178,7 @@ def time_sleep(nodes: DataFrame, files: DataFrame) -> DataFrame:
     imports = F.regexp_extract_all("text", F.lit(r"(?m)^\s*from\s+time\s+import\s+([^\n]+)"), 1)
     bare = files.where(F.exists(imports, lambda s: F.array_contains(F.split(s, r"[,\s()]+"), "sleep"))).select(*FILE, F.lit(True).alias("bare"))
     calls = nodes.where(is_test(F.col("path")) & (F.col("type") == "call") & F.col("text").isin("time.sleep", "sleep")).join(bare, FILE, "left").where("text = 'time.sleep' OR bare")
-    found = _inside(_tests(nodes.where(is_test(F.col("path")))), calls.select(*FILE, "id", "start", "end", "text", "source"), "fn")
+    found = _inside(_tests(nodes.where(is_test(F.col("path")))), calls.select(*FILE, "start", "end", "text", "source", "owners"), "fn")
     return found.select("repo", "path", "start", "end", F.col("name").alias("symbol"), F.lit("warn").alias("severity"), _text("`", F.col("source"), "` inside test - flaky signal").alias("message"), F.struct(F.col("text").alias("kind"), F.col("source").alias("snippet")).alias("evidence"))
 
 
@@ -194,56 +215,106 @@ def file_index(nodes: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(listed, FILE, "left").withColumn("symbols", F.coalesce("symbols", F.array().cast(listed.schema["symbols"].dataType)))
 
 
-@register("test.no-test-for-public-symbol", "1", cross_file=True)
-def no_test_for_public(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """A name is mentioned if it is one of the words of the test sources: a hash anti-join instead of a search for each name."""
+def _public_facts(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """By the name of the module that is tested: public names of modules, and of each test file the words it holds. Texts go no further."""
     path, name = F.col("path"), basename(F.col("path"))
-    sources = files.where(~is_non_source(path) & path.endswith(".py") & (name != "__init__.py") & ~name.startswith("_")).select(*FILE, _text("test_", name).alias("wanted"))
-    tests = files.select("repo", F.col("path").alias("test"), name.alias("wanted"), "text")
-    pairs = sources.join(tests, ["repo", "wanted"]).where("path != test")
-    lists = pairs.groupBy(*FILE).agg(F.sort_array(F.collect_set("test")).alias("test_files"))
-    words = pairs.select(*FILE, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)(\w+)"), 1))).alias("name"))
-    public = symbols(nodes).where("kind IN ('function', 'class') AND NOT startswith(name, '_')").join(lists, FILE)
-    found = public.join(words, [*FILE, "name"], "left_anti")
-    return found.select("repo", "path", F.col("start_line").alias("start"), F.col("start_line").alias("end"), F.col("name").alias("symbol"), F.lit("info").alias("severity"), _text("public `", F.col("name"), "` never referenced in ", F.col("test_files")[0]).alias("message"), F.struct("test_files").alias("evidence"))
-
-
-@register("test.mocks-target", "2", cross_file=True)
-def mocks_target(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """Of the files named like the test without its prefix the one that shares most leading folders is its target."""
+    sources = files.where(~is_non_source(path) & path.endswith(".py") & (name != "__init__.py") & ~name.startswith("_")).select(*FILE, name.alias("key"))
+    public = symbols(nodes).where("kind IN ('function', 'class') AND NOT startswith(name, '_')").join(sources, FILE)
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)(\w+)"), 1))
+    tests = files.where(name.startswith("test_")).select(*FILE, F.substring(name, 6, 1 << 20).alias("key"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("line"), words.alias("words"))
+    return public.select(*FILE, "key", "name", F.col("start_line").alias("line"), F.lit(None).cast("array<string>").alias("words")).unionByName(tests)
+
+
+def _untested(facts: DataFrame) -> DataFrame:
+    """A name is mentioned if it is a word of any test of its module's name: a hash anti-join over words."""
+    by = ["repo", "key"]
+    tests, public = facts.where("name IS NULL"), facts.where("name IS NOT NULL")
+    lists = tests.groupBy(*by).agg(F.sort_array(F.collect_set("path")).alias("test_files"))
+    words = tests.select(*by, F.explode("words").alias("name")).distinct()
+    return public.join(words, [*by, "name"], "left_anti").join(lists, by).select(*FILE, "key", "name", "line", "test_files")
+
+
+def _untested_found(rows: DataFrame) -> DataFrame:
+    return rows.select("repo", "path", F.col("line").alias("start"), F.col("line").alias("end"), F.col("name").alias("symbol"), F.lit("info").alias("severity"), _text("public `", F.col("name"), "` never referenced in ", F.col("test_files")[0]).alias("message"), F.struct("test_files").alias("evidence"))
+
+
+register_keyed("test.no-test-for-public-symbol", "1", Keyed(_public_facts, _untested, _untested_found))
+
+
+def _patch_facts(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """By the name of the module that is tested: what test functions patch, and the functions and classes of each module."""
     path = F.col("path")
-    tests = files.where(is_named_test(path)).select(*FILE, F.substring(basename(path), 6, 1 << 20).alias("wanted"))
-    targets = files.where(~basename(path).startswith("test_")).select("repo", F.col("path").alias("target"), basename(path).alias("wanted"))
+    calls = nodes.where(is_named_test(path) & (F.col("type") == "call") & (F.col("text").endswith("patch.object") | (F.col("text") == "patch") | F.col("text").endswith(".patch"))).select(*FILE, "id", "owners")
+    strings = nodes.where("type = 'string' AND role = 'args'").select(*FILE, F.col("parent").alias("id"), "ordinal", "source").groupBy(*FILE, "id").agg(F.min_by("source", "ordinal").alias("source"))
+    bare = F.regexp_replace("source", r"^[A-Za-z]*(\"\"\"|'''|\"|')|(\"\"\"|'''|\"|')$", "")
+    patched = calls.join(strings, [*FILE, "id"]).select(*FILE, "id", "owners", F.element_at(F.split(bare, r"\."), -1).alias("patched"))
+    within = _inside(_tests(nodes.where(is_named_test(path))), patched, "fn").select(*FILE, F.substring(basename(path), 6, 1 << 20).alias("key"), F.struct("fn", "name", "fn_start", "fn_end", "patched").alias("patch"), F.lit(None).cast("array<string>").alias("own"))
+    own = symbols(nodes).where("kind IN ('function', 'class')").groupBy(*FILE).agg(F.collect_set("name").alias("own"))  # one file's
+    targets = files.where(~basename(path).startswith("test_")).select(*FILE, basename(path).alias("key")).join(own, FILE, "left")
+    return within.unionByName(targets.select(*FILE, "key", F.lit(None).cast(within.schema["patch"].dataType).alias("patch"), F.coalesce("own", F.array().cast("array<string>")).alias("own")))
+
+
+def _mocked(facts: DataFrame) -> DataFrame:
+    """Of the files named like the test without its prefix the one that shares most leading folders is its target."""
+    by = ["repo", "key"]
+    tests = facts.where("patch IS NOT NULL").select(*FILE, "key", "patch.*")
+    targets = facts.where("patch IS NULL").select(*by, F.col("path").alias("target"), "own")
     a, b = F.split("path", "/"), F.split("target", "/")
     same = F.zip_with(F.slice(a, 1, F.size(a) - 1), F.slice(b, 1, F.size(b) - 1), lambda x, y: F.coalesce(x == y, F.lit(False)))
     shared = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same).cast("long"))
-    nearest = tests.join(targets, ["repo", "wanted"]).groupBy(*FILE).agg(F.min_by("target", F.struct(-shared, F.length("target"), "target")).alias("target"))
-    calls = nodes.where(is_named_test(path) & (F.col("type") == "call") & (F.col("text").endswith("patch.object") | (F.col("text") == "patch") | F.col("text").endswith(".patch"))).select(*FILE, "id")
-    strings = nodes.where("type = 'string' AND role = 'args'").select(*FILE, F.col("parent").alias("id"), "ordinal", "source").groupBy(*FILE, "id").agg(F.min_by("source", "ordinal").alias("source"))
-    bare = F.regexp_replace("source", r"^[A-Za-z]*(\"\"\"|'''|\"|')|(\"\"\"|'''|\"|')$", "")
-    patched = calls.join(strings, [*FILE, "id"]).select(*FILE, "id", F.element_at(F.split(bare, r"\."), -1).alias("patched"))
-    within = _inside(_tests(nodes.where(is_named_test(path))), patched, "fn").select(*FILE, "fn", "name", "fn_start", "fn_end", "patched")
-    own = symbols(nodes).where("kind IN ('function', 'class')").select("repo", F.col("path").alias("target"), F.col("name").alias("patched")).distinct()
-    hits = within.join(nearest, FILE).join(own, ["repo", "target", "patched"])
+    places = tests.select(*FILE, "key").distinct().join(targets.select(*by, "target"), by)
+    nearest = places.groupBy(*FILE, "key").agg(F.min_by("target", F.struct(-shared, F.length("target"), "target")).alias("target"))
+    own = targets.select(*by, "target", F.explode("own").alias("patched"))
+    hits = tests.join(nearest, [*FILE, "key"]).join(own, [*by, "target", "patched"])
     tail, sut = F.substring("name", 6, 1 << 20), F.lower("patched")
     hits = hits.where((F.lower(tail) == sut) | F.lower(tail).startswith(F.concat(sut, F.lit("_"))))
-    one = hits.groupBy(*FILE, "fn", "name", "fn_start", "fn_end", "target").agg(F.sort_array(F.collect_set("patched")).alias("mocked_symbols"))
-    return one.select("repo", "path", F.col("fn_start").alias("start"), F.col("fn_end").alias("end"), F.col("name").alias("symbol"), F.lit("warn").alias("severity"), _text("test `", F.col("name"), "` mocks its own target (", F.array_join("mocked_symbols", ", "), ")").alias("message"), F.struct(F.col("target").alias("target_file"), "mocked_symbols").alias("evidence"))
+    return hits.groupBy(*FILE, "key", "fn", "name", "fn_start", "fn_end", "target").agg(F.sort_array(F.collect_set("patched")).alias("mocked_symbols"))
+
+
+def _mocked_found(rows: DataFrame) -> DataFrame:
+    return rows.select("repo", "path", F.col("fn_start").alias("start"), F.col("fn_end").alias("end"), F.col("name").alias("symbol"), F.lit("warn").alias("severity"), _text("test `", F.col("name"), "` mocks its own target (", F.array_join("mocked_symbols", ", "), ")").alias("message"), F.struct(F.col("target").alias("target_file"), "mocked_symbols").alias("evidence"))
+
+
+register_keyed("test.mocks-target", "2", Keyed(_patch_facts, _mocked, _mocked_found))
 
 
 WINDOW, MOST_PLACES, STRING_SHARE = 5, 5, 0.6
 
 
+def _merged_strings(nodes: DataFrame) -> DataFrame:
+    """Per file the spans of string literals in order, with the bytes of literals before each; literals of one file don't overlap but where one lies in another's braces, so runs of overlapping ones are kept as their edges and how many are open after each."""
+    edge = F.explode(F.array(F.struct(F.col("start_byte").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end_byte").alias("at"), F.lit(-1).alias("d"))))
+    edges = nodes.where("type = 'string'").select(*FILE, edge.alias("e")).select(*FILE, "e.at", "e.d").groupBy(*FILE, "at").agg(F.sum("d").alias("d"))
+    in_order = Window.partitionBy(*FILE).orderBy("at")
+    open_ = edges.withColumn("open", F.sum("d").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.lag("at").over(in_order)).withColumn("was", F.lag("open", 1, 0).over(in_order))
+    filled = open_.withColumn("filled", F.sum(F.coalesce((F.col("at") - F.col("before")) * F.col("was"), F.lit(0))).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    return filled.select(*FILE, "at", F.col("filled").cast("long").alias("filled"), F.col("open").cast("long").alias("open"))
+
+
+def _filled_to(places: DataFrame, strings: DataFrame, at: str) -> DataFrame:
+    """places (repo, path, <at>) with ``filled``: bytes of literals before it. Both are merged in order of places and each takes the last edge at or before it."""
+    both = places.select(*FILE, at).distinct().select(*FILE, F.col(at).alias("at"), F.lit(1).alias("asked"), F.lit(None).cast("struct<at:bigint,filled:bigint,open:bigint>").alias("edge"))
+    both = both.unionByName(strings.select(*FILE, "at", F.lit(0).alias("asked"), F.struct("at", "filled", "open").alias("edge")))
+    in_order = Window.partitionBy(*FILE).orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    last = both.withColumn("edge", F.last("edge", ignorenulls=True).over(in_order)).where("asked = 1")
+    return last.select(*FILE, F.col("at").alias(at), F.coalesce(F.col("edge.filled") + F.col("edge.open") * (F.col("at") - F.col("edge.at")), F.lit(0)).alias("filled"))
+
+
 def windows(nodes: DataFrame) -> DataFrame:
-    """Five-line windows of function bodies that say enough: three lines with text, three different ones, and not mostly string literals."""
+    """Five-line windows of function bodies that say enough: three lines with text, three different ones, and not mostly string literals.
+
+    The bytes of literals in a window are those before its end less those before its begin, which one sweep over the file's edges of literals and borders of windows tells.
+    """
     fn = nodes.where("type = 'function_definition'").select(*FILE, "id", "lines", "offsets")
-    strings = nodes.where("type = 'string'").groupBy(*FILE).agg(F.collect_list(F.struct(F.col("start_byte").alias("b"), F.col("end_byte").alias("e"))).alias("strings"))  # one file's
     at = fn.where(F.size("lines") >= WINDOW).select("*", F.explode(F.sequence(F.lit(1), F.size("lines") - WINDOW + 1)).alias("i"))
     at = at.select(*FILE, (F.col("offsets")[0] + F.col("i") - 1).cast("int").alias("start_line"), F.slice("lines", F.col("i"), WINDOW).alias("w"), F.col("offsets")[F.col("i")].alias("from"), F.col("offsets")[F.col("i") + WINDOW].alias("to"))
     full = F.filter(F.transform("w", lambda x: F.trim(F.regexp_replace(x, r"^\s+", ""))), lambda x: x != "")
-    kept = at.where((F.size(full) >= 3) & (F.size(F.array_distinct(full)) >= 3)).join(strings, FILE, "left")
-    overlap = F.aggregate(F.coalesce("strings", F.array().cast("array<struct<b:bigint,e:bigint>>")), F.lit(0).cast("long"), lambda n, s: n + F.greatest(F.lit(0).cast("long"), F.least(s["e"], F.col("to")) - F.greatest(s["b"], F.col("from"))))
-    return kept.where(overlap < STRING_SHARE * (F.col("to") - F.col("from"))).select(*FILE, "start_line", F.array_join("w", "\n").alias("win_text")).distinct()
+    kept = at.where((F.size(full) >= 3) & (F.size(F.array_distinct(full)) >= 3)).select(*FILE, "start_line", F.array_join("w", "\n").alias("win_text"), "from", "to").distinct()
+    borders = kept.select(*FILE, F.explode(F.array("from", "to")).alias("at"))
+    filled = _filled_to(borders, _merged_strings(nodes), "at")
+    side = lambda name: filled.select(*FILE, F.col("at").alias(name), F.col("filled").alias(f"{name}_filled"))
+    both = kept.join(side("from"), [*FILE, "from"]).join(side("to"), [*FILE, "to"])
+    return both.where(F.col("to_filled") - F.col("from_filled") < STRING_SHARE * (F.col("to") - F.col("from"))).select(*FILE, "start_line", "win_text").distinct()
 
 
 def clusters(found: DataFrame) -> DataFrame:
@@ -257,20 +328,36 @@ def clusters(found: DataFrame) -> DataFrame:
 
 
 def collapse(raw: DataFrame) -> DataFrame:
-    """Per file, by start line: a finding that begins within the last one that was kept goes. A fold over one file's starts."""
-    taken = F.aggregate(
-        F.array_sort(F.collect_set("start_line")), F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("kept")),
-        lambda s, x: F.when(x <= s["last"], s).otherwise(F.struct((x + WINDOW - 1).alias("last"), F.array_append(s["kept"], x).alias("kept"))),
-    )["kept"]
-    starts = raw.groupBy(*FILE).agg(taken.alias("kept")).select(*FILE, F.explode("kept").alias("start_line"))
+    """Per file, by start line: a finding that begins within the last one that was kept goes. One pass over each task's starts in order remembers nothing but the last one kept."""
+    starts = raw.select(*FILE, "start_line").distinct().repartition(*FILE).sortWithinPartitions(*FILE, "start_line")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, last = None, 0
+        for batch in batches:
+            keep = []
+            for repo, path, at in zip(*(batch.column(c).to_pylist() for c in (*FILE, "start_line")), strict=True):
+                if (repo, path) != file or at > last:
+                    file, last = (repo, path), at + WINDOW - 1
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    first = starts.mapInArrow(kept, starts.schema)
     tie = Window.partitionBy(*FILE, "start_line").orderBy("win_text")
-    return raw.join(starts, [*FILE, "start_line"]).withColumn("tie", F.row_number().over(tie)).where("tie = 1").drop("tie")
+    return raw.join(first, [*FILE, "start_line"]).withColumn("tie", F.row_number().over(tie)).where("tie = 1").drop("tie")
+
 
+def _window_facts(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    return windows(nodes).withColumn("key", F.xxhash64("win_text"))
 
-@register("dup.block", "5", cross_file=True)
-def dup_block(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    found = clusters(windows(nodes))
-    raw = collapse(found.where(f"n <= {MOST_PLACES} OR rank = 1")).withColumn("window_hash", short_hash("win_text"))
+
+def _duplicated(facts: DataFrame) -> DataFrame:
+    return clusters(facts.drop("key")).where(f"n <= {MOST_PLACES} OR rank = 1").withColumn("key", F.xxhash64("win_text"))
+
+
+def _duplicated_found(rows: DataFrame) -> DataFrame:
+    raw = collapse(rows).withColumn("window_hash", short_hash("win_text"))
     span = lambda p: F.struct(p["path"].alias("file"), F.array(p["start_line"], p["start_line"] + WINDOW - 1).alias("span"))
     others = F.transform(F.filter("places", lambda p: (p["path"] != F.col("path")) | (p["start_line"] != F.col("start_line"))), span)
     wide = F.col("n") > MOST_PLACES
@@ -278,3 +365,6 @@ def dup_block(nodes: DataFrame, files: DataFrame) -> DataFrame:
     message = _text(f"{WINDOW}+ line block duplicated in ", F.col("n").cast("string"), " places", F.when(wide, " (widespread)").otherwise(""))
     severity = F.when(wide | is_non_source(F.col("path")), "info").otherwise("warn")
     return raw.select("repo", "path", F.col("start_line").alias("start"), (F.col("start_line") + WINDOW - 1).alias("end"), F.lit(None).alias("symbol"), severity.alias("severity"), message.alias("message"), evidence.alias("evidence"))
+
+
+register_keyed("dup.block", "5", Keyed(_window_facts, _duplicated, _duplicated_found))

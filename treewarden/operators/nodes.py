@@ -3,7 +3,7 @@
 Numbers are preorder; a node's descendants are those with id in (id, last]. rpre is the rank in the order that takes a node
 before its children and its children from right to left. Comments are nodes of the block whose lines hold them, redundant
 parentheses are nodes around what they enclose, and a definition's decorators stand beside it below a node of their own, so they are no part of it.
-A function row knows whether a class is above it (method). Files that don't parse have one row of type parse_error.
+A function row knows whether a class is above it (method). Calls, assertions and raises know the test functions and except clauses around them (owners), outermost first. Files that don't parse have one row of type parse_error.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ TYPES = {
     "JoinedStr": "string", "Tuple": "tuple", "Expr": "expression_statement",
     "Try": "try_statement", "TryStar": "try_statement",
 }
-SCHEMA = "repo string, path string, id int, parent int, last int, rpre int, ordinal int, type string, role string, children int, method boolean, start int, end int, start_byte long, end_byte long, text string, source string, lines array<string>, offsets array<long>"
+SCHEMA = "repo string, path string, id int, parent int, last int, rpre int, ordinal int, type string, role string, children int, method boolean, start int, end int, start_byte long, end_byte long, text string, source string, lines array<string>, offsets array<long>, owners array<int>"
 SOURCED = {"call", "except_clause", "raise_statement", "assert_statement", "string", "integer", "float", "true", "false", "identifier", "attribute", "list", "dictionary", "set", "comparison_operator", "subscript", "unaryop", "parenthesized_expression", "concatenated_string"}
+#: What analyzers look for in subtrees of owners.
+OWNED = {"call", "assert_statement", "raise_statement"}
 #: Parts of the tree that stand for no text of their own.
 _SILENT = (ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop)
 _LAYOUT = {tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER}
@@ -153,10 +155,13 @@ class _File:
     def _visit(self, tree) -> None:
         """Rows in preorder, from a stack of what is still to come. A number on it closes that row's subtree."""
         stack: list = [(tree, None, "module", 0, False)]
+        owners: list[int] = []
         while stack:
             entry = stack.pop()
             if isinstance(entry, int):
                 self.rows[entry]["last"] = len(self.rows) - 1
+                if owners and owners[-1] == entry:
+                    owners.pop()
                 continue
             node, parent, role, ordinal, within = entry
             opened = []
@@ -193,7 +198,11 @@ class _File:
                 children = self._children(node)
                 if row["type"] == "function_definition":
                     row["method"] = within
+                if row["type"] in OWNED:
+                    row["owners"] = list(owners)
                 me = add(row, len(children), role, ordinal)
+                if row["type"] == "except_clause" or row["type"] == "function_definition" and node.name.startswith("test_"):
+                    owners.append(me)
                 if isinstance(node, ast.ExceptHandler) and node.name:
                     self.rows.append({"type": "identifier", "text": node.name, "start": node.lineno, "end": node.lineno, "id": me + 1, "parent": me, "role": "alias", "ordinal": -1, "children": 0, "last": me + 1})
                 if row["type"] == "concatenated_string":
@@ -285,7 +294,7 @@ def nodes(files: DataFrame) -> DataFrame:
     Lazy: every branch of a plan parses again. ``node_table`` parses once. Few large partitions are dealt out over all cores first.
     """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    types = [pa.string(), pa.string(), *[pa.int32()] * 5, pa.string(), pa.string(), pa.int32(), pa.bool_(), *[pa.int32()] * 2, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
+    types = [pa.string(), pa.string(), *[pa.int32()] * 5, pa.string(), pa.string(), pa.int32(), pa.bool_(), *[pa.int32()] * 2, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
