@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running_sums
+
 
 def band_overlap(findings: DataFrame, hits: DataFrame, tolerance: int = 3) -> DataFrame:
     """findings (file, line) marked covered if a hit (path, row) lies within the tolerance: an equi-join on the file and on bands of lines, at most three for each finding."""
@@ -36,11 +38,11 @@ def _drawn(seed: int, key: str) -> Column:
 
 
 def stratified(rows: DataFrame, name: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """A deterministic sample of ``rows`` by the quotas of its groups, in the order of a seeded digest of the key. At most n rows of a group leave a task."""
+    """A deterministic sample of ``rows`` by the quotas of its groups, by group and within it in the order of a seeded digest of the key. At most n rows of a group leave a task."""
     groups = rows.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("available"))
     order = Window.partitionBy(name).orderBy(_drawn(seed, key), key)
     first = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
-    return first.join(quotas(groups, n), first[name] == F.col("name")).where("_n <= quota").select(rows.columns)
+    return first.join(quotas(groups, n), first[name] == F.col("name")).where("_n <= quota").orderBy(name, "_n").select(rows.columns)
 
 
 def sampled_commits(commits: DataFrame, n: int, until, days: int = 14, seed: int = 42) -> DataFrame:
@@ -74,13 +76,18 @@ def label_scores(labels: DataFrame) -> DataFrame:
 
 
 def churn(commits: DataFrame, changes: DataFrame, days: int = 14) -> DataFrame:
-    """commits (key, file, at) and changes (file, changed_at, lines): lines changed in [at, at + days], zero without any. An equi-join on the file and on spans of ``days``, two for each commit."""
-    span = F.lit(days * 86400)
-    slot = lambda c: F.floor(F.unix_timestamp(c) / span)
-    probe = commits.withColumn("slot", F.explode(F.array(slot("at"), slot("at") + 1)))
-    stored = changes.withColumn("slot", slot("changed_at"))
-    hits = probe.join(stored, ["file", "slot"]).where((F.col("changed_at") >= F.col("at")) & (F.col("changed_at") <= F.col("at") + F.expr(f"INTERVAL '{days}' DAY")))
-    sums = hits.groupBy("key").agg(F.sum("lines").alias("churn"))
+    """commits (key, file, at) and changes (file, changed_at, lines): lines changed in [at, at + days], zero without any.
+
+    Changes are summed up in order of file and time, and both ends of each commit's days are looked up there: what is changed up to the last moment less what is before the first. Rows are two a
+    commit and one a change, however many changes lie in a commit's days.
+    """
+    time = lambda c: c.cast("timestamp").alias("t")
+    none = F.lit(None).cast(commits.schema["key"].dataType).alias("key")
+    first = commits.select("file", time(F.col("at")), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("lines"), "key")
+    last = commits.select("file", time(F.col("at") + F.expr(f"INTERVAL '{days}' DAY")), F.lit(2).alias("kind"), F.lit(0).cast("long").alias("lines"), "key")
+    between = changes.select("file", time(F.col("changed_at")), F.lit(1).alias("kind"), F.col("lines").cast("long").alias("lines"), none)
+    summed = running_sums(between.unionAll(first).unionAll(last).where("t IS NOT NULL"), ["file"], ["t", "kind"], "lines", "to")
+    sums = summed.where("kind != 1").groupBy("key").agg(F.sum(F.when(F.col("kind") == 2, F.col("to")).otherwise(-F.col("to"))).alias("churn"))
     return commits.select("key", "file").join(sums, "key", "left").select("key", "file", F.coalesce("churn", F.lit(0)).cast("long").alias("churn"))
 
 
@@ -103,11 +110,13 @@ def file_age(rows: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def ranks(df: DataFrame, columns: list[str], group: list[str]) -> DataFrame:
-    """Adds r_<column>: ranks within the group, ties averaged. Values are counted and the counts summed up in order, so a group's repeated values are one row each before any window."""
+    """Adds r_<column>: ranks within the group, ties averaged.
+
+    Values are counted, so equal ones are one row each; counts are summed up over ranges of values, of which a large group has many, and joined back by value.
+    """
     for c in columns:
         counts = df.groupBy(*group, c).agg(F.count("*").alias("_n"))
-        below = Window.partitionBy(*group).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        ranked = counts.withColumn(f"r_{c}", F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
+        ranked = running_sums(counts, group, [c], "_n", "_to").withColumn(f"r_{c}", F.col("_to") - (F.col("_n") - 1) / 2).drop("_n", "_to")
         df = df.join(ranked, [*group, c])
     return df
 

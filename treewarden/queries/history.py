@@ -77,14 +77,6 @@ def debounce_sessions(spark, sf_dir):
     return ch.debounced(e, "30 minutes").select("repo", "began", "changes")
 
 
-def overlap_band(spark, sf_dir):
-    """First lines as findings, third ones as hits, as its SQL has it; ``overlap_band_all`` reads every row."""
-    li = _table(spark, sf_dir, "lineitem")
-    found = li.where("l_linenumber = 1").select(F.concat(F.lit("f"), F.col("l_suppkey")).alias("file"), F.col("l_quantity").cast("int").alias("line"))
-    hits = li.where("l_linenumber = 3 AND l_discount > 0.07").select(F.concat(F.lit("f"), F.col("l_suppkey")).alias("path"), F.col("l_quantity").cast("int").alias("row"))
-    return st.band_overlap(found, hits).groupBy("file").agg(F.count("*").alias("findings"), F.count_if("covered").alias("covered"))
-
-
 def overlap_band_all(spark, sf_dir):
     """Every lineitem row is read: as a hit with a discount over 0.07, as a finding otherwise. Parts are the files, so that some findings stay uncovered."""
     li = _table(spark, sf_dir, "lineitem")
@@ -158,13 +150,6 @@ def label_score(spark, sf_dir):
     return st.label_scores(d.select(F.col("source").alias("repo"), F.col("lang").alias("kind"), label.alias("label")))
 
 
-def churn_14d(spark, sf_dir):
-    """Orders with keys that 3 divides and first lines only, as its SQL has it; ``churn_14d_all`` takes all."""
-    o = _table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("key"), F.concat(F.lit("f"), F.col("o_custkey") % 100).alias("file"), F.col("o_orderdate").alias("at"))
-    c = _table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("f"), F.col("l_orderkey") % 100).alias("file"), F.col("l_shipdate").alias("changed_at"), F.col("l_quantity").cast("long").alias("lines"))
-    return st.churn(o, c)
-
-
 def churn_14d_all(spark, sf_dir):
     """Every order, with the changes of every lineitem row."""
     o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.concat(F.lit("f"), F.col("o_custkey") % 100).alias("file"), F.col("o_orderdate").alias("at"))
@@ -172,20 +157,10 @@ def churn_14d_all(spark, sf_dir):
     return st.churn(o, c)
 
 
-def file_age(spark, sf_dir):
-    """Whole days from a customer's first order with an even key to each order, never below zero, zero without such an order, as its SQL has it; ``file_age_all`` takes the first of all."""
-    o = _table(spark, sf_dir, "orders")
-    first = o.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"))
-    age = F.greatest(F.floor((F.unix_timestamp("o_orderdate") - F.unix_timestamp("first")) / 86400), F.lit(0))
-    return o.join(first, "o_custkey", "left").select("o_orderkey", age.cast("long").alias("age_days"))
-
-
 def file_age_all(spark, sf_dir):
-    """Whole days from a customer's first order to each order."""
-    o = _table(spark, sf_dir, "orders")
-    first = o.groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"))
-    age = F.greatest(F.floor((F.unix_timestamp("o_orderdate") - F.unix_timestamp("first")) / 86400), F.lit(0))
-    return o.join(first, "o_custkey", "left").select("o_orderkey", age.cast("long").alias("age_days"))
+    """Whole days from a customer's first order to each order; customers are the files."""
+    o = _table(spark, sf_dir, "orders").select(F.lit("r").alias("repo"), F.col("o_custkey").alias("file"), F.col("o_orderdate").alias("at"), "o_orderkey")
+    return st.file_age(o, o.groupBy("repo", "file").agg(F.min("at").alias("first"))).select("o_orderkey", "age_days")
 
 
 def _observations(spark, sf_dir):
@@ -210,8 +185,8 @@ def bootstrap_interval(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (baseline_new, baseline_mark, diff_changes, diff_summary, snapshot_diff, incremental_merge, version_delta, debounce_sessions, overlap_band, overlap_band_all, overlap_totals, warns_by_file, warns_and_churn, repo_ranges, commit_sample, phase_times, changed_paths, sample_quota, stratified_sample, label_score, churn_14d, churn_14d_all, file_age, file_age_all, fisher_z, bootstrap_interval)
-} | {"spearman": _rho(), "partial_spearman": _rho("z"), "partial_spearman_2": _rho("z", "w")}
+    for f in (baseline_new, baseline_mark, diff_changes, diff_summary, snapshot_diff, incremental_merge, version_delta, debounce_sessions, overlap_band_all, overlap_totals, warns_by_file, warns_and_churn, repo_ranges, commit_sample, phase_times, changed_paths, sample_quota, stratified_sample, label_score, churn_14d_all, file_age_all, fisher_z, bootstrap_interval)
+} | {"overlap_band": overlap_band_all, "churn_14d": churn_14d_all, "file_age": file_age_all, "spearman": _rho(), "partial_spearman": _rho("z"), "partial_spearman_2": _rho("z", "w")}
 
 _RANKS = """WITH o AS (SELECT l_returnflag, l_linestatus, l_quantity AS x, round(l_extendedprice / 100) AS y, l_discount AS z, l_tax AS w FROM lineitem),
 r AS (SELECT l_returnflag, l_linestatus, """ + ", ".join(f"rank() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY {c}) + (count(*) OVER (PARTITION BY l_returnflag, l_linestatus, {c}) - 1) / 2.0 AS {c}" for c in "xyzw") + """ FROM o),
@@ -231,8 +206,6 @@ ORACLES = {
  SELECT v.version, (SELECT count(*) FROM e WHERE e.version = v.version AND NOT EXISTS (SELECT 1 FROM e p WHERE p.version = v.prev AND p.id = e.id)) AS new, (SELECT count(*) FROM e WHERE e.version = v.prev AND NOT EXISTS (SELECT 1 FROM e p WHERE p.version = v.version AND p.id = e.id)) AS gone FROM v""",
     "debounce_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS b FROM events),
  s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g) SELECT user_id AS repo, min(ts) AS began, count(*) AS changes FROM s GROUP BY user_id, n""",
-    "overlap_band": """WITH f AS (SELECT 'f' || l_suppkey AS file, trunc(l_quantity) AS line FROM lineitem WHERE l_linenumber = 1), h AS (SELECT DISTINCT 'f' || l_suppkey AS path, trunc(l_quantity) AS row FROM lineitem WHERE l_linenumber = 3 AND l_discount > 0.07)
- SELECT file, count(*) AS findings, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM h WHERE path = file AND abs(h.row - line) <= 3)) AS covered FROM f GROUP BY file""",
     "overlap_band_all": """WITH f AS (SELECT 'f' || l_partkey AS file, trunc(l_quantity) AS line FROM lineitem WHERE NOT coalesce(l_discount > 0.07, false)), h AS (SELECT DISTINCT 'f' || l_partkey AS path, trunc(l_quantity) AS row FROM lineitem WHERE l_discount > 0.07)
  SELECT file, count(*) AS findings, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM h WHERE path = file AND abs(h.row - line) <= 3)) AS covered FROM f GROUP BY file""",
     "overlap_totals": """WITH f AS (SELECT 'f' || l_partkey AS file, trunc(l_quantity) AS line FROM lineitem WHERE NOT coalesce(l_discount > 0.07, false)), h AS (SELECT DISTINCT 'f' || l_partkey AS path, trunc(l_quantity) AS row FROM lineitem WHERE l_discount > 0.07),
@@ -253,11 +226,8 @@ ORACLES = {
     "label_score": """WITH l AS (SELECT source AS repo, lang AS kind, CASE WHEN quality = 1 AND toxic = 0 THEN 'tp' WHEN quality = 0 AND toxic = 0 THEN 'fp' WHEN quality = 1 THEN 'style' WHEN doc_id % 2 = 0 THEN 'boilerplate' ELSE 'unclear' END AS label FROM documents JOIN labels USING (doc_id)),
  g AS (SELECT repo, kind, count(*) FILTER (WHERE label = 'tp') AS tp, count(*) FILTER (WHERE label = 'fp') AS fp, count(*) FILTER (WHERE label = 'boilerplate') AS boilerplate, count(*) FILTER (WHERE label = 'style') AS style, count(*) FILTER (WHERE label = 'unclear') AS unclear, count(*) AS labeled FROM l GROUP BY GROUPING SETS ((), (repo), (kind))),
  p AS (SELECT *, CASE WHEN labeled - unclear - boilerplate > 0 THEN round(tp / (labeled - unclear - boilerplate), 6) END AS precision, round(tp / labeled, 6) AS actionable FROM g) SELECT *, CASE WHEN tp >= 0.4 * labeled THEN 'pass' WHEN tp >= 0.2 * labeled THEN 'threshold' ELSE 'redesign' END AS gate FROM p""",
-    "churn_14d": """WITH o AS (SELECT o_orderkey AS key, 'f' || (o_custkey % 100) AS file, o_orderdate AS since FROM orders WHERE o_orderkey % 3 = 0), c AS (SELECT 'f' || (l_orderkey % 100) AS file, l_shipdate AS changed_at, CAST(trunc(l_quantity) AS BIGINT) AS lines FROM lineitem WHERE l_linenumber = 1)
- SELECT key, o.file, CAST(coalesce(sum(lines), 0) AS BIGINT) AS churn FROM o LEFT JOIN c ON c.file = o.file AND changed_at BETWEEN since AND since + INTERVAL 14 DAY GROUP BY key, o.file""",
     "churn_14d_all": """WITH o AS (SELECT o_orderkey AS key, 'f' || (o_custkey % 100) AS file, o_orderdate AS since FROM orders), c AS (SELECT 'f' || (l_orderkey % 100) AS file, l_shipdate AS changed_at, CAST(trunc(l_quantity) AS BIGINT) AS lines FROM lineitem)
  SELECT key, o.file, CAST(coalesce(sum(lines), 0) AS BIGINT) AS churn FROM o LEFT JOIN c ON c.file = o.file AND changed_at BETWEEN since AND since + INTERVAL 14 DAY GROUP BY key, o.file""",
-    "file_age": """WITH f AS (SELECT o_custkey, min(o_orderdate) AS first FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey) SELECT o_orderkey, CAST(greatest(floor((epoch(o_orderdate) - epoch(first)) / 86400), 0) AS BIGINT) AS age_days FROM orders LEFT JOIN f USING (o_custkey)""",
     "file_age_all": """WITH f AS (SELECT o_custkey, min(o_orderdate) AS first FROM orders GROUP BY o_custkey) SELECT o_orderkey, CAST(greatest(floor((epoch(o_orderdate) - epoch(first)) / 86400), 0) AS BIGINT) AS age_days FROM orders LEFT JOIN f USING (o_custkey)""",
     "spearman": _RANKS + " SELECT l_returnflag, l_linestatus, n, round(xy, 6) AS rho FROM g",
     "partial_spearman": _RANKS + f" SELECT l_returnflag, l_linestatus, n, round({_ONCE.format('xy', 'xz', 'yz')}, 6) AS rho FROM g",
@@ -265,3 +235,4 @@ ORACLES = {
     "fisher_z": _RANKS + """, f AS (SELECT count(*) AS groups, sum(atanh(xy) * (n - 3)) / sum(n - 3) AS m, 1 / sqrt(sum(n - 3)) AS se FROM g WHERE n >= 30)
  SELECT groups, round((exp(2 * m) - 1) / (exp(2 * m) + 1), 6) AS rho, round((exp(2 * (m - 1.96 * se)) - 1) / (exp(2 * (m - 1.96 * se)) + 1), 6) AS low, round((exp(2 * (m + 1.96 * se)) - 1) / (exp(2 * (m + 1.96 * se)) + 1), 6) AS high FROM f""",
 }
+ORACLES |= {n: ORACLES[f"{n}_all"] for n in ("overlap_band", "churn_14d", "file_age")}  # the short names, which once read a part of the tables
