@@ -9,7 +9,8 @@ from treewarden.functions.identity import finding_id
 from treewarden.plans.check import main
 from treewarden.sources import baseline
 from treewarden.sources.files import ListingCache, commit_of, git_changes, listing, repo_list
-from treewarden.streaming.changes import Incremental, emit_lines, follow, watch
+from treewarden.streaming.changes import emit_lines, follow, watch
+from treewarden.streaming.state import Incremental
 
 
 def git(repo, *args):
@@ -172,7 +173,7 @@ def test_incremental_equals_full(spark, tmp_path):
 
 def test_states_that_are_refused(spark, tmp_path, monkeypatch):
     from treewarden.sources.files import full_scan
-    from treewarden.streaming import changes
+    from treewarden.streaming import state as states
 
     repo = tmp_path / "repo"
     put(repo, {"m.py": "def f(x=[]): pass\n"})
@@ -180,7 +181,7 @@ def test_states_that_are_refused(spark, tmp_path, monkeypatch):
     state.scan(full_scan(spark, [repo]))
     assert Incremental(spark, str(tmp_path / "state")).load()["version"] == 1
     with monkeypatch.context() as m:
-        m.setattr(changes, "__version__", "another")
+        m.setattr(states, "__version__", "another")
         assert state.load() is None
     for p in (tmp_path / "state" / "manifest").rglob("*.parquet"):
         p.write_bytes(b"{not parquet")

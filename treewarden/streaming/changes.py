@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import __version__
-from ..functions.scratch import written
+if TYPE_CHECKING:
+    from .state import Incremental
 
 #: Names that editors write on the way.
 EDITOR_TEMPS = (".swp", ".swo", "~", ".tmp")
@@ -76,119 +76,6 @@ def watch(changes: DataFrame, checkpoint: str, scan: Callable[[DataFrame, int],
     return changes.writeStream.foreachBatch(scan).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-#: What the tables of a state look like; a state of another number or engine is not read.
-STATE_SCHEMA = 2
-KEYS = ("repo", "path")
-
-
-class Incremental:
-    """Facts and findings by version in a folder.
-
-    Each version adds the rows of the files that changed: nodes, texts, file-local findings and errors. A narrow table names for every present file the
-    version that holds its rows, so nothing is rewritten; findings of cross-file analyzers are whole in each version. The state table is written last, so a
-    version counts when all of it is there; a state that can't be read, or of another schema or engine, is refused and everything is scanned anew.
-    """
-
-    def __init__(self, spark, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _at(self, what: str, version: int) -> str:
-        return f"{self.folder}/{what}/version={version}"
-
-    def _write(self, df: DataFrame, what: str, version: int) -> DataFrame:
-        df.write.mode("overwrite").parquet(self._at(what, version))
-        return self.spark.read.schema(df.schema).parquet(self._at(what, version))
-
-    def load(self) -> dict | None:
-        """The last whole version's state: version, mode, reindexed, removed, new and gone. None without one, or if it can't be trusted."""
-        try:
-            row = self.spark.read.parquet(f"{self.folder}/state").orderBy(F.desc("version")).first()
-            if row is None or (row["schema"], row["engine"]) != (STATE_SCHEMA, __version__):
-                return None
-            for what in ("manifest", "cross"):
-                self.spark.read.parquet(self._at(what, row["version"])).head(1)
-            return row.asDict()
-        except Exception:  # whatever an unreadable table raises; such a state is as good as none
-            return None
-
-    def _current(self, what: str, manifest: DataFrame, path: str = "path") -> DataFrame:
-        """Rows of the present files, each from the version that its manifest row names."""
-        held = manifest.select("repo", F.col("path").alias(path), F.col("held").alias("version"))
-        return self.spark.read.parquet(f"{self.folder}/{what}").join(held, ["repo", path, "version"], "left_semi").drop("version")
-
-    def manifest(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(self._at("manifest", version))
-
-    def findings(self, version: int | None = None) -> DataFrame:
-        """Findings of a version, the last one by default."""
-        version = (self.load() or {}).get("version") if version is None else version
-        return self._current("local", self.manifest(version), "file").unionByName(self.spark.read.parquet(self._at("cross", version)))
-
-    def errors(self, version: int | None = None) -> DataFrame:
-        """(repo, path, kind, message) of the files that couldn't be read or parsed when they last changed, and (null, analyzer, ...) of analyzers that failed in this version."""
-        version = (self.load() or {}).get("version") if version is None else version
-        return self._current("errors", self.manifest(version)).unionByName(self.spark.read.parquet(self._at("failed", version)))
-
-    def scan(self, listed: DataFrame, force_full: bool = False) -> dict:
-        """One version of the trees whose files are ``listed`` (as of full_scan): files whose time differs from the manifest's are read and parsed, those that are gone drop out. Returns the new state.
-
-        A file that can't be read or parsed is remembered with its error and not tried again until it is touched. An analyzer that fails leaves an error; its findings stay as they were, but for files that changed.
-        """
-        from ..sources.files import with_content
-
-        before = None if force_full else self.load()
-        present = listed.where(~editor_temp(F.col("path")))
-        old = self.manifest(before["version"]) if before else None
-        changes = snapshot_diff(old, present, KEYS, "mtime") if before else present.select(*KEYS, F.lit("added").alias("status"))
-        changes = written(changes, "changes")
-        read = written(with_content(present.join(changes.where("status != 'deleted'"), list(KEYS), "left_semi")), "read")
-        return self.apply(read, changes, present, before)
-
-    def apply(self, read: DataFrame, changes: DataFrame, present: DataFrame, before: dict | None) -> dict:
-        """A version from what changed since ``before``: ``read`` (repo, path, text, content, error) of added and modified files, ``changes`` (repo, path, status), and ``present`` (repo, path, mtime) of all files."""
-        from ..operators.analyzers import REGISTRY
-        from ..operators.findings import analyze, analyze_apart
-        from ..operators.nodes import nodes, parse_errors
-
-        spark, version = self.spark, (self._newest() or 0) + 1
-        held = present.select(*KEYS, "mtime").join(changes.select(*KEYS, "status"), list(KEYS), "left").withColumn("held", F.when(F.col("status").isNotNull(), F.lit(version).cast("long")))
-        if before:
-            held = held.join(self.manifest(before["version"]).select(*KEYS, F.col("held").alias("was")), list(KEYS), "left").withColumn("held", F.coalesce("held", "was"))
-        manifest = self._write(held.select(*KEYS, "mtime", "held"), "manifest", version)
-        readable = read.where("error IS NULL").select(*KEYS, "text", "content")
-        fresh_files = self._write(readable, "files", version)
-        fresh = self._write(nodes(fresh_files), "nodes", version)
-        broken = parse_errors(fresh).select(*KEYS, F.lit("SyntaxError").alias("kind"), "message")
-        self._write(broken.unionByName(read.where("error IS NOT NULL").select(*KEYS, F.substring_index("error", ":", 1).alias("kind"), F.substring("error", 1, 200).alias("message"))), "errors", version)
-        local = [n for n, a in REGISTRY.items() if not a.cross_file]
-        found, failed = analyze_apart(fresh, fresh_files, local)
-        empty = spark.createDataFrame([], analyze(fresh, fresh_files, list(REGISTRY)[:1]).schema)
-        self._write(reduce(DataFrame.unionByName, found.values(), empty), "local", version)
-        facts, files = self._current("nodes", manifest), self._current("files", manifest)
-        across, more = analyze_apart(facts, files, [n for n, a in REGISTRY.items() if a.cross_file])
-        lost = [e["analyzer_id"] for e in more]
-        kept = [spark.read.parquet(self._at("cross", before["version"])).where(F.col("analyzer_id").isin(lost))] if before and lost else []
-        self._write(reduce(DataFrame.unionByName, [*across.values(), *kept], empty), "cross", version)
-        self._write(spark.createDataFrame([(None, e["analyzer_id"], e["kind"], e["message"]) for e in failed + more], "repo string, path string, kind string, message string"), "failed", version)
-        counts = {r["status"]: r["count"] for r in changes.groupBy("status").count().collect()}
-        now, then = self.findings(version).select("id").distinct(), self.findings(before["version"]).select("id").distinct() if before else empty.select("id")
-        state = {"schema": STATE_SCHEMA, "engine": __version__, "version": version, "mode": "warm" if before else "cold", "reindexed": counts.get("added", 0) + counts.get("modified", 0), "removed": counts.get("deleted", 0), "new": now.join(then, "id", "left_anti").count(), "gone": then.join(now, "id", "left_anti").count()}
-        row = {k: v for k, v in state.items() if k != "version"}
-        spark.createDataFrame([row], "schema int, engine string, mode string, reindexed long, removed long, new long, gone long").coalesce(1).write.mode("overwrite").parquet(self._at("state", version))
-        return state
-
-    def _newest(self) -> int | None:
-        """The highest version that has left anything, whole or not."""
-        try:
-            return self.spark.read.parquet(f"{self.folder}/manifest").agg(F.max("version")).first()[0]
-        except Exception:  # no folder yet, or nothing readable in it
-            return None
-
-    def feed(self, most: int = 12) -> DataFrame:
-        """The last versions: version, mode, reindexed, removed, new, gone."""
-        return self.spark.read.parquet(f"{self.folder}/state").drop("schema", "engine").orderBy(F.desc("version")).limit(most)
-
-
 def follow(changes: DataFrame, state: Incremental, list_files: Callable[[], DataFrame], checkpoint: str, emit: Callable[[dict], None], once: bool = False, every: str = "500 milliseconds"):
     """Starts a query that scans at every micro-batch of change events and hands the new version's state to ``emit``; with ``once`` it ends after what there is now.
 
@@ -209,9 +96,14 @@ def emit_lines(out, state: Incremental) -> Callable[[dict], None]:
     from ..operators.findings import ORDER
 
     def emit(now: dict) -> None:
+        out.write(json.dumps(now, ensure_ascii=False)[:-1])
         if "error" not in now:
-            now = now | {"findings": [json.loads(x) for x in state.findings(now["version"]).orderBy(*ORDER).toJSON().toLocalIterator()]}
-        out.write(json.dumps(now, ensure_ascii=False) + "\n")
+            between = ', "findings": ['
+            for x in state.findings(now["version"]).orderBy(*ORDER).toJSON().toLocalIterator():
+                out.write(between + x)
+                between = ", "
+            out.write("]" if between == ", " else between + "]")
+        out.write("}\n")
         out.flush()
 
     return emit
