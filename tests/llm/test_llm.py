@@ -151,6 +151,14 @@ def test_quality_against_plain_mcd(spark):
     assert typical.columns == frame.columns and sorted(map(str, map(tuple, typical.collect()))) == sorted(str(d) for d, k in zip(data, kept, strict=True) if k)
 
 
+def test_stages_take_any_column_name(spark, rows):
+    """Names that no DDL string could hold."""
+    odd = spark.createDataFrame([(i, t, g, s, "x", 1) for i, t, g, s, *_ in rows], DOCS).withColumnsRenamed({"spans": "my col", "_place0": "a:b, c` d"})
+    kept = quality.keep_typical(odd)
+    assert kept.columns == odd.columns and 0 < kept.count() < len(rows)
+    assert suffix_dedup.without_repeats(odd, length=50).columns == odd.columns
+
+
 def test_url_rules(spark):
     rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
     urls = ["http://a.net/x", "http://a.net", "http://www.EXAMPLE.net/en/1?q", "http://badexample.com/de/x", "https://x.example.com/de/", "http://a.org/fr/#t", "nothing", "", None, "http://q?://net/", "://net/", "http://a.net/x"]
@@ -250,6 +258,18 @@ def test_toxicity(spark, docs, none):
     assert toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int")).weights.sum() == 0
 
 
+def test_toxicity_of_held_out_rows(spark):
+    """On the given tables: what is learned holds for labelled rows that taught nothing, and toxic rows have sentences that are located."""
+    from treewarden.llm.queries import op5_toxicity
+
+    sf = "/root/testdata/sf0.01"
+    rows = op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    assert len(rows) > 50 and sum(r["predicted"] == r["toxic"] for r in rows) >= 0.95 * len(rows)
+    assert not any(r["predicted"] for r in rows if not r["toxic"])
+    located = [r for r in rows if r["offending"]]
+    assert located and all(r["predicted"] for r in located) and all(0.5 <= s["score"] <= r["score"] + 1e-9 for r in located for s in r["offending"])
+
+
 def test_toxicity_scores_by_hand(spark, docs, rows):
     """Every score and offending sentence by plain loops from the weights; the split by crc32; what teaches and what doesn't."""
     import re

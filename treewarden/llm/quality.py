@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import slices, utf8, written
 
@@ -207,7 +208,8 @@ def keep_typical(docs: DataFrame, least_rows: int = 60, cutoff: float = CHI_CUTO
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("source"), b.column("row"), *_counted(b)], ["lang", "source", "row", *names])
 
-    rows = whole.mapInArrow(run, f"lang string, source string, row {whole.schema['row'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
+    schema = StructType([StructField("lang", StringType()), StructField("source", StringType()), whole.schema["row"], *[StructField(n, LongType()) for n in names]])
+    rows = whole.mapInArrow(run, schema)
     return _judged(rows, groups, final, cutoff).where("kept").select("row.*")
 
 

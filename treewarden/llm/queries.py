@@ -31,7 +31,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
-    return toxicity.score(docs, model).withColumn("held_out", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)))
+    return toxicity.score(docs, model, locate=True).withColumn("held_out", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
