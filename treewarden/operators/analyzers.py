@@ -41,6 +41,7 @@ class Analyzer:
     cross_file: bool
     run: Callable[[DataFrame, DataFrame], DataFrame]
     keyed: Keyed | None = None
+    tests_only: bool = False
 
     def finish(self, found: DataFrame) -> DataFrame:
         """Rows of severity, start, end, symbol, message and evidence as findings without ids."""
@@ -50,11 +51,11 @@ class Analyzer:
 REGISTRY: dict[str, Analyzer] = {}
 
 
-def register(id: str, version: str, cross_file: bool = False):
-    """Adds a function (nodes, files) -> rows of severity, file, start_line, end_line, symbol, message and evidence (a struct) with repo."""
+def register(id: str, version: str, cross_file: bool = False, tests_only: bool = False):
+    """Adds a function (nodes, files) -> rows of severity, file, start_line, end_line, symbol, message and evidence (a struct) with repo. ``tests_only``: it looks at test modules alone."""
 
     def add(f):
-        REGISTRY[id] = Analyzer(id, version, cross_file, lambda nodes, files: REGISTRY[id].finish(f(nodes, files)))
+        REGISTRY[id] = Analyzer(id, version, cross_file, lambda nodes, files: REGISTRY[id].finish(f(nodes, files)), tests_only=tests_only)
         return f
 
     return add
@@ -126,7 +127,7 @@ def reraise(nodes: DataFrame, files: DataFrame) -> DataFrame:
     return last.select("repo", "path", "r.start", "r.end", F.lit(None).alias("symbol"), F.lit("warn").alias("severity"), _text("`raise ", F.col("r.alias"), "` truncates traceback; use bare `raise`").alias("message"), F.struct("r.alias", "r.snippet").alias("evidence"))
 
 
-@register("test.assertion-free", "2")
+@register("test.assertion-free", "2", tests_only=True)
 def assertion_free(nodes: DataFrame, files: DataFrame) -> DataFrame:
     call, tail = F.col("type") == "call", _tail(F.col("text"))
     asserts = nodes.where((F.col("type") == "assert_statement") | call & (tail.startswith("assert") | (tail == "fail") | F.col("text").endswith("pytest.raises") | F.col("text").endswith("pytest.warns"))).select(*FILE, "owners")
@@ -153,7 +154,7 @@ def _always_true(nodes: DataFrame) -> DataFrame:
     return simple.unionByName(same).unionByName(calls)
 
 
-@register("test.always-true-assertion", "1")
+@register("test.always-true-assertion", "1", tests_only=True)
 def always_true(nodes: DataFrame, files: DataFrame) -> DataFrame:
     nodes = nodes.where(is_test(F.col("path")))
     true = _always_true(nodes)
@@ -173,7 +174,7 @@ def always_true(nodes: DataFrame, files: DataFrame) -> DataFrame:
     return one.select("repo", "path", "start", "end", F.col("name").alias("symbol"), F.lit("info").alias("severity"), _text("assertion in `", F.col("name"), "` is trivially true (", F.col("kind"), ")").alias("message"), F.struct("kind", F.substring("source", 1, 200).alias("text")).alias("evidence"))
 
 
-@register("test.time.sleep", "1")
+@register("test.time.sleep", "1", tests_only=True)
 def time_sleep(nodes: DataFrame, files: DataFrame) -> DataFrame:
     imports = F.regexp_extract_all("text", F.lit(r"(?m)^\s*from\s+time\s+import\s+([^\n]+)"), 1)
     bare = files.where(F.exists(imports, lambda s: F.array_contains(F.split(s, r"[,\s()]+"), "sleep"))).select(*FILE, F.lit(True).alias("bare"))

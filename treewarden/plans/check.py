@@ -14,23 +14,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import written
+from ..operators.analyzers import REGISTRY
 from ..operators.findings import ORDER, analyze, compare, exit_code, markdown, new_findings, receipt_document, summary
 from ..operators.nodes import node_table, parse_errors
 from ..sources import baseline as bl
 from ..sources.files import full_scan, with_content
+from ..sources.trees import read_trees, written_pushing
 
 
 COLORS = {"block": "\x1b[35m", "warn": "\x1b[33m", "info": "\x1b[36m"}
 MOST_ERRORS = 20
 
 
-def check(spark: SparkSession, repos: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Findings, files, and errors (path, kind, message) of the trees; each file is read once and parsed once, into written tables. Files that can't be read or parsed have an error and no findings."""
-    files = written(with_content(written(full_scan(spark, repos), "listing")), "files")
+def check(spark: SparkSession, repos: list[str], only: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Findings, files, and errors (path, kind, message) of the trees; each file is read once and parsed once, into written tables. Files that can't be read or parsed have an error and no findings.
+
+    ``only`` names the analyzers that run. Where all of them look at test modules alone, no other file is opened.
+    """
+    if only and (unknown := set(only) - set(REGISTRY)):
+        raise ValueError(f"no such analyzer: {', '.join(sorted(unknown))}")
+    if only and all(REGISTRY[n].tests_only for n in only):
+        files = written_pushing(read_trees(spark, repos, push=True).where("test"), "files")
+    else:
+        files = written(with_content(written(full_scan(spark, repos), "listing")), "files")
     readable = files.where("error IS NULL")
     table = node_table(readable)
     errors = files.where("error IS NOT NULL").select("path", F.substring_index("error", ":", 1).alias("kind"), F.col("error").alias("message")).unionByName(parse_errors(table).select("path", F.lit("SyntaxError").alias("kind"), "message"))
-    return written(analyze(table, readable), "findings"), files, errors
+    return written(analyze(table, readable, only), "findings"), files, errors
 
 
 def as_dict(row) -> dict:
@@ -99,6 +109,7 @@ def main(args: list[str] | None = None) -> int:
         p.add_argument("--exit-code", action="store_true")
         p.add_argument("--at", choices=("info", "warn", "block"), default="warn")
         p.add_argument("--out")
+        p.add_argument("--only", action="append")
     p = sub.add_parser("diff")
     p.add_argument("base")
     p.add_argument("head")
@@ -115,7 +126,7 @@ def main(args: list[str] | None = None) -> int:
         print(f"error: {root} is no folder", file=sys.stderr)
         return 2
     where = root / ".treewarden" / "baseline.json"
-    found, files, errors = check(spark, [a.repo])
+    found, files, errors = check(spark, [a.repo], a.only) if a.only else check(spark, [a.repo])
     n_files = files.where("error IS NULL").count()
     top = head(found, str(root), n_files, errors)
     for e in top["errors"]:
