@@ -172,7 +172,7 @@ class Incremental:
             state = self._scan(listed, None)
         if len(state["needs"]) > self.compact_beyond:
             self.compact()
-        self.expire()
+        self.expire(state["version"])
         return state
 
     def _scan(self, listed: DataFrame, before: dict | None) -> dict:
@@ -352,10 +352,10 @@ class Incremental:
     def unpin(self, version: int) -> None:
         remove(self.spark, self._at("pins", version))
 
-    def expire(self) -> list[int]:
-        """Deletes versions that are neither among the last ``keep`` nor pinned, and folders that hold rows of no version that stays. Returns the versions that stay."""
+    def expire(self, *also: int) -> list[int]:
+        """Deletes versions that are neither among the last ``keep`` nor pinned nor named, and folders that hold rows of no version that stays. Returns the versions that stay."""
         whole = self._versions("state")
-        stay = sorted({*whole[-self.keep :], *set(self._versions("pins")).intersection(whole)})
+        stay = sorted({*whole[-self.keep :], *set([*also, *self._versions("pins")]).intersection(whole)})
         needed = {v for version in stay for v in self._state(version)["needs"]}
         last = self._newest()
         for what in folders(self.spark, self.folder):
