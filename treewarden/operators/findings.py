@@ -50,15 +50,6 @@ def exit_code(findings: DataFrame, at: str = "warn") -> DataFrame:
     return findings.agg(F.coalesce(F.max((rank >= RANK[at]).cast("int")), F.lit(0)).alias("exit_code"))
 
 
-def envelope(findings: DataFrame, repo: str, files_scanned: int, kind: str = "full", base: str | None = None, head: str = "working", files_unreadable: int = 0) -> DataFrame:
-    """One row in the shape of the report: schema, repo, generated_at, scope, summary, findings in order. It is as large as all findings, so it is for one repository."""
-    row = F.struct(*ORDER, *[c for c in findings.columns if c not in ORDER])
-    counts = F.struct(*severity_counts(), F.lit(files_scanned).alias("files_scanned"), F.lit(files_unreadable).alias("files_unreadable"))
-    return findings.agg(counts.alias("summary"), F.sort_array(F.collect_list(row)).alias("findings")).select(
-        F.lit(1).alias("schema"), F.lit(repo).alias("repo"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("generated_at"), F.struct(F.lit(kind).alias("kind"), F.lit(base).cast("string").alias("base"), F.lit(head).alias("head")).alias("scope"), "summary", "findings"
-    )
-
-
 def new_findings(findings: DataFrame, baseline: DataFrame | None) -> DataFrame:
     """Findings whose id is not in the baseline; no baseline hides nothing."""
     return findings if baseline is None else findings.join(baseline.select("id").distinct(), "id", "left_anti")
@@ -70,8 +61,8 @@ def marked(findings: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def with_rationale(findings: DataFrame, rationales: DataFrame) -> DataFrame:
-    """Findings with their analyzer's text of ``rationales`` (analyzer_id, rationale), a row an analyzer; empty without one."""
-    return findings.join(F.broadcast(rationales.select("analyzer_id", "rationale")), "analyzer_id", "left").withColumn("rationale", F.coalesce("rationale", F.lit("")))
+    """Findings with their analyzer's text of ``rationales`` (analyzer_id, rationale), a row an analyzer; empty without one. Spark broadcasts them if they are small."""
+    return findings.join(rationales.select("analyzer_id", "rationale"), "analyzer_id", "left").withColumn("rationale", F.coalesce("rationale", F.lit("")))
 
 
 def last_per_id(findings: DataFrame) -> DataFrame:

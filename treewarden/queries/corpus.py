@@ -73,7 +73,7 @@ def parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return node_table(source), source
 
 
-def paired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def paired_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules of two functions and their tests, which use or patch some, for the analyzers that look across files."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
     key = F.col("k").cast("string")
@@ -86,5 +86,10 @@ def paired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.concat(F.lit("tests/test_mod_"), key, F.lit(".py")).alias("path"),
         F.concat(F.lit("def test_load_"), key, F.lit("_ok(mocker):\n    mocker.patch('pkg.mod."), mocked, key, F.lit("')\n"), used, F.lit("    assert load_"), key, F.lit("()\n")).alias("text"),
     )
-    both = source.unionByName(test).unionByName(near).select(F.lit("r").alias("repo"), "path", "text", F.col("text").cast("binary").alias("content"))
+    return source.unionByName(test).unionByName(near).select(F.lit("r").alias("repo"), "path", "text", F.col("text").cast("binary").alias("content"))
+
+
+def paired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The node table of paired_files, parsed once, and the files."""
+    both = paired_files(spark, sf_dir)
     return node_table(both), both

@@ -39,6 +39,14 @@ def baseline_mark(spark, sf_dir):
     return fnd.marked(head, base).groupBy("severity").agg(F.count_if("baselined").alias("baselined"), F.count_if(~F.col("baselined")).alias("new"))
 
 
+def last_of_id(spark, sf_dir):
+    """Lineitem rows as findings whose ids repeat: the last of each id in report order."""
+    li = _table(spark, sf_dir, "lineitem")
+    place = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    rows = li.select(place("i", "l_orderkey").alias("id"), F.concat(F.lit("f"), (F.col("l_partkey") % 7).cast("string")).alias("file"), (F.col("l_suppkey") % 3).cast("int").alias("start_line"), F.concat(F.lit("a"), (F.col("l_linenumber") % 2).cast("string")).alias("analyzer_id"), F.col("l_linenumber").cast("int").alias("end_line"))
+    return fnd.last_per_id(rows)
+
+
 def diff_changes(spark, sf_dir):
     return fnd.compare(*_reports(spark, sf_dir)).select("kind", "id", "severity", "start_line", "from_line")
 
@@ -185,7 +193,7 @@ def bootstrap_interval(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (baseline_new, baseline_mark, diff_changes, diff_summary, snapshot_diff, incremental_merge, version_delta, debounce_sessions, overlap_band_all, overlap_totals, warns_by_file, warns_and_churn, repo_ranges, commit_sample, phase_times, changed_paths, sample_quota, stratified_sample, label_score, churn_14d_all, file_age_all, fisher_z, bootstrap_interval)
+    for f in (baseline_new, baseline_mark, last_of_id, diff_changes, diff_summary, snapshot_diff, incremental_merge, version_delta, debounce_sessions, overlap_band_all, overlap_totals, warns_by_file, warns_and_churn, repo_ranges, commit_sample, phase_times, changed_paths, sample_quota, stratified_sample, label_score, churn_14d_all, file_age_all, fisher_z, bootstrap_interval)
 } | {"overlap_band": overlap_band_all, "churn_14d": churn_14d_all, "file_age": file_age_all, "spearman": _rho(), "partial_spearman": _rho("z"), "partial_spearman_2": _rho("z", "w")}
 
 _RANKS = """WITH o AS (SELECT l_returnflag, l_linestatus, l_quantity AS x, round(l_extendedprice / 100) AS y, l_discount AS z, l_tax AS w FROM lineitem),
@@ -198,6 +206,8 @@ _WARNS = "w AS (SELECT 'f' || (o_orderkey % 50) AS file, count(*) FILTER (WHERE
 ORACLES = {
     "baseline_new": f"WITH {_R} SELECT id, severity FROM d WHERE kind = 'added'",
     "baseline_mark": f"WITH {_R} SELECT severity, count(*) FILTER (WHERE kind IN ('moved', 'stable')) AS baselined, count(*) FILTER (WHERE kind = 'added') AS new FROM d WHERE kind IS NOT NULL AND kind <> 'resolved' GROUP BY severity",
+    "last_of_id": """WITH r AS (SELECT 'i' || l_orderkey AS id, 'f' || (l_partkey % 7) AS file, CAST(l_suppkey % 3 AS INTEGER) AS start_line, 'a' || (l_linenumber % 2) AS analyzer_id, CAST(l_linenumber AS INTEGER) AS end_line FROM lineitem)
+ SELECT id, file, start_line, analyzer_id, end_line FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY file DESC, start_line DESC, analyzer_id DESC, end_line DESC) AS n FROM r) WHERE n = 1""",
     "diff_changes": f"WITH {_R} SELECT kind, id, severity, CAST(k % 97 + CASE WHEN kind IN ('added', 'moved') AND k % 3 = 0 THEN 2 ELSE 0 END AS INTEGER) AS start_line, CASE WHEN kind = 'moved' THEN CAST(k % 97 AS INTEGER) END AS from_line FROM d WHERE kind IS NOT NULL",
     "diff_summary": f"WITH {_R} SELECT " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}' AND severity = '{s}') AS {k}_{s}" for k in ("added", "resolved", "moved") for s in ("block", "warn", "info")) + ", count(*) FILTER (WHERE kind = 'stable') AS stable FROM d",
     "snapshot_diff": f"WITH {_S} SELECT path, CASE WHEN k % 6 = 0 THEN 'added' WHEN k % 4 = 0 THEN 'deleted' ELSE 'modified' END AS status FROM p WHERE NOT (k % 6 = 0 AND k % 4 = 0) AND (k % 6 = 0 OR k % 4 = 0 OR k % 5 = 0)",

@@ -10,7 +10,9 @@ from ..operators import findings as fnd
 from ..functions.identity import finding_payloads as finding_payloads_of
 from ..operators.analyzers import REGISTRY, clusters, collapse, file_index, symbols
 from ..operators.nodes import node_table, parse_errors
-from .corpus import CORPUS, files, paired, parsed
+from ..functions.scratch import shared_folder
+from ..streaming.state import Incremental
+from .corpus import CORPUS, files, paired, paired_files, parsed
 
 PLAIN = ["analyzer_id", "severity", "file", "start_line", "end_line", "symbol", "message"]
 
@@ -107,6 +109,35 @@ def dup_block(spark, sf_dir):
     return REGISTRY["dup.block"].run(node_table(source), source).select("severity", "file", "start_line", "end_line", "message")
 
 
+def dup_places(spark, sf_dir):
+    """The first places of each text that several places have, six at most."""
+    found = _document_windows(spark, sf_dir).where("rank = 1")
+    return found.select(F.md5("win_text").alias("win"), "n", F.array_join(F.transform("places", lambda p: F.concat_ws(":", p["path"], p["start_line"].cast("string"))), " ").alias("places"))
+
+
+def mocks_evidence(spark, sf_dir):
+    """What findings of tests that mock their own target say of it."""
+    found = REGISTRY["test.mocks-target"].run(*paired(spark, sf_dir))
+    evidence = F.from_json("evidence", "target_file string, mocked_symbols array<string>")
+    return found.select("file", evidence["target_file"].alias("target_file"), F.array_join(evidence["mocked_symbols"], " ").alias("mocked"))
+
+
+def incremental_findings(spark, sf_dir):
+    """Findings of a state's second version: of the tests that the first has seen, those with a key that 5 divides now use both names, and those of the keys after are gone."""
+    state, all_files = Incremental(spark, shared_folder(spark, "state")), paired_files(spark, sf_dir)
+    key = F.regexp_extract("path", r"(\d+)", 1).cast("long")
+    read = lambda rows: rows.select("repo", "path", "text", F.col("text").cast("binary").alias("content"), F.lit(None).cast("string").alias("error"))
+    present = all_files.select("repo", "path", F.lit(1.0).alias("mtime"))
+    first = state.apply(read(all_files), present.select("repo", "path", F.lit("added").alias("status")), present, None)
+    edited = all_files.where(F.col("path").startswith("tests/test_") & (key % 5 < 2))
+    changes = edited.select("repo", "path", F.when(key % 5 == 0, "modified").otherwise("deleted").alias("status"))
+    used = F.replace("text", F.lit("    assert load_"), F.concat(F.lit("    save_"), key.cast("string"), F.lit("()\n    assert load_")))
+    modified = edited.where(key % 5 == 0).withColumn("text", F.when(key % 3 == 0, F.col("text")).otherwise(used))
+    left = present.join(changes.where("status = 'deleted'"), ["repo", "path"], "left_anti")
+    now = state.apply(read(modified), changes, left, first)
+    return state.findings(now["version"]).select(*PLAIN)
+
+
 def path_class(spark, sf_dir):
     path = F.col("path")
     return files(spark, sf_dir).select("path", is_non_source(path).alias("non_source"), is_test(path).alias("test_module"), is_named_test(path).alias("named_test"))
@@ -127,7 +158,7 @@ QUERIES = {
     "all_findings": all_findings, "finding_ids": finding_ids, "finding_payloads": finding_payloads, "parse_errors": parse_error_table, "file_index": file_index_table, "arg_mutable_default": _plain("arg.mutable-default"), "error_masking": _plain("risk.error-masking"), "reraise_vs_raise": _plain("except.reraise-vs-raise"),
     "assertion_free": _plain("test.assertion-free"), "always_true": _plain("test.always-true-assertion"), "time_sleep": _plain("test.time.sleep"), "reinvented_builtin": _plain("ponytail.reinvented"),
     "no_test_for_public": _plain("test.no-test-for-public-symbol", paired), "mocks_target": _plain("test.mocks-target", paired), "severity_summary": severity_summary, "analyzer_counts": analyzer_counts, "exit_gate": exit_gate,
-    "symbols": symbol_table, "dup_block": dup_block, "dup_windows": dup_windows, "dup_clusters": dup_clusters, "dup_collapse": dup_collapse, "path_class": path_class, "line_counts": line_counts, "normalize_text": normalize_text,
+    "symbols": symbol_table, "dup_block": dup_block, "dup_windows": dup_windows, "dup_clusters": dup_clusters, "dup_collapse": dup_collapse, "dup_places": dup_places, "mocks_evidence": mocks_evidence, "incremental_findings": incremental_findings, "path_class": path_class, "line_counts": line_counts, "normalize_text": normalize_text,
 }
 
 _WINDOWS = """WITH RECURSIVE l AS (SELECT CAST(doc_id AS VARCHAR) AS path, string_split(text, chr(10)) AS x FROM documents),
@@ -160,6 +191,10 @@ ORACLES = {
  SELECT path, start_line FROM f WHERE start_line IS NOT NULL""",
     "dup_block": """WITH g AS (SELECT p_partkey AS k, count(*) OVER (PARTITION BY p_size, p_type[1]) AS n, min('src/m' || p_partkey || '.py') OVER (PARTITION BY p_size, p_type[1]) AS first FROM part)
  SELECT CASE WHEN n > 5 THEN 'info' ELSE 'warn' END AS severity, 'src/m' || k || '.py' AS file, 3 AS start_line, 7 AS end_line, '5+ line block duplicated in ' || n || ' places' || CASE WHEN n > 5 THEN ' (widespread)' ELSE '' END AS message FROM g WHERE n > 1 AND (n <= 5 OR first = 'src/m' || k || '.py')""",
+    "dup_places": _WINDOWS + """, r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY path, start_line) AS o FROM d WHERE n > 1) SELECT md5(t) AS win, any_value(n) AS n, string_agg(path || ':' || start_line, ' ' ORDER BY path, start_line) AS places FROM r WHERE o <= 6 GROUP BY t""",
+    "mocks_evidence": """SELECT 'tests/test_mod_' || p_partkey || '.py' AS file, 'pkg/mod_' || p_partkey || '.py' AS target_file, 'load_' || p_partkey AS mocked FROM part WHERE p_partkey % 4 = 0 AND p_partkey % 8 <> 0""",
+    "incremental_findings": """SELECT 'test.no-test-for-public-symbol' AS analyzer_id, 'info' AS severity, 'pkg/mod_' || p_partkey || '.py' AS file, 3 AS start_line, 3 AS end_line, 'save_' || p_partkey AS symbol, 'public `save_' || p_partkey || '` never referenced in tests/test_mod_' || p_partkey || '.py' AS message FROM part WHERE p_partkey % 3 <> 0 AND (p_partkey % 2 = 0 OR p_partkey % 4 = 1) AND p_partkey % 4 <> 1 AND p_partkey % 5 > 1
+ UNION ALL SELECT 'test.mocks-target', 'warn', 'tests/test_mod_' || p_partkey || '.py', 1, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 5 = 0 THEN 4 ELSE 3 END, 'test_load_' || p_partkey || '_ok', 'test `test_load_' || p_partkey || '_ok` mocks its own target (load_' || p_partkey || ')' FROM part WHERE p_partkey % 4 = 0 AND p_partkey % 8 <> 0 AND p_partkey % 5 <> 1""",
     "path_class": WITH + "SELECT path, aside AS non_source, t >= 18 AS test_module, t >= 18 AS named_test FROM c",
     "line_counts": "SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END AS lines FROM documents",
     "normalize_text": "SELECT doc_id, md5(text) AS digest FROM documents",
