@@ -83,6 +83,12 @@ def give_back() -> None:
         _libc.malloc_trim(0)
 
 
+def steady() -> None:
+    """From now on this worker maps arrays of a megabyte or more by themselves, so that each goes back to the system when it is freed; glibc would raise that bound to 32 MB by itself and keep what lies below."""
+    if hasattr(_libc, "mallopt"):
+        _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of whole texts: fewer rows each than Spark's default, so that a batch of long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -85,7 +85,8 @@ class Texts:
     """The texts to join: those that can't be copies, straight from the table, and of the others the ones that are none."""
 
     def __init__(self, src: DataFrame, bitmap: np.ndarray, reps: DataFrame):
-        self.src, self.bitmap, self.rest = src, bitmap, maybe_marked(src, bitmap).join(reps, "doc_id", "left_semi")
+        self.src, self.bitmap = src, bitmap
+        self.rest = maybe_marked(src, bitmap).join(reps.hint("merge"), "doc_id", "left_semi")  # a shuffle between the two Python passes, so that a task needs one worker
 
     def map(self, run, schema: str) -> DataFrame:
         return map_marked(self.src, run, schema, self.bitmap, False).unionAll(self.rest.mapInArrow(run, schema))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import INVERSE, id_and_text, map_marked, marks, maybe_marked, mixed, powers, prefix_hashes, slices, utf8, written
+from .common import INVERSE, give_back, id_and_text, map_marked, marks, maybe_marked, mixed, powers, prefix_hashes, slices, steady, utf8, written
 
 GRAM = 24
 
@@ -323,6 +323,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000, slices_
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Anchors of about a megabyte at a time, one row a bucket for every 16 MB or so."""
+        steady()
         found, size = [], 0
 
         def dealt() -> pa.RecordBatch:
@@ -343,6 +344,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000, slices_
                 size = 0
         if found:
             yield dealt()
+        give_back()
 
     def share(rows: pa.Table) -> pa.Table:
         gram, doc, pos = _joined(rows, "gram", np.uint32), _summed(rows, "doc", np.int64), _summed(rows, "pos", np.uint32)
@@ -405,11 +407,12 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000, slices_
             elif len(spans[0]):
                 held_rows.append((np.zeros(1, np.int64), spans[0][:1], spans[1][:1], np.zeros(1, np.uint8), np.zeros(1, np.uint8), np.zeros((1, width), np.uint8), *spans))
             size += int(lengths.sum())
-            if held_rows and size > 8 << 20:
+            if held_rows and size > 4 << 20:
                 yield dealt()
                 size = 0
         if held_rows:
             yield dealt()
+        give_back()
 
     schema = "bucket int, doc binary, pos binary, left binary, right binary, around binary, span_doc binary, span_begin binary, span_end binary"
     near = maybe_marked(src, marks(shared.select("doc_id"), "doc_id"))
@@ -417,6 +420,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, hot: int = 20_000, slices_
 
     def reduce(rows: pa.Table) -> pa.Table:
         """Spans of a bucket; of hot strings also the smallest doc's rows, which go on to the second round."""
+        steady()
+        give_back()
         doc, pos = _joined(rows, "doc", np.int64), _joined(rows, "pos", np.int64)
         around = _joined(rows, "around", np.uint8).reshape(-1, width)
         on = pa.table({"doc_id": pa.array([], pa.int64()), "begin": pa.array([], pa.int64()), "end": pa.array([], pa.int64()), "string": pa.array([], pa.binary()), "bucket": pa.array([], pa.int32())})
