@@ -79,14 +79,18 @@ def page(data: dict) -> str:
     return f"<!DOCTYPE html><meta charset=utf-8><title>Findings</title><script>{_FILTER}</script><select id=s onchange=f()>{choice}</select><input id=q oninput=f()><table><tbody>{rows}</tbody></table><script type=application/json id=data>{json.dumps(data).replace('</', '<' + chr(92) + '/')}</script>\n"
 
 
-REPORT = "id string, analyzer_id string, analyzer_version string, severity string, file string, start_line int, end_line int, symbol string, message string, evidence string"
 
 
 def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """A report's findings, and its repo and time."""
-    data = json.loads(Path(path).read_text())
-    rows = [(f["id"], f["analyzer_id"], f.get("analyzer_version"), f["severity"], f["file"], *f["span"], f.get("symbol"), f["message"], json.dumps(f.get("evidence"))) for f in data["findings"]]
-    return spark.createDataFrame(rows, REPORT), data
+    """A report's findings, and its repo and time. A task reads the report, the driver gets its head alone; what isn't a report with findings is an error."""
+    fields = "id string, analyzer_id string, analyzer_version string, severity string, file string, span array<int>, symbol string, message string, evidence string"
+    report = spark.read.json(Path(path).resolve().as_uri(), multiLine=True, mode="FAILFAST", schema=f"repo string, generated_at string, findings array<struct<{fields.replace(' string', ': string').replace(' array', ': array')}>>")
+    top = report.select("repo", "generated_at", F.col("findings").isNotNull().alias("whole")).first()
+    if top is None or not top["whole"]:
+        raise ValueError(f"{path} is no report")
+    rows = report.select(F.explode("findings").alias("f")).select("f.*")
+    span = [F.col("span")[i].alias(c) for i, c in enumerate(("start_line", "end_line"))]
+    return rows.select("id", "analyzer_id", "analyzer_version", "severity", "file", *span, "symbol", "message", "evidence"), {"repo": top["repo"], "generated_at": top["generated_at"]}
 
 
 def print_table(findings: DataFrame, out, color: bool) -> None:

@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def save(findings: DataFrame, path: str | Path) -> int:
-    """Writes the distinct ids of one repository's findings in order; returns how many."""
-    ids = [r["id"] for r in findings.select("id").distinct().orderBy("id").toLocalIterator()]
+    """Writes the distinct ids of one repository's findings in order, as they come; returns how many. The file takes the old one's place when it is whole."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps({"schema": 1, "ids": ids}, indent=2))
-    return len(ids)
+    part, n = Path(f"{path}.part"), 0
+    with part.open("w", encoding="utf-8") as out:
+        out.write('{\n  "schema": 1,\n  "ids": [')
+        for n, r in enumerate(findings.select("id").distinct().orderBy("id").toLocalIterator(), 1):
+            out.write(("," if n > 1 else "") + "\n    " + json.dumps(r["id"]))
+        out.write("\n  ]\n}" if n else "]\n}")
+    part.replace(path)
+    return n
 
 
 def load(spark: SparkSession, path: str | Path) -> DataFrame | None:
