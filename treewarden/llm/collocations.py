@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LEAST_BITS, MOST_BITS, mixed, prefix_hashes, slices, string_hashes, utf8, written
-from .common import INVERSE, powers
+from .common import INVERSE, LEAST_BITS, MOST_BITS, mixed, powers, prefix_hashes, slices, steady, string_hashes, utf8, written
 
 #: Bytes that end a piece, blanks between words, and A-Z as a-z.
 CUTS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -27,6 +26,13 @@ LOWER[65:91] += 32
 NO_LANG = "und"
 
 
+def _places(starts: np.ndarray, to: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Of each byte of a copy where it comes from: runs of ``lengths`` bytes that begin at ``starts`` and lie at ``to``. A slice has fewer than 2**31 bytes."""
+    out = np.repeat((starts - to).astype(np.int32), lengths)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
 class Words:
     """The words of a batch of texts: a buffer with one blank after each, where they start and end there, the piece and the text of each."""
 
@@ -40,7 +46,7 @@ class Words:
         lengths = ends - starts + 1
         self.ends = np.cumsum(lengths) - 1
         self.starts = self.ends + 1 - lengths
-        self.data = data[np.repeat(starts - self.starts, lengths) + np.arange(int(lengths.sum()))]
+        self.data = data[_places(starts, self.starts, lengths)]
         self.data[self.ends] = 32
 
     def __len__(self) -> int:
@@ -56,7 +62,7 @@ class Words:
         """The n-grams that begin at the given words, as strings."""
         starts, lengths = self.starts[at], self.ends[at + n - 1] - self.starts[at]
         offsets = np.concatenate(([0], np.cumsum(lengths)))
-        chars = self.data[np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])]
+        chars = self.data[_places(starts, offsets[:-1], lengths)]
         return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(chars)])
 
 
@@ -77,6 +83,7 @@ def gram_counts(docs: DataFrame, n: int, frequent: np.ndarray | None = None) ->
     bitmap = None if frequent is None else docs.sparkSession.sparkContext.broadcast(frequent)  # MOST_BITS at most
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady()
         for batch in slices(batches):
             langs = batch.column("lang")
             words = Words(utf8(batch.column("text")))
