@@ -246,6 +246,10 @@ class _File:
             text = self._text(*(self.tokens.around(*self._bytes(node.func)) or [self._bytes(node.func)])[0])
         elif isinstance(node, ast.AugAssign):
             text = type(node.op).__name__
+        elif isinstance(node, ast.alias):
+            text = node.name
+        elif isinstance(node, ast.ImportFrom):
+            text = "." * node.level + (node.module or "")
         elif isinstance(node, ast.Compare):
             text = type(node.ops[0]).__name__ if len(node.ops) == 1 else "chain"
         elif kind in SOURCED:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import history, source
+from . import architecture, history, source
 
-QUERIES: dict = source.QUERIES | history.QUERIES
-ORACLES: dict = source.ORACLES | history.ORACLES
+QUERIES: dict = source.QUERIES | history.QUERIES | architecture.QUERIES
+ORACLES: dict = source.ORACLES | history.ORACLES | architecture.ORACLES
