@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import architecture, history, source
+from . import architecture, history, rework, source
 
-QUERIES: dict = source.QUERIES | history.QUERIES | architecture.QUERIES
-ORACLES: dict = source.ORACLES | history.ORACLES | architecture.ORACLES
+QUERIES: dict = source.QUERIES | history.QUERIES | architecture.QUERIES | rework.QUERIES
+ORACLES: dict = source.ORACLES | history.ORACLES | architecture.ORACLES | rework.ORACLES
