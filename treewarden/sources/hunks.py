@@ -41,7 +41,9 @@ def parsed_hunks(lines: Iterator[bytes]) -> Iterator[tuple]:
         if content:
             content -= not line.startswith(b"\\")
         elif line.startswith(b"commit "):
-            lives = {n: x for n, x in lives.items() if n not in gone} | fresh if gone else lives | fresh if fresh else lives
+            for name in gone:
+                lives.pop(name, None)
+            lives.update(fresh)
             gone, fresh = set(), {}
             commit, at = commit + 1, round(datetime.fromisoformat(line[7:].decode()).timestamp() * 1_000_000)
         elif line.startswith(b"rename from "):
