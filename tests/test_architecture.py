@@ -100,3 +100,17 @@ def test_findings(spark):
     assert "arch.cycle" not in REGISTRY
     none = _tree(spark, {("r", "a.py"): "x = 1\n"}).where(F.lit(False))
     assert CYCLE.run(node_table(none), none).count() == 0
+
+
+def test_no_side_goes_through_the_driver(spark):
+    """Joins of what grows with a tree are merges, however small the tables are here."""
+    from treewarden.operators.architecture import components, cycle_imports, import_edges, layers
+    from treewarden.operators.nodes import node_table
+
+    sources = {"src/a.py": "import b\n", "src/b.py": "import a\nimport c\n", "src/c.py": ""}
+    nodes = node_table(spark.createDataFrame([("r", p, bytearray(t.encode())) for p, t in sources.items()], "repo string, path string, content binary"))
+    edges = import_edges(nodes)
+    found = components(edges)
+    for df in (edges, found, cycle_imports(edges), layers(nodes.where("id = 0"), edges, found)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
