@@ -58,3 +58,13 @@ def test_weights_have_no_bound():
     w = st.poisson_weights(np.arange(2000), np.ones(2000, dtype=int), 1000, 42)
     share = [(w == k).mean() for k in range(4)]
     assert share == pytest.approx([0.36788, 0.36788, 0.18394, 0.06131], abs=0.002) and w.max() > 5
+
+
+def test_ranks_are_carried_as_what_is_unexpected():
+    """As ranks beyond 65,535 they took four bytes each."""
+    rng = np.random.default_rng(5)
+    far = np.array([[0, -1, 1, 127, -128], [128, -129, 300, -32768, 32767], [40000, 0, 0, 0, -1], [2**40, 0, 0, 0, -(2**40)]])
+    assert (st._unpacked(st._packed(far), 5) == far).all()
+    usual = np.rint(rng.normal(0, 100, (50, 1000))).astype(np.int64)
+    packed = st._packed(usual)
+    assert (st._unpacked(packed, 1000) == usual).all() and sum(map(len, packed)) < 1.4 * usual.size
