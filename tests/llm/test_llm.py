@@ -3,6 +3,8 @@
 import hashlib
 import io
 import random
+import time
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -11,7 +13,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from treewarden.llm import ann, byte_bpe, encoding, ngram_join, packing, quality, suffix_dedup, token_store, toxicity, url_filter, warc
+from treewarden.llm import ann, byte_bpe, common, encoding, ngram_join, packing, quality, suffix_dedup, token_store, toxicity, url_filter, warc
 
 WORDS = [f"w{i}" for i in range(40)]
 DOCS = "doc_id long, text string, lang string, source string, spans string, _place0 int"
@@ -439,6 +441,50 @@ def test_suffix_order():
     assert [text[i] for i in order] == sorted(text) and same.tolist() == [False] + [a == b for a, b in zip(sorted(text), sorted(text)[1:], strict=False)]
 
 
+def test_suffix_memory():
+    """Many equal suffixes, as around a common passage, take a few numbers each."""
+    rows = np.tile(np.frombuffer(b"one passage that stands in very many documents, word by word, again and again", np.uint8)[:76], (40_000, 1))
+    tracemalloc.start()
+    order, same = suffix_dedup.sort_suffixes(rows.ravel(), np.arange(40_000) * 76, np.zeros(40_000, np.uint64), 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(order.tolist()) == list(range(40_000)) and same.sum() == 39_999 and peak < 100 * 40_000
+
+
+def test_suffix_dedup_common_passage(spark):
+    """One passage in other surroundings of each document: of a slice, only the smallest document's strings go on; results are those of brute force, repeated ends and zero bytes included."""
+    rng = random.Random(3)
+    passage = "a passage of some sixty bytes which every document repeats once."
+    rows = [(i, "".join(rng.choices("abcdefgh \0", k=90)) + passage + "".join(rng.choices("abcdefgh \0", k=90 * (i % 3 > 0))), "en", "s", "x", 1) for i in range(80)]
+    data = np.frombuffer("".join(text for _, text, *_ in rows).encode(), np.uint8)
+    lengths = np.array([len(text) for _, text, *_ in rows])
+    at, _ = suffix_dedup.anchors(np.frombuffer(passage.encode(), np.uint8), np.array([len(passage)]), 50)
+    begin = np.cumsum(lengths) - lengths + 90 + at[0]
+    doc, around = np.arange(80)[::-1], np.lib.stride_tricks.sliding_window_view(np.pad(data, 26), 76)[begin]
+    row, a, strings, again = suffix_dedup.strings_around(doc, np.full(80, 26), np.full(80, 26), around, 50)
+    first = defaultdict(lambda: 80)
+    for r, x in zip(row, strings, strict=True):
+        first[x.tobytes()] = min(first[x.tobytes()], doc[r])
+    assert again.sum() > 79 and again.tolist() == [doc[r] > first[x.tobytes()] for r, x in zip(row, strings, strict=True)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    want = brute_removed(rows, 50)
+    assert all(tuple(r)[1:] == want[r["doc_id"]] for r in suffix_dedup.digests(docs, 50).collect())
+    for hot in (2, 40):
+        spans = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in suffix_dedup.repeated_spans(docs, 50, hot=hot).collect()}
+        assert all(suffix_dedup.removed(text.encode(), spans.get(i, []))[1] == want[i][1] for i, text, *_ in rows)
+
+
+def test_written_drops_its_shuffles(spark):
+    left = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, kept = left(), spark.conf.get(common.CLEANUP)
+    rows = common.written(spark.range(1000).repartition(3, "id"), "rows", drop_shuffles=True)
+    for _ in range(50):
+        if left() <= before:
+            break
+        time.sleep(0.2)
+    assert left() <= before and rows.count() == 1000 and spark.conf.get(common.CLEANUP) == kept
+
+
 def test_warc(spark, tmp_path):
     html = ["x" * 100, "x" * 100, "x" * 99, "x" * 99, None, "", "é" * 60, "a" * 3_000_000, "x" * 100, "x" * 100]
     ids = [5, 3, 1, 2, 7, 8, 9, 10, 3, None]
