@@ -187,3 +187,10 @@ def test_words_and_planted_misspellings(spark, none):
     df = spark.createDataFrame([(*r, "en", "r", "b", 1, "w", 7) for r in table], DOCS).repartition(3)
     assert {r["word"]: r["n"] for r in spelling.word_counts(df, 7, 2, 5).collect()} == {w: n for w, n in want.items() if n >= 2}
     assert spelling.variant_groups(spelling.word_counts(none)).count() == 0
+
+
+def test_an_automaton_holds_the_segments_that_bring_words():
+    held = spelling.Halves([(5, 0, "abcdefgh", 9), (6, 1, "abcdxfgh", 4)])
+    assert sorted(held.automaton.keys()) == ["abcd", "xfgh"]  # not the halves by which other shards hold the words
+    assert held.near("abcdefghi", 5) == [("abcdefgh", 9)] and held.near("abcdyxfgh", 6) == [("abcdxfgh", 4)]
+    assert held.near("abcdefghi", 6) == [] == held.near("yabcdefgh", 5)

@@ -2,9 +2,9 @@
 
 A word is two segments, its halves. If another word differs from it by one inserted, deleted or replaced code point, one of the
 segments stands unchanged at that word's begin or end, and so does a half of the other segment, one of its quarters. Each shard holds an
-Aho-Corasick automaton of the segments of its words. Words are scanned by the shards that may hold a segment of theirs: those of the hashes of segment and
-quarter, so that even a segment that a third of all words share is dealt over many shards. What is found is checked for its offset and the words' lengths,
-then the distance is verified.
+Aho-Corasick automaton of the segments that bring words to it. Words are scanned by the shards that may hold a segment of theirs: those of the hashes of segment and
+quarter, so that even a segment that a third of all words share is dealt over many shards. Rows carry that hash: what is found is checked for its offset
+and hash, then the distance is verified.
 """
 
 from __future__ import annotations
@@ -70,81 +70,71 @@ def _routes(more: int) -> list[Column]:
     return [F.xxhash64(F.lit(0), head, cut(left + 1, qr)), F.xxhash64(F.lit(1), head, cut(size - (right - qr) + 1, right - qr)), F.xxhash64(F.lit(2), tail, cut(one, ql)), F.xxhash64(F.lit(3), tail, cut(size - right - (left - ql) + 1, left - ql))]
 
 
-def _quarters(word: str, length: int, side: str) -> tuple[tuple, tuple]:
-    """The keys of a word's two quarters beside an unchanged segment of a word of ``length`` code points."""
-    left = length // 2
-    right = length - left
-    if side == "left":
-        half = right // 2
-        return (length, side, 0, word[left : left + half]), (length, side, 1, word[len(word) - (right - half) :])
-    half, end = left // 2, len(word) - right
-    return (length, side, 0, word[:half]), (length, side, 1, word[end - (left - half) : end])
-
-
 def one_edit(a: str, b: str) -> bool:
     """Whether exactly one inserted, deleted or replaced code point makes a into b."""
     if len(a) > len(b):
         a, b = b, a
     if a == b or len(b) - len(a) > 1:
         return False
-    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    i = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        i += 1
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
 class Halves:
-    """An automaton of both segments of the words it holds."""
+    """An automaton of segments. A row (key, side, word, n) is a word by one of its segments, the left one if ``side`` is 0, and the hash of that and of a quarter."""
 
-    def __init__(self, words: list[tuple[str, int]]):
+    def __init__(self, rows: list[tuple[int, int, str, int]]):
         self.automaton = ahocorasick.Automaton()
-        held: dict[str, dict[tuple, list]] = defaultdict(lambda: defaultdict(list))
-        for word, n in words:
+        held: dict[str, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+        for key, side, word, n in rows:
             half = len(word) // 2
-            for side, segment in (("left", word[:half]), ("right", word[half:])):
-                for key in _quarters(word, len(word), side):
-                    held[segment][key].append((word, n))
+            held[word[half:] if side else word[:half]][key].append((word, n))
         for segment, by_key in held.items():
             self.automaton.add_word(segment, (len(segment), by_key))
         self.automaton.make_automaton()
 
-    def near(self, word: str) -> Iterator[tuple[str, int]]:
-        """The smaller words held that are one edit from ``word``, some more than once."""
+    def near(self, word: str, key: int) -> list[tuple[str, int]]:
+        """The smaller words held under ``key`` that are one edit from ``word``, some more than once."""
+        found, end = [], len(word) - 1
         for last, (size, by_key) in self.automaton.iter(word):
-            for length in (len(word) - 1, len(word), len(word) + 1):
-                if last == size - 1 and length // 2 == size:
-                    side = "left"
-                    for key in _quarters(word, length, side):
-                        yield from ((w, n) for w, n in by_key.get(key, ()) if w < word and one_edit(w, word))
-                if last == len(word) - 1 and length - length // 2 == size:
-                    for key in _quarters(word, length, "right"):
-                        yield from ((w, n) for w, n in by_key.get(key, ()) if w < word and one_edit(w, word))
+            if (last == size - 1 or last == end) and key in by_key:
+                found += [x for x in by_key[key] if x[0] < word and one_edit(x[0], word)]
+        return found
 
 
 def near_pairs(words: DataFrame, words_per_shard: int = WORDS_PER_SHARD) -> DataFrame:
     """(word, other, other_n) of all words (word, n) of 4 code points or more that are one edit apart, in both directions. Each word is a row of its own."""
     shards = max(1, 4 * words.count() // words_per_shard)
-    to_shards = lambda hashes: F.explode(F.array_distinct(F.transform(F.array(*hashes), lambda h: F.pmod(h, F.lit(shards))))).alias("shard")
-    held = words.select(to_shards(_routes(0)), F.lit(0).alias("scanned"), "word", "n")
-    scanned = words.select(to_shards(_routes(-1) + _routes(0) + _routes(1)), F.lit(1).alias("scanned"), "word", "n")
+    own = F.array(*(F.struct(h.alias("key"), F.lit(side).alias("side")) for h, side in zip(_routes(0), (0, 0, 1, 1), strict=True)))
+    held = words.select(F.explode(own).alias("at"), "word", "n").select("at.key", "at.side", "word", "n")
+    scanned = words.select(F.explode(F.array_distinct(F.array(*_routes(-1), *_routes(0), *_routes(1)))).alias("key"), F.lit(2).alias("side"), "word", "n")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, holds, automaton = None, [], None
         for batch in batches:
-            a, b, of, m = [], [], [], []
-            for now, kind, word, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "scanned", "word", "n")), strict=True):
+            a, b, m = [], [], []
+            keys = batch.column("key").to_numpy()
+            columns = (keys % shards, keys, *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("side", "word", "n")))
+            for now, key, side, word, n in zip(*(c.tolist() for c in columns), strict=True):
                 if now != shard:
                     shard, holds, automaton = now, [], None
-                if not kind:
-                    holds.append((word, n))
+                if side != 2:
+                    holds.append((key, side, word, n))
                     continue
                 if automaton is None:
                     automaton = Halves(holds)
-                for other, k in automaton.near(word):
+                for other, k in automaton.near(word, key):
                     a += (word, other)
                     b += (other, word)
                     m += (k, n)
             yield pa.record_batch({"word": pa.array(a, pa.string()), "other": pa.array(b, pa.string()), "other_n": pa.array(m, pa.int64())})
 
-    dealt = held.unionAll(scanned).repartition("shard").sortWithinPartitions("shard", "scanned")
+    shard = F.pmod("key", F.lit(shards))
+    dealt = held.unionAll(scanned).repartition(shard).sortWithinPartitions(shard, "side")
     return dealt.mapInArrow(scan, "word string, other string, other_n long").distinct()
 
 
