@@ -517,3 +517,29 @@ def test_pipeline(spark, tmp_path):
             assert docs.columns == columns and docs.count() <= before.count()
     assert set(docs.columns) >= {"doc_id", "sequence_id", "offset"}
     assert corpus_pipeline.drop_toxic(spark, before.limit(0), sf).count() == 0
+
+
+def test_shuffles_of_the_join_go_with_each_table(spark, monkeypatch):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = []
+
+    def there():
+        files = manager.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    def checked(df, name, *a, f=common.written, **b):
+        before = there()
+        out = f(df, name, *a, **b)
+        until = time.time() + 10
+        while left := there() - before:
+            assert time.time() < until, (name, left)
+            time.sleep(0.1)
+        names.append(name)
+        return out
+
+    for module in (common, ngram_join):
+        monkeypatch.setattr(module, "written", checked)
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, f"{text} end"), (4, "another text of its own")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert {"shared", "several", "edges", "tokens"} <= set(names)

@@ -205,28 +205,28 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     No rows: no rows.
     """
     src = id_and_text(docs)
-    sets = written(sizes(src, n), "sizes")
+    sets = written(sizes(src, n), "sizes", True)
     own = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
     firsts = own.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    copies = written(own.join(firsts, "digest").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "copies")
+    copies = written(own.join(firsts, "digest").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "copies", True)
     # a doc_id is a copy if all its sets are; texts that can't be copies stay where they are
     bitmap = marks(copies, "a")
     held = own.join(firsts, "digest", "left").where("rep IS NULL OR rep = doc_id").select("doc_id").distinct()
     src = src.where("doc_id IS NOT NULL")
-    reps = written(maybe_marked(src, bitmap).select("doc_id").distinct().join(held, "doc_id"), "reps")
+    reps = written(maybe_marked(src, bitmap).select("doc_id").distinct().join(held, "doc_id"), "reps", True)
     texts = Texts(src, bitmap, reps)
 
     # prefix tokens, and of each the first class
     token = Window.partitionBy("token")
     prefix = prefixes(texts, n, percent, common_tokens(src, n)).select("id", "size", F.posexplode("prefix").alias("place", "token")).select("id", "size", "token", (F.col("size") - F.col("place")).alias("rest"))
     shared = prefix.select("*", F.min(F.struct("id", "size")).over(token).alias("least"), F.max("id").over(token).alias("last")).where("least.id != last")
-    shared = written(shared.select("id", "size", "token", "rest", F.col("least.id").alias("least"), F.col("least.size").alias("least_size")), "shared")
+    shared = written(shared.select("id", "size", "token", "rest", F.col("least.id").alias("least"), F.col("least.size").alias("least_size")), "shared", True)
     stars = shared.where((F.col("id") != F.col("least")) & _fit(F.col("size"), F.col("least_size"), percent)).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    stars = written(stars, "stars")
-    slots = written(bitmaps(src, n, marks(shared, "id")), "bitmaps")
+    stars = written(stars, "stars", True)
+    slots = written(bitmaps(src, n, marks(shared, "id")), "bitmaps", True)
     left, right = slots.select(F.col("id").alias("a"), "size", F.col("bits").alias("x")), slots.select(F.col("id").alias("b"), F.col("size").alias("least"), F.col("bits").alias("y"))
-    stars = written(bounded(stars, left, right, percent).distinct(), "near")
-    first = written(_compared(stars, src, n, percent), "first")
+    stars = written(bounded(stars, left, right, percent).distinct(), "near", True)
+    first = written(_compared(stars, src, n, percent), "first", True)
     groups = components(first)
 
     # the matrix: only tokens that more than one group shares make candidates; of two groups that with more members is the one to open.
@@ -235,21 +235,21 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     member = shared.select("id", "size", "token", "rest").join(groups, "id", "left").select("id", "size", "token", "rest", F.coalesce("component", "id").alias("grp"), F.coalesce("members", F.lit(1)).alias("members"))
     several = member.select("*", F.min("grp").over(token).alias("g0"), F.max("grp").over(token).alias("g1"), F.count("*").over(token).alias("k"), F.min(F.struct("id", "size")).over(token).alias("least")).where("g0 != g1 AND k > 2")
     is_first = F.col("id") == F.col("least.id")
-    several = written(several.select("id", "size", "token", "rest", "grp", "members", is_first.alias("first"), (~is_first & _fit(F.col("size"), F.col("least.size"), percent)).alias("met")), "several")
+    several = written(several.select("id", "size", "token", "rest", "grp", "members", is_first.alias("first"), (~is_first & _fit(F.col("size"), F.col("least.size"), percent)).alias("met")), "several", True)
     matrix = several.groupBy("token", "grp", F.col("members").alias("of")).agg(F.min("size").alias("least_size"), F.max("size").alias("most_size"), F.max("rest").alias("most_rest"), F.bool_or("first").alias("has_first"), F.bool_or("met").alias("has_met"))
     fitting = (100 * F.col("most_size") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("least_size"))
     fitting = fitting & _enough(F.col("size"), F.greatest("least_size", F.ceil(percent * F.col("size") / 100)), F.col("rest"), F.col("most_rest"), percent)
     larger = F.struct("of", "grp") > F.struct("members", "own")
     anew = (F.col("of") > 1) | ~(F.col("has_first") & F.col("met") | F.col("first") & F.col("has_met"))
     candidates = several.select("token", "id", "size", "rest", "members", "first", "met", F.col("grp").alias("own")).join(matrix, "token").where(larger & fitting & anew).select(F.col("id").alias("a"), F.col("grp").alias("b")).distinct()
-    candidates = written(candidates, "candidates")
+    candidates = written(candidates, "candidates", True)
     unions = slots.mapInArrow(_smallest, "id long, size long, bits binary").join(groups, "id", "left").groupBy(F.coalesce("component", "id").alias("b")).agg(F.min("size").alias("least"), F.substring(F.bitmap_or_agg("bits"), 1, BITS // 8).alias("y"))
-    opened = written(bounded(candidates, left, unions, percent).distinct(), "opened")
+    opened = written(bounded(candidates, left, unions, percent).distinct(), "opened", True)
     others = several.select("token", F.col("grp").alias("b"), F.col("id").alias("other"), F.col("size").alias("other_size"), F.col("rest").alias("other_rest"))
     pairs = opened.join(several.select(F.col("id").alias("a"), "size", "token", "rest"), "a").join(others, ["token", "b"])
     pairs = pairs.where(_fit(F.col("size"), F.col("other_size"), percent) & _enough(F.col("size"), F.col("other_size"), F.col("rest"), F.col("other_rest"), percent))
-    pairs = written(pairs.select(F.greatest("a", "other").alias("a"), F.least("a", "other").alias("b")).distinct(), "pairs")
-    second = _compared(written(bounded(pairs, left, right, percent).distinct(), "close"), src, n, percent)
+    pairs = written(pairs.select(F.greatest("a", "other").alias("a"), F.least("a", "other").alias("b")).distinct(), "pairs", True)
+    second = _compared(written(bounded(pairs, left, right, percent).distinct(), "close", True), src, n, percent)
 
     found = components(first.unionAll(second).unionAll(copies))
     return sets.join(found, sets["doc_id"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -258,4 +258,4 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
 def _compared(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs that are similar enough, by the tokens of the texts they name."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    return linked(pairs, written(tokens_of(docs, n, marks(ids, "id")), "tokens"), percent)
+    return linked(pairs, written(tokens_of(docs, n, marks(ids, "id")), "tokens", True), percent)
