@@ -134,3 +134,22 @@ def test_compaction_expiry_and_pins(spark, tmp_path, monkeypatch):
     cold = Incremental(spark, str(tmp_path / "c"))
     scan(cold, monkeypatch, files)
     assert ids(state) == ids(cold)
+
+
+def test_no_side_goes_through_the_driver(spark, tmp_path):
+    """Joins of what grows with the trees are merges in every job of a cold and a warm version, however small the tables are here."""
+    files = {"m.py": (0, "def load():\n    try:\n        go()\n    except:\n        pass\n"), "tests/test_m.py": (0, "def test_load(mocker):\n    mocker.patch('m.load')\n    assert True\n"), "twin.py": (0, BODY.format(1)), "twin2.py": (0, BODY.format(2))}
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    state, version = Incremental(spark, str(tmp_path / "s")), None
+    for status in ("added", "modified"):
+        present, read = tree(spark, files)
+        changes = present.where(f"'{status}' = 'added' OR path = 'twin2.py'").select("repo", "path", F.lit(status).alias("status"))
+        version = state.apply(read.where(f"'{status}' = 'added' OR path = 'twin2.py'"), changes, present, version)
+        files["twin2.py"] = (1, BODY.format(3))
+    assert len(ids(state)) >= 4
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    ran = [store.executionsList().apply(i) for i in range(store.executionsList().size())]
+    plans = [x.physicalPlanDescription() for x in ran if x.executionId() not in before]
+    assert sum("SortMergeJoin" in x for x in plans) > 20 and not [x[:2000] for x in plans if "BroadcastExchange" in x]

@@ -26,6 +26,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merging(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the trees: both sides are dealt by key and merged, as a broadcast would go through the driver, once a join."""
+    return side.hint("merge")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of fewer partitions than there are cores, dealt over all of them; others stay where they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

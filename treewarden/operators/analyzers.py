@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import content_hash, short_hash
 from ..functions.paths import basename, is_named_test, is_non_source, is_test
+from ..functions.scratch import merging
 from ..functions.text import line_count
 
 FILE = ["repo", "path"]
@@ -79,7 +80,7 @@ def _tests(nodes: DataFrame) -> DataFrame:
 def _inside(owners: DataFrame, found: DataFrame, owner: str, how: str = "inner") -> DataFrame:
     """Joins each owner with what lies in its subtree. The parser has kept a stack of open owners, so each row of ``found`` names those around it (owners) and meets them by their number."""
     f = found.select("*", F.explode("owners").alias(owner)).drop("owners")
-    return owners.join(f, [*FILE, owner], how)
+    return owners.join(merging(f), [*FILE, owner], how)
 
 
 def _tail(callee: Column) -> Column:
@@ -92,7 +93,7 @@ def error_masking(nodes: DataFrame, files: DataFrame) -> DataFrame:
     child = nodes.where("role IN ('body', 'type', 'alias')").select(*FILE, F.col("parent").alias("clause"), "id", "last", "role", "type", "ordinal")
     # a bare ... is an expression statement with an ellipsis below
     ellipsis = nodes.where("type = 'ellipsis'").select(*FILE, F.col("parent").alias("id"), F.lit(True).alias("dots"))
-    parts = child.join(ellipsis, [*FILE, "id"], "left").join(clause.select(*FILE, "clause"), [*FILE, "clause"], "left_semi")
+    parts = child.join(merging(ellipsis), [*FILE, "id"], "left").join(merging(clause.select(*FILE, "clause")), [*FILE, "clause"], "left_semi")
     noop = (F.col("type") == "pass_statement") | ((F.col("type") == "expression_statement") & F.coalesce("dots", F.lit(False)))
     body = parts.groupBy(*FILE, "clause").agg(
         F.count_if(F.col("role") == "body").alias("n"), F.count_if((F.col("role") == "body") & ~noop).alias("busy"),
@@ -100,10 +101,10 @@ def error_masking(nodes: DataFrame, files: DataFrame) -> DataFrame:
     ).where("n > 0 AND busy = 0")
     spec = body.select(*FILE, "clause", F.col("spec.id").alias("spec"), F.col("spec.last").alias("spec_last"), "alias")
     names = nodes.where("type = 'identifier' AND text IN ('Exception', 'BaseException') OR type = 'attribute' AND (text LIKE '%.Exception' OR text LIKE '%.BaseException')").select(*[F.col(c).alias(f"_{c}") for c in FILE], "id")
-    broad = spec.join(names, (F.col("repo") == F.col("_repo")) & (F.col("path") == F.col("_path")) & ((F.col("id") >= F.col("spec")) & (F.col("id") <= F.col("spec_last")) | (F.col("id") == F.col("alias"))), "left")
+    broad = spec.join(merging(names), (F.col("repo") == F.col("_repo")) & (F.col("path") == F.col("_path")) & ((F.col("id") >= F.col("spec")) & (F.col("id") <= F.col("spec_last")) | (F.col("id") == F.col("alias"))), "left")
     kinds = broad.groupBy(*FILE, "clause").agg(F.when(F.max("spec").isNull(), "bare-except").when(F.max("id").isNotNull(), "broad-except").otherwise("specific-except").alias("kind"))
     severity = F.when((F.col("kind") == "specific-except") | is_non_source(F.col("path")), "info").otherwise("warn")
-    return clause.join(kinds, [*FILE, "clause"]).select("repo", "path", "start", "end", F.lit(None).alias("symbol"), severity.alias("severity"), _text("except clause swallows errors (", F.col("kind"), ")").alias("message"), F.struct("kind", F.col("source").alias("snippet")).alias("evidence"))
+    return clause.join(merging(kinds), [*FILE, "clause"]).select("repo", "path", "start", "end", F.lit(None).alias("symbol"), severity.alias("severity"), _text("except clause swallows errors (", F.col("kind"), ")").alias("message"), F.struct("kind", F.col("source").alias("snippet")).alias("evidence"))
 
 
 @register("arg.mutable-default", "1")
@@ -112,7 +113,7 @@ def mutable_default(nodes: DataFrame, files: DataFrame) -> DataFrame:
     value = nodes.where("role = 'value'").select(*FILE, "parent", "type", "text", "source")
     kind = F.expr("CASE type WHEN 'list' THEN 'list-literal' WHEN 'dictionary' THEN 'dict-literal' WHEN 'set' THEN 'set-literal' WHEN 'call' THEN CASE text WHEN 'list' THEN 'list-call' WHEN 'dict' THEN 'dict-call' WHEN 'set' THEN 'set-call' END END")
     snippet = F.expr("CASE kind WHEN 'list-literal' THEN '[]' WHEN 'dict-literal' THEN '{}' WHEN 'set-literal' THEN source ELSE concat(text, '()') END")
-    found = parameter.join(value, [*FILE, "parent"]).withColumn("kind", kind).where("kind IS NOT NULL").withColumn("snippet", snippet)
+    found = parameter.join(merging(value), [*FILE, "parent"]).withColumn("kind", kind).where("kind IS NOT NULL").withColumn("snippet", snippet)
     return found.select("repo", "path", "start", "end", F.col("param").alias("symbol"), F.lit("warn").alias("severity"), _text("mutable default `", F.col("param"), "=", F.col("snippet"), "` is shared across calls").alias("message"), F.struct("kind", "param", "snippet").alias("evidence"))
 
 
@@ -121,8 +122,8 @@ def reraise(nodes: DataFrame, files: DataFrame) -> DataFrame:
     clause = nodes.where("type = 'except_clause'").select(*FILE, F.col("id").alias("clause"), F.col("last").alias("clause_last"))
     alias = nodes.where("role = 'alias'").select(*FILE, F.col("parent").alias("clause"), F.col("text").alias("alias"))
     only = nodes.where("type = 'identifier' AND role = 'exc'").select(*FILE, F.col("parent").alias("id"), F.col("text").alias("raised"))
-    raises = nodes.where("type = 'raise_statement' AND children = 1").select(*FILE, "id", "start", "end", "source", "owners").join(only, [*FILE, "id"])
-    found = _inside(clause.join(alias, [*FILE, "clause"]), raises, "clause").where("raised = alias")
+    raises = nodes.where("type = 'raise_statement' AND children = 1").select(*FILE, "id", "start", "end", "source", "owners").join(merging(only), [*FILE, "id"])
+    found = _inside(clause.join(merging(alias), [*FILE, "clause"]), raises, "clause").where("raised = alias")
     last = found.groupBy(*FILE, "clause").agg(F.max_by(F.struct("start", "end", "alias", F.col("source").alias("snippet")), "id").alias("r"))
     return last.select("repo", "path", "r.start", "r.end", F.lit(None).alias("symbol"), F.lit("warn").alias("severity"), _text("`raise ", F.col("r.alias"), "` truncates traceback; use bare `raise`").alias("message"), F.struct("r.alias", "r.snippet").alias("evidence"))
 
@@ -146,10 +147,10 @@ def _always_true(nodes: DataFrame) -> DataFrame:
     simple = nodes.where("source IS NOT NULL").select(*FILE, "id", literal.alias("kind")).where("kind IS NOT NULL")
     names = nodes.where("type = 'identifier'").select(*FILE, F.col("parent").alias("id"), "text")
     compared = nodes.where("type = 'comparison_operator' AND children = 2").select(*FILE, "id")
-    same = names.join(compared, [*FILE, "id"], "left_semi").groupBy(*FILE, "id").agg(F.count("*").alias("n"), F.min("text").alias("a"), F.max("text").alias("b")).where("n = 2 AND a = b").select(*FILE, "id", F.lit("self-comparison").alias("kind"))
+    same = names.join(merging(compared), [*FILE, "id"], "left_semi").groupBy(*FILE, "id").agg(F.count("*").alias("n"), F.min("text").alias("a"), F.max("text").alias("b")).where("n = 2 AND a = b").select(*FILE, "id", F.lit("self-comparison").alias("kind"))
     # isinstance with two arguments, object the second
     given = nodes.where("role IN ('args', 'keywords')").select(*FILE, F.col("parent").alias("id"), "role", "ordinal", "source")
-    calls = nodes.where("type = 'call' AND text = 'isinstance'").select(*FILE, "id").join(given, [*FILE, "id"]).groupBy(*FILE, "id").agg(F.count("*").alias("n"), F.max_by("source", "ordinal").alias("second"))
+    calls = nodes.where("type = 'call' AND text = 'isinstance'").select(*FILE, "id").join(merging(given), [*FILE, "id"]).groupBy(*FILE, "id").agg(F.count("*").alias("n"), F.max_by("source", "ordinal").alias("second"))
     calls = calls.where("n = 2 AND second = 'object'").select(*FILE, "id", F.lit("isinstance-object").alias("kind"))
     return simple.unionByName(same).unionByName(calls)
 
@@ -158,13 +159,13 @@ def _always_true(nodes: DataFrame) -> DataFrame:
 def always_true(nodes: DataFrame, files: DataFrame) -> DataFrame:
     nodes = nodes.where(is_test(F.col("path")))
     true = _always_true(nodes)
-    tested = nodes.where("type = 'assert_statement'").select(*FILE, "id", "start", "end", "rpre", "source", "owners").join(nodes.where("role = 'test'").select(*FILE, F.col("parent").alias("id"), F.col("id").alias("arg")), [*FILE, "id"])
+    tested = nodes.where("type = 'assert_statement'").select(*FILE, "id", "start", "end", "rpre", "source", "owners").join(merging(nodes.where("role = 'test'").select(*FILE, F.col("parent").alias("id"), F.col("id").alias("arg"))), [*FILE, "id"])
     calls = nodes.where("type = 'call'").withColumn("tail", _tail(F.col("text")))
     args = nodes.where("role = 'args'").select(*FILE, F.col("parent").alias("id"), F.col("id").alias("arg"), "type", F.col("source").alias("arg_source"), "ordinal")
     first = args.groupBy(*FILE, "id").agg(F.min_by(F.struct("arg", "arg_source"), "ordinal").alias("a0"), F.sort_array(F.collect_list(F.struct("ordinal", "type", "arg_source"))).alias("all"))
-    calls = calls.select(*FILE, "id", "start", "end", "rpre", "source", "owners", "tail").join(first, [*FILE, "id"])
+    calls = calls.select(*FILE, "id", "start", "end", "rpre", "source", "owners", "tail").join(merging(first), [*FILE, "id"])
     by_arg = tested.unionByName(calls.where("tail IN ('assertTrue', 'assert_')").select(*tested.columns[:-1], F.col("a0.arg").alias("arg")))
-    found = by_arg.join(true.withColumnRenamed("id", "arg"), [*FILE, "arg"]).drop("arg")
+    found = by_arg.join(merging(true.withColumnRenamed("id", "arg")), [*FILE, "arg"]).drop("arg")
     false = calls.where("tail = 'assertFalse' AND lower(a0.arg_source) IN ('false', '0', '0.0', '\"\"', \"''\")").withColumn("kind", F.lit("constant-false"))
     equal = calls.where("tail IN ('assertEqual', 'assertEquals', 'assertIs') AND size(all) >= 2 AND all[0].type = 'identifier' AND all[1].type = 'identifier' AND all[0].arg_source = all[1].arg_source").withColumn("kind", F.lit("self-comparison"))
     found = found.unionByName(false.select(found.columns)).unionByName(equal.select(found.columns))
@@ -178,7 +179,7 @@ def always_true(nodes: DataFrame, files: DataFrame) -> DataFrame:
 def time_sleep(nodes: DataFrame, files: DataFrame) -> DataFrame:
     imports = F.regexp_extract_all("text", F.lit(r"(?m)^\s*from\s+time\s+import\s+([^\n]+)"), 1)
     bare = files.where(F.exists(imports, lambda s: F.array_contains(F.split(s, r"[,\s()]+"), "sleep"))).select(*FILE, F.lit(True).alias("bare"))
-    calls = nodes.where(is_test(F.col("path")) & (F.col("type") == "call") & F.col("text").isin("time.sleep", "sleep")).join(bare, FILE, "left").where("text = 'time.sleep' OR bare")
+    calls = nodes.where(is_test(F.col("path")) & (F.col("type") == "call") & F.col("text").isin("time.sleep", "sleep")).join(merging(bare), FILE, "left").where("text = 'time.sleep' OR bare")
     found = _inside(_tests(nodes.where(is_test(F.col("path")))), calls.select(*FILE, "start", "end", "text", "source", "owners"), "fn")
     return found.select("repo", "path", "start", "end", F.col("name").alias("symbol"), F.lit("warn").alias("severity"), _text("`", F.col("source"), "` inside test - flaky signal").alias("message"), F.struct(F.col("text").alias("kind"), F.col("source").alias("snippet")).alias("evidence"))
 
@@ -191,12 +192,12 @@ def reinvented(nodes: DataFrame, files: DataFrame) -> DataFrame:
     loops = statements.where("type = 'for_statement' AND seed.type = 'assignment'").select(*FILE, F.col("id").alias("loop"), F.col("seed.id").alias("seed"), F.col("seed.start").alias("start"), "end")
     part = lambda role, parent, name: nodes.where(f"role = '{role}'").select(*FILE, F.col("parent").alias(parent), F.col("id").alias(f"{name}_id"), F.col("type").alias(f"{name}_type"), F.col("text").alias(f"{name}"), F.col("source").alias(f"{name}_source"))
     single = nodes.where("role = 'body'").groupBy(*FILE, F.col("parent").alias("loop")).agg(F.count("*").alias("n"), F.min_by(F.struct("id", "type", "text"), "ordinal").alias("s")).where("n = 1").select(*FILE, "loop", F.col("s.id").alias("stmt"), F.col("s.type").alias("stmt_type"), F.col("s.text").alias("stmt_text"))
-    head = loops.join(part("targets", "seed", "acc"), [*FILE, "seed"]).join(part("value", "seed", "init"), [*FILE, "seed"]).join(part("target", "loop", "var"), [*FILE, "loop"]).join(part("iter", "loop", "iter"), [*FILE, "loop"]).join(single, [*FILE, "loop"]).where("acc_type = 'identifier' AND var_type = 'identifier'")
-    sums = head.where("init_source = '0' AND stmt_type = 'augmented_assignment' AND stmt_text = 'Add'").join(part("target", "stmt", "left"), [*FILE, "stmt"]).join(part("value", "stmt", "right"), [*FILE, "stmt"]).where("left_type = 'identifier' AND right_type = 'identifier' AND left = acc AND right = var").withColumn("kind", F.lit("sum"))
-    tests = head.where("init_source = concat(iter_source, '[0]') AND stmt_type = 'if_statement'").join(part("test", "stmt", "cond"), [*FILE, "stmt"]).where("cond = 'Gt'")
+    head = loops.join(merging(part("targets", "seed", "acc")), [*FILE, "seed"]).join(merging(part("value", "seed", "init")), [*FILE, "seed"]).join(merging(part("target", "loop", "var")), [*FILE, "loop"]).join(merging(part("iter", "loop", "iter")), [*FILE, "loop"]).join(merging(single), [*FILE, "loop"]).where("acc_type = 'identifier' AND var_type = 'identifier'")
+    sums = head.where("init_source = '0' AND stmt_type = 'augmented_assignment' AND stmt_text = 'Add'").join(merging(part("target", "stmt", "left")), [*FILE, "stmt"]).join(merging(part("value", "stmt", "right")), [*FILE, "stmt"]).where("left_type = 'identifier' AND right_type = 'identifier' AND left = acc AND right = var").withColumn("kind", F.lit("sum"))
+    tests = head.where("init_source = concat(iter_source, '[0]') AND stmt_type = 'if_statement'").join(merging(part("test", "stmt", "cond")), [*FILE, "stmt"]).where("cond = 'Gt'")
     inner = nodes.where("role = 'body'").groupBy(*FILE, F.col("parent").alias("stmt")).agg(F.count("*").alias("k"), F.min_by(F.struct("id", "type"), "ordinal").alias("i")).where("k = 1 AND i.type = 'assignment'").select(*FILE, "stmt", F.col("i.id").alias("inner"))
-    above = part("left", "cond_id", "l").join(part("comparators", "cond_id", "r"), [*FILE, "cond_id"])
-    maxes = tests.join(above, [*FILE, "cond_id"]).where("l = var AND r = acc").join(inner, [*FILE, "stmt"]).join(part("targets", "inner", "left"), [*FILE, "inner"]).join(part("value", "inner", "right"), [*FILE, "inner"]).where("left = acc AND right = var").withColumn("kind", F.lit("max"))
+    above = part("left", "cond_id", "l").join(merging(part("comparators", "cond_id", "r")), [*FILE, "cond_id"])
+    maxes = tests.join(merging(above), [*FILE, "cond_id"]).where("l = var AND r = acc").join(merging(inner), [*FILE, "stmt"]).join(merging(part("targets", "inner", "left")), [*FILE, "inner"]).join(merging(part("value", "inner", "right")), [*FILE, "inner"]).where("left = acc AND right = var").withColumn("kind", F.lit("max"))
     columns = [*FILE, "start", "end", "acc", "iter_source", "kind"]
     found = sums.select(columns).unionByName(maxes.select(columns)).withColumn("replacement", _text(F.col("acc"), " = ", F.col("kind"), "(", F.col("iter_source"), ")"))
     return found.select("repo", "path", "start", "end", F.lit(None).alias("symbol"), F.lit("info").alias("severity"), _text("reinvented ", F.col("kind"), "(); try `", F.col("replacement"), "`").alias("message"), F.struct("kind", "replacement", F.col("iter_source").alias("iterable")).alias("evidence"))
@@ -211,16 +212,16 @@ def symbols(nodes: DataFrame) -> DataFrame:
 def file_index(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """A row a file that parses: content hash, lines, and its symbols by first line and name."""
     listed = symbols(nodes).groupBy(*FILE).agg(F.sort_array(F.collect_list(F.struct("start_line", "name", "kind", "end_line"))).alias("symbols"))  # one file's
-    parsed = files.join(nodes.where("type = 'parse_error'").select(*FILE), FILE, "left_anti")
+    parsed = files.join(merging(nodes.where("type = 'parse_error'").select(*FILE)), FILE, "left_anti")
     rows = parsed.select(*FILE, content_hash("content").alias("content_hash"), line_count(F.col("text")).cast("int").alias("lines"))
-    return rows.join(listed, FILE, "left").withColumn("symbols", F.coalesce("symbols", F.array().cast(listed.schema["symbols"].dataType)))
+    return rows.join(merging(listed), FILE, "left").withColumn("symbols", F.coalesce("symbols", F.array().cast(listed.schema["symbols"].dataType)))
 
 
 def _public_facts(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """By the name of the module that is tested: public names of modules, and of each test file the words it holds. Texts go no further."""
     path, name = F.col("path"), basename(F.col("path"))
     sources = files.where(~is_non_source(path) & path.endswith(".py") & (name != "__init__.py") & ~name.startswith("_")).select(*FILE, name.alias("key"))
-    public = symbols(nodes).where("kind IN ('function', 'class') AND NOT startswith(name, '_')").join(sources, FILE)
+    public = symbols(nodes).where("kind IN ('function', 'class') AND NOT startswith(name, '_')").join(merging(sources), FILE)
     words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)(\w+)"), 1))
     tests = files.where(name.startswith("test_")).select(*FILE, F.substring(name, 6, 1 << 20).alias("key"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("line"), words.alias("words"))
     return public.select(*FILE, "key", "name", F.col("start_line").alias("line"), F.lit(None).cast("array<string>").alias("words")).unionByName(tests)
@@ -232,7 +233,7 @@ def _untested(facts: DataFrame) -> DataFrame:
     tests, public = facts.where("name IS NULL"), facts.where("name IS NOT NULL")
     lists = tests.groupBy(*by).agg(F.sort_array(F.collect_set("path")).alias("test_files"))
     words = tests.select(*by, F.explode("words").alias("name")).distinct()
-    return public.join(words, [*by, "name"], "left_anti").join(lists, by).select(*FILE, "key", "name", "line", "test_files")
+    return public.join(merging(words), [*by, "name"], "left_anti").join(merging(lists), by).select(*FILE, "key", "name", "line", "test_files")
 
 
 def _untested_found(rows: DataFrame) -> DataFrame:
@@ -248,10 +249,10 @@ def _patch_facts(nodes: DataFrame, files: DataFrame) -> DataFrame:
     calls = nodes.where(is_named_test(path) & (F.col("type") == "call") & (F.col("text").endswith("patch.object") | (F.col("text") == "patch") | F.col("text").endswith(".patch"))).select(*FILE, "id", "owners")
     strings = nodes.where("type = 'string' AND role = 'args'").select(*FILE, F.col("parent").alias("id"), "ordinal", "source").groupBy(*FILE, "id").agg(F.min_by("source", "ordinal").alias("source"))
     bare = F.regexp_replace("source", r"^[A-Za-z]*(\"\"\"|'''|\"|')|(\"\"\"|'''|\"|')$", "")
-    patched = calls.join(strings, [*FILE, "id"]).select(*FILE, "id", "owners", F.element_at(F.split(bare, r"\."), -1).alias("patched"))
+    patched = calls.join(merging(strings), [*FILE, "id"]).select(*FILE, "id", "owners", F.element_at(F.split(bare, r"\."), -1).alias("patched"))
     within = _inside(_tests(nodes.where(is_named_test(path))), patched, "fn").select(*FILE, F.substring(basename(path), 6, 1 << 20).alias("key"), F.struct("fn", "name", "fn_start", "fn_end", "patched").alias("patch"), F.lit(None).cast("array<string>").alias("own"))
     own = symbols(nodes).where("kind IN ('function', 'class')").groupBy(*FILE).agg(F.collect_set("name").alias("own"))  # one file's
-    targets = files.where(~basename(path).startswith("test_")).select(*FILE, basename(path).alias("key")).join(own, FILE, "left")
+    targets = files.where(~basename(path).startswith("test_")).select(*FILE, basename(path).alias("key")).join(merging(own), FILE, "left")
     return within.unionByName(targets.select(*FILE, "key", F.lit(None).cast(within.schema["patch"].dataType).alias("patch"), F.coalesce("own", F.array().cast("array<string>")).alias("own")))
 
 
@@ -263,10 +264,10 @@ def _mocked(facts: DataFrame) -> DataFrame:
     a, b = F.split("path", "/"), F.split("target", "/")
     same = F.zip_with(F.slice(a, 1, F.size(a) - 1), F.slice(b, 1, F.size(b) - 1), lambda x, y: F.coalesce(x == y, F.lit(False)))
     shared = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same).cast("long"))
-    places = tests.select(*FILE, "key").distinct().join(targets.select(*by, "target"), by)
+    places = tests.select(*FILE, "key").distinct().join(merging(targets.select(*by, "target")), by)
     nearest = places.groupBy(*FILE, "key").agg(F.min_by("target", F.struct(-shared, F.length("target"), "target")).alias("target"))
     own = targets.select(*by, "target", F.explode("own").alias("patched"))
-    hits = tests.join(nearest, [*FILE, "key"]).join(own, [*by, "target", "patched"])
+    hits = tests.join(merging(nearest), [*FILE, "key"]).join(merging(own), [*by, "target", "patched"])
     tail, sut = F.substring("name", 6, 1 << 20), F.lower("patched")
     hits = hits.where((F.lower(tail) == sut) | F.lower(tail).startswith(F.concat(sut, F.lit("_"))))
     return hits.groupBy(*FILE, "key", "fn", "name", "fn_start", "fn_end", "target").agg(F.sort_array(F.collect_set("patched")).alias("mocked_symbols"))
@@ -314,7 +315,7 @@ def windows(nodes: DataFrame) -> DataFrame:
     borders = kept.select(*FILE, F.explode(F.array("from", "to")).alias("at"))
     filled = _filled_to(borders, _merged_strings(nodes), "at")
     side = lambda name: filled.select(*FILE, F.col("at").alias(name), F.col("filled").alias(f"{name}_filled"))
-    both = kept.join(side("from"), [*FILE, "from"]).join(side("to"), [*FILE, "to"])
+    both = kept.join(merging(side("from")), [*FILE, "from"]).join(merging(side("to")), [*FILE, "to"])
     return both.where(F.col("to_filled") - F.col("from_filled") < STRING_SHARE * (F.col("to") - F.col("from"))).select(*FILE, "start_line", "win_text").distinct()
 
 
@@ -325,12 +326,12 @@ def clusters(found: DataFrame, by: tuple[str, ...] = ("win_text",), places: bool
     """
     text = ["repo", *by]
     counted = found.groupBy(*text).agg(F.count("*").alias("n"), F.min(F.struct("path", "start_line")).alias("first")).where("n > 1")
-    several = found.join(counted, text).withColumn("rank", F.when(F.struct("path", "start_line") == F.col("first"), 1).otherwise(2)).drop("first")
+    several = found.join(merging(counted), text).withColumn("rank", F.when(F.struct("path", "start_line") == F.col("first"), 1).otherwise(2)).drop("first")
     if not places:
         return several
     order = Window.partitionBy(*text).orderBy("path", "start_line")
     first = several.select(*text, "path", "start_line").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= MOST_PLACES + 1)
-    return several.join(first.groupBy(*text).agg(F.sort_array(F.collect_list(F.struct("path", "start_line"))).alias("places")), text)
+    return several.join(merging(first.groupBy(*text).agg(F.sort_array(F.collect_list(F.struct("path", "start_line"))).alias("places"))), text)
 
 
 def collapse(raw: DataFrame, by: tuple[str, ...] = ("win_text",)) -> DataFrame:
@@ -351,7 +352,7 @@ def collapse(raw: DataFrame, by: tuple[str, ...] = ("win_text",)) -> DataFrame:
 
     first = starts.mapInArrow(kept, starts.schema)
     tie = Window.partitionBy(*FILE, "start_line").orderBy(*by)
-    return raw.join(first, [*FILE, "start_line"]).withColumn("tie", F.row_number().over(tie)).where("tie = 1").drop("tie")
+    return raw.join(merging(first), [*FILE, "start_line"]).withColumn("tie", F.row_number().over(tie)).where("tie = 1").drop("tie")
 
 
 def _window_facts(nodes: DataFrame, files: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scratch import written
+from ..functions.scratch import merging, written
 from .analyzers import FILE, Analyzer
 
 #: Edges of a tree that one task may hold.
@@ -30,16 +30,11 @@ def module_name(path: Column, roots: tuple[str, ...] = ("src",)) -> Column:
     return F.regexp_replace(F.replace(F.regexp_replace(below, r"(^|/)__init__\.py$|\.py$", ""), F.lit("/"), F.lit(".")), r"^\.", "")
 
 
-def _whole(side: DataFrame) -> DataFrame:
-    """A side of a join that grows with the tree: both sides are dealt by key and merged, as a broadcast would go through the driver, once a join and round."""
-    return side.hint("merge")
-
-
 def imported_names(nodes: DataFrame, roots: tuple[str, ...] = ("src",)) -> DataFrame:
     """(repo, path, name, line): full names that a file imports, relative ones resolved by its package, with the first line of each. Relative imports that leave the tree drop out."""
     aliases = nodes.where("type = 'alias' AND role = 'names'").select(*FILE, "parent", "text")
     statements = nodes.where("type IN ('import', 'importfrom')").select(*FILE, F.col("id").alias("parent"), "type", F.col("text").alias("base"), F.col("start").alias("line"))
-    found = aliases.join(_whole(statements), [*FILE, "parent"])
+    found = aliases.join(merging(statements), [*FILE, "parent"])
     module = F.split(module_name(F.col("path"), roots), r"\.")
     level = F.length(F.regexp_extract("base", r"^\.*", 0))
     # a package is its own package, a module's is the folder
@@ -59,7 +54,7 @@ def import_edges(nodes: DataFrame, roots: tuple[str, ...] = ("src",)) -> DataFra
     part = F.split("name", r"\.")
     prefix = F.transform(F.sequence(F.lit(1), F.size(part)), lambda i: F.array_join(F.slice(part, F.lit(1), i), "."))
     asked = imported_names(nodes, roots).select("*", F.explode(prefix).alias("module"))
-    best = asked.join(_whole(modules), ["repo", "module"]).groupBy(*FILE, "name").agg(F.max_by("target", F.length("module")).alias("target"), F.min("line").alias("line"))
+    best = asked.join(merging(modules), ["repo", "module"]).groupBy(*FILE, "name").agg(F.max_by("target", F.length("module")).alias("target"), F.min("line").alias("line"))
     return best.where("path != target").groupBy(*FILE, "target").agg(F.min("line").alias("line"))
 
 
@@ -68,7 +63,7 @@ def _core(edges: DataFrame) -> DataFrame:
     n = edges.count()
     while n:
         entered, left = edges.select("repo", F.col("target").alias("path")).distinct(), edges.select("repo", F.col("path").alias("target")).distinct()
-        edges = written(edges.join(_whole(entered), FILE, "left_semi").join(_whole(left), ["repo", "target"], "left_semi").select(*FILE, "target"), "core")
+        edges = written(edges.join(merging(entered), FILE, "left_semi").join(merging(left), ["repo", "target"], "left_semi").select(*FILE, "target"), "core")
         before, n = n, edges.count()
         if n == before:
             break
@@ -80,7 +75,7 @@ def _colours(edges: DataFrame) -> DataFrame:
     ends = edges.select(*FILE).union(edges.select("repo", "target")).distinct()
     colours = written(ends.withColumn("colour", F.col("path")), "colours")
     while True:
-        passed = edges.join(_whole(colours.select(*FILE, "colour")), FILE).select("repo", F.col("target").alias("path"), "colour", F.lit(None).cast("string").alias("was"))
+        passed = edges.join(merging(colours.select(*FILE, "colour")), FILE).select("repo", F.col("target").alias("path"), "colour", F.lit(None).cast("string").alias("was"))
         both = colours.select(*FILE, "colour", F.col("colour").alias("was")).unionByName(passed)
         colours = written(both.groupBy(*FILE).agg(F.min("colour").alias("colour"), F.max("was").alias("was")), "colours")
         if not colours.where("colour != was").head(1):
@@ -137,7 +132,7 @@ def components(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
     """(repo, path, component): the files that lie on cycles, with the smallest path of all that they reach and that reach them."""
     small, large = _by_size(written(edges.select(*FILE, "target").where("path != target").distinct(), "edges"), most)
     several = small.groupBy("repo", "component").agg(F.count("*").alias("n")).where("n > 1")
-    return small.join(_whole(several), ["repo", "component"], "left_semi").select(*FILE, "component").unionByName(_components_in_rounds(large))
+    return small.join(merging(several), ["repo", "component"], "left_semi").select(*FILE, "component").unionByName(_components_in_rounds(large))
 
 
 def _components_in_rounds(edges: DataFrame) -> DataFrame:
@@ -154,18 +149,18 @@ def _components_in_rounds(edges: DataFrame) -> DataFrame:
             return settled
         colours = _colours(left)
         to = colours.select("repo", F.col("path").alias("target"), F.col("colour").alias("to"))
-        within = written(left.join(_whole(colours), FILE).join(_whole(to), ["repo", "target"]).where("colour = to").drop("to"), "within")
+        within = written(left.join(merging(colours), FILE).join(merging(to), ["repo", "target"]).where("colour = to").drop("to"), "within")
         reached = frontier = written(colours.where("path = colour").select(*FILE, F.col("colour").alias("component")), "reached")
         while frontier.head(1):
             on = frontier.select("repo", F.col("path").alias("target"))
-            frontier = written(within.join(_whole(on), ["repo", "target"], "left_semi").select(*FILE, F.col("colour").alias("component")).distinct().join(_whole(reached.select(*FILE)), FILE, "left_anti"), "reached")
+            frontier = written(within.join(merging(on), ["repo", "target"], "left_semi").select(*FILE, F.col("colour").alias("component")).distinct().join(merging(reached.select(*FILE)), FILE, "left_anti"), "reached")
             reached = reached.unionByName(frontier)
         ends = within.select(*FILE, F.col("colour").alias("component")).union(within.select("repo", "target", "colour")).distinct()
         # the first of a component stands on a cycle only if another one reaches it
         several = reached.groupBy("repo", "component").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        settled = settled.unionByName(written(reached.join(_whole(ends), [*FILE, "component"], "left_semi").join(_whole(several), ["repo", "component"], "left_semi").select(*FILE, "component"), "settled"))
+        settled = settled.unionByName(written(reached.join(merging(ends), [*FILE, "component"], "left_semi").join(merging(several), ["repo", "component"], "left_semi").select(*FILE, "component"), "settled"))
         gone = written(reached.select(*FILE), "gone")
-        left = written(within.join(_whole(gone), FILE, "left_anti").join(_whole(gone.withColumnRenamed("path", "target")), ["repo", "target"], "left_anti").select(*FILE, "target"), "edges")
+        left = written(within.join(merging(gone), FILE, "left_anti").join(merging(gone.withColumnRenamed("path", "target")), ["repo", "target"], "left_anti").select(*FILE, "target"), "edges")
 
 
 def layers(files: DataFrame, edges: DataFrame, found: DataFrame, most: int = MOST_EDGES) -> DataFrame:
@@ -175,16 +170,16 @@ def layers(files: DataFrame, edges: DataFrame, found: DataFrame, most: int = MOS
     """
     of = found.select(*FILE, "component")
     end = of.select("repo", F.col("path").alias("target"), F.col("component").alias("to"))
-    between = edges.join(_whole(of), FILE, "left").join(_whole(end), ["repo", "target"], "left").select("repo", F.coalesce("component", "path").alias("path"), F.coalesce("to", "target").alias("target")).where("path != target").distinct()
+    between = edges.join(merging(of), FILE, "left").join(merging(end), ["repo", "target"], "left").select("repo", F.coalesce("component", "path").alias("path"), F.coalesce("to", "target").alias("target")).where("path != target").distinct()
     small, large = _by_size(written(between, "layer"), most)
     left, rounds = large, [small.select(*FILE, "layer")]
     while left.head(1):
         rounds.append(left.select(*FILE, F.lit(len(rounds)).alias("layer")))
         above = left.select("repo", F.col("path").alias("target")).distinct()
-        left = written(left.join(_whole(above), ["repo", "target"], "left_semi").select(*FILE, "target"), "layer")
-    all_files = files.select(*FILE).distinct().join(_whole(of), FILE, "left").select(*FILE, F.coalesce("component", "path").alias("component"))
+        left = written(left.join(merging(above), ["repo", "target"], "left_semi").select(*FILE, "target"), "layer")
+    all_files = files.select(*FILE).distinct().join(merging(of), FILE, "left").select(*FILE, F.coalesce("component", "path").alias("component"))
     high = reduce(DataFrame.unionByName, rounds).groupBy("repo", F.col("path").alias("component")).agg(F.max("layer").alias("layer"))
-    return all_files.join(_whole(high), ["repo", "component"], "left").select(*FILE, F.coalesce("layer", F.lit(0)).alias("layer"))
+    return all_files.join(merging(high), ["repo", "component"], "left").select(*FILE, F.coalesce("layer", F.lit(0)).alias("layer"))
 
 
 def cycle_imports(edges: DataFrame) -> DataFrame:
@@ -193,7 +188,7 @@ def cycle_imports(edges: DataFrame) -> DataFrame:
     found = components(edges)
     sizes = found.groupBy("repo", "component").agg(F.count("*").alias("size"))
     end = found.select("repo", F.col("path").alias("target"), F.col("component").alias("to"))
-    inside = edges.join(_whole(found), FILE).join(_whole(end), ["repo", "target"]).where("component = to").join(_whole(sizes), ["repo", "component"])
+    inside = edges.join(merging(found), FILE).join(merging(end), ["repo", "target"]).where("component = to").join(merging(sizes), ["repo", "component"])
     message = F.concat(F.lit("import of `"), F.col("target"), F.lit("` is part of a cycle among "), F.col("size").cast("string"), F.lit(" modules"))
     return inside.select(*FILE, F.col("line").alias("start"), F.col("line").alias("end"), F.lit(None).alias("symbol"), F.lit("warn").alias("severity"), message.alias("message"), F.struct("target", "component", "size").alias("evidence"))
 

@@ -10,7 +10,7 @@ from ..operators import findings as fnd
 from ..functions.identity import finding_payloads as finding_payloads_of
 from ..operators.analyzers import REGISTRY, clusters, collapse, file_index, symbols
 from ..operators.nodes import node_table, parse_errors
-from ..functions.scratch import shared_folder
+from ..functions.scratch import merging, shared_folder
 from ..streaming.state import Incremental
 from .corpus import CORPUS, files, paired, paired_files, parsed
 
@@ -145,7 +145,7 @@ def incremental_findings(spark, sf_dir):
     changes = edited.select("repo", "path", F.when(key % 5 == 0, "modified").otherwise("deleted").alias("status"))
     used = F.replace("text", F.lit("    assert load_"), F.concat(F.lit("    save_"), key.cast("string"), F.lit("()\n    assert load_")))
     modified = edited.where(key % 5 == 0).withColumn("text", F.when(key % 3 == 0, F.col("text")).otherwise(used))
-    left = present.join(changes.where("status = 'deleted'"), ["repo", "path"], "left_anti")
+    left = present.join(merging(changes.where("status = 'deleted'")), ["repo", "path"], "left_anti")
     now = state.apply(read(modified), changes, left, first)
     return state.findings(now["version"]).select(*PLAIN)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import __version__
-from ..functions.scratch import folders, remove, written
+from ..functions.scratch import folders, merging, remove, written
 from .changes import editor_temp, snapshot_diff
 
 #: What the tables of a state look like; a state of another number or engine is not read.
@@ -135,12 +135,12 @@ class Incremental:
     def _current(self, what: str, manifest: DataFrame, path: str = "path") -> DataFrame:
         """Rows of the present files, each from the version that its manifest row names."""
         held = manifest.select("repo", F.col("path").alias(path), F.col("held").alias("version"))
-        return self._read(what, self._schema(what), self._numbers(held, "version")).join(held, ["repo", path, "version"], "left_semi").drop("version")
+        return self._read(what, self._schema(what), self._numbers(held, "version")).join(merging(held), ["repo", path, "version"], "left_semi").drop("version")
 
     def _judged(self, what: str, analyzer: str, manifest: DataFrame, path: str = "path") -> DataFrame:
         """An analyzer's rows of the present files, each file's from the version that judged it last."""
         at = manifest.select("repo", F.col("path").alias(path), F.col("judged")[analyzer].alias("version")).where("version IS NOT NULL")
-        return self._read(what, self._schema(what), self._numbers(at, "version")).join(at, ["repo", path, "version"], "left_semi").drop("version")
+        return self._read(what, self._schema(what), self._numbers(at, "version")).join(merging(at), ["repo", path, "version"], "left_semi").drop("version")
 
     def findings(self, version: int | None = None) -> DataFrame:
         """Findings of a version, the last one by default."""
@@ -182,7 +182,7 @@ class Incremental:
         old = self.manifest(before["version"]) if before else None
         changes = snapshot_diff(old, present, tuple(KEYS), "mtime") if before else present.select(*KEYS, F.lit("added").alias("status"))
         changes = written(changes, "changes")
-        read = written(with_content(present.join(changes.where("status != 'deleted'"), KEYS, "left_semi")), "read")
+        read = written(with_content(present.join(merging(changes.where("status != 'deleted'")), KEYS, "left_semi")), "read")
         return self.apply(read, changes, present, before)
 
     def apply(self, read: DataFrame, changes: DataFrame, present: DataFrame, before: dict | None) -> dict:
@@ -194,9 +194,9 @@ class Incremental:
         spark, version = self.spark, self._newest() + 1
         self.buckets = before["buckets"] if before else self.buckets
         counts = {r["status"]: r["count"] for r in changes.groupBy("status").count().collect()}
-        held = present.select(*KEYS, F.col("mtime").cast("double").alias("mtime")).join(changes.select(*KEYS, "status"), KEYS, "left").withColumn("held", F.when(F.col("status").isNotNull(), F.lit(version).cast("bigint")))
+        held = present.select(*KEYS, F.col("mtime").cast("double").alias("mtime")).join(merging(changes.select(*KEYS, "status")), KEYS, "left").withColumn("held", F.when(F.col("status").isNotNull(), F.lit(version).cast("bigint")))
         if before:
-            held = held.join(self.manifest(before["version"]).select(*KEYS, F.col("held").alias("was"), "judged"), KEYS, "left").withColumn("held", F.coalesce("held", "was"))
+            held = held.join(merging(self.manifest(before["version"]).select(*KEYS, F.col("held").alias("was"), "judged")), KEYS, "left").withColumn("held", F.coalesce("held", "was"))
         else:
             held = held.withColumn("judged", F.lit(None).cast("map<string,bigint>"))
         manifest = written(held.select(*KEYS, "mtime", "held", F.coalesce("judged", F.create_map().cast("map<string,bigint>")).alias("judged")), "manifest")
@@ -254,7 +254,7 @@ class Incremental:
         if files is None:
             return manifest
         now = F.map_concat(without, F.create_map(F.lit(name), F.lit(version).cast("bigint")))
-        return manifest.join(files.select(*KEYS, F.lit(True).alias("_now")), KEYS, "left").withColumn("judged", F.when(F.col("_now"), now).otherwise(F.col("judged"))).drop("_now")
+        return manifest.join(merging(files.select(*KEYS, F.lit(True).alias("_now"))), KEYS, "left").withColumn("judged", F.when(F.col("_now"), now).otherwise(F.col("judged"))).drop("_now")
 
     def _finish(self, version: int, state: dict, manifest: DataFrame, then: DataFrame | None = None) -> dict:
         """Writes the state row, which makes the version count."""
@@ -297,7 +297,7 @@ class Incremental:
         """The facts of touched ``keys`` in the files of a manifest; only their buckets are read, of the versions that hold present files."""
         held = manifest.select(*KEYS, F.greatest("held", F.lit(base)).alias("version"))
         facts = self._read(f"facts-{name}", schema, self._numbers(held, "version"), buckets)
-        return facts.join(keys.select("repo", "key"), ["repo", "key"], "left_semi").join(held, [*KEYS, "version"], "left_semi").drop("version", "bucket")
+        return facts.join(merging(keys.select("repo", "key")), ["repo", "key"], "left_semi").join(merging(held), [*KEYS, "version"], "left_semi").drop("version", "bucket")
 
     def _rejudge(self, name: str, version: int, base: int, manifest: DataFrame, before: DataFrame, changes: DataFrame, fresh: DataFrame, fresh_files: DataFrame) -> tuple[DataFrame, int, int]:
         """Judges the touched keys alone. Returns the files whose findings were made anew, and how many keys and facts that took."""
@@ -306,9 +306,9 @@ class Incremental:
         keyed = REGISTRY[name].keyed
         facts = self._store(name, version, keyed.facts(fresh, fresh_files))
         schema = facts.schema
-        gone = written(before.join(changes.select(*KEYS), KEYS, "left_semi").select(*KEYS, F.greatest("held", F.lit(base)).alias("version"), self._bucket(KEYS).alias("bucket")), "gone")
+        gone = written(before.join(merging(changes.select(*KEYS)), KEYS, "left_semi").select(*KEYS, F.greatest("held", F.lit(base)).alias("version"), self._bucket(KEYS).alias("bucket")), "gone")
         had = self._read(f"keys-{name}", facts.select(*KEYS, F.array("key").alias("keys")).schema, self._numbers(gone, "version"), self._numbers(gone, "bucket"))
-        old = had.join(gone, [*KEYS, "version"], "left_semi").select("repo", F.explode("keys").alias("key"))
+        old = had.join(merging(gone), [*KEYS, "version"], "left_semi").select("repo", F.explode("keys").alias("key"))
         keys = written(old.unionByName(facts.select("repo", "key")).distinct().withColumn("bucket", self._bucket(["repo", "key"])), "touched")
         buckets = self._numbers(keys, "bucket")
         facts_now = written(self.facts_of(name, schema, base, keys, buckets, manifest), "facts")
@@ -316,9 +316,9 @@ class Incremental:
         was = keyed.judge(self.facts_of(name, schema, base, keys, buckets, before)).select(now.columns)
         both = now.withColumn("_side", F.lit(1)).unionAll(was.withColumn("_side", F.lit(-1)))
         differ = both.groupBy(*now.columns).agg(F.sum("_side").alias("_side")).where("_side != 0")
-        files = written(differ.select(*KEYS).distinct().join(manifest.select(*KEYS, F.col("judged")[name].alias("version")), KEYS).withColumn("bucket", self._bucket(KEYS)), "files")
-        rest = self._read(f"rows-{name}", now.schema, self._numbers(files, "version"), self._numbers(files, "bucket")).join(files.select(*KEYS, "version"), [*KEYS, "version"], "left_semi").drop("version", "bucket").join(keys.select("repo", "key"), ["repo", "key"], "left_anti")
-        self._settle(name, version, rest.select(now.columns).unionByName(now.join(files.select(*KEYS), KEYS, "left_semi").select(now.columns)))
+        files = written(differ.select(*KEYS).distinct().join(merging(manifest.select(*KEYS, F.col("judged")[name].alias("version"))), KEYS).withColumn("bucket", self._bucket(KEYS)), "files")
+        rest = self._read(f"rows-{name}", now.schema, self._numbers(files, "version"), self._numbers(files, "bucket")).join(merging(files.select(*KEYS, "version")), [*KEYS, "version"], "left_semi").drop("version", "bucket").join(merging(keys.select("repo", "key")), ["repo", "key"], "left_anti")
+        self._settle(name, version, rest.select(now.columns).unionByName(now.join(merging(files.select(*KEYS)), KEYS, "left_semi").select(now.columns)))
         return files, keys.count(), facts_now.count()
 
     # compaction and expiry
@@ -338,7 +338,7 @@ class Incremental:
             if name in before["base"] and self._schema(f"facts-{name}").names:
                 held = manifest.select(*KEYS, F.greatest("held", F.lit(before["base"][name])).alias("version"))
                 facts = self._read(f"facts-{name}", self._schema(f"facts-{name}"), self._numbers(held, "version"), list(range(self.buckets)))
-                self._store(name, version, facts.join(held, [*KEYS, "version"], "left_semi").drop("version", "bucket"))
+                self._store(name, version, facts.join(merging(held), [*KEYS, "version"], "left_semi").drop("version", "bucket"))
         now = F.lit(version).cast("bigint")
         manifest = self._write(manifest.select(*KEYS, "mtime", now.alias("held"), F.transform_values("judged", lambda k, v: now).alias("judged")), "manifest", version)
         state = before | {"mode": "compact", "reindexed": 0, "removed": 0, "new": 0, "gone": 0, "touched": 0, "judged": 0, "base": dict.fromkeys(before["base"], version), "ran": version}
