@@ -68,3 +68,31 @@ def test_ranks_are_carried_as_what_is_unexpected():
     usual = np.rint(rng.normal(0, 100, (50, 1000))).astype(np.int64)
     packed = st._packed(usual)
     assert (st._unpacked(packed, 1000) == usual).all() and sum(map(len, packed)) < 1.4 * usual.size
+
+
+def test_tasks_know_a_bounded_number_of_weights(spark, monkeypatch):
+    """Every task once got the weights before and in all buckets, 8 bytes a bucket and replicate of each twice."""
+    from pyspark import cloudpickle
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps, PandasGroupedOpsMixin
+
+    monkeypatch.setattr(st, "SPANS", 16, raising=False)
+    sent = []
+    for kind in (PandasGroupedOpsMixin, PandasCogroupedOps):
+        monkeypatch.setattr(kind, "applyInPandas", lambda self, f, schema, go=kind.applyInPandas: sent.append(len(cloudpickle.dumps(f))) or go(self, f, schema))
+    rng = random.Random(3)
+    rows = [(float(rng.randrange(900)), float(rng.randrange(900))) for _ in range(1500)] + [(7.0, float(a)) for a in range(40)] + [(float("inf"), 1.0)] * 2
+    df = spark.createDataFrame(rows, "x double, y double")
+    few = st.bootstrap(df, "x", "y", draws=200, most=5).first()
+    assert max(sent) < 200_000
+    assert tuple(few) == pytest.approx(tuple(st.bootstrap(df, "x", "y", draws=200).first()), abs=1e-9)
+
+
+@pytest.mark.parametrize("most", [1000, 3, 1])
+def test_ranks_a_few_rows_at_a_time(most):
+    """Ties that are longer than what is taken at a time keep one rank, infinite ones too."""
+    v = np.array([-np.inf, -np.inf, 1, 2, 2, 2, 2, 2, 3, 3, 4, np.inf, np.inf])
+    w = np.random.default_rng(1).integers(0, 4, (len(v), 6))
+    below = np.arange(6)
+    got = np.concatenate([r for _, _, r, _ in st._ranked(v, lambda a, b: w[a:b], below, None, most)])
+    want = [2 * (below + w[v < x].sum(axis=0)) + w[v == x].sum(axis=0) + 1 for x in v]
+    assert (got == np.array(want)).all()
